@@ -13,19 +13,22 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 DIRECT_LIMIT = 1 << 18
+# Spelled as types: a DDL string needs a running session, which a worker has not.
+ARRAYS = T.StructType([T.StructField(part, T.ArrayType(T.DoubleType())) for part in ("re", "im")])
 
 
-@pandas_udf("struct<re:array<double>,im:array<double>>")
+@pandas_udf(ARRAYS)
 def _fft(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for re, im in batches:
         out = [np.fft.fft(np.asarray(a) + 1j * np.asarray(b)) for a, b in zip(re, im)]
         yield pd.DataFrame({"re": [z.real for z in out], "im": [z.imag for z in out]})
 
 
-@pandas_udf("struct<re:array<double>,im:array<double>>")
+@pandas_udf(ARRAYS)
 def _ifft(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for re, im in batches:
         out = [np.fft.ifft(np.asarray(a) + 1j * np.asarray(b)) for a, b in zip(re, im)]

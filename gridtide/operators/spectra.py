@@ -12,10 +12,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from gridtide.functions.fourier import DIRECT_LIMIT, dft
-from gridtide.functions.layout import channels
+from gridtide.functions.layout import channels, core_rows, halo_blocks, halo_window
 from gridtide.operators.stats import fluctuation
 
 TWO_PI = 2 * np.pi
@@ -47,7 +48,7 @@ def _half_power(rows: np.ndarray, spacing: float) -> np.ndarray:
     return power
 
 
-@pandas_udf("array<double>")
+@pandas_udf(T.ArrayType(T.DoubleType()))
 def _segment_power(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
         sizes = batch.map(len)
@@ -137,11 +138,13 @@ def welch(series: DataFrame, keys: list[str], nperseg: int, noverlap: int | None
     )
 
 
-def _neighbours(spectrum: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds the powers of bins k - 1 and k + 1, by equi-joins so no spectrum is one window."""
-    below = spectrum.select(*keys, (F.col("k") + 1).alias("k"), F.col("power").alias("below"))
-    above = spectrum.select(*keys, (F.col("k") - 1).alias("k"), F.col("power").alias("above"))
-    return spectrum.join(below, [*keys, "k"], "left").join(above, [*keys, "k"], "left")
+def _neighbours(spectrum: DataFrame, keys: list[str], block: int = 4096) -> DataFrame:
+    """Adds the powers of bins k - 1 and k + 1; blocks of bins keep a long spectrum off one task."""
+    near = halo_window(keys, "k")
+    parts = halo_blocks(spectrum, "k", before=1, after=1, block=block)
+    return core_rows(
+        parts.withColumn("below", F.lag("power").over(near)).withColumn("above", F.lead("power").over(near))
+    )
 
 
 def _top(rows: DataFrame, keys: list[str], by: str, n: int, order: str = "k") -> DataFrame:

@@ -402,13 +402,15 @@ def _(spark, sf):
     "F14",
     f"""SELECT dataset, name, {R('lag1')} AS lag1, one_over_e, below_005, zero, {R('tau')} AS tau_int,
                {R('CASE WHEN tau <> 0 THEN 120 / (2 * tau) END')} AS n_eff
-        FROM (SELECT m.dataset, m.name, lag1, one_over_e, below_005, zero,
-                     CASE WHEN zero IS NOT NULL THEN 0.5 + coalesce(sum(CASE WHEN lag >= 1 AND lag < zero THEN rho END), 0) END AS tau
+        FROM (SELECT dataset, name, lag1, one_over_e, below_005, zero,
+                     CASE WHEN zero IS NOT NULL THEN 0.5 + coalesce(s, 0) END AS tau
               FROM (SELECT dataset, name, max(CASE WHEN lag = 1 THEN rho END) AS lag1,
                            min(CASE WHEN rho <= exp(-1) THEN lag END) AS one_over_e,
                            min(CASE WHEN rho <= 0.05 THEN lag END) AS below_005,
-                           min(CASE WHEN rho <= 0 THEN lag END) AS zero FROM series_acf GROUP BY 1, 2) m
-              JOIN series_acf a ON a.dataset = m.dataset AND a.name = m.name GROUP BY ALL)""",
+                           min(CASE WHEN rho <= 0 THEN lag END) AS zero FROM series_acf GROUP BY 1, 2)
+              LEFT JOIN (SELECT dataset, name, sum(rho) AS s FROM series_acf
+                         JOIN (SELECT dataset, name, min(CASE WHEN rho <= 0 THEN lag END) AS z FROM series_acf GROUP BY 1, 2)
+                         USING (dataset, name) WHERE lag >= 1 AND lag < z GROUP BY 1, 2) USING (dataset, name))""",
 )
 def _(spark, sf):
     return rounded(autocorr.decorrelation(series_acf(spark, sf), KEYS), "lag1", "tau_int", "n_eff")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridtide.operators import derive, spectra
+from gridtide.session import materialize
 
 RUN = ["model", "dataset", "member"]
 CELL = ["dataset", "lead", "x", "y"]
@@ -312,8 +313,11 @@ def evaluate(
     """All scores as (model, dataset, grp, metric, value): grp "all" is the median over members plus
     the ensemble's scores, "member_<k>" each member's own."""
     aligned = align(forecast, truth, scales)
-    rmse = rmse_per_lead(aligned)
-    pred, true = physics(forecast, grid, "model", "member"), physics(truth, grid)
+    # Per-lead and per-frame tables feed many scores: written once, the cells are read once each.
+    rmse = materialize(rmse_per_lead(aligned), "rmse")
+    curves = materialize(ensemble_scores(aligned), "ensemble")
+    pred = materialize(physics(forecast, grid, "model", "member"), "physics")
+    true = materialize(physics(truth, grid), "physics")
     stable = stability(pred, true, block_steps, max_ratio).select(
         *RUN, "stable_steps", "energy_peak_ratio", "enstrophy_peak_ratio"
     )
@@ -330,8 +334,8 @@ def evaluate(
         .unionByName(stable.unpivot(RUN, stable.columns[3:], "metric", "value"))
     )
     key = ["model", "dataset"]
+    members = materialize(members, "members")
     medians = member_median(members, [*key, "metric"])
-    curves = ensemble_scores(aligned)
     facts = curves.groupBy(*key).agg(
         F.avg("crps").alias("crps_mean"), F.max("size").cast("double").alias("ensemble_size")
     )

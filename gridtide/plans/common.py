@@ -85,7 +85,7 @@ def oracle(body: str) -> str:
 
     def visit(text: str) -> None:
         for word in re.findall(r"[a-z_0-9]+", text):
-            if word in VIEWS and word not in order and re.search(rf"\b(?:FROM|JOIN|,)\s*{word}\b", text):
+            if word in VIEWS and word not in order and re.search(rf"(?:\bFROM|\bJOIN|,)\s*{word}\b", text):
                 visit(VIEWS[word])
                 order.append(word)
 

@@ -13,6 +13,7 @@ from gridtide.plans.fields import train_stats
 from gridtide.plans.modes import CONTEXT, RANK, dmd_model, train_catalog, train_field
 from gridtide.plans.registry import query
 from gridtide.plans.temporal import sql_lines, sql_peak, sql_welch
+from gridtide.session import materialize
 from gridtide.sources import adapters as src
 
 MEMBERS, YEAR = 4, 12
@@ -576,8 +577,10 @@ add_view(
              FROM gate_members g GROUP BY 1)""",
 )
 def _(spark, sf):
-    # One gate per dataset's ensemble.
-    pred, true, grid = pred_physics(spark, sf), true_physics(spark, sf), src.grid(spark, sf)
+    # One gate per dataset's ensemble. A gate reads stored scores, so they are stored first.
+    grid = src.grid(spark, sf)
+    pred = materialize(pred_physics(spark, sf), "physics")
+    true = materialize(true_physics(spark, sf), "physics")
     stable = evaluate.stability(pred, true, BLOCK, MAX_RATIO)
     keep = ["dataset", "member", "metric", "value"]
     members = (
@@ -591,11 +594,14 @@ def _(spark, sf):
         .unionByName(stable.select("dataset", "member", F.lit("stable_steps").alias("metric"), F.col("stable_steps").alias("value")))
         .withColumnRenamed("dataset", "model")
     )
+    members = materialize(members, "members")
     medians = evaluate.member_median(members, ["model", "metric"])
     share = evaluate.stable_fraction(stable, ["dataset"]).select(
         F.col("dataset").alias("model"), F.lit("stable_fraction").alias("metric"), F.col("stable_fraction").alias("value")
     )
-    rollouts = rollout_stability(spark, sf).select(F.col("dataset").alias("model"), "member", "stable_steps")
+    rollouts = materialize(
+        rollout_stability(spark, sf).select(F.col("dataset").alias("model"), "member", "stable_steps"), "rollouts"
+    )
     return selection.gate(medians.unionByName(share), members, rollouts, limits(spark), 40, ROLLOUT)
 
 

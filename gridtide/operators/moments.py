@@ -47,38 +47,57 @@ def merge_moments(moments: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def pooled_stats(moments: DataFrame) -> DataFrame:
-    """Pooled (channel, mean, std, n_samples, source_datasets).
+MERGE_BUCKETS = 1024
 
-    A fold over the datasets' rows in name order gives the same bits on every layout. Its input is
-    one row per dataset and channel, so the fold's array grows with the catalog, not the data.
-    """
-    start = "named_struct('n', 0D, 'mean', 0D, 'm2', 0D)"
+
+def _fold(rows: str) -> str:
+    """Ordered pairwise merging of an array of (.., n, mean, m2) structs."""
     step = (
         "named_struct('n', a.n + b.n,"
         " 'mean', a.mean + (b.mean - a.mean) * (b.n / (a.n + b.n)),"
         " 'm2', a.m2 + b.m2 + (b.mean - a.mean) * (b.mean - a.mean) * (a.n * b.n / (a.n + b.n)))"
     )
-    ordered = (
+    return f"aggregate({rows}, named_struct('n', 0D, 'mean', 0D, 'm2', 0D), (a, b) -> {step})"
+
+
+def pooled_stats(moments: DataFrame) -> DataFrame:
+    """Pooled (channel, mean, std, n_samples, n_sources, n_distinct_sources).
+
+    Merged in a fixed order, so every layout gives the same bits: datasets by name inside buckets of
+    their names' checksum, then the buckets in order. Neither step holds the whole catalog.
+    """
+    n = F.col("n").cast("double").alias("n")
+    inside = (
         moments.filter("n > 0")
-        .groupBy("channel")
+        .withColumn("bucket", F.pmod(F.crc32(F.col("dataset").cast("binary")), F.lit(MERGE_BUCKETS)))
+        .groupBy("channel", "bucket")
         .agg(
-            F.array_sort(
-                F.collect_list(F.struct("dataset", F.col("n").cast("double").alias("n"), "mean", "m2"))
-            ).alias("rows")
+            F.array_sort(F.collect_list(F.struct("dataset", n, "mean", "m2"))).alias("rows"),
+            F.count("*").alias("sources"),
+            F.size(F.collect_set("dataset")).cast("long").alias("distinct_sources"),
         )
+        .select("channel", "bucket", "sources", "distinct_sources", F.expr(_fold("rows")).alias("p"))
     )
-    return ordered.withColumn(
-        "p", F.expr(f"aggregate(rows, {start}, (a, b) -> {step})")
-    ).select(
+    merged = inside.groupBy("channel").agg(
+        F.array_sort(F.collect_list(F.struct("bucket", "p.n", "p.mean", "p.m2"))).alias("rows"),
+        F.sum("sources").alias("n_sources"),
+        F.sum("distinct_sources").alias("n_distinct_sources"),
+    ).withColumn("p", F.expr(_fold("rows")))
+    return merged.select(
         "channel",
         F.col("p.mean").alias("mean"),
         F.sqrt(F.col("p.m2") / F.col("p.n")).alias("std"),
         F.col("p.n").cast("long").alias("n_samples"),
-        F.col("rows.dataset").alias("source_datasets"),
+        "n_sources",
+        "n_distinct_sources",
     )
 
 
+def stats_sources(moments: DataFrame) -> DataFrame:
+    """The datasets behind pooled statistics, as a table: it grows with the catalog."""
+    return moments.filter("n > 0").select("dataset").distinct()
+
+
 def normalization_stats(field: DataFrame, train: DataFrame) -> DataFrame:
     """Pooled statistics of the training datasets only."""
     return pooled_stats(channel_moments(field.join(train, "dataset", "left_semi")))
@@ -96,10 +115,9 @@ def stats_violations(stats: DataFrame) -> DataFrame:
                     rule(bad_number("mean"), "mean not finite"),
                     rule(bad_number("std") | ~(F.col("std") > 0), "std not finite and > 0"),
                     rule(~(F.col("n_samples") > 0), "n_samples not > 0"),
-                    rule(F.size("source_datasets") == 0, "no source datasets"),
+                    rule(F.col("n_sources") == 0, "no source datasets"),
                     rule(
-                        F.size(F.array_distinct("source_datasets")) != F.size("source_datasets"),
-                        "duplicate source datasets",
+                        F.col("n_distinct_sources") != F.col("n_sources"), "duplicate source datasets"
                     ),
                 )
             )
@@ -125,9 +143,8 @@ def effective_std(stats: DataFrame, mode: str) -> DataFrame:
     return stats.join(F.broadcast(rms))
 
 
-def compatibility_violations(stats: DataFrame, roles: DataFrame) -> DataFrame:
-    """Why statistics don't fit a setup: test data used, sources differ from the train set."""
-    sources = stats.select(F.explode("source_datasets").alias("dataset")).distinct()
+def compatibility_violations(sources: DataFrame, roles: DataFrame) -> DataFrame:
+    """Why statistics of `sources` don't fit a setup: test data used, or not the train set."""
     tested = sources.join(roles.filter("role = 'test'"), "dataset").select(
         "dataset", F.lit("test dataset in sources").alias("reason")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridtide.operators.evaluate import member_median, skill_horizon
+from gridtide.operators.evaluate import median_of
 
 # Fixed value: the share of members that must pass every absolute check.
 MIN_MEMBER_FRACTION = 0.8
@@ -54,22 +54,24 @@ def selection_scores(curves: DataFrame, stable: DataFrame, threshold: float, tie
     `curves` has the CRPS per lead, `stable` one row per member.
     """
     key = ["model", "dataset"]
-    lengths = curves.groupBy(*key).agg(F.max("lead").alias("forecast_steps"))
-    horizon = skill_horizon(curves, key, "crps", threshold)
-    at = curves.join(lengths, key).filter(
-        F.col("lead") == F.least(F.lit(tie_break_lead), F.col("forecast_steps"))
-    ).select(*key, F.col("crps").alias("tie_break_crps"))
+    above = F.min(F.when(~(F.col("crps") <= threshold), F.col("lead")))
+    curve = curves.groupBy(*key).agg(
+        F.max("lead").alias("forecast_steps"),
+        F.coalesce(above - 1, F.max("lead")).cast("int").alias("skill_horizon"),
+        # The tie-break lead, or the last one of a shorter forecast.
+        F.max_by("crps", F.when(F.col("lead") <= tie_break_lead, F.col("lead"))).alias("tie_break_crps"),
+    )
     # greatest ranks NaN highest, so a member with one NaN ratio has a NaN peak.
     members = stable.withColumn("peak", F.greatest("energy_peak_ratio", "enstrophy_peak_ratio"))
-    medians = None
-    for column in ("stable_steps", "energy_peak_ratio", "enstrophy_peak_ratio", "peak"):
-        one = member_median(members, key, column)
-        medians = one if medians is None else medians.join(one, key)
-    counts = members.groupBy(*key).agg(
+    medians = members.groupBy(*key).agg(
+        *[
+            median_of(F.collect_list(c)).alias(c)
+            for c in ("stable_steps", "energy_peak_ratio", "enstrophy_peak_ratio", "peak")
+        ],
         F.count("*").cast("double").alias("members"),
         F.count_if(F.col("stable_steps") >= F.col("forecast_steps")).cast("double").alias("stable_members"),
     )
-    table = lengths.join(horizon, key).join(at, key).join(medians, key).join(counts, key)
+    table = curve.join(medians, key)
     score = selection_score(
         F.col("skill_horizon"), F.col("tie_break_crps"), F.col("stable_steps"), F.col("forecast_steps"), F.col("peak")
     )

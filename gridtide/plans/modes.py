@@ -186,16 +186,6 @@ def _(spark, sf):
     return rounded(forecast.persistence(src.field(spark, sf), CONTEXT, 30), "u_x", "u_y")
 
 
-def train_field(spark, sf):
-    train = src.roles(spark, sf).filter("role = 'train'").select("dataset")
-    return src.field(spark, sf).join(train, "dataset", "left_semi")
-
-
-def train_catalog(spark, sf):
-    train = src.roles(spark, sf).filter("role = 'train'").select("dataset")
-    return src.catalog(spark, sf).join(train, "dataset", "left_semi")
-
-
 @query(
     "mean_field_forecast",
     "H2",
@@ -204,7 +194,8 @@ def train_catalog(spark, sf):
               WHERE role = 'train' GROUP BY 1, 2), catalog c, range(1, 11) AS l(i)""",
 )
 def _(spark, sf):
-    run = forecast.mean_forecast(train_field(spark, sf), src.catalog(spark, sf), 10)
+    data = src.Tables(spark, sf)
+    run = forecast.mean_forecast(data.train_field, data.catalog, 10)
     return rounded(run, "u_x", "u_y")
 
 
@@ -230,27 +221,29 @@ def _(spark, sf):
     )
 
 
-def dmd_model(spark, sf, delays):
+def dmd_model(data, delays):
     return forecast.fit_delay_dmd(
-        train_field(spark, sf), train_catalog(spark, sf), src.NX, src.NY, spatial_rank=RANK, rank=RANK, delays=delays
+        data.train_field, data.train_catalog, src.NX, src.NY, spatial_rank=RANK, rank=RANK, delays=delays
     )
 
 
 @query("dmd_forecast", "H3 H4")
 def _(spark, sf):
-    run = forecast.predict(dmd_model(spark, sf, 1), src.field(spark, sf), CONTEXT, 20)
+    data = src.Tables(spark, sf, stored=True)
+    run = forecast.predict(dmd_model(data, 1), data.field, CONTEXT, 20)
     return rounded(run, "u_x", "u_y")
 
 
 @query("delay_dmd_forecast", "H5")
 def _(spark, sf):
-    run = forecast.predict(dmd_model(spark, sf, 3), src.field(spark, sf), CONTEXT, 20)
+    data = src.Tables(spark, sf, stored=True)
+    run = forecast.predict(dmd_model(data, 3), data.field, CONTEXT, 20)
     return rounded(run, "u_x", "u_y")
 
 
 @query("delay_dmd_info", "H5 H3")
 def _(spark, sf):
-    return rounded(dmd_model(spark, sf, 3).info, "value")
+    return rounded(dmd_model(src.Tables(spark, sf, stored=True), 3).info, "value")
 
 
 FULL = 2 * src.NX * src.NY
@@ -263,9 +256,9 @@ FULL = 2 * src.NX * src.NY
 )
 def _(spark, sf):
     # At full rank the projection is the identity.
-    field = src.field(spark, sf)
-    codec = forecast.fit_codec(field, src.catalog(spark, sf), src.NX, src.NY, FULL)
-    back = forecast.decode(forecast.encode(field, codec.basis), codec.basis, ["dataset"], "t")
+    data = src.Tables(spark, sf, stored=True)
+    codec = forecast.fit_codec(data.field, data.catalog, src.NX, src.NY, FULL)
+    back = forecast.decode(forecast.encode(data.field, codec.basis), codec.basis, ["dataset"], "t")
     return rounded(back, "u_x", "u_y", digits=5)
 
 
@@ -313,15 +306,15 @@ def _(spark, sf):
 
 @query("latent_pipeline", "H9 H6 H7")
 def _(spark, sf):
-    train = train_field(spark, sf)
-    codec = forecast.fit_codec(train, train_catalog(spark, sf), src.NX, src.NY, RANK)
-    model = forecast.fit_latent_var(codec, train, window=2, ridge=1e-3)
-    return rounded(forecast.predict(model, src.field(spark, sf), CONTEXT, 20), "u_x", "u_y")
+    data = src.Tables(spark, sf, stored=True)
+    codec = forecast.fit_codec(data.train_field, data.train_catalog, src.NX, src.NY, RANK)
+    model = forecast.fit_latent_var(codec, data.train_field, window=2, ridge=1e-3)
+    return rounded(forecast.predict(model, data.field, CONTEXT, 20), "u_x", "u_y")
 
 
 @query("model_store", "H10")
 def _(spark, sf):
-    model = dmd_model(spark, sf, 2)
+    model = dmd_model(src.Tables(spark, sf, stored=True), 2)
     path = work_path(spark, "model")
     forecast.save_model(model, path, "delay dmd")
     loaded = forecast.load_model(spark, path)
@@ -339,12 +332,12 @@ def _(spark, sf):
 )
 def _(spark, sf):
     # Block by block against the single forecast: no difference.
-    model = dmd_model(spark, sf, 3)
-    field = src.field(spark, sf)
-    whole = forecast.predict(model, field, CONTEXT, 20).select(
+    data = src.Tables(spark, sf, stored=True)
+    model = dmd_model(data, 3)
+    whole = forecast.predict(model, data.field, CONTEXT, 20).select(
         "dataset", "lead", "x", "y", F.col("u_x").alias("w_x"), F.col("u_y").alias("w_y")
     )
-    cut = forecast.predict(model, field, CONTEXT, 20, 7)
+    cut = forecast.predict(model, data.field, CONTEXT, 20, 7)
     apart = F.greatest(F.abs(F.col("u_x") - F.col("w_x")), F.abs(F.col("u_y") - F.col("w_y")))
     return cut.join(whole, ["dataset", "lead", "x", "y"]).groupBy("dataset", "lead", "block").agg(
         F.count("*").alias("cells"), (r(F.max(apart)) + 0.0).alias("difference")

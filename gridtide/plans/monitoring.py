@@ -310,8 +310,9 @@ def _(spark, sf):
         USING (dataset) GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    blocks = evaluate.quantity_blocks(pred_physics(spark, sf), ["dataset", "member"], BLOCK)
-    tops = evaluate.quantity_blocks(true_physics(spark, sf), ["dataset"], BLOCK).groupBy("dataset", "quantity").agg(
+    data = src.Tables(spark, sf)
+    blocks = evaluate.quantity_blocks(pred_physics(data), ["dataset", "member"], BLOCK)
+    tops = evaluate.quantity_blocks(true_physics(data), ["dataset"], BLOCK).groupBy("dataset", "quantity").agg(
         F.max("value").alias("top")
     )
     return rounded(monitor.block_monitor(blocks, tops, BLOCK, 1.02), "energy_peak_ratio", "enstrophy_peak_ratio")

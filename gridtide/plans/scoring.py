@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from gridtide.operators import evaluate, forecast, moments, selection, windows
 from gridtide.plans.common import R, add_view, r, rounded
-from gridtide.plans.fields import train_stats
-from gridtide.plans.modes import CONTEXT, RANK, dmd_model, train_catalog, train_field
+from gridtide.plans.modes import CONTEXT, RANK, dmd_model
 from gridtide.plans.registry import query
 from gridtide.plans.temporal import sql_lines, sql_peak, sql_welch
 from gridtide.session import materialize
@@ -22,46 +21,48 @@ LEADS = (1, 10, 40, 100)
 MODEL = "seasonal"
 
 
-def truth(spark, sf):
-    return windows.split_context(src.field(spark, sf), CONTEXT)[1]
+def truth(data):
+    return windows.split_context(data.field, CONTEXT)[1]
 
 
-def ensemble(spark, sf, n_steps: int | None = None):
+def ensemble(data, n_steps: int | None = None):
     """The seasonal ensemble over the scored steps, or over `n_steps` (a rollout)."""
     last = F.col("n_steps") - CONTEXT if n_steps is None else F.lit(n_steps)
     plan = (
-        src.catalog(spark, sf)
+        data.catalog
         .select("dataset", F.explode(F.sequence(F.lit(1), last)).alias("lead"))
         .withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(MEMBERS - 1))))
         .withColumn("t", F.lit(CONTEXT - YEAR) - F.col("member") + F.pmod(F.col("lead") - 1, F.lit(YEAR)))
     )
-    frames = src.field(spark, sf).filter(F.col("t") < CONTEXT)
+    frames = data.field.filter(F.col("t") < CONTEXT)
     return plan.join(frames, ["dataset", "t"]).select(
         F.lit(MODEL).alias("model"), "dataset", "member", "lead", "x", "y", "u_x", "u_y"
     )
 
 
-def scales(spark, sf):
-    s = moments.effective_std(train_stats(spark, sf), "per_channel")
+def scales(data):
+    s = moments.effective_std(
+        moments.pooled_stats(moments.channel_moments(data.train_field)), "per_channel"
+    )
     pick = lambda c: F.max(F.when(F.col("channel") == c, F.col("effective_std"))).alias(f"s_{c}")
     return s.agg(pick("u_x"), pick("u_y"))
 
 
-def aligned(spark, sf):
-    return evaluate.align(ensemble(spark, sf), truth(spark, sf), scales(spark, sf))
+def aligned(data):
+    return evaluate.align(ensemble(data), truth(data), scales(data))
 
 
 # Physics of both sides once per query: the frames' tables are small, the frames are not.
-def pred_physics(spark, sf):
-    return evaluate.physics(ensemble(spark, sf), src.grid(spark, sf), "model", "member")
+def pred_physics(data):
+    return evaluate.physics(ensemble(data), data.grid, "model", "member")
 
 
-def true_physics(spark, sf):
-    return evaluate.physics(truth(spark, sf), src.grid(spark, sf))
+def true_physics(data):
+    return evaluate.physics(truth(data), data.grid)
 
 
-def member_stability(spark, sf, max_ratio=MAX_RATIO):
-    return evaluate.stability(pred_physics(spark, sf), true_physics(spark, sf), BLOCK, max_ratio)
+def member_stability(data, max_ratio=MAX_RATIO):
+    return evaluate.stability(pred_physics(data), true_physics(data), BLOCK, max_ratio)
 
 
 add_view("truth", f"SELECT dataset, CAST(t - {CONTEXT} + 1 AS INTEGER) AS lead, x, y, u_x, u_y FROM field WHERE t >= {CONTEXT}")
@@ -108,7 +109,8 @@ add_view(
     f"""SELECT dataset, member, lead, count(*) AS cells, {R('sum(p_x - q_x)')} AS bias FROM pairs GROUP BY 1, 2, 3""",
 )
 def _(spark, sf):
-    return aligned(spark, sf).groupBy("dataset", "member", "lead").agg(
+    data = src.Tables(spark, sf)
+    return aligned(data).groupBy("dataset", "member", "lead").agg(
         F.count("*").alias("cells"), r(F.sum(F.col("p_x") - F.col("q_x"))).alias("bias")
     )
 
@@ -120,14 +122,16 @@ def _(spark, sf):
        FROM catalog, range(4) AS m(m)""",
 )
 def _(spark, sf):
+    data = src.Tables(spark, sf)
     # A forecast cut to 50 leads lacks the rest of the truth's cells.
-    short = ensemble(spark, sf, 50)
-    return evaluate.shape_violations(short, truth(spark, sf)).drop("model")
+    short = ensemble(data, 50)
+    return evaluate.shape_violations(short, truth(data)).drop("model")
 
 
 @query("rmse_per_lead", "I2", f"SELECT dataset, member, lead, {R('rmse')} AS rmse FROM rmse_curve")
 def _(spark, sf):
-    return rounded(evaluate.rmse_per_lead(aligned(spark, sf)).drop("model"), "rmse")
+    data = src.Tables(spark, sf)
+    return rounded(evaluate.rmse_per_lead(aligned(data)).drop("model"), "rmse")
 
 
 CURVES = ("crps", "spread", "mean_rmse", "spread_skill")
@@ -139,7 +143,8 @@ CURVES = ("crps", "spread", "mean_rmse", "spread_skill")
     f"SELECT dataset, lead, size, {', '.join(f'{R(c)} AS {c}' for c in CURVES)} FROM curves",
 )
 def _(spark, sf):
-    return rounded(evaluate.ensemble_scores(aligned(spark, sf)).drop("model"), *CURVES)
+    data = src.Tables(spark, sf)
+    return rounded(evaluate.ensemble_scores(aligned(data)).drop("model"), *CURVES)
 
 
 @query(
@@ -149,7 +154,8 @@ def _(spark, sf):
         FROM rmse_curve GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    curve = evaluate.rmse_per_lead(aligned(spark, sf))
+    data = src.Tables(spark, sf)
+    curve = evaluate.rmse_per_lead(aligned(data))
     return rounded(evaluate.member_median(curve, ["dataset", "lead"], "rmse"), "rmse")
 
 
@@ -160,7 +166,8 @@ def _(spark, sf):
         FROM curves GROUP BY 1""",
 )
 def _(spark, sf):
-    curve = evaluate.ensemble_scores(aligned(spark, sf))
+    data = src.Tables(spark, sf)
+    curve = evaluate.ensemble_scores(aligned(data))
     return evaluate.skill_horizon(curve, ["dataset"], "crps", THRESHOLD)
 
 
@@ -173,7 +180,8 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    curve = evaluate.ensemble_scores(aligned(spark, sf))
+    data = src.Tables(spark, sf)
+    curve = evaluate.ensemble_scores(aligned(data))
     parts = [
         evaluate.report_leads(curve, ["dataset"], c, p, LEADS)
         for c, p in (("crps", "crps"), ("spread_skill", "spread_skill"), ("mean_rmse", "rmse"))
@@ -213,7 +221,8 @@ for axis in ("x", "y"):
     f"""SELECT dataset, CAST(lead AS INTEGER) AS lead, {', '.join(f'{R(q)} AS {q}' for q in QUANTITIES)} FROM true_phys""",
 )
 def _(spark, sf):
-    return rounded(true_physics(spark, sf), *QUANTITIES)
+    data = src.Tables(spark, sf)
+    return rounded(true_physics(data), *QUANTITIES)
 
 
 @query(
@@ -224,7 +233,8 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    s = evaluate.line_spectra(ensemble(spark, sf), src.grid(spark, sf), "model", "member")
+    data = src.Tables(spark, sf)
+    s = evaluate.line_spectra(ensemble(data), data.grid, "model", "member")
     return rounded(s.drop("model", "omega"), "power")
 
 
@@ -286,26 +296,29 @@ LONG = "SELECT dataset, member, metric, {v} AS value FROM {t}"
     " UNION ALL ".join(LONG.format(v=R("value"), t=t) for t in ("physics_long", "spectrum_long")),
 )
 def _(spark, sf):
-    scores = evaluate.physics_scores(pred_physics(spark, sf), true_physics(spark, sf))
-    grid = src.grid(spark, sf)
+    data = src.Tables(spark, sf, stored=True)
+    scores = evaluate.physics_scores(pred_physics(data), true_physics(data))
+    grid = data.grid
     spectra = evaluate.spectrum_scores(
-        evaluate.line_spectra(ensemble(spark, sf), grid, "model", "member"),
-        evaluate.line_spectra(truth(spark, sf), grid),
+        evaluate.line_spectra(ensemble(data), grid, "model", "member"),
+        evaluate.line_spectra(truth(data), grid),
     )
     return rounded(scores.unionByName(spectra).drop("model"), "value")
 
 
 @query("temporal_scores", "I10 I9", LONG.format(v=R("value"), t="temporal_long"))
 def _(spark, sf):
-    p = evaluate.mean_velocity(pred_physics(spark, sf), "model", "member")
-    q = evaluate.mean_velocity(true_physics(spark, sf))
+    data = src.Tables(spark, sf, stored=True)
+    p = evaluate.mean_velocity(materialize(pred_physics(data), "physics"), "model", "member")
+    q = evaluate.mean_velocity(materialize(true_physics(data), "physics"))
     return rounded(evaluate.temporal_scores(p, q, NPERSEG).drop("model"), "value")
 
 
 @query("mean_drift", "I11", LONG.format(v=R("value"), t="drift_long"))
 def _(spark, sf):
-    p = evaluate.mean_velocity(pred_physics(spark, sf), "model", "member")
-    q = evaluate.mean_velocity(true_physics(spark, sf))
+    data = src.Tables(spark, sf)
+    p = evaluate.mean_velocity(pred_physics(data), "model", "member")
+    q = evaluate.mean_velocity(true_physics(data))
     return rounded(evaluate.drift_scores(p, q).drop("model"), "value")
 
 
@@ -331,7 +344,8 @@ STABLE = f"dataset, member, forecast_steps, stable_steps, {R('energy_peak_ratio'
 
 @query("stability", "I12 E7", f"SELECT {STABLE} FROM member_stability")
 def _(spark, sf):
-    return rounded(member_stability(spark, sf).drop("model"), "energy_peak_ratio", "enstrophy_peak_ratio")
+    data = src.Tables(spark, sf)
+    return rounded(member_stability(data).drop("model"), "energy_peak_ratio", "enstrophy_peak_ratio")
 
 
 ROLLOUT = 120
@@ -343,36 +357,39 @@ add_view(
 add_view("roll_stability", sql_stability("roll_phys", 0.98))
 
 
-def rollout_stability(spark, sf):
-    pred = evaluate.physics(ensemble(spark, sf, ROLLOUT), src.grid(spark, sf), "model", "member")
-    return evaluate.stability(pred, true_physics(spark, sf), BLOCK, 0.98)
+def rollout_stability(data):
+    pred = evaluate.physics(ensemble(data, ROLLOUT), data.grid, "model", "member")
+    return evaluate.stability(pred, true_physics(data), BLOCK, 0.98)
 
 
 @query("rollout_stability", "I13", f"SELECT {STABLE} FROM roll_stability")
 def _(spark, sf):
-    return rounded(rollout_stability(spark, sf).drop("model"), "energy_peak_ratio", "enstrophy_peak_ratio")
+    data = src.Tables(spark, sf)
+    return rounded(rollout_stability(data).drop("model"), "energy_peak_ratio", "enstrophy_peak_ratio")
 
 
 @query("dmd_rollout_stability", "I13 H11")
 def _(spark, sf):
-    run = forecast.predict(dmd_model(spark, sf, 2), src.field(spark, sf), CONTEXT, 90, 30)
+    data = src.Tables(spark, sf, stored=True)
+    run = forecast.predict(dmd_model(data, 2), data.field, CONTEXT, 90, 30)
     pred = run.select(F.lit("delay_dmd").alias("model"), "dataset", F.lit(0).alias("member"), "lead", "x", "y", "u_x", "u_y")
-    table = evaluate.physics(pred, src.grid(spark, sf), "model", "member")
+    table = evaluate.physics(pred, data.grid, "model", "member")
     return rounded(
-        evaluate.stability(table, true_physics(spark, sf), BLOCK, 2.0), "energy_peak_ratio", "enstrophy_peak_ratio"
+        evaluate.stability(table, true_physics(data), BLOCK, 2.0), "energy_peak_ratio", "enstrophy_peak_ratio"
     )
 
 
 @query("reconstruction_scores", "I14 H6")
 def _(spark, sf):
-    codec = forecast.fit_codec(train_field(spark, sf), train_catalog(spark, sf), src.NX, src.NY, RANK)
-    field, grid = src.field(spark, sf), src.grid(spark, sf)
+    data = src.Tables(spark, sf, stored=True)
+    codec = forecast.fit_codec(data.train_field, data.train_catalog, src.NX, src.NY, RANK)
+    field, grid = data.field, data.grid
     back = forecast.decode(forecast.encode(field, codec.basis), codec.basis, ["dataset"], "t")
     pred = back.select(
         F.lit("pod").alias("model"), "dataset", F.lit(0).alias("member"), (F.col("t") + 1).alias("lead"), "x", "y", "u_x", "u_y"
     )
     true = windows.split_context(field, 0)[1]
-    pooled = evaluate.align(pred, true, scales(spark, sf)).groupBy("model", "dataset", "member").agg(
+    pooled = evaluate.align(pred, true, scales(data)).groupBy("model", "dataset", "member").agg(
         F.sqrt(F.avg((F.pow(F.col("p_x") - F.col("q_x"), 2) + F.pow(F.col("p_y") - F.col("q_y"), 2)) / 2)).alias("value")
     )
     p, q = evaluate.physics(pred, grid, "model", "member"), evaluate.physics(true, grid)
@@ -413,8 +430,9 @@ add_view(
         SELECT dataset, 'all', 'spread_skill_lead_' || lead, {R('spread_skill')} FROM curves WHERE lead IN {LEADS}""",
 )
 def _(spark, sf):
+    data = src.Tables(spark, sf, stored=True)
     table = evaluate.evaluate(
-        ensemble(spark, sf), truth(spark, sf), src.grid(spark, sf), scales(spark, sf),
+        materialize(ensemble(data), "forecast"), truth(data), data.grid, materialize(scales(data), "scales"),
         threshold=THRESHOLD, leads=LEADS, block_steps=BLOCK, max_ratio=MAX_RATIO, nperseg=NPERSEG,
     )
     return rounded(table.drop("model"), "value")
@@ -487,8 +505,9 @@ def _(spark, sf):
               FROM member_stability GROUP BY 1) USING (dataset)""",
 )
 def _(spark, sf):
-    curves = evaluate.ensemble_scores(aligned(spark, sf))
-    table = selection.selection_scores(curves, member_stability(spark, sf), THRESHOLD, 10)
+    data = src.Tables(spark, sf, stored=True)
+    curves = evaluate.ensemble_scores(aligned(data))
+    table = selection.selection_scores(curves, member_stability(data), THRESHOLD, 10)
     return rounded(
         table.drop("model"), "tie_break_crps", "energy_peak_ratio", "enstrophy_peak_ratio", "peak", "selection_score"
     )
@@ -518,7 +537,8 @@ def _(spark, sf):
         FROM member_stability GROUP BY 1""",
 )
 def _(spark, sf):
-    return rounded(evaluate.stable_fraction(member_stability(spark, sf), ["dataset"]), "stable_fraction")
+    data = src.Tables(spark, sf)
+    return rounded(evaluate.stable_fraction(member_stability(data), ["dataset"]), "stable_fraction")
 
 
 # Limits near the data's scores, so some pass and some fail. `absent` is a metric nobody reports.
@@ -577,16 +597,17 @@ add_view(
              FROM gate_members g GROUP BY 1)""",
 )
 def _(spark, sf):
+    data = src.Tables(spark, sf, stored=True)
     # One gate per dataset's ensemble. A gate reads stored scores, so they are stored first.
-    grid = src.grid(spark, sf)
-    pred = materialize(pred_physics(spark, sf), "physics")
-    true = materialize(true_physics(spark, sf), "physics")
+    grid = data.grid
+    pred = materialize(pred_physics(data), "physics")
+    true = materialize(true_physics(data), "physics")
     stable = evaluate.stability(pred, true, BLOCK, MAX_RATIO)
     keep = ["dataset", "member", "metric", "value"]
     members = (
         evaluate.physics_scores(pred, true).select(keep)
         .unionByName(evaluate.spectrum_scores(
-            evaluate.line_spectra(ensemble(spark, sf), grid, "model", "member"), evaluate.line_spectra(truth(spark, sf), grid)
+            evaluate.line_spectra(ensemble(data), grid, "model", "member"), evaluate.line_spectra(truth(data), grid)
         ).select(keep))
         .unionByName(evaluate.drift_scores(
             evaluate.mean_velocity(pred, "model", "member"), evaluate.mean_velocity(true)
@@ -600,7 +621,7 @@ def _(spark, sf):
         F.col("dataset").alias("model"), F.lit("stable_fraction").alias("metric"), F.col("stable_fraction").alias("value")
     )
     rollouts = materialize(
-        rollout_stability(spark, sf).select(F.col("dataset").alias("model"), "member", "stable_steps"), "rollouts"
+        rollout_stability(data).select(F.col("dataset").alias("model"), "member", "stable_steps"), "rollouts"
     )
     return selection.gate(medians.unionByName(share), members, rollouts, limits(spark), 40, ROLLOUT)
 
@@ -615,9 +636,10 @@ def _(spark, sf):
         USING (dataset)""",
 )
 def _(spark, sf):
-    both = ensemble(spark, sf)
+    data = src.Tables(spark, sf)
+    both = ensemble(data)
     a, b = both.filter("member = 0"), both.filter("member = 1")
-    return rounded(evaluate.parity(a, b, truth(spark, sf), 4.5), "difference")
+    return rounded(evaluate.parity(a, b, truth(data), 4.5), "difference")
 
 
 @query(

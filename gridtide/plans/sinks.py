@@ -10,7 +10,7 @@ from gridtide.operators import autocorr, derive, evaluate, stats
 from gridtide.plans.common import R, r, rounded
 from gridtide.plans.registry import query
 from gridtide.plans.scoring import NPERSEG, pred_physics, true_physics
-from gridtide.session import work_path
+from gridtide.session import materialize, work_path
 from gridtide.sources import adapters as src
 from gridtide.sources import store
 
@@ -54,7 +54,8 @@ CHECKS = {
 
 
 def write_checks(spark, sf, path):
-    field, grid, catalog = src.field(spark, sf), src.grid(spark, sf), src.catalog(spark, sf)
+    data = src.Tables(spark, sf, stored=True)
+    field, grid, catalog = data.field, data.grid, data.catalog
     store.write_summaries(catalog, "split", path)
     store.write_summaries(derive.vorticity_report(field, grid), "vorticity", path)
     store.write_summaries(derive.divergence_report(field, grid), "divergence", path)
@@ -104,8 +105,9 @@ def _(spark, sf):
 
 
 def temporal_long(spark, sf):
-    p = evaluate.mean_velocity(pred_physics(spark, sf), "model", "member")
-    q = evaluate.mean_velocity(true_physics(spark, sf))
+    data = src.Tables(spark, sf)
+    p = evaluate.mean_velocity(materialize(pred_physics(data), "physics"), "model", "member")
+    q = evaluate.mean_velocity(materialize(true_physics(data), "physics"))
     return evaluate.temporal_scores(p, q, NPERSEG).drop("model")
 
 

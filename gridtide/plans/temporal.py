@@ -176,19 +176,19 @@ def series_welch(spark, sf):
 @query(
     "periodogram",
     "F1",
-    f"SELECT dataset, name, k, {R('omega')} AS omega, {R('power')} AS power FROM series_pg",
+    f"SELECT dataset, name, k, {R('omega')} AS omega, {R('power', 3)} AS power FROM series_pg",
 )
 def _(spark, sf):
-    return rounded(series_periodogram(spark, sf), "omega", "power")
+    return rounded(rounded(series_periodogram(spark, sf), "omega"), "power", digits=3)
 
 
 @query(
     "welch_spectrum",
     "F2",
-    f"SELECT dataset, name, k, {R('omega')} AS omega, {R('power')} AS power FROM series_welch",
+    f"SELECT dataset, name, k, {R('omega')} AS omega, {R('power', 3)} AS power FROM series_welch",
 )
 def _(spark, sf):
-    return rounded(series_welch(spark, sf), "omega", "power")
+    return rounded(rounded(series_welch(spark, sf), "omega"), "power", digits=3)
 
 
 @query(

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridtide.session import materialize
+
 # Fixed values of the adapter (the axes' sizes follow from the two-digit discount and tax).
 NX, NY = 11, 9
 LX, LY = 25.0, 2.0
@@ -46,6 +50,8 @@ def field(spark: SparkSession, sf_dir: str) -> DataFrame:
         cells.groupBy("dataset")
         .agg(F.max("t").alias("last"))
         .select("dataset", F.explode(F.expr("sequence(0, last)")).alias("t"))
+        # A few rows per dataset become whole frames: spread them before they grow.
+        .repartition("dataset", "t")
         .withColumn("x", F.explode(F.expr(f"sequence(0, {NX - 1})")))
         .withColumn("y", F.explode(F.expr(f"sequence(0, {NY - 1})")))
     )
@@ -78,9 +84,13 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third dataset of four validates, every fourth tests, the others train."""
+    return with_roles(catalog(spark, sf_dir))
+
+
+def with_roles(names: DataFrame) -> DataFrame:
+    """Of four datasets the third validates, the fourth tests, the others train."""
     index = F.substring("dataset", 2, 6).cast("int") % 4
-    return catalog(spark, sf_dir).select(
+    return names.select(
         "dataset",
         F.when(index == 3, "test").when(index == 2, "val").otherwise("train").alias("role"),
     )
@@ -121,3 +131,48 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vec_id").cast("int").alias("t"),
         F.transform("embedding", lambda v: v.cast("double")).alias("vec"),
     )
+
+
+class Tables:
+    """The views of one folder. A job that reads the field many times sets `stored`: the field is
+    then written once to the shared folder, as a field table at rest would be, and read from there."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, stored: bool = False) -> None:
+        self.spark, self.sf_dir, self.stored = spark, sf_dir, stored
+
+    def _kept(self, view: DataFrame, label: str) -> DataFrame:
+        return materialize(view, label) if self.stored else view
+
+    @cached_property
+    def field(self) -> DataFrame:
+        return self._kept(field(self.spark, self.sf_dir), "field")
+
+    @cached_property
+    def catalog(self) -> DataFrame:
+        return self._kept(catalog(self.spark, self.sf_dir), "catalog")
+
+    @cached_property
+    def grid(self) -> DataFrame:
+        return self.catalog.select(
+            "dataset",
+            F.lit(NX).alias("nx"),
+            F.lit(NY).alias("ny"),
+            F.lit(LX / (NX - 1)).alias("dx"),
+            F.lit(LY / (NY - 1)).alias("dy"),
+        )
+
+    @cached_property
+    def roles(self) -> DataFrame:
+        return with_roles(self.catalog)
+
+    @cached_property
+    def train(self) -> DataFrame:
+        return self.roles.filter("role = 'train'").select("dataset")
+
+    @cached_property
+    def train_field(self) -> DataFrame:
+        return self.field.join(self.train, "dataset", "left_semi")
+
+    @cached_property
+    def train_catalog(self) -> DataFrame:
+        return self.catalog.join(self.train, "dataset", "left_semi")

@@ -128,18 +128,22 @@ def read_steps(spark: SparkSession, path: str, start: int, end: int, chunk_t: in
 # --- summaries and comparison -------------------------------------------------------------------
 
 
-def write_summaries(report: DataFrame, script: str, path: str) -> None:
-    """One JSON record per dataset below (script, dataset): {"dataset", "script", ...columns}."""
+def write_summaries(report: DataFrame, script: str, path: str, run: int = 0) -> None:
+    """One JSON record per dataset below (script, run): {"dataset", "script", ...columns}.
+
+    A later run of some datasets is added under its own number; repeating a run replaces it.
+    """
     body = [c for c in report.columns if c != "dataset"]
     rows = report.select(
-        "dataset", F.lit(script).alias("script"),
-        F.to_json(F.struct("dataset", F.lit(script).alias("script"), *body)).alias("value"),
+        "dataset", F.to_json(F.struct("dataset", F.lit(script).alias("script"), *body)).alias("value")
     )
-    rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("script", "dataset").text(path)
+    rows.write.mode("overwrite").json(f"{path}/script={script}/run={run}")
 
 
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("value string, script string, dataset string").text(path)
+    """(dataset, script, value): the newest run's record of every dataset and check."""
+    records = spark.read.schema("dataset string, value string, script string, run int").json(path)
+    return records.groupBy("dataset", "script").agg(F.max_by("value", "run").alias("value"))
 
 
 def summary_value(script: str, field: str, digits: int) -> Column:

@@ -229,16 +229,22 @@ def drift_alerts(drift: DataFrame, length: str = "1 hour", slide: str = PANE) ->
 def absence_gaps(samples: DataFrame, source: str, limit_seconds: int = ABSENT_SECONDS) -> DataFrame:
     """(source, last_ts, next_ts, gap): silences longer than the limit in a finished table.
 
-    Neighbours are found inside hours; the hours' first and last samples close the gaps between.
+    Only the first and last sample of a second can bound a silence, so seconds are reduced first;
+    neighbours are found inside days, and the days' ends close the gaps between.
     """
-    moments = samples.select(F.col(source).alias("source"), F.unix_micros("ts").alias("us")).distinct().withColumn(
-        "hour", F.floor(F.col("us") / 3_600_000_000)
-    )
-    inside = Window.partitionBy("source", "hour").orderBy("us")
-    hours = moments.groupBy("source", "hour").agg(F.min("us").alias("us"), F.max("us").alias("end"))
-    between = Window.partitionBy("source").orderBy("hour")
-    gaps = moments.select("source", F.lag("us").over(inside).alias("last_us"), F.col("us").alias("next_us")).unionByName(
-        hours.select("source", F.lag("end").over(between).alias("last_us"), F.col("us").alias("next_us"))
+    if limit_seconds < 1:
+        raise ValueError(f"limit_seconds must be >= 1, got {limit_seconds}")
+    us = F.unix_micros("ts")
+    seconds = samples.groupBy(F.col(source).alias("source"), F.floor(us / 1_000_000).alias("second")).agg(
+        F.min(us).alias("first"), F.max(us).alias("last")
+    ).withColumn("day", F.floor(F.col("second") / 86400))
+    inside = Window.partitionBy("source", "day").orderBy("second")
+    days = seconds.groupBy("source", "day").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    between = Window.partitionBy("source").orderBy("day")
+    gaps = seconds.select(
+        "source", F.lag("last").over(inside).alias("last_us"), F.col("first").alias("next_us")
+    ).unionByName(
+        days.select("source", F.lag("last").over(between).alias("last_us"), F.col("first").alias("next_us"))
     )
     gap = (F.col("next_us") - F.col("last_us")) / 1e6
     return gaps.select("source", "last_us", "next_us", gap.alias("gap")).filter(F.col("gap") > limit_seconds)

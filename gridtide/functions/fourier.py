@@ -16,23 +16,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from gridtide.functions.batches import map_stacks
+
 DIRECT_LIMIT = 1 << 18
 # Spelled as types: a DDL string needs a running session, which a worker has not.
 ARRAYS = T.StructType([T.StructField(part, T.ArrayType(T.DoubleType())) for part in ("re", "im")])
 
 
+def _turned(batches: Iterator[tuple[pd.Series, pd.Series]], transform) -> Iterator[pd.DataFrame]:
+    for re, im in batches:
+        out = pd.DataFrame(index=re.index, columns=["re", "im"], dtype=object)
+        whole = pd.Series([np.asarray(a) + 1j * np.asarray(b) for a, b in zip(re, im)], index=re.index)
+        z = map_stacks(whole, lambda rows: transform(rows, axis=1))
+        out["re"], out["im"] = z.map(np.real), z.map(np.imag)
+        yield out
+
+
 @pandas_udf(ARRAYS)
 def _fft(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for re, im in batches:
-        out = [np.fft.fft(np.asarray(a) + 1j * np.asarray(b)) for a, b in zip(re, im)]
-        yield pd.DataFrame({"re": [z.real for z in out], "im": [z.imag for z in out]})
+    yield from _turned(batches, np.fft.fft)
 
 
 @pandas_udf(ARRAYS)
 def _ifft(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for re, im in batches:
-        out = [np.fft.ifft(np.asarray(a) + 1j * np.asarray(b)) for a, b in zip(re, im)]
-        yield pd.DataFrame({"re": [z.real for z in out], "im": [z.imag for z in out]})
+    yield from _turned(batches, np.fft.ifft)
 
 
 def _short(rows: DataFrame, keys: list[str], transform) -> DataFrame:

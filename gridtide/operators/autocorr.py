@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridtide.functions.batches import map_stacks, stacks, sums_by_key
 from gridtide.functions.fourier import split_fft
 from gridtide.functions.layout import halo_blocks
 from gridtide.operators.spectra import series_lengths
@@ -21,10 +22,16 @@ ONE_OVER_E = 1 / np.e
 SMALL = 0.05
 
 
-def _lag_sums(values: np.ndarray, core: int, max_lag: int) -> np.ndarray:
-    """Sum over the first `core` positions of v[t] v[t + lag], lags 0..max_lag, v 0 past its end."""
-    padded = np.concatenate([values, np.zeros(max(core + max_lag - len(values), 0))])
-    return np.correlate(padded[: core + max_lag], values[:core], "valid")
+def _lag_sums(rows: np.ndarray, core: int, max_lag: int) -> np.ndarray:
+    """Per row, sums over the first `core` positions of v[t] v[t + lag], v 0 past its end."""
+    n = rows.shape[1]
+    size = 1 << int(np.ceil(np.log2(n + core)))
+    product = np.conj(np.fft.rfft(rows[:, :core], size, axis=1)) * np.fft.rfft(rows, size, axis=1)
+    sums = np.fft.irfft(product, size, axis=1)
+    if max_lag >= sums.shape[1]:
+        sums = np.pad(sums, ((0, 0), (0, max_lag + 1 - sums.shape[1])))
+    sums[:, n:] = 0.0  # no overlap is left
+    return sums[:, : max_lag + 1]
 
 
 def field_autocorrelation(field: DataFrame, max_lag: int = MAX_FIELD_LAG, block: int = BLOCK) -> DataFrame:
@@ -46,18 +53,16 @@ def field_autocorrelation(field: DataFrame, max_lag: int = MAX_FIELD_LAG, block:
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for dataset, part in batch.groupby("dataset", sort=False):
+            for core in batch["core"].unique():
+                part = batch[batch["core"] == core]
                 for channel in ("u_x", "u_y"):
-                    total = sum(
-                        _lag_sums(np.asarray(v), c, max_lag)
-                        for v, c in zip(part[channel], part["core"])
-                    )
-                    yield pd.DataFrame({
-                        "dataset": dataset, "channel": channel, "lag": np.arange(max_lag + 1), "s": total,
-                    })
+                    for at, rows in stacks(part[channel]):
+                        found, _, total = sums_by_key(part[["dataset"]].iloc[at], _lag_sums(rows, core, max_lag))
+                        yield found.assign(channel=channel, s=list(total))
 
     total = (
-        lines.mapInPandas(sums, "dataset string, channel string, lag int, s double")
+        lines.mapInPandas(sums, "dataset string, channel string, s array<double>")
+        .select("dataset", "channel", F.posexplode("s").alias("lag", "s"))
         .groupBy("dataset", "channel", "lag")
         .agg(F.sum("s").alias("s"))
     )
@@ -95,7 +100,7 @@ def series_autocorrelation(
 
     @F.pandas_udf("array<double>")
     def lags(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: _lag_sums(np.asarray(v), len(v), len(v) // 3))
+        return map_stacks(values, lambda rows: _lag_sums(rows, rows.shape[1], rows.shape[1] // 3))
 
     sums = packed.select(*keys, "n_steps", F.posexplode(lags("v")).alias("lag", "s"))
     if longest > limit:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from gridtide.functions.batches import map_stacks, stacks, sums_by_key
 from gridtide.functions.fourier import DIRECT_LIMIT, dft
 from gridtide.functions.layout import channels, core_rows, halo_blocks, halo_window
 from gridtide.operators.stats import fluctuation
@@ -51,13 +52,7 @@ def _half_power(rows: np.ndarray, spacing: float) -> np.ndarray:
 @pandas_udf(T.ArrayType(T.DoubleType()))
 def _segment_power(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
-        sizes = batch.map(len)
-        out = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-        for _, same in batch.groupby(sizes):
-            power = _half_power(np.stack(same.to_list()), 1.0)
-            for at, row in zip(same.index, power):
-                out[at] = row
-        yield out
+        yield map_stacks(batch, lambda rows: _half_power(rows, 1.0))
 
 
 def series_lengths(series: DataFrame, keys: list[str]) -> DataFrame:
@@ -219,20 +214,20 @@ def line_spectrum(
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, part in batch.groupby(names, sort=False):
-                for channel in ("u_x", "u_y"):
-                    power = _half_power(np.stack(part[channel].to_list()), 1.0).sum(axis=0)
-                    out = pd.DataFrame({"channel": channel, "k": np.arange(len(power)), "s": power})
-                    for name, value in zip(names, key if isinstance(key, tuple) else (key,)):
-                        out[name] = value
-                    yield out.assign(lines=len(part))
+            for channel in ("u_x", "u_y"):
+                for at, rows in stacks(batch[channel]):
+                    found, counts, power = sums_by_key(batch[names].iloc[at], _half_power(rows, 1.0))
+                    yield found.assign(channel=channel, s=list(power), lines=counts)
 
     types = dict(field.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in names) + ", channel string, k int, s double, lines long"
+    schema = ", ".join(f"{k} {types[k]}" for k in names) + ", channel string, s array<double>, lines long"
     spacing = F.col("dx") if axis == "x" else F.col("dy")
     n_other = F.col("ny") if axis == "x" else F.col("nx")
-    total = lines.mapInPandas(sums, schema).groupBy(*names, "channel", "k").agg(
-        F.sum("s").alias("s"), F.sum("lines").alias("lines")
+    total = (
+        lines.mapInPandas(sums, schema)
+        .select(*names, "channel", "lines", F.posexplode("s").alias("k", "s"))
+        .groupBy(*names, "channel", "k")
+        .agg(F.sum("s").alias("s"), F.sum("lines").alias("lines"))
     )
     per = F.col("lines") if mean else n_other
     n_axis = F.col("nx") if axis == "x" else F.col("ny")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridtide.functions.layout import exact_quantiles
+from gridtide.schema import Grid, with_grid
 
 # Fixed value: guards the ratio of a field without gradients.
 TINY = 1e-12
@@ -32,13 +33,13 @@ def _slope(value: str, window, spacing: str) -> Column:
     return (F.coalesce(ahead, value) - F.coalesce(behind, value)) / (steps * F.col(spacing))
 
 
-def gradients(field: DataFrame, grid: DataFrame, *, extra_keys: tuple[str, ...] = ()) -> DataFrame:
+def gradients(field: DataFrame, grid: Grid | DataFrame, *, extra_keys: tuple[str, ...] = ()) -> DataFrame:
     """Adds dux_dx, duy_dx, dux_dy, duy_dy.
 
     One exchange by frame serves both stencil directions and a following per-frame aggregation.
     """
     keys = [*extra_keys, "dataset", "t"]
-    frames = field.join(grid.select("dataset", "dx", "dy"), "dataset").repartition(*keys)
+    frames = with_grid(field, grid, "dx", "dy").repartition(*keys)
     along_x = Window.partitionBy(*keys, "y").orderBy("x")
     along_y = Window.partitionBy(*keys, "x").orderBy("y")
     return frames.select(
@@ -66,7 +67,7 @@ def energy_density() -> Column:
     return 0.5 * (F.col("u_x") * F.col("u_x") + F.col("u_y") * F.col("u_y"))
 
 
-def select_field(field: DataFrame, grid: DataFrame, name: str) -> DataFrame:
+def select_field(field: DataFrame, grid: Grid | DataFrame, name: str) -> DataFrame:
     """One scalar field by name, column `value`; only vorticity pays for stencils."""
     if name not in FIELDS:
         raise ValueError(f"unknown field {name!r}, expected one of {FIELDS}")
@@ -82,19 +83,19 @@ def kinetic_energy(field: DataFrame, *keys: str) -> DataFrame:
     return field.groupBy(*keys).agg(F.avg(energy_density()).alias("energy"))
 
 
-def enstrophy(field: DataFrame, grid: DataFrame) -> DataFrame:
+def enstrophy(field: DataFrame, grid: Grid | DataFrame) -> DataFrame:
     w = vorticity()
     return gradients(field, grid).groupBy("dataset", "t").agg(F.avg(0.5 * w * w).alias("enstrophy"))
 
 
-def rms_divergence(field: DataFrame, grid: DataFrame) -> DataFrame:
+def rms_divergence(field: DataFrame, grid: Grid | DataFrame) -> DataFrame:
     d = divergence()
     return (
         gradients(field, grid).groupBy("dataset", "t").agg(F.sqrt(F.avg(d * d)).alias("rms_divergence"))
     )
 
 
-def frame_physics(field: DataFrame, grid: DataFrame, *extra_keys: str) -> DataFrame:
+def frame_physics(field: DataFrame, grid: Grid | DataFrame, *extra_keys: str) -> DataFrame:
     """Energy, enstrophy, RMS divergence and channel means per frame, from one exchange."""
     w, d = vorticity(), divergence()
     return (
@@ -110,7 +111,7 @@ def frame_physics(field: DataFrame, grid: DataFrame, *extra_keys: str) -> DataFr
     )
 
 
-def normalized_divergence(field: DataFrame, grid: DataFrame) -> DataFrame:
+def normalized_divergence(field: DataFrame, grid: Grid | DataFrame) -> DataFrame:
     """RMS divergence over the RMS of its two terms, per step."""
     d = divergence()
     scale = F.col("dux_dx") * F.col("dux_dx") + F.col("duy_dy") * F.col("duy_dy")
@@ -127,7 +128,7 @@ def normalized_divergence(field: DataFrame, grid: DataFrame) -> DataFrame:
     )
 
 
-def divergence_report(field: DataFrame, grid: DataFrame) -> DataFrame:
+def divergence_report(field: DataFrame, grid: Grid | DataFrame) -> DataFrame:
     return (
         normalized_divergence(field, grid)
         .groupBy("dataset")
@@ -140,7 +141,7 @@ def divergence_report(field: DataFrame, grid: DataFrame) -> DataFrame:
     )
 
 
-def vorticity_series(field: DataFrame, grid: DataFrame) -> DataFrame:
+def vorticity_series(field: DataFrame, grid: Grid | DataFrame) -> DataFrame:
     w = vorticity()
     return (
         gradients(field, grid)
@@ -149,7 +150,7 @@ def vorticity_series(field: DataFrame, grid: DataFrame) -> DataFrame:
     )
 
 
-def vorticity_report(field: DataFrame, grid: DataFrame) -> DataFrame:
+def vorticity_report(field: DataFrame, grid: Grid | DataFrame) -> DataFrame:
     return (
         vorticity_series(field, grid)
         .groupBy("dataset")
@@ -162,7 +163,7 @@ def vorticity_report(field: DataFrame, grid: DataFrame) -> DataFrame:
     )
 
 
-def value_range(field: DataFrame, grid: DataFrame, name: str, stride: int = 1) -> DataFrame:
+def value_range(field: DataFrame, grid: Grid | DataFrame, name: str, stride: int = 1) -> DataFrame:
     """1st/99th percentile of a field over every `stride`-th frame, and half the span.
 
     Signed fields get a range symmetric about zero.
@@ -200,10 +201,10 @@ def to_cells(lines: DataFrame) -> DataFrame:
     ).select("dataset", "t", "x", "y", F.col("cell.u_x").alias("u_x"), F.col("cell.u_y").alias("u_y"))
 
 
-def line_enstrophy(lines: DataFrame, grid: DataFrame) -> DataFrame:
+def line_enstrophy(lines: DataFrame, grid: Grid | DataFrame) -> DataFrame:
     """Enstrophy per frame on packed lines: the window moves whole lines, never single cells."""
     across = Window.partitionBy("dataset", "t").orderBy("x")
-    near = lines.join(grid.select("dataset", "dx", "dy"), "dataset").select(
+    near = with_grid(lines, grid, "dx", "dy").select(
         "dataset",
         "t",
         "dx",

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridtide.operators import derive, spectra
+from gridtide.schema import Grid
 from gridtide.session import materialize
 
 RUN = ["model", "dataset", "member"]
@@ -140,14 +141,14 @@ def report_leads(curve: DataFrame, keys: list[str], column: str, prefix: str, le
 # --- physics --------------------------------------------------------------------------------------
 
 
-def physics(frames: DataFrame, grid: DataFrame, *extra: str) -> DataFrame:
+def physics(frames: DataFrame, grid: Grid | DataFrame, *extra: str) -> DataFrame:
     """Per-step energy, enstrophy, RMS divergence, mean velocity of frames keyed by lead."""
     return derive.frame_physics(frames.withColumnRenamed("lead", "t"), grid, *extra).withColumnRenamed(
         "t", "lead"
     )
 
 
-def line_spectra(frames: DataFrame, grid: DataFrame, *extra: str) -> DataFrame:
+def line_spectra(frames: DataFrame, grid: Grid | DataFrame, *extra: str) -> DataFrame:
     """(extra, dataset, axis, channel, k, power): time-mean spectra along x and y."""
     field = frames.withColumnRenamed("lead", "t")
     both = [
@@ -301,7 +302,7 @@ def parity(a: DataFrame, b: DataFrame, truth: DataFrame, tolerance: float) -> Da
 def evaluate(
     forecast: DataFrame,
     truth: DataFrame,
-    grid: DataFrame,
+    grid: Grid | DataFrame,
     scales: DataFrame,
     *,
     threshold: float = SKILL_THRESHOLD,

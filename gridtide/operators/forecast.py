@@ -244,7 +244,7 @@ def fit_delay_dmd(
         F.concat("h", "h_after", F.array(F.lit(1.0))).alias("right"),
     )
 
-    def solve(key, part: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         g = square(part)
         size = g.shape[0] - 1
         h2, s, u = leading_eigenpairs(g[:size, :size], rank, RELATIVE_TOLERANCE)
@@ -364,7 +364,7 @@ def var_operator(latents: DataFrame, window: int, ridge: float = 0.0) -> DataFra
         F.concat("features", "target", F.array(F.lit(1.0))).alias("right"),
     )
 
-    def solve(key, part: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         g = square(part)
         size = g.shape[0] - 1
         r, n = size // window, g[-1, -1]

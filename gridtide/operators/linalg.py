@@ -104,7 +104,7 @@ def eigenbasis(
     and their vectors over the short axis, one small decomposition per key."""
     names = list(keys)
 
-    def solve(key, part: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         values, s, v = leading_eigenpairs(square(part), rank, tolerance)
         out = pd.DataFrame(
             {"mode": np.arange(len(s)), "s": s, "share": values[: len(s)] / values.sum(),

@@ -24,6 +24,7 @@ from gridtide.operators.linalg import (
 )
 from gridtide.operators.spectra import TWO_PI, check_segments, segments
 from gridtide.operators.stats import fluctuation
+from gridtide.schema import Grid, with_grid
 
 CELLS_PER_SLAB = 256
 BLOCK_CELLS = 4096
@@ -32,14 +33,12 @@ GRAM_TOLERANCE = 1e-7
 CELL = ["channel", "x", "y"]
 
 
-def state_blocks(field: DataFrame, grid: DataFrame, block_cells: int = BLOCK_CELLS) -> DataFrame:
+def state_blocks(field: DataFrame, grid: Grid | DataFrame, block_cells: int = BLOCK_CELLS) -> DataFrame:
     """(dataset, t, block, vec): fluctuations flattened channel by channel, cut in blocks."""
     position = (
         F.when(F.col("channel") == "u_x", 0).otherwise(1) * F.col("nx") + F.col("x")
     ) * F.col("ny") + F.col("y")
-    cells = channels(fluctuation(field), "dataset", "t", "x", "y").join(
-        grid.select("dataset", "nx", "ny"), "dataset"
-    )
+    cells = with_grid(channels(fluctuation(field), "dataset", "t", "x", "y"), grid, "nx", "ny")
     return (
         cells.select("dataset", "t", position.alias("p"), "u")
         .groupBy("dataset", "t", F.floor(F.col("p") / block_cells).cast("int").alias("block"))
@@ -153,7 +152,7 @@ def exact_dmd(rows: DataFrame, rank: int | None = None, tolerance: float = GRAM_
     first frame from the blocks as well. `w` are each mode's weights over the frames of X'.
     """
 
-    def solve(key, part: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         g = square(part)
         values, s, v = leading_eigenpairs(g[:-1, :-1], rank, tolerance)
         scaled = v / s

@@ -19,6 +19,7 @@ from gridtide.functions.batches import map_stacks, stacks, sums_by_key
 from gridtide.functions.fourier import DIRECT_LIMIT, dft
 from gridtide.functions.layout import channels, core_rows, halo_blocks, halo_window
 from gridtide.operators.stats import fluctuation
+from gridtide.schema import Grid, with_grid
 
 TWO_PI = 2 * np.pi
 # Fixed value: power below this share of the true peak counts as zero.
@@ -195,7 +196,7 @@ def interpolated_peak(spectrum: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def line_spectrum(
-    field: DataFrame, grid: DataFrame, axis: str, keys: tuple[str, ...] = ("dataset",), mean: bool = True
+    field: DataFrame, grid: Grid | DataFrame, axis: str, keys: tuple[str, ...] = ("dataset",), mean: bool = True
 ) -> DataFrame:
     """(keys, channel, k, power): spectrum along `axis`, averaged over the other axis.
 
@@ -231,7 +232,7 @@ def line_spectrum(
     )
     per = F.col("lines") if mean else n_other
     n_axis = F.col("nx") if axis == "x" else F.col("ny")
-    return total.join(grid, "dataset").select(
+    return with_grid(total, grid, "nx", "ny", "dx", "dy").select(
         *names,
         "channel",
         "k",
@@ -293,7 +294,7 @@ def _frame_transforms(part: pd.DataFrame, channel: str, nx: int, ny: int) -> np.
     return np.fft.rfft2(block * window, axes=(1, 2))
 
 
-def wavenumber_spectrum(field: DataFrame, grid: DataFrame) -> DataFrame:
+def wavenumber_spectrum(field: DataFrame, grid: Grid | DataFrame) -> DataFrame:
     """(dataset, channel, ikx, iky, kx, ky, power): time-mean 2-D spectrum of the fluctuation about
     the time-mean field, ikx centred. Frames are transformed where they lie and summed per batch."""
 
@@ -318,7 +319,7 @@ def wavenumber_spectrum(field: DataFrame, grid: DataFrame) -> DataFrame:
     )
     shift = F.expr("(i + nx div 2) % nx")
     norm = hann_power(F.col("nx")) * hann_power(F.col("ny"))
-    return total.join(grid, "dataset").select(
+    return with_grid(total, grid, "nx", "ny", "dx", "dy").select(
         "dataset",
         "channel",
         shift.cast("int").alias("ikx"),
@@ -343,7 +344,7 @@ def wavenumber_peak(spectrum: DataFrame) -> DataFrame:
 
 
 def spacetime_spectrum(
-    field: DataFrame, grid: DataFrame, limit: int = DIRECT_LIMIT, longest: int | None = None
+    field: DataFrame, grid: Grid | DataFrame, limit: int = DIRECT_LIMIT, longest: int | None = None
 ) -> DataFrame:
     """(dataset, channel, iw, ikx, iky, omega, kx, ky, power): joint spectrum, iw and ikx centred.
 
@@ -386,7 +387,7 @@ def spacetime_spectrum(
         * F.col("dx") * F.col("dy") / norm / TWO_PI**3
         * one_sided(F.col("iky"), F.col("ny"))
     )
-    return turned.join(lengths, "dataset").join(grid, "dataset").select(
+    return with_grid(turned.join(lengths, "dataset"), grid, "nx", "ny", "dx", "dy").select(
         "dataset",
         "channel",
         iw.cast("int").alias("iw"),

@@ -277,7 +277,7 @@ def _(spark, sf):
         UNION ALL SELECT dataset, 'x_centred', CAST(r.i AS INTEGER), {R('2 * pi() * (r.i - 5) / (nx * dx)')} FROM grid, range(11) AS r(i)""",
 )
 def _(spark, sf):
-    return rounded(spectra.wavenumber_axes(src.grid(spark, sf)), "k")
+    return rounded(spectra.wavenumber_axes(src.grid_table(spark, sf)), "k")
 
 
 # The cross-check sums directly: 2-D per frame first, then over time.

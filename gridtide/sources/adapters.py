@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridtide.schema import Grid, with_grid
 from gridtide.session import materialize
 
 # Fixed values of the adapter (the axes' sizes follow from the two-digit discount and tax).
@@ -72,15 +73,16 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per dataset; spacing counts intervals, not points."""
-    return catalog(spark, sf_dir).select(
-        "dataset",
-        F.lit(NX).alias("nx"),
-        F.lit(NY).alias("ny"),
-        F.lit(LX / (NX - 1)).alias("dx"),
-        F.lit(LY / (NY - 1)).alias("dy"),
-    )
+GRID = Grid(NX, NY, LX / (NX - 1), LY / (NY - 1))
+
+
+def grid(spark: SparkSession, sf_dir: str) -> Grid:
+    return GRID
+
+
+def grid_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid as a table, one row per dataset; spacing counts intervals, not points."""
+    return with_grid(catalog(spark, sf_dir).select("dataset"), GRID, "nx", "ny", "dx", "dy")
 
 
 def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,15 +153,7 @@ class Tables:
     def catalog(self) -> DataFrame:
         return self._kept(catalog(self.spark, self.sf_dir), "catalog")
 
-    @cached_property
-    def grid(self) -> DataFrame:
-        return self.catalog.select(
-            "dataset",
-            F.lit(NX).alias("nx"),
-            F.lit(NY).alias("ny"),
-            F.lit(LX / (NX - 1)).alias("dx"),
-            F.lit(LY / (NY - 1)).alias("dy"),
-        )
+    grid = GRID
 
     @cached_property
     def roles(self) -> DataFrame:

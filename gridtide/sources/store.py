@@ -82,7 +82,7 @@ def export_arrays(field: DataFrame, folder: str, chunk_t: int = CHUNK_STEPS) ->
         F.col("c.u_x").alias("u_x"), F.col("c.u_y").alias("u_y"),
     )
 
-    def write(key, part: pd.DataFrame) -> pd.DataFrame:
+    def write(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("t")
         shape = (len(part), int(part["nx"].iloc[0]), int(part["ny"].iloc[0]))
         block = np.stack([np.stack(part[c].to_list()).reshape(shape) for c in ("u_x", "u_y")], axis=1)

@@ -34,11 +34,14 @@ def _lag_sums(rows: np.ndarray, core: int, max_lag: int) -> np.ndarray:
     return sums[:, : max_lag + 1]
 
 
-def field_autocorrelation(field: DataFrame, max_lag: int = MAX_FIELD_LAG, block: int = BLOCK) -> DataFrame:
+def field_autocorrelation(
+    field: DataFrame, max_lag: int = MAX_FIELD_LAG, block: int = BLOCK, lengths: DataFrame | None = None
+) -> DataFrame:
     """(dataset, channel, lag, rho): lagged products of u' summed over space, then normalized.
 
     Each cell's series is cut into blocks with `max_lag` following steps, so no group grows with
     the dataset's length; Arrow batches are summed before the shuffle. Lags reach half the length.
+    `lengths` is a catalog (dataset, n_steps), looked up from the field when there is none.
     """
     cut = halo_blocks(fluctuation(field), "t", before=0, after=max_lag, block=block)
     lines = (
@@ -66,7 +69,8 @@ def field_autocorrelation(field: DataFrame, max_lag: int = MAX_FIELD_LAG, block:
         .groupBy("dataset", "channel", "lag")
         .agg(F.sum("s").alias("s"))
     )
-    lengths = field.groupBy("dataset").agg((F.max("t") + 1).cast("int").alias("n_steps"))
+    if lengths is None:
+        lengths = field.groupBy("dataset").agg((F.max("t") + 1).cast("int").alias("n_steps"))
     return _normalized(
         total.join(lengths, "dataset").filter("lag <= n_steps div 2"), ["dataset", "channel"]
     )

@@ -50,9 +50,10 @@ def persistence(field: DataFrame, context_steps: int, n_steps: int) -> DataFrame
 
 def mean_forecast(train: DataFrame, datasets: DataFrame, n_steps: int) -> DataFrame:
     """The training frames' pooled mean at every lead of every dataset."""
-    mean = mean_field(train).withColumn("fit", F.lit("all"))
-    runs = datasets.select("dataset", F.lit("all").alias("fit"))
-    return _leads(runs.join(mean, "fit"), n_steps).select("dataset", "lead", "x", "y", "u_x", "u_y")
+    # One row holding one frame, so what is broadcast is the grid's size.
+    frame = mean_field(train).agg(F.collect_list(F.struct("x", "y", "u_x", "u_y")).alias("frame"))
+    runs = _leads(datasets.select("dataset"), n_steps).join(F.broadcast(frame))
+    return runs.select("dataset", "lead", F.explode("frame").alias("c")).select("dataset", "lead", "c.*")
 
 
 # --- POD basis, encode, decode ------------------------------------------------------------------

@@ -16,7 +16,7 @@ from gridtide.operators.linalg import (
     MAX_WIDTH,
     eigenbasis,
     gram,
-    key_schema,
+    gram_entries,
     leading_eigenpairs,
     project,
     square,
@@ -74,9 +74,7 @@ def _slab() -> list[Column]:
 
 def frame_gram(field: DataFrame) -> DataFrame:
     """(dataset, i, j, g): inner products of a dataset's frames."""
-    return gram(cell_rows(field), ["dataset"]).select(
-        "dataset", "i", F.posexplode("row").alias("j", "g")
-    )
+    return gram_entries(cell_rows(field), ["dataset"])
 
 
 def pod_factors(rows: DataFrame, rank: int | None = None, tolerance: float = GRAM_TOLERANCE) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from gridtide.operators.evaluate import median_of
 
 # Fixed value: the share of members that must pass every absolute check.
 MIN_MEMBER_FRACTION = 0.8
+# (metric, scope, limit) entries of a configuration.
+Limits = Sequence[tuple[str, str, float]]
 STABLE, MEMBER_MAX, OVERALL_MAX, OVERALL_MIN = "stable", "member_max", "max", "min"
 
 
@@ -111,20 +115,24 @@ def run_selection(validations: DataFrame, neighbors: int) -> DataFrame:
     return scored.join(best, "run").withColumn("best", F.col("idx") == F.col("_best")).drop("_best")
 
 
-def _over(scores: DataFrame, limits: DataFrame, scope: str, keys: list[str]) -> DataFrame:
+def _over(scores: DataFrame, limits: Limits, scope: str, keys: list[str]) -> DataFrame:
     """Broken limits of one scope: every subject against every limit, missing or NaN fails."""
-    bounds = limits.filter(F.col("scope") == scope).select("metric", "limit").withColumn("_on", F.lit(1))
-    subjects = scores.select(*keys).distinct().withColumn("_on", F.lit(1))
-    found = subjects.join(F.broadcast(bounds), "_on").join(  # the limits come from configuration
-        scores.select(*keys, "metric", "value"), [*keys, "metric"], "left"
-    )
+    bounds = [(metric, limit) for metric, where, limit in limits if where == scope]
+    entry = lambda metric, limit: F.struct(F.lit(metric).alias("metric"), F.lit(float(limit)).alias("limit"))
+    subjects = scores.select(*keys).distinct()
+    wanted = (
+        subjects.select(*keys, F.explode(F.array(*[entry(*b) for b in bounds])).alias("b"))
+        if bounds
+        else subjects.select(*keys, F.struct(F.lit("").alias("metric"), F.lit(0.0).alias("limit")).alias("b")).limit(0)
+    ).select(*keys, "b.metric", "b.limit")
+    found = wanted.join(scores.select(*keys, "metric", "value"), [*keys, "metric"], "left")
     kept = F.col("value") >= F.col("limit") if scope == OVERALL_MIN else F.col("value") <= F.col("limit")
     broken = F.col("value").isNull() | F.isnan("value") | ~kept
     return found.filter(broken).select(*keys, F.lit(scope).alias("check"), "metric", "value", "limit")
 
 
 def member_failures(
-    member_scores: DataFrame, rollouts: DataFrame, limits: DataFrame, scored_steps: int, rollout_steps: int
+    member_scores: DataFrame, rollouts: DataFrame, limits: Limits, scored_steps: int, rollout_steps: int
 ) -> DataFrame:
     """(model, member, check, metric, value, limit): why a member is broken."""
     keys = ["model", "member"]
@@ -148,7 +156,7 @@ def gate(
     scores: DataFrame,
     member_scores: DataFrame,
     rollouts: DataFrame,
-    limits: DataFrame,
+    limits: Limits,
     scored_steps: int,
     rollout_steps: int,
     min_fraction: float = MIN_MEMBER_FRACTION,
@@ -156,7 +164,7 @@ def gate(
     """(model, members, usable, failed_limits, passed, reasons).
 
     `scores` and `member_scores` are long (model[, member], metric, value), `rollouts` one row per
-    member, `limits` (metric, scope, limit) with scope max, min or member_max.
+    member, `limits` a list of (metric, scope, limit) with scope max, min or member_max, as configured.
     """
     broken = member_failures(member_scores, rollouts, limits, scored_steps, rollout_steps)
     reason = F.concat(
@@ -196,7 +204,7 @@ def leaderboard(trials: DataFrame, reports: DataFrame, params: list[str]) -> Dat
         F.count("score").alias("validations"),
         F.max("score").alias("best_score"),
         F.max_by("stable_fraction", F.struct("score", -F.col("idx"))).alias("stable_fraction"),
-        F.max_by("score", "idx").alias("last_score"),
+        F.max_by("score", F.when(F.col("score").isNotNull(), F.col("idx"))).alias("last_score"),
     )
     return (
         trials.select("trial", *params, "error")

@@ -344,7 +344,11 @@ def wavenumber_peak(spectrum: DataFrame) -> DataFrame:
 
 
 def spacetime_spectrum(
-    field: DataFrame, grid: Grid | DataFrame, limit: int = DIRECT_LIMIT, longest: int | None = None
+    field: DataFrame,
+    grid: Grid | DataFrame,
+    limit: int = DIRECT_LIMIT,
+    longest: int | None = None,
+    catalog: DataFrame | None = None,
 ) -> DataFrame:
     """(dataset, channel, iw, ikx, iky, omega, kx, ky, power): joint spectrum, iw and ikx centred.
 
@@ -368,7 +372,9 @@ def spacetime_spectrum(
                     })
 
     keys = ["dataset", "channel", "i", "iky"]
-    lengths = field.groupBy("dataset").agg((F.max("t") + 1).cast("long").alias("n"))
+    if catalog is None:
+        catalog = field.groupBy("dataset").agg((F.max("t") + 1).alias("n_steps"))
+    lengths = catalog.select("dataset", F.col("n_steps").cast("long").alias("n"))
     waves = _frames(fluctuation(field)).mapInPandas(
         frames, "dataset string, channel string, t int, i int, iky int, re double, im double"
     ).join(lengths, "dataset")

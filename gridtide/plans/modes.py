@@ -49,6 +49,30 @@ def _(spark, sf):
     return rounded(modal.frame_gram(src.field(spark, sf)), "g", digits=4)
 
 
+@query(
+    "snapshot_gram",
+    "G2",
+    f"""SELECT 'label' || a.label AS dataset, CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, {R('sum(a.v * b.v)', 5)} AS g
+        FROM (SELECT vec_id, label, i.i, CAST(embedding[i.i + 1] AS DOUBLE) AS v FROM embeddings, range(64) AS i(i)) a
+        JOIN (SELECT vec_id, i.i, CAST(embedding[i.i + 1] AS DOUBLE) AS v FROM embeddings, range(64) AS i(i)) b USING (vec_id)
+        GROUP BY 1, 2, 3""",
+)
+def _(spark, sf):
+    # Many snapshots of a short state: the state is the short axis.
+    return rounded(modal.gram_entries(src.snapshots(spark, sf), ["dataset"]), "g", digits=5)
+
+
+@query(
+    "snapshot_pod",
+    "G3",
+    f"""SELECT 'label' || label AS dataset, {R('sum(v * v)', 4)} AS total
+        FROM (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) GROUP BY 1""",
+)
+def _(spark, sf):
+    factors = modal.eigenbasis(modal.gram(src.snapshots(spark, sf), ["dataset"]), ["dataset"], tolerance=1e-7)
+    return factors.groupBy("dataset").agg(r(F.sum(F.col("s") * F.col("s")), 4).alias("total"))
+
+
 def rows_and_factors(spark, sf):
     rows = modal.cell_rows(src.field(spark, sf))
     return rows, modal.pod_factors(rows)

@@ -548,10 +548,6 @@ LIMITS = (
 )
 
 
-def limits(spark):
-    return spark.createDataFrame(list(LIMITS), "metric string, scope string, limit double")
-
-
 add_view(
     "limits",
     "SELECT metric, scope, CAST(lim AS DOUBLE) AS lim FROM (VALUES "
@@ -623,7 +619,7 @@ def _(spark, sf):
     rollouts = materialize(
         rollout_stability(data).select(F.col("dataset").alias("model"), "member", "stable_steps"), "rollouts"
     )
-    return selection.gate(medians.unionByName(share), members, rollouts, limits(spark), 40, ROLLOUT)
+    return selection.gate(medians.unionByName(share), members, rollouts, LIMITS, 40, ROLLOUT)
 
 
 @query(

@@ -59,7 +59,7 @@ def write_checks(spark, sf, path):
     store.write_summaries(catalog, "split", path)
     store.write_summaries(derive.vorticity_report(field, grid), "vorticity", path)
     store.write_summaries(derive.divergence_report(field, grid), "divergence", path)
-    acf = autocorr.field_autocorrelation(field).filter("channel = 'u_x'").drop("channel")
+    acf = autocorr.field_autocorrelation(field, lengths=catalog).filter("channel = 'u_x'").drop("channel")
     store.write_summaries(autocorr.decorrelation(acf, ["dataset"]), "autocorrelation", path)
     halves = stats.half_change(field, catalog).filter("channel = 'u_x'")
     change = (F.col("mean_second") - F.col("mean_first")) / F.abs("mean_first")

@@ -342,7 +342,9 @@ add_view(
     f"SELECT dataset, channel, iw, ikx, iky, {R('omega')} AS omega, {WAVES} FROM waves3d",
 )
 def _(spark, sf):
-    s = spectra.spacetime_spectrum(src.field(spark, sf), src.grid(spark, sf))
+    s = spectra.spacetime_spectrum(
+        src.field(spark, sf), src.grid(spark, sf), catalog=src.catalog(spark, sf)
+    )
     return rounded(s, "omega", "kx", "ky", "power")
 
 
@@ -355,7 +357,9 @@ def _(spark, sf):
               FROM waves3d WHERE NOT (omega = 0 AND kx = 0 AND iky = 0)) WHERE pick = 1""",
 )
 def _(spark, sf):
-    s = spectra.spacetime_spectrum(src.field(spark, sf), src.grid(spark, sf))
+    s = spectra.spacetime_spectrum(
+        src.field(spark, sf), src.grid(spark, sf), catalog=src.catalog(spark, sf)
+    )
     peak = spectra.spacetime_peak(rounded(s, "power", digits=9))
     return rounded(peak, "omega", "period", "kx", "ky", "power")
 
@@ -385,7 +389,7 @@ add_view(
 
 @query("field_autocorrelation", "F12", f"SELECT dataset, channel, n_steps, lag, {R('rho')} AS rho FROM field_acf")
 def _(spark, sf):
-    return rounded(autocorr.field_autocorrelation(src.field(spark, sf)), "rho")
+    return rounded(autocorr.field_autocorrelation(src.field(spark, sf), lengths=src.catalog(spark, sf)), "rho")
 
 
 def series_acf(spark, sf):

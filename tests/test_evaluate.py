@@ -189,7 +189,7 @@ def test_gate_needs_seven_of_eight_members(spark, broken, passed):
     members = [("m", k, "stable_steps", 4.0 if k < broken else 10.0) for k in range(8)]
     members += [("m", k, "offset", 0.5) for k in range(8)]
     rollouts = spark.createDataFrame([("m", k, 30.0) for k in range(8)], "model string, member int, stable_steps double")
-    limits = spark.createDataFrame([("offset", "member_max", 1.0), ("err", "max", 0.3), ("share", "min", 0.8)], "metric string, scope string, limit double")
+    limits = [("offset", "member_max", 1.0), ("err", "max", 0.3), ("share", "min", 0.8)]
     scores = spark.createDataFrame([("m", "err", 0.3), ("m", "share", 0.8)], "model string, metric string, value double")
     table = spark.createDataFrame(members, "model string, member int, metric string, value double")
     got = selection.gate(scores, table, rollouts, limits, 10, 30).first()
@@ -199,7 +199,7 @@ def test_gate_needs_seven_of_eight_members(spark, broken, passed):
 def test_gate_fails_missing_and_nan_scores(spark):
     rollouts = spark.createDataFrame([("m", 0, 30.0)], "model string, member int, stable_steps double")
     table = spark.createDataFrame([("m", 0, "stable_steps", 10.0)], "model string, member int, metric string, value double")
-    limits = spark.createDataFrame([("err", "max", 0.3), ("share", "min", 0.8), ("gone", "max", 1.0)], "metric string, scope string, limit double")
+    limits = [("err", "max", 0.3), ("share", "min", 0.8), ("gone", "max", 1.0)]
     scores = spark.createDataFrame([("m", "err", NAN), ("m", "share", NAN)], "model string, metric string, value double")
     got = selection.gate(scores, table, rollouts, limits, 10, 30).first()
     assert not got.passed and got.failed_limits == 3 and got.reasons == "max err; max gone; min share"

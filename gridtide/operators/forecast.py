@@ -7,6 +7,7 @@ key of every model table, so several fits can share one job.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,7 @@ from gridtide.operators.linalg import (
     project,
     square,
     sum_arrays,
+    wide_eigenbasis,
 )
 from gridtide.operators.moments import snapshot_scales
 from gridtide.operators.stats import mean_field
@@ -84,8 +86,15 @@ def _interleaved(a: str, b: str, order: list[str]) -> Column:
     )
 
 
+class Side(NamedTuple):
+    """The short axis of a snapshot matrix, "state" or "frames", and its width."""
+
+    axis: str
+    width: int
+
+
 def pod_basis(
-    field: DataFrame, frames: DataFrame, rank: int, side: str, tolerance: float = RELATIVE_TOLERANCE
+    field: DataFrame, frames: DataFrame, rank: int, side: Side, tolerance: float = RELATIVE_TOLERANCE
 ) -> tuple[DataFrame, DataFrame]:
     """(basis, spectrum) of the snapshots `frames`, normalized with all of `field`.
 
@@ -96,9 +105,9 @@ def pod_basis(
     """
     norm = materialize(normalization(field), "normalization")
     z = _normalized_cells(frames, norm)
-    if side == "state":
+    if side.axis == "state":
         rows = z.groupBy("fit", "dataset", "t").agg(_interleaved("z_x", "z_y", ["x", "y"]).alias("vec"))
-        factors = materialize(eigenbasis(gram(rows, ["fit"]), ["fit"], rank, tolerance), "factors")
+        factors = _factors(rows, side, rank, tolerance)
         cells = norm.groupBy("fit").agg(
             F.array_sort(F.collect_list(F.struct("x", "y"))).alias("cells")
         )
@@ -112,7 +121,7 @@ def pod_basis(
             .agg(F.array_sort(F.collect_list(F.struct("mode", "c.a", "c.b"))).alias("m"))
             .select("fit", "x", "y", F.col("m.a").alias("c_x"), F.col("m.b").alias("c_y"))
         )
-    elif side == "frames":
+    elif side.axis == "frames":
         packed = z.groupBy("fit", "x", "y").agg(
             F.array_sort(F.collect_list(F.struct("dataset", "t", "z_x", "z_y"))).alias("s")
         )
@@ -123,7 +132,7 @@ def pod_basis(
                 F.struct(F.lit("b").alias("c"), F.col("s.z_y").alias("vec")),
             )).alias("r"),
         ).select("fit", "x", "y", "r.c", "r.vec")
-        factors = materialize(eigenbasis(gram(rows, ["fit"]), ["fit"], rank, tolerance), "factors")
+        factors = _factors(rows, side, rank, tolerance)
         weights = factors.select("fit", "mode", F.expr("transform(v, e -> e / s)").alias("w"))
         long = project(rows, ["fit"], [F.col("x")], ["x", "y", "c"], weights)
         shapes = long.groupBy("fit", "x", "y").agg(
@@ -131,17 +140,21 @@ def pod_basis(
             F.max(F.when(F.col("c") == "b", F.col("coef"))).alias("c_y"),
         )
     else:
-        raise ValueError(f"side must be 'state' or 'frames', got {side!r}")
+        raise ValueError(f"side must be 'state' or 'frames', got {side.axis!r}")
     return materialize(norm.join(shapes, ["fit", "x", "y"]), "basis"), factors.drop("v")
 
 
-def short_side(catalog: DataFrame, nx: int, ny: int) -> str:
-    """The smaller of the state and the total frame count; both above the limit is an error."""
+def short_side(catalog: DataFrame, nx: int, ny: int) -> Side:
+    """The smaller of the state and the total frame count."""
     frames = catalog.agg(F.sum("n_steps").alias("n")).first().n or 0
     state = 2 * nx * ny
-    if min(frames, state) > MAX_WIDTH:
-        raise ValueError(f"{frames} frames of {state} values: neither axis is within {MAX_WIDTH}")
-    return "state" if state <= frames else "frames"
+    return Side("state", state) if state <= frames else Side("frames", frames)
+
+
+def _factors(rows: DataFrame, side: Side, rank: int, tolerance: float) -> DataFrame:
+    if side.width > MAX_WIDTH:
+        return wide_eigenbasis(rows, "fit", rank, tolerance)
+    return materialize(eigenbasis(gram(rows, ["fit"]), ["fit"], rank, tolerance), "factors")
 
 
 def _block() -> Column:

@@ -10,6 +10,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,6 +121,34 @@ def eigenbasis(
     return grams.groupBy(*names).applyInPandas(solve, schema)
 
 
+def wide_eigenbasis(
+    rows: DataFrame, key: str, rank: int, tolerance: float = RELATIVE_TOLERANCE
+) -> DataFrame:
+    """`eigenbasis` of one matrix whose short axis is too wide to square in a task.
+
+    Lanczos iterations multiply the distributed rows by one vector at a time. The driver keeps
+    `rank` vectors over the short axis and nothing else.
+    """
+    spark = rows.sparkSession
+    vectors = rows.select(array_to_vector("vec").alias("v"))
+    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "v"))
+    svd = matrix.computeSVD(rank, rCond=tolerance)
+    s, v = svd.s.toArray(), svd.V.toArray()
+    facts = rows.agg(
+        F.sum(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("total"),
+        F.max(F.size("vec")).alias("width"),
+        F.first(key).alias("key"),
+    ).first()
+    signs = np.sign(v[np.argmax(np.abs(v), axis=0), np.arange(len(s))])
+    found = [
+        (facts.key, i, float(s[i]), float(s[i] ** 2 / facts.total), facts.width, (v[:, i] * signs[i]).tolist())
+        for i in range(len(s))
+    ]
+    return spark.createDataFrame(
+        found, f"{key} string, mode int, s double, share double, n_values int, v array<double>"
+    )
+
+
 @pandas_udf(MATRIX)
 def _products(tiles: pd.Series, weights: pd.Series) -> pd.Series:
     out = []

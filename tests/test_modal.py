@@ -114,7 +114,7 @@ def as_array(run, dataset, n, nx, ny):
 @pytest.mark.parametrize("side", ["state", "frames"])
 @pytest.mark.parametrize("delays", [1, 2])
 def test_dmd_forecasts_rotations_exactly(spark, make_field, rng, monkeypatch, side, delays):
-    monkeypatch.setattr(forecast, "short_side", lambda *a: side)
+    monkeypatch.setattr(forecast, "short_side", lambda *a: forecast.Side(side, 48))
     arrays = rotations(rng)
     field = make_field(arrays)
     model = forecast.fit_delay_dmd(field, catalog(spark, arrays), 6, 4, 10, 10, delays)
@@ -155,7 +155,26 @@ def test_latent_var_blocks_and_store(spark, make_field, rng, tmp_path):
     assert info["n_pairs"] == 28 and info["spectral_radius"] == pytest.approx(1, abs=1e-6)
 
 
-def test_state_above_the_limit_is_refused(spark, monkeypatch):
+def test_a_wide_short_axis_is_iterated(spark, make_field, rng, monkeypatch):
+    arrays = rotations(rng)
+    field, names = make_field(arrays), catalog(spark, arrays)
+    assert forecast.short_side(names, 6, 4) == forecast.Side("frames", 32)
+    known = forecast.fit_codec(field, names, 6, 4, 4)
     monkeypatch.setattr(forecast, "MAX_WIDTH", 10)
-    with pytest.raises(ValueError, match="neither axis"):
-        forecast.short_side(spark.createDataFrame([("d", 99)], "dataset string, n_steps int"), 5, 5)
+    wide = forecast.fit_codec(field, names, 6, 4, 4)
+    got, want = ({r.name: r.value for r in m.info.collect()} for m in (wide, known))
+    assert got == pytest.approx(want)
+    back = forecast.decode(forecast.encode(field, wide.basis), wide.basis, ["dataset"], "t")
+    apart = back.join(field.withColumnsRenamed({"u_x": "a", "u_y": "b"}), ["dataset", "t", "x", "y"]).agg(
+        F.max(F.abs(F.col("u_x") - F.col("a")) + F.abs(F.col("u_y") - F.col("b")))
+    ).first()[0]
+    assert apart < 1e-6
+
+
+def test_a_wide_gram_is_refused_with_advice(spark, monkeypatch):
+    from gridtide.operators import linalg
+
+    monkeypatch.setattr(linalg, "MAX_WIDTH", 2)
+    df = spark.createDataFrame([("k", [1.0, 2.0, 3.0])], "k string, vec array<double>")
+    with pytest.raises(Exception, match="longer axis in the rows"):
+        linalg.gram(df, ["k"]).collect()

@@ -137,6 +137,78 @@ def _(spark, sf):
     return rounded(modal.reconstruct(modal.pod_modes(rows, factors), factors), "value", digits=5)
 
 
+# The two domain means as a state: every decomposition of it has a closed form.
+add_view(
+    "mean_pair",
+    """SELECT dataset, t, ux - avg(ux) OVER w AS x, uy - avg(uy) OVER w AS y
+       FROM (SELECT dataset, t, avg(u_x) AS ux, avg(u_y) * 50 AS uy FROM field GROUP BY 1, 2) WINDOW w AS (PARTITION BY dataset)""",
+)
+
+
+def mean_pair_rows(spark, sf):
+    means = src.field(spark, sf).groupBy("dataset", "t").agg(
+        F.avg("u_x").alias("u_x"), (F.avg("u_y") * 50).alias("u_y")
+    )
+    # One cell per dataset: cell_rows removes the time mean and packs the frames.
+    return modal.cell_rows(means.withColumns({"x": F.lit(0), "y": F.lit(0)}))
+
+
+@query(
+    "domain_pod_report",
+    "G6 G3 G5",
+    f"""SELECT dataset, CAST(mode AS INTEGER) AS mode, {R('lam / (a + c)')} AS energy_fraction,
+               {R('CASE mode WHEN 0 THEN lam / (a + c) ELSE 1.0 END')} AS cumulative, {R('sqrt(lam / n)')} AS coefficient_std,
+               CAST(CASE WHEN top / (a + c) >= 0.9 THEN 1 ELSE 2 END AS BIGINT) AS modes_for_level
+        FROM (SELECT *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS top,
+                     (a + c) / 2 + CASE mode WHEN 0 THEN 1 ELSE -1 END * sqrt((a - c) * (a - c) / 4 + b * b) AS lam
+              FROM (SELECT dataset, sum(x * x) AS a, sum(x * y) AS b, sum(y * y) AS c, count(*) AS n FROM mean_pair GROUP BY 1), range(2) AS m(mode))""",
+)
+def _(spark, sf):
+    factors = modal.pod_factors(mean_pair_rows(spark, sf))
+    return rounded(modal.pod_report(factors), "energy_fraction", "cumulative", "coefficient_std")
+
+
+add_view(
+    "mean_pair_dmd",
+    """SELECT dataset, n, tr, det, tr * tr / 4 - det AS disc FROM (
+         SELECT dataset, n, ((yxx * c - yxy * b) + (yyy * a - yyx * b)) / (a * c - b * b) AS tr,
+                (yxx * yyy - yxy * yyx) / (a * c - b * b) AS det
+         FROM (SELECT dataset, count(*) + 1 AS n, sum(x * x) AS a, sum(x * y) AS b, sum(y * y) AS c, sum(nx * x) AS yxx, sum(nx * y) AS yxy,
+                      sum(ny * x) AS yyx, sum(ny * y) AS yyy
+               FROM (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM mean_pair WINDOW w AS (PARTITION BY dataset ORDER BY t))
+               WHERE nx IS NOT NULL GROUP BY 1))""",
+)
+add_view(
+    "mean_pair_eigen",
+    """SELECT dataset, CASE WHEN disc >= 0 THEN tr / 2 + s * sqrt(disc) ELSE tr / 2 END AS re,
+              CASE WHEN disc >= 0 THEN 0.0::DOUBLE ELSE s * sqrt(-disc) END AS im
+       FROM mean_pair_dmd, (VALUES (1), (-1)) AS v(s)""",
+)
+
+
+@query(
+    "domain_dmd",
+    "G8",
+    f"SELECT dataset, {R('re')} AS lam_re, {R('im')} AS lam_im, CAST(1.0 AS DOUBLE) AS energy_fraction FROM mean_pair_eigen",
+)
+def _(spark, sf):
+    dmd = modal.exact_dmd(mean_pair_rows(spark, sf))
+    return rounded(dmd.select("dataset", "lam_re", "lam_im", "energy_fraction"), "lam_re", "lam_im", "energy_fraction")
+
+
+@query(
+    "domain_dmd_modes",
+    "G10",
+    f"""SELECT dataset, {R('atan2(im, re)')} AS frequency, {R('ln(sqrt(re * re + im * im))')} AS growth_rate,
+               CASE WHEN atan2(im, re) = 0 THEN CAST('inf' AS DOUBLE) ELSE {R('2 * pi() / atan2(im, re)')} END AS period
+        FROM mean_pair_eigen WHERE im >= 0""",
+)
+def _(spark, sf):
+    dmd = modal.exact_dmd(mean_pair_rows(spark, sf))
+    top = modal.dominant_dmd_modes(dmd, src.catalog(spark, sf), 2)
+    return rounded(top.select("dataset", "frequency", "growth_rate", "period"), "frequency", "growth_rate", "period")
+
+
 @query("exact_dmd", "G8 G9")
 def _(spark, sf):
     dmd = modal.exact_dmd(modal.cell_rows(src.field(spark, sf)), RANK)
@@ -190,7 +262,24 @@ def _(spark, sf):
     return shapes.groupBy("dataset", "k").agg(r(F.sum(square)).alias("norm"))
 
 
-@query("leading_frequencies", "G13")
+@query(
+    "leading_frequencies",
+    "G13",
+    f"""SELECT dataset, CAST(rank AS INTEGER) AS rank, {R('2 * pi() / omega')} AS period, {R('omega')} AS omega,
+               {R('power', 5)} AS eigenvalue, {R('power / total')} AS eigenvalue_fraction
+        FROM (SELECT *, sum(power) OVER (PARTITION BY dataset) AS total, row_number() OVER (PARTITION BY dataset ORDER BY power DESC, k) AS rank
+              FROM (SELECT dataset, k, omega, sum(power) AS power FROM (
+                {sql_welch('SELECT dataset, channel, x, y, t, u AS value FROM vel', 'dataset, channel, x, y', 60, 0)}) WHERE k >= 1 GROUP BY 1, 2, 3))
+        WHERE rank <= 3""",
+)
+def _(spark, sf):
+    # One segment fits the series, so the first eigenvalue is the cells' summed power.
+    waves = modal.segment_waves(src.field(spark, sf), 60, 0)
+    top = rounded(modal.leading_frequencies(modal.spod(waves, 60), 3), "eigenvalue", digits=5)
+    return rounded(top, "period", "omega", "eigenvalue_fraction")
+
+
+@query("spod_leading_frequencies", "G13 G12")
 def _(spark, sf):
     waves = modal.segment_waves(src.field(spark, sf), SPOD_SEGMENT, SPOD_OVERLAP)
     top = modal.leading_frequencies(modal.spod(waves, SPOD_SEGMENT), 3)
@@ -286,17 +375,19 @@ def _(spark, sf):
     return rounded(back, "u_x", "u_y", digits=5)
 
 
-@query(
-    "latent_var",
-    "H7 H8",
-    f"""SELECT fit, n_pairs, {R('m')} AS latent_mean, {R('(f22 * f1y - f12 * f2y) / (f11 * f22 - f12 * f12)')} AS a1,
-               {R('(f11 * f2y - f12 * f1y) / (f11 * f22 - f12 * f12)')} AS a2 FROM (
+add_view(
+    "var_fit",
+    """SELECT fit, n_pairs, m, (f22 * f1y - f12 * f2y) / (f11 * f22 - f12 * f12) AS a1,
+               (f11 * f2y - f12 * f1y) / (f11 * f22 - f12 * f12) AS a2 FROM (
           SELECT name AS fit, CAST(count(*) AS DOUBLE) AS n_pairs, any_value(m) AS m, sum(l1 * l1) AS f11, sum(l1 * l2) AS f12,
                  sum(l2 * l2) AS f22, sum(l1 * v) AS f1y, sum(l2 * v) AS f2y
           FROM (SELECT name, m, v, lag(v, 1) OVER w AS l1, lag(v, 2) OVER w AS l2
                 FROM (SELECT *, avg(value) OVER (PARTITION BY name) AS m, value - avg(value) OVER (PARTITION BY name) AS v FROM series)
                 WINDOW w AS (PARTITION BY name, dataset ORDER BY t)) WHERE l2 IS NOT NULL GROUP BY 1)""",
 )
+
+
+@query("latent_var", "H7", f"SELECT fit, n_pairs, {R('m')} AS latent_mean, {R('a1')} AS a1, {R('a2')} AS a2 FROM var_fit")
 def _(spark, sf):
     # Scalar latents, two lags, one fit per user group: the 2 x 2 normal equations have a closed form.
     fits = series_var(spark, sf)
@@ -316,12 +407,31 @@ def series_var(spark, sf):
     return forecast.var_operator(series_latents(spark, sf), 2)
 
 
-@query("transition_spectrum", "H8")
+@query(
+    "transition_spectrum",
+    "H8",
+    f"""SELECT fit, CAST(row_number() OVER (PARTITION BY fit ORDER BY round(sqrt(re * re + im * im), 9) DESC, re DESC, im DESC) - 1 AS INTEGER) AS mode,
+               {R('re')} AS re, {R('im')} AS im, {R('sqrt(re * re + im * im)')} AS magnitude
+        FROM (SELECT fit, CASE WHEN a1 * a1 / 4 + a2 >= 0 THEN a1 / 2 + s * sqrt(a1 * a1 / 4 + a2) ELSE a1 / 2 END AS re,
+                     CASE WHEN a1 * a1 / 4 + a2 >= 0 THEN 0.0::DOUBLE ELSE s * sqrt(-(a1 * a1 / 4 + a2)) END AS im
+              FROM var_fit, (VALUES (1), (-1)) AS v(s))""",
+)
 def _(spark, sf):
     return rounded(forecast.transition_spectrum(series_var(spark, sf)), "re", "im", "magnitude")
 
 
-@query("latent_var_forecast", "H7 H11")
+@query(
+    "latent_var_forecast",
+    "H7 H11",
+    f"""SELECT fit, dataset, CAST((lead - 1) // 25 AS INTEGER) AS block, CAST(lead AS INTEGER) AS lead, {R('value')} AS value FROM (
+          WITH RECURSIVE run AS (
+            SELECT name AS fit, dataset, 0 AS lead, max(CASE t WHEN 39 THEN value END) AS value, max(CASE t WHEN 38 THEN value END) AS before
+            FROM series GROUP BY 1, 2
+            UNION ALL
+            SELECT run.fit, dataset, lead + 1, m + a1 * (value - m) + a2 * (before - m), value
+            FROM run JOIN var_fit ON var_fit.fit = run.fit WHERE lead < 80)
+          SELECT * FROM run WHERE lead >= 1)""",
+)
 def _(spark, sf):
     states = forecast.delay_states(series_latents(spark, sf), 2).filter(F.col("t") == 39)
     run = forecast.forecast_var_latents(series_var(spark, sf), states, 80, 25)

@@ -13,7 +13,7 @@ HEADLINE = (
     "enstrophy", "vorticity_report", "step_stats", "histogram", "pooled_stats", "normalize", "windowed_samples",
     "periodogram", "welch_spectrum", "line_spectrum", "wavenumber_spectrum", "spacetime_spectrum",
     "field_autocorrelation", "pod_spectrum", "exact_dmd", "spod", "codec_round_trip", "dmd_forecast",
-    "delay_dmd_forecast", "latent_pipeline", "ensemble_scores", "stability", "full_evaluation", "run_selection",
+    "delay_dmd_forecast", "latent_forecast", "ensemble_scores", "stability", "full_evaluation", "run_selection",
     "request_counts", "latency_quantiles", "field_store", "table_digest",
 )
 

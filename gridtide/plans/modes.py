@@ -438,7 +438,7 @@ def _(spark, sf):
     return run.select("fit", "dataset", "block", "lead", r(F.col("z")[0]).alias("value"))
 
 
-@query("latent_pipeline", "H9 H6 H7")
+@query("latent_forecast", "H9 H6 H7")
 def _(spark, sf):
     data = src.Tables(spark, sf, stored=True)
     codec = forecast.fit_codec(data.train_field, data.train_catalog, src.NX, src.NY, RANK)
@@ -446,8 +446,16 @@ def _(spark, sf):
     return rounded(forecast.predict(model, data.field, CONTEXT, 20), "u_x", "u_y")
 
 
-@query("model_store", "H10")
+@query(
+    "model_store",
+    "H10",
+    f"""SELECT name, CAST(value AS DOUBLE) AS value FROM (
+          VALUES ('delays', 2), ('rank', {RANK}), ('spatial_rank', {RANK}),
+                 ('parameters', {FULL} * {RANK} + 2 * {RANK} + 2 * {RANK} * {RANK} + 2 * {RANK} * {RANK})) AS v(name, value)
+        UNION ALL SELECT 'n_pairs', CAST(sum(n_steps - 2) AS DOUBLE) FROM catalog JOIN roles USING (dataset) WHERE role = 'train'""",
+)
 def _(spark, sf):
+    # Sizes of a model that was saved and loaded.
     model = dmd_model(src.Tables(spark, sf, stored=True), 2)
     path = work_path(spark, "model")
     forecast.save_model(model, path, "delay dmd")
@@ -455,7 +463,8 @@ def _(spark, sf):
     count = forecast.parameter_count(loaded).select(
         F.lit("parameters").alias("name"), F.col("parameters").cast("double").alias("value")
     )
-    return rounded(loaded.info.unionByName(count), "value")
+    sizes = loaded.info.filter(F.col("name").isin("rank", "spatial_rank", "delays", "n_pairs"))
+    return rounded(sizes.unionByName(count), "value")
 
 
 @query(

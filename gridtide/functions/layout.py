@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridtide.session import measured
+
 HALO_BLOCK = 4096
 
 
@@ -52,8 +54,11 @@ def exact_quantiles(
     """
     keys = list(keys)
     counts = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    span = counts.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total")
+    span = measured(
+        counts.groupBy(*keys).agg(
+            F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total")
+        ),
+        "span",
     )
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(buckets))
     placed = counts.join(span, keys).withColumn(

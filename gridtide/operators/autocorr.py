@@ -14,6 +14,7 @@ from gridtide.functions.fourier import split_fft
 from gridtide.functions.layout import halo_blocks
 from gridtide.operators.spectra import series_lengths
 from gridtide.operators.stats import fluctuation
+from gridtide.session import measured
 
 MAX_FIELD_LAG = 150
 BLOCK = 1024
@@ -91,8 +92,9 @@ def series_autocorrelation(
     Series up to `limit` steps are one array each; longer ones go through a zero-padded
     power-of-two transform that is split over tasks.
     """
-    facts = series.groupBy(*keys).agg(
-        F.count("*").cast("int").alias("n_steps"), F.avg("value").alias("_mean")
+    facts = measured(
+        series.groupBy(*keys).agg(F.count("*").cast("int").alias("n_steps"), F.avg("value").alias("_mean")),
+        "series",
     )
     centred = series.join(facts, keys).withColumn("v", F.col("value") - F.col("_mean"))
     if longest is None:

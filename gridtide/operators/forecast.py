@@ -30,7 +30,7 @@ from gridtide.operators.linalg import (
 from gridtide.operators.moments import snapshot_scales
 from gridtide.operators.stats import mean_field
 from gridtide.operators.windows import lagged_features
-from gridtide.session import materialize
+from gridtide.session import materialize, measured
 
 X_PER_BLOCK = 16
 FRAMES_PER_TILE = 64
@@ -224,9 +224,9 @@ def stabilized(re: Column, im: Column) -> tuple[Column, Column]:
     return re * shrink, im * shrink
 
 
-def _without_last(field: DataFrame) -> DataFrame:
+def _without_last(field: DataFrame, catalog: DataFrame) -> DataFrame:
     """Frames that have a successor in their dataset."""
-    ends = field.groupBy("dataset").agg(F.max("t").alias("_last"))
+    ends = measured(catalog.select("dataset", (F.col("n_steps") - 1).alias("_last")), "catalog")
     return field.join(ends, "dataset").filter(F.col("t") < F.col("_last")).drop("_last")
 
 
@@ -248,7 +248,7 @@ def fit_delay_dmd(
     if delays < 1:
         raise ValueError(f"delays must be >= 1, got {delays}")
     side = short_side(catalog, nx, ny)
-    basis, spectrum = pod_basis(train, _without_last(train), spatial_rank, side)
+    basis, spectrum = pod_basis(train, _without_last(train, catalog), spatial_rank, side)
     latents = encode(train, basis)
     states = delay_states(latents, delays)
     after = states.select("fit", "dataset", (F.col("t") - 1).alias("t"), F.col("h").alias("h_after"))

@@ -20,6 +20,7 @@ from gridtide.functions.fourier import DIRECT_LIMIT, dft
 from gridtide.functions.layout import channels, core_rows, halo_blocks, halo_window
 from gridtide.operators.stats import fluctuation
 from gridtide.schema import Grid, with_grid
+from gridtide.session import measured
 
 TWO_PI = 2 * np.pi
 # Fixed value: power below this share of the true peak counts as zero.
@@ -67,9 +68,12 @@ def periodogram(
     longest: int | None = None,
 ) -> DataFrame:
     """(keys, k, omega, power) of series (keys, t, value), t dense from 0, unit spacing."""
-    facts = series.groupBy(*keys).agg(
-        F.count("*").cast("long").alias("n"), F.avg("value").alias("mean")
+    facts = measured(
+        series.groupBy(*keys).agg(F.count("*").cast("long").alias("n"), F.avg("value").alias("mean")),
+        "series",
     )
+    if longest is None:
+        longest = facts.agg(F.max("n").alias("n")).first().n or 0
     rows = series.join(facts, keys).select(
         *keys,
         "n",
@@ -105,7 +109,8 @@ def segments(series: DataFrame, keys: list[str], nperseg: int, noverlap: int) ->
     last = F.when(
         F.col("n_steps") >= nperseg, F.floor((F.col("n_steps") - nperseg) / step).cast("long")
     ).otherwise(F.raise_error(message).cast("long"))
-    placed = series.join(lengths.select(*keys, last.alias("_last")), keys).withColumn(
+    ends = measured(lengths.select(*keys, last.alias("_last")), "series")
+    placed = series.join(ends, keys).withColumn(
         "seg",
         F.explode(
             F.filter(
@@ -374,7 +379,7 @@ def spacetime_spectrum(
     keys = ["dataset", "channel", "i", "iky"]
     if catalog is None:
         catalog = field.groupBy("dataset").agg((F.max("t") + 1).alias("n_steps"))
-    lengths = catalog.select("dataset", F.col("n_steps").cast("long").alias("n"))
+    lengths = measured(catalog.select("dataset", F.col("n_steps").cast("long").alias("n")), "lengths")
     waves = _frames(fluctuation(field)).mapInPandas(
         frames, "dataset string, channel string, t int, i int, iky int, re double, im double"
     ).join(lengths, "dataset")

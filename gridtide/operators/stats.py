@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridtide.functions.layout import channels
+from gridtide.session import measured
 
 TINY = 1e-12
 HISTOGRAM_BINS = 60
@@ -53,8 +54,11 @@ def histogram(field: DataFrame, n_bins: int = HISTOGRAM_BINS) -> DataFrame:
     Counting compares with the bin edges, so a value on an edge falls where the edge says.
     """
     values = channels(field, "dataset")
-    span = values.groupBy("dataset", "channel").agg(
-        F.min("u").alias("lo"), F.max("u").alias("hi"), F.count("*").alias("n")
+    span = measured(
+        values.groupBy("dataset", "channel").agg(
+            F.min("u").alias("lo"), F.max("u").alias("hi"), F.count("*").alias("n")
+        ),
+        "span",
     )
     edge = lambda i: F.col("lo") + i * ((F.col("hi") - F.col("lo")) / n_bins)
     guess = F.when(

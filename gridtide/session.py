@@ -49,6 +49,15 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/gridtide-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def measured(df, label: str):
+    """A reduced table written and read back before it joins a large one.
+
+    Its true size is then known while planning: below the broadcast threshold the large side isn't
+    shuffled at all, above it the join shuffles both sides and the runtime splits hot keys.
+    """
+    return materialize(df, label)
+
+
 def materialize(df, label: str):
     """Write `df` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession

@@ -75,6 +75,13 @@ def test_plans_have_no_products(spark, name):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Exchange SinglePartition" not in plan
 
 
+@needs_tables
+@pytest.mark.parametrize("name", ["histogram", "welch_spectrum"])
+def test_measured_sides_leave_the_large_side_in_place(spark, name):
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+
+
 @needs_tables
 def test_scans_read_only_their_columns(spark):
     plan = entry.queries()["kinetic_energy"](spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -76,10 +76,11 @@ def test_plans_have_no_products(spark, name):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["histogram", "welch_spectrum"])
-def test_measured_sides_leave_the_large_side_in_place(spark, name):
+@pytest.mark.parametrize(("name", "keys"), [("histogram", ("dataset", "channel")), ("welch_spectrum", ("dataset", "name"))])
+def test_a_measured_side_leaves_the_large_one_in_place(spark, name, keys):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" not in plan
+    columns = ", ".join(rf"{k}#\d+" for k in keys)
+    assert re.search(rf"BroadcastHashJoin \[{columns}\]", plan)
 
 
 @needs_tables

@@ -29,7 +29,8 @@ def test_every_inventory_row_has_a_query():
 
 
 def test_twins_belong_to_queries_and_read_the_tables():
-    queries, twins = entry.queries(), entry.oracle_sql()
+    queries, twins = load().QUERIES, load().ORACLES
+    assert set(twins) <= set(entry.oracle_sql()) and set(queries) <= set(entry.queries())
     assert set(twins) <= set(queries) and len(twins) >= 110
     for name, sql in twins.items():
         assert re.search(r"\b(lineitem|events|embeddings)\b", sql), name
@@ -52,7 +53,7 @@ def db():
 
 
 @needs_tables
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()) if os.environ.get("GRIDTIDE_ALL") else SAMPLE)
+@pytest.mark.parametrize("name", sorted(load().ORACLES) if os.environ.get("GRIDTIDE_ALL") else SAMPLE)
 def test_query_equals_its_twin(spark, db, name):
     got = entry.queries()[name](spark, SF).toPandas()
     want = db.execute(entry.oracle_sql()[name]).df()

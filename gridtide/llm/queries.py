@@ -4,9 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridtide.llm import bpe_count, bpe_tree
-from gridtide.llm.common import table
+from gridtide.llm import bpe_count, bpe_tree, language_crf, quality_gam, toxicity_kernel
+from gridtide.llm.common import split_of, table
+
+
+def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(split_of("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    rows = table(spark, sf_dir, "documents", "doc_id", "text", "lang").where(~held)
+    model = language_crf.fit(rows)
+    found = language_crf.predict(table(spark, sf_dir, "documents", "doc_id", "text"), model)
+    return found.select("doc_id", held, "lang_pred", "score")
 
 
 def op3_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,10 +23,27 @@ def op3_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.encode_texts(docs, tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
 
 
+def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(split_of("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality_gam.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality").where(~held))
+    return quality_gam.score(docs, model).select("doc_id", held, "score", "predicted")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return bpe_count.count_tokens(docs, tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_tree_bpe, op5_token_counts)}
+def op10_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(split_of("doc_id", 3) == 1, F.lit(False)).alias("held_out")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity_kernel.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic").where(~held))
+    return toxicity_kernel.score(docs, model).select("doc_id", held, "score", "predicted")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_language_crf, op3_tree_bpe, op4_quality_gam, op5_token_counts, op10_toxicity_kernel)
+}
 ORACLES: dict[str, str] = {}

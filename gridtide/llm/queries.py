@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtide.llm import bpe_count, bpe_tree, language_crf, quality_gam, toxicity_kernel
+from gridtide.llm import bpe_count, bpe_tree, language_crf, partenum_join, quality_gam, toxicity_kernel
 from gridtide.llm.common import split_of, table
 
 
@@ -35,6 +35,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.count_tokens(docs, tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum_join.join(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(split_of("doc_id", 3) == 1, F.lit(False)).alias("held_out")
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -44,6 +48,6 @@ def op10_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_crf, op3_tree_bpe, op4_quality_gam, op5_token_counts, op10_toxicity_kernel)
+    for f in (op1_language_crf, op3_tree_bpe, op4_quality_gam, op5_token_counts, op8_partenum_join, op10_toxicity_kernel)
 }
 ORACLES: dict[str, str] = {}

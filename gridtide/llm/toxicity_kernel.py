@@ -29,13 +29,14 @@ from pyspark.sql import functions as F
 from gridtide.llm.common import Points, bounded, character_table, map_steps, one_label, texts_of
 from gridtide.llm.language_crf import lower_table
 
-TOXIC_DOCS, CLEAN_DOCS, TRAIN_CHARS = 1500, 6000, 20_000
-LANDMARKS, ROUNDS, NEGATIVES, PENALTY = 240, 3, 6_000, 3e-6
+TOXIC_DOCS, CLEAN_DOCS, TRAIN_CHARS = 1500, 4000, 20_000
+LANDMARKS, ROUNDS, NEGATIVES, PENALTY = 360, 3, 4_000, 1e-6
 DISGUISES = (".", "-", "*")
 DECAY, WINDOW, ALPHABET = 0.7, 5, 96
 #: Places of a subsequence's later signs, counted from its first.
 SHAPES = [s for k in (2, 3) for s in combinations(range(1, WINDOW), k)]
 FILTER = 1 << 20
+STEP_DOCS, STEP_WORDS = 100, 20_000
 #: Signs that stand for letters in disguised words.
 LOOK_ALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "@": "a"}
 
@@ -68,13 +69,16 @@ class Tokens:
         inside = ~blank[data]
         start, stop = _runs(inside)
         row = points.rows(start)
-        keep = np.ones(len(data), bool)
-        keep[2:] = ~(inside[2:] & (data[2:] == data[1:-1]) & (data[2:] == data[:-2]))
         if len(start):
             single = stop - start == 1
             joined = single[:-1] & single[1:] & (start[1:] - stop[:-1] == 1) & (row[1:] == row[:-1])
-            keep[stop[:-1][joined]] = False
             row = row[np.concatenate(([True], ~joined))]
+            if joined.any():
+                keep = np.ones(len(data), bool)
+                keep[stop[:-1][joined]] = False
+                data, inside = data[keep], inside[keep]
+        keep = np.ones(len(data), bool)
+        keep[2:] = ~(inside[2:] & (data[2:] == data[1:-1]) & (data[2:] == data[:-2]))
         self.data = np.concatenate(([np.uint32(10)], data[keep]))  # so that a blank stands before the first token too
         self.start, self.stop = _runs(~blank[self.data])
         self.row = row
@@ -146,6 +150,11 @@ class Model:
         size = t.stop - t.start
         return fold_sums(t, sign, self.known, self.weight) / size_of(size) * (size > 2) + self.bias
 
+    def words(self, words: list[str], sign: np.ndarray) -> np.ndarray:
+        """The value of each word; words hold no blank and more than one sign."""
+        blocks = [Tokens(["\n".join(words[i : i + STEP_WORDS])]) for i in range(0, len(words), STEP_WORDS)]
+        return np.concatenate([self.tokens(t, sign) for t in blocks]) if blocks else np.zeros(0)
+
     def texts(self, texts: list[str], sign: np.ndarray) -> np.ndarray:
         """The largest value of each text's tokens; the bias alone for a text without tokens."""
         t = Tokens(texts)
@@ -194,8 +203,8 @@ def fold_sums(t: Tokens, sign: np.ndarray, known: Known, weight: np.ndarray) ->
 
 def kernel_rows(words: list[str], sign: np.ndarray, known: Known, basis: np.ndarray) -> np.ndarray:
     """Kernel values of words (without blanks) to the landmarks, whose subsequences, normalised, are the rows of `basis`."""
-    out = np.zeros((len(words), len(basis)))
-    turned = np.ascontiguousarray(basis.T)
+    out = np.zeros((len(words), len(basis)), np.float32)
+    turned = np.ascontiguousarray(basis.T, np.float32)
     for i in range(0, len(words), 2000):
         t = Tokens([w + "\n" for w in words[i : i + 2000]])
         for places, number, decay in subsequences(t, sign, known, known.radix):
@@ -213,18 +222,24 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model | None:
     if not len(labels) or labels.min() == labels.max():
         return None
     rng = np.random.default_rng(seed)
-    # A document's tokens are those of its sentences; a clean document's sentences are all clean.
-    bags = []
-    for i in range(0, len(texts), 500):
-        t = Tokens(texts[i : i + 500])
-        words, edge = t.strings(), np.searchsorted(t.row, np.arange(len(texts[i : i + 500]) + 1))
-        bags += [sorted({w for w in words[a:b] if len(w) > 2}) for a, b in zip(edge, edge[1:], strict=False)]
     fitting = np.ones(len(labels), bool)
     for kind in (0, 1):
-        own = np.flatnonzero(labels == kind)
-        fitting[own[3::4]] = False
-    toxic = [i for i in np.flatnonzero(fitting) if labels[i] == 1 and bags[i]]
-    clean_count: Counter = Counter(w for i in np.flatnonzero(fitting & (labels == 0)) for w in bags[i])
+        fitting[np.flatnonzero(labels == kind)[3::4]] = False
+    # A document's tokens are those of its sentences; a clean document's sentences are all clean.
+    bags: dict[int, list[str]] = {}
+    clean_count: Counter = Counter()
+    chosen = np.flatnonzero(fitting)
+    for i in range(0, len(chosen), STEP_DOCS):
+        part = chosen[i : i + STEP_DOCS]
+        t = Tokens([texts[j] for j in part])
+        words, edge = t.strings(), np.searchsorted(t.row, np.arange(len(part) + 1))
+        for j, a, b in zip(part.tolist(), edge, edge[1:], strict=False):
+            bag = {w for w in words[a:b] if len(w) > 2}
+            if not labels[j]:
+                clean_count.update(bag)
+            elif bag:
+                bags[j] = sorted(bag)
+    toxic = list(bags)
     toxic_count: Counter = Counter(w for i in toxic for w in bags[i])
     n_toxic, n_clean = max(1, len(toxic)), max(1, int((fitting & (labels == 0)).sum()))
 
@@ -237,20 +252,20 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model | None:
     half = NEGATIVES // 2
     rest = clean[half:]
     negative = clean[:half] + ([rest[j] for j in np.sort(rng.choice(len(rest), min(half, len(rest)), replace=False))] if rest else [])
-    model, known, every = None, set(negative), Tokens([" ".join(clean)])
-    clean_words = every.strings()
-    own = [Tokens([" ".join(bags[i])]) for i in toxic]
+    known, closest = set(negative), []
     for _ in range(ROUNDS):
-        model = _machine(sorted(set(witness)), negative, Counter(witness), rng)
+        model = _machine(sorted(set(witness)), negative, closest, Counter(witness), rng)
         sign = model.table
-        witness = [t.strings()[int(model.tokens(t, sign).argmax())] for t in own]
-        values = model.tokens(every, sign)
-        close = [clean_words[j] for j in np.argsort(-values, kind="stable")[:NEGATIVES] if values[j] > -1.0 and clean_words[j] not in known]
+        witness = [bags[i][int(model.words(bags[i], sign).argmax())] for i in toxic]
+        values = model.words(clean, sign)
+        close = [clean[j] for j in np.argsort(-values, kind="stable")[:NEGATIVES] if values[j] > -1.0 and clean[j] not in known]
+        closest += [clean[j] for j in np.argsort(-values, kind="stable")[: LANDMARKS // 8]]
         known.update(close)
         negative += close
-    model = _machine(sorted(set(witness)), negative, Counter(witness), rng)
+    model = _machine(sorted(set(witness)), negative, closest, Counter(witness), rng)
     sign = model.table
-    model.slope, model.offset = _curve(model.texts(texts, sign), labels)
+    worst = [model.texts(texts[i : i + STEP_DOCS], sign) for i in range(0, len(texts), STEP_DOCS)]
+    model.slope, model.offset = _curve(np.concatenate(worst), labels)
     return model
 
 
@@ -258,13 +273,14 @@ def _disguised(words: list[str], rng) -> list[str]:
     return [DISGUISES[k].join(w) for w, k in zip(words, rng.integers(0, len(DISGUISES), len(words)), strict=True)]
 
 
-def _machine(positive: list[str], negative: list[str], weight_of: Counter, rng) -> Model:
+def _machine(positive: list[str], negative: list[str], closest: list[str], weight_of: Counter, rng) -> Model:
     hidden = _disguised(positive, rng), _disguised([w for w in negative[:: max(1, len(negative) // 2000)] if len(w) < 16], rng)
     letters = Counter(c for w in positive + negative for c in w)
     points = sorted({" ", *(c for c, _ in letters.most_common(ALPHABET - 2) if not c.isspace())})
     radix = len(points) + 1
-    common = [w for w, _ in weight_of.most_common(LANDMARKS * 2 // 3)]
-    others = [negative[j] for j in np.sort(rng.choice(len(negative), min(LANDMARKS // 3, len(negative)), replace=False))] if negative else []
+    common = [w for w, _ in weight_of.most_common(LANDMARKS // 2)]
+    others = list(closest)
+    others += [negative[j] for j in np.sort(rng.choice(len(negative), min(LANDMARKS // 8, len(negative)), replace=False))] if negative else []
     marks = list(dict.fromkeys(common + others))
     model = Model(np.array([ord(c) for c in points]), None, np.zeros(0), 0.0, 1.0, 0.0)
     sign = model.table
@@ -280,7 +296,10 @@ def _machine(positive: list[str], negative: list[str], weight_of: Counter, rng)
 
     words = positive + hidden[0] + negative + hidden[1]
     target = np.repeat([1.0, 1.0, -1.0, -1.0], [len(positive), len(positive), len(negative), len(hidden[1])])
-    share = np.where(target > 0, 0.5 / max(1, (target > 0).sum()), 0.5 / max(1, (target < 0).sum()))
+    often = np.sqrt([weight_of[w] for w in positive])
+    share = np.concatenate((often, np.full(len(positive), 0.5), np.ones(len(negative)), np.full(len(hidden[1]), 0.5)))
+    for kind in (target > 0, target < 0):
+        share[kind] *= 0.5 / max(1e-9, share[kind].sum())
     beta, bias = _squared_hinge(kernel_rows(words, sign, known, basis) @ whiten, target, share)
     model.known, model.weight, model.bias = known, basis.T @ (whiten @ beta), float(bias)
     return model
@@ -324,7 +343,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     known = one_label(labels, "toxic")
     chosen = bounded(known.where("label = 1"), "doc_id", TOXIC_DOCS).unionByName(bounded(known.where("label = 0"), "doc_id", CLEAN_DOCS))
     texts = docs.select("doc_id", "text").where(f"text is not null and length(text) <= {TRAIN_CHARS}")
-    rows = texts.join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["doc_id", "text"])  # at most about 7,500 labels
+    rows = texts.join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["doc_id", "text"])  # at most about 5,500 labels
     return train(rows["text"].tolist(), rows["label"].tolist())
 
 

@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtide.llm import bpe_count, bpe_tree, language_crf, partenum_join, quality_gam, toxicity_kernel
+from gridtide.llm import bpe_count, bpe_tree, language_crf, partenum_join, quality_gam, suffix_search, toxicity_kernel
 from gridtide.llm.common import split_of, table
 
 
@@ -35,6 +35,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.count_tokens(docs, tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_suffix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
+    return suffix_search.report(docs, items)
+
+
 def op8_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum_join.join(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -48,6 +53,51 @@ def op10_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_crf, op3_tree_bpe, op4_quality_gam, op5_token_counts, op8_partenum_join, op10_toxicity_kernel)
+    for f in (op1_language_crf, op3_tree_bpe, op4_quality_gam, op5_token_counts, op6_suffix_search, op8_partenum_join, op10_toxicity_kernel)
+}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    "op6_suffix_search": rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT item_id, w, least(len(w), 10) AS l
+  FROM (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL)
+  WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item_id, l, array_to_string(w[i : i + l - 1], ' ') AS win
+  FROM (SELECT item_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM items)
+), texts AS (
+  SELECT r, i, l, array_to_string(w[i : i + l - 1], ' ') AS win
+  FROM (SELECT r, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM docs, (SELECT DISTINCT l FROM windows) WHERE len(w) >= l)
+), hits AS (
+  SELECT r, i, l, item_id FROM texts JOIN windows USING (l, win)
+), covered AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, i + unnest(range(0, l)) AS p FROM (SELECT DISTINCT r, i, l FROM hits)) GROUP BY r
+), named AS (
+  SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM hits) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (r) LEFT JOIN named USING (r)""",
+    "op8_partenum_join": rf"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+           ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
+  FROM texts
+), shingles AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets
+), links AS (
+  SELECT a.doc_id AS p, b.doc_id AS q FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (max(a.n) + max(b.n) - count(*))
+), edges AS (
+  SELECT p, q FROM links UNION ALL SELECT q, p FROM links
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT reach.a, edges.q FROM reach JOIN edges ON reach.b = edges.p
+)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id
+FROM sets JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)""",
 }
-ORACLES: dict[str, str] = {}

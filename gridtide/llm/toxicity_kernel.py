@@ -281,7 +281,7 @@ def _machine(positive: list[str], negative: list[str], closest: list[str], weigh
     common = [w for w, _ in weight_of.most_common(LANDMARKS // 2)]
     others = list(closest)
     others += [negative[j] for j in np.sort(rng.choice(len(negative), min(LANDMARKS // 8, len(negative)), replace=False))] if negative else []
-    marks = list(dict.fromkeys(common + others))
+    marks = list(dict.fromkeys(common + _disguised(common[: LANDMARKS // 16], rng) + others))
     model = Model(np.array([ord(c) for c in points]), None, np.zeros(0), 0.0, 1.0, 0.0)
     sign = model.table
     t = Tokens([w + "\n" for w in marks])
@@ -297,7 +297,7 @@ def _machine(positive: list[str], negative: list[str], closest: list[str], weigh
     words = positive + hidden[0] + negative + hidden[1]
     target = np.repeat([1.0, 1.0, -1.0, -1.0], [len(positive), len(positive), len(negative), len(hidden[1])])
     often = np.sqrt([weight_of[w] for w in positive])
-    share = np.concatenate((often, np.full(len(positive), 0.5), np.ones(len(negative)), np.full(len(hidden[1]), 0.5)))
+    share = np.concatenate((often, 0.1 * often, np.ones(len(negative)), np.full(len(hidden[1]), 0.5)))
     for kind in (target > 0, target < 0):
         share[kind] *= 0.5 / max(1e-9, share[kind].sum())
     beta, bias = _squared_hinge(kernel_rows(words, sign, known, basis) @ whiten, target, share)
@@ -325,14 +325,14 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, share: np.ndarray, turns: int =
 def _curve(worst: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the logistic curve.
 
-    It has its middle in the widest gap among the cuts with the fewest errors, a toxic and a clean one each weighing by
-    the other kind's number, and 0.95 at that gap's upper edge. A few wrong labels don't flatten it, as a likelihood would.
+    It has its middle in the widest gap among the cuts with nearly the fewest errors, each kind counting as a whole, and
+    0.95 at that gap's upper edge. A few wrong labels don't flatten it, as a likelihood would.
     """
     order = np.argsort(worst, kind="stable")
     value, toxic = worst[order], labels[order] == 1
     missed, flagged = np.cumsum(toxic) / toxic.sum(), 1 - np.cumsum(~toxic) / (~toxic).sum()
     errors = (missed + flagged)[:-1]
-    gap = np.where(errors <= errors.min() + 1e-12, np.diff(value), -1.0)
+    gap = np.where(errors <= errors.min() + 0.002, np.diff(value), -1.0)
     at = int(gap.argmax())
     slope = np.log(19) / max((value[at + 1] - value[at]) / 2, 0.05)
     return float(slope), float(-slope * (value[at] + value[at + 1]) / 2)

@@ -6,8 +6,9 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtide.llm import bpe_count, bpe_tree, language_crf, partenum_join, quality_gam, suffix_search, toxicity_kernel
+from gridtide.llm import bpe_count, bpe_tree, language_crf, multi_index, partenum_join, quality_gam, suffix_search, toxicity_kernel, warc_writer
 from gridtide.llm.common import split_of, table
+from gridtide.session import work_path
 
 
 def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +19,14 @@ def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held, "lang_pred", "score")
 
 
+def op2_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_path(spark, "warc")
+    warc_writer.write(table(spark, sf_dir, "pages", "page_id", "url", "html"), folder)
+    return warc_writer.read(spark, folder).select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op3_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return bpe_tree.encode_texts(docs, tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
@@ -40,6 +49,10 @@ def op6_suffix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_search.report(docs, items)
 
 
+def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op8_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum_join.join(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -53,11 +66,27 @@ def op10_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_crf, op3_tree_bpe, op4_quality_gam, op5_token_counts, op6_suffix_search, op8_partenum_join, op10_toxicity_kernel)
+    for f in (op1_language_crf, op2_warc_writer, op3_tree_bpe, op4_quality_gam, op5_token_counts, op6_suffix_search, op7_multi_index, op8_partenum_join, op10_toxicity_kernel)
 }
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
+    "op2_warc_writer": """
+WITH rows AS (
+  SELECT page_id, coalesce(html, '') AS body FROM pages
+), named AS (
+  SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS hex,
+         CASE WHEN page_id IS NOT NULL THEN max(page_id) OVER (PARTITION BY body) END AS original
+  FROM rows
+), digits AS (
+  SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(hex, 5 * i + 1, 5))::BIGINT) AS parts FROM named
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((parts[j // 4 + 1] >> (15 - 5 * (j % 4))) % 32 + 1)::BIGINT, 1)), '') AS payload_digest,
+       CASE WHEN page_id < original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < original THEN original END AS refers_to
+FROM digits""",
     "op6_suffix_search": rf"""
 WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents

@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtide.llm import bpe_count, bpe_tree, language_crf, multi_index, partenum_join, quality_gam, suffix_search, toxicity_kernel, warc_writer
+from gridtide.llm import bpe_count, bpe_tree, language_crf, multi_index, partenum_join, pseudo_likelihood, quality_gam, suffix_search, toxicity_kernel, warc_writer
 from gridtide.llm.common import split_of, table
 from gridtide.session import work_path
 
@@ -57,6 +57,11 @@ def op8_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum_join.join(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return pseudo_likelihood.score(docs, *pseudo_likelihood.fit(docs))
+
+
 def op10_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(split_of("doc_id", 3) == 1, F.lit(False)).alias("held_out")
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -66,7 +71,7 @@ def op10_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_crf, op2_warc_writer, op3_tree_bpe, op4_quality_gam, op5_token_counts, op6_suffix_search, op7_multi_index, op8_partenum_join, op10_toxicity_kernel)
+    for f in (op1_language_crf, op2_warc_writer, op3_tree_bpe, op4_quality_gam, op5_token_counts, op6_suffix_search, op7_multi_index, op8_partenum_join, op9_pseudo_likelihood, op10_toxicity_kernel)
 }
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -121,16 +121,20 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(sound).groupBy("id").agg(F.min("v").alias("v"))
 
 
+def common_length(rows: DataFrame) -> tuple[int, int]:
+    """The commonest length of the vectors and how many have it."""
+    size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    return (size["d"], size["count"]) if size else (0, 0)
+
+
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the `k` nearest of each row whose id is divisible by `every`."""
     spark = vectors.sparkSession
     rows = stored(usable(vectors, key, vector), "vectors")
     result = f"query_id bigint, rank int, {key} bigint, score double"
-    sizes = rows.groupBy(F.size("v").alias("d")).count().collect()
-    if not sizes:
+    d, n = common_length(rows)
+    if not n:
         return spark.createDataFrame([], result)
-    size = max(sizes, key=lambda r: (r["count"], r["d"]))
-    d, n = size["d"], size["count"]
     rows = rows.where(F.size("v") == d)
     largest = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()[0] * (1 + 1e-12)
     sample = matrix(bounded(rows, "id", SAMPLE).select("v").toArrow().column("v"))
@@ -163,7 +167,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id
 
 def recall(found: DataFrame, vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> float:
     """Share of the true neighbours found, by brute force on the driver: for small tables."""
-    table = usable(vectors, key, vector).toArrow()
+    rows = usable(vectors, key, vector)
+    table = rows.where(F.size("v") == common_length(rows)[0]).toArrow()
     ids, x = table.column("id").to_numpy(), matrix(table.column("v"))
     got = {(r["query_id"], r[key]) for r in found.select("query_id", key).collect()}
     hit = total = 0

@@ -12,12 +12,12 @@ def connected(links: DataFrame) -> DataFrame:
     """(node, component) for every end of a link (a, b); a component is named by its smallest node.
 
     Large-star and small-star steps in turn until no link changes: each node's links are re-hung to the smallest of its
-    neighbours. The rounds grow with the logarithm of the longest chain, and every step is written, so none is redone.
+    neighbours. The rounds grow with the logarithm of the longest chain, and each is written, so none is redone.
     """
     edges = stored(_both_ways(links).where("u > v").distinct(), "edges")
     seen = None
     while True:
-        edges = stored(_small_star(stored(_large_star(edges), "large")), "small")
+        edges = stored(_small_star(_large_star(edges)), "stars")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break

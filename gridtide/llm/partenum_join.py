@@ -7,14 +7,14 @@ are dealt by hash to n1 parts of n2 cells; a part whose share of the distance is
 every choice of n2 - k2 cells of every part gives a signature, and similar sets share one.
 
 Cells may be nearly empty, and their signatures common to many texts. Each level with many parts has E more parts than the
-distance needs, so at least E + 1 parts qualify, and each set leaves out its E / 2 parts of fewest shingles: a pair can lose
+distance needs, so at least E + 1 parts qualify, and each set leaves out the E / 2 parts that say least about it: a pair can lose
 at most E of its qualifying parts, and still shares a signature. No signature is left out for being common.
 
-Equal sets are one class from the start. Signatures that several classes have give candidate pairs, whose similarity is
-then counted exactly. Of a group of at most `SMALL` classes all pairs across components are candidates. In larger ones a
-pivot meets all other members, and linked ones merge into components. From then on only classes outside the group's largest
-component become pivots, up to about `SMALL` in a round, until the group is one component or all of them have met the rest:
-copies of one text need one round, and no link between components is missed.
+Equal sets are one class from the start. Classes that share signatures, directly or by way of others, form a cluster, found
+by star steps over (class, least class of the signature). A cluster of at most `BLOCK` classes is compared in one task, which
+counts the exact similarity of a class with all those that aren't yet in its component, so copies of one text cost one
+comparison each. A larger cluster is first compared with its class of most shared signatures; what isn't linked to that one
+meets all of the cluster in blocks of bounded size. Tasks give links that join components, never all pairs of a group.
 
 Shingles are compared by 64-bit hashes of the hashes of their words. Null texts and texts without words have an empty set,
 size 0, and are linked with nothing. Rows with a null key have a null component and link nothing. Rows with the same key
@@ -24,7 +24,7 @@ count as one text each, linked by nothing else than their texts. Only the two na
 from __future__ import annotations
 
 from functools import lru_cache
-from itertools import combinations, count
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from gridtide.llm.common import Bytes, map_steps, mix, stored
 from gridtide.llm.components import connected
 
-SMALL = 24
-SIZE_STEP = 1.25
+BLOCK, ASKING = 1024, 512
+SIZE_STEP = 1.4
 
 
 def word_bytes() -> np.ndarray:
@@ -95,9 +95,9 @@ def parameters(high: int, permille: int) -> tuple[int, int, int, int]:
     if k < 4:
         return (1, *((1, 0), (3, 1), (5, 2), (6, 3))[k], 0)
     # Small sets of low similarity have few shingles per part: larger parts, more choices of cells.
-    n2, k2 = (5, 2) if permille < 850 and k <= 20 else (3, 1)
+    n2, k2 = (5, 2) if k <= 20 and permille < 900 else (2, 1) if k > 16 and permille >= 900 else (3, 1)
     needed = k // (k2 + 1) + 1
-    spare = max(1, needed // 8)
+    spare = needed // 10
     return needed + 2 * spare, n2, k2, spare
 
 
@@ -114,7 +114,9 @@ def signatures(hashes: np.ndarray, permille: int) -> np.ndarray:
         sums = sums.reshape(n1, n2)
         kept = np.arange(n1)
         if left_out:
-            kept = np.sort(np.argsort(np.bincount(part.astype(np.int64), minlength=n1), kind="stable")[left_out:])
+            # The weakest parts are those whose poorest choice of cells has the fewest shingles.
+            filled = np.sort(np.bincount(place, minlength=n1 * n2).reshape(n1, n2), axis=1)[:, : n2 - k2].sum(1)
+            kept = np.sort(np.argsort(filled, kind="stable")[left_out:])
         for t, cells in enumerate(combinations(range(n2), n2 - k2)):
             code = np.zeros(len(kept), np.uint64)
             for c in cells:
@@ -161,23 +163,114 @@ def _sets(docs: DataFrame, text: str, n: int) -> DataFrame:
     return map_steps(docs.select(text), text, "low bigint, high bigint, n_shingles bigint, hashes binary", lambda: do)
 
 
-def _similar(pairs: DataFrame, permille: int) -> DataFrame:
-    """Of (a, b, left, right) the pairs (a, b) whose sets have at least the similarity."""
+class _Sets:
+    """Some sets with their elements numbered, for counting what one set has in common with all of them."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.size = np.array([len(x) for x in sets])
+        self.begin = np.cumsum(self.size) - self.size
+        values, self.number = np.unique(np.concatenate(sets), return_inverse=True)
+        self.marked = np.zeros(len(values), bool)
+
+    def linked(self, i: int, others: np.ndarray, permille: int) -> np.ndarray:
+        """Which of `others` set i is linked with."""
+        own = self.number[self.begin[i] : self.begin[i] + self.size[i]]
+        self.marked[own] = True
+        size = self.size[others]
+        at = np.repeat(self.begin[others] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        both = np.add.reduceat(self.marked[self.number[at]].astype(np.int64), np.cumsum(size) - size)
+        self.marked[own] = False
+        return 1000 * both >= permille * (size + self.size[i] - both)
+
+
+def _components(sets: list[np.ndarray], permille: int, asking: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Labels after each set of `asking` has met all sets that bear another label, and the links that joined labels."""
+    own, joins = _Sets(sets), []
+    for i in asking:
+        others = np.flatnonzero(label != label[i])
+        # Only sizes within the ratio can be linked.
+        size = own.size[others]
+        others = others[(1000 * size >= permille * own.size[i]) & (1000 * own.size[i] >= permille * size)]
+        if len(others):
+            for j in others[own.linked(i, others, permille)]:
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    joins.append((int(i), int(j)))
+    return label, joins
+
+
+def _small_clusters(members: DataFrame, permille: int) -> DataFrame:
+    """(class, component) for clusters of at most `BLOCK` classes; each is whole in one task, its rows in a row."""
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("left"), batch.column("right"), strict=True):
-                u, v = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                small, large = sorted((u, v), key=len)
-                at = np.searchsorted(large, small)
-                both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                good.append(1000 * both >= permille * (len(u) + len(v) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        def flush(classes, sets):
+            label, _ = _components(sets, permille, np.arange(len(sets)), np.arange(len(sets)))
+            names = np.array(classes, np.int64)
+            least = np.full(len(sets), np.iinfo(np.int64).max)
+            np.minimum.at(least, label, names)
+            return pa.RecordBatch.from_arrays([pa.array(names), pa.array(least[label])], names=["class", "component"])
 
-    return pairs.mapInArrow(run, pairs.select("a", "b").schema)
+        held, classes, sets = None, [], []
+        for batch in batches:
+            for cluster, name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if cluster != held and classes:
+                    yield flush(classes, sets)
+                    classes, sets = [], []
+                held = cluster
+                classes.append(name)
+                sets.append(np.frombuffer(raw.as_py(), np.uint64))
+        if classes:
+            yield flush(classes, sets)
+
+    dealt = members.select("cluster", "class", "hashes").repartition("cluster").sortWithinPartitions("cluster", "class")
+    return dealt.mapInArrow(run, "class bigint, component bigint")
+
+
+def _large_links(members: DataFrame, degree: DataFrame, permille: int) -> DataFrame:
+    """Links (a, b) that join all components of clusters of more than `BLOCK` classes."""
+    import pyarrow as pa
+
+    # The class that shares most signatures stands in the middle of its cluster, and most others are linked to it.
+    weighed = members.join(degree, "class")
+    middle = weighed.groupBy("cluster").agg(F.max_by(F.struct("class", "hashes"), F.struct("degree", "class")).alias("middle"))
+    beside = members.join(middle.select("cluster", F.col("middle.class").alias("pivot"), F.col("middle.hashes").alias("pivot_set")), "cluster")
+
+    def meet(batches):
+        for batch in batches:
+            near = []
+            for raw, pivot in zip(batch.column("hashes"), batch.column("pivot_set"), strict=True):
+                u, v = (np.frombuffer(z.as_buffer(), np.uint64) for z in (raw, pivot))
+                both = int(np.isin(u, v, assume_unique=True).sum())
+                near.append(1000 * both >= permille * (len(u) + len(v) - both))
+            kept = [batch.column(c) for c in ("cluster", "class", "pivot", "hashes")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(near, pa.bool_())], names=["cluster", "class", "pivot", "hashes", "near"])
+
+    met = stored(beside.mapInArrow(meet, "cluster bigint, class bigint, pivot bigint, hashes binary, near boolean"), "met")
+    sizes = met.groupBy("cluster").agg(F.count("*").alias("all"), F.sum(F.when(F.col("near"), 0).otherwise(1)).alias("far"))
+    sizes = stored(sizes.where("far > 0").select("cluster", F.ceil(F.col("all") / BLOCK).alias("blocks"), F.ceil(F.col("far") / ASKING).alias("asks")), "sizes")
+    dealt = met.join(sizes, "cluster")
+    spread = F.pmod(F.xxhash64("class"), F.col("blocks")), F.pmod(F.xxhash64("class", F.lit(1)), F.col("asks"))
+    far, every = F.expr("explode(sequence(0L, blocks - 1))"), F.expr("explode(sequence(0L, asks - 1))")
+    asked = dealt.select("cluster", "class", "hashes", "near", spread[0].alias("block"), every.alias("ask"))
+    asking = dealt.where(~F.col("near")).select("cluster", "class", "hashes", spread[1].alias("ask"), far.alias("block"))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        first, second = left.column("class").to_pylist(), right.column("class").to_pylist()
+        sets = [np.frombuffer(x, np.uint64) for x in left.column("hashes").to_pylist() + right.column("hashes").to_pylist()]
+        names, label = first + second, np.arange(len(sets))
+        # Copies of one class on both sides bear one label, and so do all that are linked to the middle.
+        place = {name: i for i, name in enumerate(first)}
+        for j, (name, near) in enumerate(zip(second, right.column("near").to_pylist(), strict=True)):
+            label[len(first) + j] = place.get(name, -1 if near else len(first) + j)
+        _, joins = _components(sets, permille, np.arange(len(first)), label) if first and second else (None, [])
+        return pa.table({"a": pa.array([names[i] for i, _ in joins], pa.int64()), "b": pa.array([names[j] for _, j in joins], pa.int64())})
+
+    keys = ["cluster", "block", "ask"]
+    asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])
+    found = asking.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(compare, "a bigint, b bigint")
+    return found.unionByName(met.where("near and class <> pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b")))
 
 
 def join(docs: DataFrame, n: int = 3, permille: int = 900, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -185,62 +278,29 @@ def join(docs: DataFrame, n: int = 3, permille: int = 900, key: str = "doc_id",
 
     Two texts are linked when their sets' Jaccard similarity is at least `permille` thousandths.
     """
-    rows = stored(_hashed(docs, key, text, n, permille), "sets").withColumnRenamed(key, "id")
+    rows = stored(_hashed(docs, key, text, n, permille), "sets").withColumnRenamed(key, "id").withColumn("class", _class())
     filled = rows.where("n_shingles > 0 and id is not null")
-    classes = stored(filled.groupBy(*SAME).agg(F.min("id").alias("least"), F.max("signs").alias("signs")).withColumn("class", _class()), "classes")
-    owners = classes.select("class", F.explode("signs").alias("sign"))
-    shared = owners.groupBy("sign").agg(F.count("*").alias("size")).where("size > 1").select("sign")
-    groups = stored(owners.join(shared, "sign", "left_semi"), "groups")
-    # The sets of the classes in groups, from one text of each: that of its smallest key, read again.
-    wanted = classes.join(groups.select("class").distinct(), "class", "left_semi").select("class", F.col("least").alias(key))
-    texts = docs.select(key, text).join(wanted.select(key).distinct(), key, "left_semi")
-    sets = _sets(texts, text, n).select(_class(), "hashes").groupBy("class").agg(F.first("hashes").alias("hashes"))
-    component = _link_groups(groups, stored(sets, "members"), permille)
-    named = classes.select(*SAME, "class", "least").join(component, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    owners = filled.select("class", F.explode("signs").alias("sign"))
+    shared = stored(owners.groupBy("sign").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most"), "signs")
+    groups = stored(owners.join(shared.select("sign", "least"), "sign").groupBy("class", "least").agg(F.count("*").alias("degree")), "groups")
+    clusters = connected(groups.where("class <> least").select("class", "least")).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
+    clusters = stored(clusters, "clusters")
+    # The sets of the classes in clusters, from one text of each: that of its smallest key, read again.
+    wanted = filled.join(clusters.select("class"), "class", "left_semi").groupBy("class").agg(F.min("id").alias(key)).select(key).distinct()
+    sets = _sets(docs.select(key, text).join(wanted, key, "left_semi"), text, n).select(_class(), "hashes")
+    sets = sets.groupBy("class").agg(F.first("hashes").alias("hashes"))
+    size = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
+    members = stored(sets.join(clusters.join(size, "cluster"), "class"), "members")
+    component = _small_clusters(members.where(f"size <= {BLOCK}"), permille)
+    if not size.where(f"size > {BLOCK}").isEmpty():
+        degree = groups.groupBy("class").agg(F.sum("degree").alias("degree"))
+        links = stored(_large_links(members.where(f"size > {BLOCK}").drop("size"), degree, permille), "links")
+        component = component.unionByName(connected(links).select(F.col("node").alias("class"), "component"))
+    # A component's name is the smallest key of all its rows.
+    named = filled.groupBy("class").agg(F.min("id").alias("least")).join(component, "class", "left")
+    named = named.withColumn("component", F.coalesce("component", "class"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    member = stored(named.join(names, "component").select(*SAME, "component_id"), "components")
-    joined = rows.join(member, SAME, "left")
-    own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    member = stored(named.join(names, "component").select("class", "component_id"), "components")
+    joined = rows.select("id", "n_shingles", "class").join(member, "class", "left")
+    own = F.when(F.col("id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")))
     return joined.select(F.col("id").alias(key), "n_shingles", own.alias("component_id"))
-
-
-def _link_groups(groups: DataFrame, sets: DataFrame, permille: int) -> DataFrame:
-    """(class, component) of the classes that are linked to another one; `groups` has (sign, class)."""
-    spark = groups.sparkSession
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    component = spark.createDataFrame([], "class bigint, component bigint")
-    for turn in count():
-        named = groups.join(component, "class", "left").select("sign", "class", F.coalesce("component", "class").alias("own"))
-        parts = named.groupBy("sign", "own").agg(F.count("*").alias("size"), F.min("class").alias("least"))
-        group = parts.groupBy("sign").agg(
-            F.sum("size").alias("size"), F.count("*").alias("parts"), F.max_by("own", F.struct("size", "own")).alias("home"),
-        ).where("parts > 1")
-        named = stored(named.join(group, "sign"), f"round-{turn}")
-        if named.isEmpty():
-            return component
-        small, large = named.where(f"size <= {SMALL}"), named.where(f"size > {SMALL}")
-        left = small.select("sign", F.col("class").alias("a"), F.col("own").alias("own_a"))
-        right = small.select("sign", F.col("class").alias("b"), F.col("own").alias("own_b"))
-        pairs = left.join(right, "sign").where("a < b and own_a <> own_b").select("a", "b")
-        # Pivots of large groups: at first one class, later one of about SMALL components outside the largest.
-        outside = large.where("own <> home")
-        if turn == 0:
-            pivots = outside.groupBy("sign").agg(F.min("class").alias("pivot"), F.min_by("own", "class").alias("own_pivot"))
-        else:
-            chosen = F.pmod(F.xxhash64("own", F.lit(turn)), F.ceil(F.col("parts") / SMALL)) == 0
-            pivots = outside.where(chosen).groupBy("sign", F.col("own").alias("own_pivot")).agg(F.min("class").alias("pivot"))
-        pivots = stored(pivots, f"pivots-{turn}")
-        spokes = large.join(pivots, "sign").where("own <> own_pivot")
-        spokes = spokes.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b"))
-        pairs = pairs.unionByName(spokes).distinct()
-        first = pairs.join(sets.select(F.col("class").alias("a"), F.col("hashes").alias("left")), "a")
-        both = first.join(sets.select(F.col("class").alias("b"), F.col("hashes").alias("right")), "b")
-        found = _similar(both.select("a", "b", "left", "right"), permille)
-        links = stored(links.unionByName(found), f"links-{turn}")
-        component = connected(links).select(F.col("node").alias("class"), "component")
-        # A pivot has met all of its group.
-        met = pivots.select("sign", F.col("pivot").alias("class"))
-        groups = stored(large.join(met, ["sign", "class"], "left_anti").select("sign", "class"), f"rest-{turn}")
-        if groups.isEmpty():
-            return component
-    return component

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -128,13 +128,21 @@ def long_dft(rows: DataFrame, keys: list[str]) -> DataFrame:
     return back.select(*keys, F.col("k").cast("int").alias("k"), re.alias("re"), im.alias("im"))
 
 
+def at_most(column: str, longest: int) -> Column:
+    """True; a row beyond the caller's bound fails the job."""
+    said = F.concat(F.lit(f"{column} exceeds the bound of {longest}: "), F.col(column).cast("string"))
+    return F.when(F.col(column) <= longest, F.lit(True)).otherwise(F.raise_error(said).cast("boolean"))
+
+
 def dft(rows: DataFrame, keys: list[str], limit: int = DIRECT_LIMIT, longest: int | None = None):
     """(keys, k, re, im) of rows (keys, n, t, re, im); n is each key's length.
 
-    `longest` is a known bound on n; without it one small aggregation looks the lengths up.
+    `longest` is a known bound on n, and a longer key fails the job; without it one small aggregation looks the lengths up.
     """
     if longest is None:
         longest = rows.agg(F.max("n").alias("n")).first().n or 0
+    else:
+        rows = rows.filter(at_most("n", longest))
     if longest <= limit:
         return _short(rows, keys, _fft)
     short = _short(rows.filter(F.col("n") <= limit), keys, _fft)

@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridtide.functions.batches import map_stacks, stacks, sums_by_key
-from gridtide.functions.fourier import split_fft
+from gridtide.functions.fourier import at_most, split_fft
 from gridtide.functions.layout import halo_blocks
 from gridtide.operators.spectra import series_lengths
 from gridtide.operators.stats import fluctuation
@@ -78,10 +78,10 @@ def field_autocorrelation(
 
 
 def _normalized(sums: DataFrame, keys: list[str]) -> DataFrame:
-    """Unbiased sums over lag 0's."""
+    """Unbiased sums over lag 0's; a key has at most as many rows as there are lags."""
     cov = sums.withColumn("c", F.col("s") / (F.col("n_steps") - F.col("lag")))
-    zero = cov.filter("lag = 0").select(*keys, F.col("c").alias("c0"))
-    return cov.join(zero, keys).select(*keys, "n_steps", "lag", (F.col("c") / F.col("c0")).alias("rho"))
+    zero = F.max(F.when(F.col("lag") == 0, F.col("c"))).over(Window.partitionBy(*keys))
+    return cov.select(*keys, "n_steps", "lag", (F.col("c") / zero).alias("rho"))
 
 
 def series_autocorrelation(
@@ -92,23 +92,28 @@ def series_autocorrelation(
     Series up to `limit` steps are one array each; longer ones go through a zero-padded
     power-of-two transform that is split over tasks.
     """
+    # Lag 0 is the variance, so no product has to be looked up among the sums.
     facts = measured(
-        series.groupBy(*keys).agg(F.count("*").cast("int").alias("n_steps"), F.avg("value").alias("_mean")),
+        series.groupBy(*keys).agg(
+            F.count("*").cast("int").alias("n_steps"), F.avg("value").alias("_mean"), F.var_pop("value").alias("c0")
+        ),
         "series",
     )
     centred = series.join(facts, keys).withColumn("v", F.col("value") - F.col("_mean"))
     if longest is None:
         longest = facts.agg(F.max("n_steps").alias("n")).first().n or 0
+    else:
+        centred = centred.filter(at_most("n_steps", longest))
     short = centred.filter(F.col("n_steps") <= limit)
-    packed = short.groupBy(*keys, "n_steps").agg(
+    packed = short.groupBy(*keys, "n_steps", "c0").agg(
         F.array_sort(F.collect_list(F.struct("t", "v"))).alias("s")
-    ).select(*keys, "n_steps", F.col("s.v").alias("v"))
+    ).select(*keys, "n_steps", "c0", F.col("s.v").alias("v"))
 
     @F.pandas_udf("array<double>")
     def lags(values: pd.Series) -> pd.Series:
         return map_stacks(values, lambda rows: _lag_sums(rows, rows.shape[1], rows.shape[1] // 3))
 
-    sums = packed.select(*keys, "n_steps", F.posexplode(lags("v")).alias("lag", "s"))
+    sums = packed.select(*keys, "n_steps", "c0", F.posexplode(lags("v")).alias("lag", "s"))
     if longest > limit:
         m = F.pow(F.lit(2.0), F.ceil(F.log2(2 * F.col("n_steps")))).cast("long")
         long = centred.filter(F.col("n_steps") > limit).select(
@@ -120,9 +125,10 @@ def series_autocorrelation(
         )
         back = split_fft(power, keys, inverse=True).join(facts, keys).filter("k <= n_steps div 3")
         sums = sums.unionByName(
-            back.select(*keys, "n_steps", F.col("k").cast("int").alias("lag"), F.col("re").alias("s"))
+            back.select(*keys, "n_steps", "c0", F.col("k").cast("int").alias("lag"), F.col("re").alias("s"))
         )
-    return _normalized(sums, keys)
+    rho = F.col("s") / (F.col("n_steps") - F.col("lag")) / F.when(F.col("c0") > 0, F.col("c0"))
+    return sums.select(*keys, "n_steps", "lag", rho.alias("rho"))
 
 
 def decorrelation(acf: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ distributed. What one task decomposes is the short axis squared, refused above `
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from gridtide.session import materialize
+
 MAX_WIDTH = 8192
 FLUSH_BYTES = 64 << 20
 # Fixed value: singular values below this share of the largest count as zero.
@@ -124,11 +127,23 @@ def eigenbasis(
 def wide_eigenbasis(
     rows: DataFrame, key: str, rank: int, tolerance: float = RELATIVE_TOLERANCE
 ) -> DataFrame:
-    """`eigenbasis` of one matrix whose short axis is too wide to square in a task.
+    """`eigenbasis` of matrices whose short axis is too wide to square in a task, one job per key.
 
     Lanczos iterations multiply the distributed rows by one vector at a time. The driver keeps
-    `rank` vectors over the short axis and nothing else.
+    `rank` vectors over the short axis of one fit at a time; a fit's result is written before the next.
     """
+    fits = sorted(r[0] for r in rows.select(key).distinct().collect())
+    found = [
+        materialize(_wide_factors(rows.filter(F.col(key) == fit), key, fit, rank, tolerance), "wide") for fit in fits
+    ]
+    return reduce(DataFrame.unionByName, found) if found else rows.sparkSession.createDataFrame([], _wide_schema(rows, key))
+
+
+def _wide_schema(rows: DataFrame, key: str) -> str:
+    return f"{key_schema(rows, [key])}, mode int, s double, share double, n_values int, v array<double>"
+
+
+def _wide_factors(rows: DataFrame, key: str, fit, rank: int, tolerance: float) -> DataFrame:
     spark = rows.sparkSession
     vectors = rows.select(array_to_vector("vec").alias("v"))
     matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "v"))
@@ -137,16 +152,13 @@ def wide_eigenbasis(
     facts = rows.agg(
         F.sum(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("total"),
         F.max(F.size("vec")).alias("width"),
-        F.first(key).alias("key"),
     ).first()
     signs = np.sign(v[np.argmax(np.abs(v), axis=0), np.arange(len(s))])
     found = [
-        (facts.key, i, float(s[i]), float(s[i] ** 2 / facts.total), facts.width, (v[:, i] * signs[i]).tolist())
+        (fit, i, float(s[i]), float(s[i] ** 2 / facts.total), facts.width, (v[:, i] * signs[i]).tolist())
         for i in range(len(s))
     ]
-    return spark.createDataFrame(
-        found, f"{key} string, mode int, s double, share double, n_values int, v array<double>"
-    )
+    return spark.createDataFrame(found, _wide_schema(rows, key))
 
 
 @pandas_udf(MATRIX)

@@ -131,6 +131,12 @@ def _over(scores: DataFrame, limits: Limits, scope: str, keys: list[str]) -> Dat
     return found.filter(broken).select(*keys, F.lit(scope).alias("check"), "metric", "value", "limit")
 
 
+def members(member_scores: DataFrame, rollouts: DataFrame) -> DataFrame:
+    """(model, member) of either side: a member without scores or without a rollout counts, and is broken."""
+    keys = ["model", "member"]
+    return member_scores.select(*keys).unionByName(rollouts.select(*keys)).distinct()
+
+
 def member_failures(
     member_scores: DataFrame, rollouts: DataFrame, limits: Limits, scored_steps: int, rollout_steps: int
 ) -> DataFrame:
@@ -141,13 +147,14 @@ def member_failures(
             *keys, F.lit(STABLE).alias("check"), F.lit(name).alias("metric"), "value",
             F.lit(float(steps)).alias("limit"),
         )
-    subjects = rollouts.select(*keys).distinct()
+    subjects = members(member_scores, rollouts)
     forecast = subjects.join(
         member_scores.filter("metric = 'stable_steps'").select(*keys, "value"), keys, "left"
     )
+    rolled = rollouts.select(*keys, F.col("stable_steps").alias("value"))
     return (
         unstable(forecast, scored_steps, "validation forecast")
-        .unionByName(unstable(rollouts.select(*keys, F.col("stable_steps").alias("value")), rollout_steps, "rollout"))
+        .unionByName(unstable(subjects.join(rolled, keys, "left"), rollout_steps, "rollout"))
         .unionByName(_over(member_scores, limits, MEMBER_MAX, keys))
     )
 
@@ -173,7 +180,7 @@ def gate(
     told = broken.groupBy("model").agg(F.array_sort(F.collect_set(reason)).alias("member_reasons"))
     bad = broken.select("model", "member").distinct().withColumn("bad", F.lit(1))
     usable = (
-        rollouts.select("model", "member").distinct()
+        members(member_scores, rollouts)
         .join(bad, ["model", "member"], "left")
         .groupBy("model")
         .agg(F.count("*").alias("members"), F.count_if(F.col("bad").isNull()).alias("usable"))

@@ -82,14 +82,13 @@ def snapshot_pairs(series: DataFrame, keys: list[str], columns: list[str]) -> Da
 
 
 def delay_pairs(catalog: DataFrame, delays: int) -> DataFrame:
-    """(dataset, before, after): newest frames of consecutive delay states."""
+    """(dataset, before, after): newest frames of consecutive delay states; a dataset without a pair fails the job."""
     if delays < 1:
         raise ValueError(f"delays must be >= 1, got {delays}")
-    return (
-        catalog.filter(F.col("n_steps") >= delays + 1)
-        .select("dataset", F.explode(F.expr(f"sequence({delays - 1}, n_steps - 2)")).alias("before"))
-        .withColumn("after", F.col("before") + 1)
-    )
+    message = F.concat(F.lit(f"fewer than {delays + 1} steps in "), F.col("dataset"))
+    newest = F.when(F.col("n_steps") >= delays + 1, F.expr(f"sequence({delays - 1}, n_steps - 2)"))
+    pairs = newest.otherwise(F.raise_error(message).cast("array<int>"))
+    return catalog.select("dataset", F.explode(pairs).alias("before")).withColumn("after", F.col("before") + 1)
 
 
 def lagged_features(

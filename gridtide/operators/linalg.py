@@ -23,6 +23,7 @@ from gridtide.session import materialize
 
 MAX_WIDTH = 8192
 FLUSH_BYTES = 64 << 20
+TILE_ENTRIES = 1 << 15
 # Fixed value: singular values below this share of the largest count as zero.
 RELATIVE_TOLERANCE = 1e-3
 
@@ -34,23 +35,29 @@ def key_schema(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"{k} {types[k]}" for k in keys)
 
 
+def _tile_rows(width: int) -> int:
+    return max(1, TILE_ENTRIES // max(1, width))
+
+
 def gram(rows: DataFrame, keys: list[str], left: str = "vec", right: str = "vec") -> DataFrame:
     """(keys, i, row): row i of the sum over `rows` of outer(left, right), per key.
 
-    Every partition sums its own outer products, flushing at a memory bound, so the shuffle moves
-    matrices of the short axis and never the rows or pairs of them.
+    Every partition sums its own outer products and gives each matrix once, as tiles of bounded size.
+    Tiles are added as arrays: no entry becomes a row, and a group has one tile per partition.
     """
     names = list(keys)
+    values = lambda key: key if isinstance(key, tuple) else (key,)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, np.ndarray] = {}
 
-        def flush():
-            for key, g in sums.items():
-                yield pd.DataFrame(
-                    {**{n: [v] * len(g) for n, v in zip(names, key)}, "i": np.arange(len(g)), "row": list(g)}
-                )
-            sums.clear()
+        def flush(which: list):
+            for key in which:
+                g = sums.pop(key)
+                step = _tile_rows(g.shape[1])
+                starts = list(range(0, len(g), step))
+                tiles = [g[i : i + step].ravel() for i in starts]
+                yield pd.DataFrame({**{n: [v] * len(tiles) for n, v in zip(names, values(key))}, "i": starts, "width": g.shape[1], "tile": tiles})
 
         for batch in batches:
             for key, part in batch.groupby(names, sort=False):
@@ -60,22 +67,22 @@ def gram(rows: DataFrame, keys: list[str], left: str = "vec", right: str = "vec"
                         f"short axis of {a.shape[1]} exceeds {MAX_WIDTH}: put the longer axis in the rows"
                     )
                 g = a.T @ (a if left == right else np.stack(part["b"].to_list()))
+                if key not in sums and sum(m.nbytes for m in sums.values()) + g.nbytes > FLUSH_BYTES:
+                    yield from flush(list(sums))
                 sums[key] = sums[key] + g if key in sums else g
-            if sum(g.nbytes for g in sums.values()) > FLUSH_BYTES:
-                yield from flush()
-        yield from flush()
+        yield from flush(list(sums))
 
-    parts = rows.select(*names, F.col(left).alias("a"), F.col(right).alias("b")).mapInPandas(
-        partial, f"{key_schema(rows, names)}, i int, row array<double>"
-    )
-    return (
-        parts.select(*names, "i", F.posexplode("row").alias("j", "g"))
-        .groupBy(*names, "i", "j")
-        .agg(F.sum("g").alias("g"))
-        .groupBy(*names, "i")
-        .agg(F.array_sort(F.collect_list(F.struct("j", "g"))).alias("r"))
-        .select(*names, "i", F.col("r.g").alias("row"))
-    )
+    schema = f"{key_schema(rows, names)}, i int, width int, tile array<double>"
+    parts = rows.select(*names, F.col(left).alias("a"), F.col(right).alias("b")).mapInPandas(partial, schema)
+
+    def add(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        whole = np.sum(part["tile"].to_list(), axis=0).reshape(-1, part["width"].iloc[0])
+        out = pd.DataFrame({"i": key[-1] + np.arange(len(whole)), "row": list(whole)})
+        for n, value in zip(names, key):
+            out[n] = value
+        return out
+
+    return parts.groupBy(*names, "i").applyInPandas(add, f"{key_schema(rows, names)}, i int, row array<double>").select(*names, "i", "row")
 
 
 def gram_entries(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -40,22 +40,37 @@ DOUBLES = T.ArrayType(T.DoubleType())
 # --- baselines --------------------------------------------------------------------------------
 
 
-def _leads(frame: DataFrame, n_steps: int) -> DataFrame:
-    return frame.withColumn("lead", F.explode(F.sequence(F.lit(1), F.lit(n_steps))))
+def _leads(rows: DataFrame, n_steps: int | DataFrame) -> DataFrame:
+    """Each row at every lead up to `n_steps`: one number, or (dataset, n_scored)."""
+    if isinstance(n_steps, int):
+        return rows.withColumn("lead", F.explode(F.sequence(F.lit(1), F.lit(n_steps))))
+    steps = n_steps.select("dataset", F.col("n_scored").cast("int").alias("n_scored"))
+    return rows.join(steps, "dataset").withColumn("lead", F.explode(F.expr("sequence(1, n_scored)")))
 
 
-def persistence(field: DataFrame, context_steps: int, n_steps: int) -> DataFrame:
+def persistence(field: DataFrame, context_steps: int, n_steps: int | DataFrame) -> DataFrame:
     """The last context frame at every lead."""
     last = field.filter(F.col("t") == context_steps - 1)
     return _leads(last, n_steps).select("dataset", "lead", "x", "y", "u_x", "u_y")
 
 
-def mean_forecast(train: DataFrame, datasets: DataFrame, n_steps: int) -> DataFrame:
+def mean_forecast(train: DataFrame, datasets: DataFrame, n_steps: int | DataFrame) -> DataFrame:
     """The training frames' pooled mean at every lead of every dataset."""
-    # One row holding one frame, so what is broadcast is the grid's size.
-    frame = mean_field(train).agg(F.collect_list(F.struct("x", "y", "u_x", "u_y")).alias("frame"))
-    runs = _leads(datasets.select("dataset"), n_steps).join(F.broadcast(frame))
-    return runs.select("dataset", "lead", F.explode("frame").alias("c")).select("dataset", "lead", "c.*")
+    return repeat_frame(mean_field(train), datasets, n_steps)
+
+
+def repeat_frame(frame: DataFrame, datasets: DataFrame, n_steps: int | DataFrame) -> DataFrame:
+    """(dataset, lead, x, y, u_x, u_y): one frame (x, y, u_x, u_y) at every lead of every dataset.
+
+    Blocks of a few x each meet the runs by an equi-join, so no row or task holds the whole grid.
+    """
+    blocks = measured(
+        frame.groupBy(_block()).agg(F.collect_list(F.struct("x", "y", "u_x", "u_y")).alias("cells")), "frame"
+    )
+    last = blocks.agg(F.max("xb").alias("last"))  # exactly one row
+    runs = _leads(datasets.select("dataset"), n_steps).crossJoin(F.broadcast(last))
+    dealt = runs.withColumn("xb", F.explode(F.expr("sequence(0, last)"))).join(blocks, "xb")
+    return dealt.select("dataset", "lead", F.explode("cells").alias("c")).select("dataset", "lead", "c.*")
 
 
 # --- POD basis, encode, decode ------------------------------------------------------------------
@@ -208,7 +223,10 @@ def decode(latents: DataFrame, basis: DataFrame, keys: list[str], step: str) ->
 
 @dataclass(frozen=True)
 class Model:
-    """Tables of one fitted model: `basis`, `dynamics` (one row per fit) and `info` (name, value)."""
+    """Tables of one fitted model: `basis`, `dynamics` (one row per fit) and `info` (name, value).
+
+    The basis of "mean_field" is its frame (x, y, u_x, u_y), that of "persistence" has no row.
+    """
 
     kind: str
     window: int
@@ -461,6 +479,12 @@ def predict(
 ) -> DataFrame:
     """(dataset, block, lead, x, y, u_x, u_y) forecast from the first `context_steps` frames."""
     block_steps = n_steps if block_steps is None else block_steps
+    if model.kind in BASELINES:
+        if model.kind == "persistence":
+            run = persistence(field, context_steps, n_steps)
+        else:
+            run = repeat_frame(model.basis, field.select("dataset").distinct(), n_steps)
+        return run.select("dataset", F.lit(0).alias("block"), "lead", "x", "y", "u_x", "u_y")
     if model.window > context_steps:
         raise ValueError(f"context of {context_steps} frames, the model needs {model.window}")
     if model.kind == "delay_dmd":
@@ -480,11 +504,28 @@ def predict(
 
 # --- store --------------------------------------------------------------------------------------
 
-MODELS = ("delay_dmd", "latent_var", "pod")
+BASELINES = ("mean_field", "persistence")
+MODELS = ("delay_dmd", "latent_var", "pod", *BASELINES)
+
+
+def fit_mean_field(train: DataFrame) -> Model:
+    frame = materialize(mean_field(train).select("x", "y", "u_x", "u_y"), "mean")
+    return Model("mean_field", 0, frame, None, _no_info(train))
+
+
+def persistence_model(field: DataFrame) -> Model:
+    """The last context frame has nothing to fit; `field` only names the session and the columns."""
+    return Model("persistence", 1, field.select("x", "y", "u_x", "u_y").limit(0), None, _no_info(field))
+
+
+def _no_info(rows: DataFrame) -> DataFrame:
+    return rows.sparkSession.createDataFrame([], "name string, value double")
 
 
 def parameter_count(model: Model) -> DataFrame:
     """Numbers a model holds beyond its normalization, a complex one counting twice."""
+    if model.kind in BASELINES:
+        return model.basis.agg((2 * F.count("*")).alias("parameters"))
     basis = model.basis.agg(F.sum(F.size("c_x") + F.size("c_y")).alias("n"))
     parts = [basis]
     if model.kind == "delay_dmd":

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridtide.operators import forecast, modal
+from gridtide.operators import forecast, modal, windows
 from gridtide.plans.common import R, add_view, r, rounded
 from gridtide.plans.registry import query
 from gridtide.plans.temporal import sql_welch
@@ -293,10 +293,11 @@ def _(spark, sf):
     "persistence",
     "H1",
     f"""SELECT dataset, CAST(l.i AS INTEGER) AS lead, x, y, {R('u_x')} AS u_x, {R('u_y')} AS u_y
-        FROM field, range(1, 31) AS l(i) WHERE t = {CONTEXT - 1}""",
+        FROM field JOIN catalog USING (dataset), unnest(range(1, n_steps - {CONTEXT} + 1)) AS l(i) WHERE t = {CONTEXT - 1}""",
 )
 def _(spark, sf):
-    return rounded(forecast.persistence(src.field(spark, sf), CONTEXT, 30), "u_x", "u_y")
+    steps = windows.context_counts(src.catalog(spark, sf), CONTEXT)
+    return rounded(forecast.persistence(src.field(spark, sf), CONTEXT, steps), "u_x", "u_y")
 
 
 @query(
@@ -304,14 +305,37 @@ def _(spark, sf):
     "H2",
     f"""SELECT c.dataset, CAST(l.i AS INTEGER) AS lead, x, y, {R('u_x')} AS u_x, {R('u_y')} AS u_y
         FROM (SELECT x, y, avg(u_x) AS u_x, avg(u_y) AS u_y FROM field JOIN roles USING (dataset)
-              WHERE role = 'train' GROUP BY 1, 2), catalog c, range(1, 11) AS l(i)""",
+              WHERE role = 'train' GROUP BY 1, 2), catalog c, unnest(range(1, c.n_steps - {CONTEXT} + 1)) AS l(i)""",
 )
 def _(spark, sf):
     data = src.Tables(spark, sf)
-    run = forecast.mean_forecast(data.train_field, data.catalog, 10)
+    run = forecast.mean_forecast(data.train_field, data.catalog, windows.context_counts(data.catalog, CONTEXT))
     return rounded(run, "u_x", "u_y")
 
 
+@query(
+    "baseline_models",
+    "H10 H1 H2",
+    f"""SELECT kind, c.dataset, CAST(l.i AS INTEGER) AS lead, x, y, {R('u_x')} AS u_x, {R('u_y')} AS u_y, parameters FROM (
+          SELECT 'persistence' AS kind, dataset, x, y, u_x, u_y, CAST(0 AS BIGINT) AS parameters FROM field WHERE t = {CONTEXT - 1}
+          UNION ALL SELECT 'mean_field', d.dataset, x, y, u_x, u_y, CAST(2 * 99 AS BIGINT)
+          FROM (SELECT x, y, avg(u_x) AS u_x, avg(u_y) AS u_y FROM field JOIN roles USING (dataset)
+                WHERE role = 'train' GROUP BY 1, 2), catalog d) c, range(1, 21) AS l(i)""",
+)
+def _(spark, sf):
+    # Saved, loaded and asked like any other model.
+    data = src.Tables(spark, sf, stored=True)
+    runs = []
+    for model in (forecast.persistence_model(data.field), forecast.fit_mean_field(data.train_field)):
+        path = work_path(spark, "model")
+        forecast.save_model(model, path, model.kind)
+        loaded = forecast.load_model(spark, path)
+        size = forecast.parameter_count(loaded)  # exactly one row
+        run = forecast.predict(loaded, data.field, CONTEXT, 20).drop("block").crossJoin(F.broadcast(size))
+        runs.append(run.withColumn("kind", F.lit(loaded.kind)))
+    return rounded(runs[0].unionByName(runs[1]), "u_x", "u_y")
+
+
 @query(
     "stabilize_eigenvalues",
     "H4",

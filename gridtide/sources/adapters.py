@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridtide.schema import Grid, with_grid
@@ -27,14 +27,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _inside(column: Column, low: int, high: int, what: str) -> Column:
+    """The column as an integer; a row beyond the fixed axis fails the job instead of vanishing from it."""
+    value = column.cast("int")
+    said = F.concat(F.lit(f"{what} outside {low} to {high}: "), value.cast("string"))
+    return F.when(value.between(low, high) | value.isNull(), value).otherwise(F.raise_error(said).cast("int"))
+
+
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     month = (F.year("l_shipdate") - FIRST_YEAR) * 12 + F.month("l_shipdate") - 1
     group = F.floor(F.col("l_suppkey") / SUPPLIERS_PER_DATASET).cast("long").cast("string")
     return table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("d"), F.lpad(group, 6, "0")).alias("dataset"),
-        month.cast("int").alias("t"),
-        F.round(F.col("l_discount") * 100).cast("int").alias("x"),
-        F.round(F.col("l_tax") * 100).cast("int").alias("y"),
+        _inside(month, 0, 2**31 - 1, f"months since {FIRST_YEAR}").alias("t"),
+        _inside(F.round(F.col("l_discount") * 100), 0, NX - 1, "discount").alias("x"),
+        _inside(F.round(F.col("l_tax") * 100), 0, NY - 1, "tax").alias("y"),
         F.col("l_quantity").cast("long").alias("qty"),
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"),
     )
@@ -110,7 +117,7 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = events(spark, sf_dir).select(
         F.col("event_type").alias("dataset"),
         F.concat(F.lit("u"), F.lpad(group, 6, "0")).alias("name"),
-        F.floor((F.unix_timestamp("ts") - start) / BIN_SECONDS).cast("int").alias("t"),
+        _inside(F.floor((F.unix_timestamp("ts") - start) / BIN_SECONDS), 0, SERIES_STEPS - 1, "bin of an event").alias("t"),
         F.round(F.col("value") * 100).cast("long").alias("cents"),
     )
     filled = points.groupBy("dataset", "name", "t").agg(

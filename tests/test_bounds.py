@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridtide.functions import fourier
 from gridtide.operators import autocorr, linalg, selection, spectra, windows
+from gridtide.sources import adapters
 
 
 def test_a_wrong_bound_on_lengths_fails(make_series):
@@ -59,3 +60,16 @@ def test_a_member_of_one_side_only_is_broken(spark):
     row = selection.gate(scores, members, rollouts, [], 5, 50, min_fraction=0.5).first()
     assert (row.members, row.usable, row.passed) == (5, 2, False)
     assert "member 2" in row.reasons and "member 4" in row.reasons
+
+
+def test_rows_beyond_the_fixed_axes_fail(spark, tmp_path):
+    columns = "l_suppkey bigint, l_shipdate date, l_discount double, l_tax double, l_quantity double, l_extendedprice double"
+    for k, (day, discount) in enumerate((("1994-12-31", 0.1), ("1996-05-01", 0.12))):
+        row = spark.sql(f"SELECT 1L, DATE'{day}', {discount}D, 0.0D, 1.0D, 1.0D").toDF(*[c.split()[0] for c in columns.split(", ")])
+        row.write.parquet(f"{tmp_path}/{k}/lineitem.parquet")
+        with pytest.raises(Exception, match="outside"):
+            adapters.field(spark, f"{tmp_path}/{k}").collect()
+    late = spark.sql("SELECT 'click' AS event_type, 1L AS user_id, 1.0D AS value, TIMESTAMP_NTZ'2024-03-05 00:00:00' AS ts")
+    late.write.parquet(f"{tmp_path}/events.parquet")
+    with pytest.raises(Exception, match="outside"):
+        adapters.series(spark, str(tmp_path)).collect()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridtide.operators import derive, spectra
 from gridtide.schema import Grid
-from gridtide.session import materialize
+from gridtide.session import materialize, measured
 
 RUN = ["model", "dataset", "member"]
 CELL = ["dataset", "lead", "x", "y"]
@@ -355,3 +355,32 @@ def evaluate(
         *key, F.concat(F.lit("member_"), F.col("member").cast("string")).alias("grp"), "metric", "value"
     )
     return medians.unionByName(ensemble).select(*key, F.lit("all").alias("grp"), "metric", "value").unionByName(own)
+
+
+def by_role(table: DataFrame, roles: DataFrame, scored: DataFrame) -> DataFrame:
+    """The scores of `evaluate` under the names that decisions use: `val`, `val.member_<k>`, `train.<dataset>`.
+
+    Validation also gets `stable_fraction`, the share of members that are stable over all of their scored steps
+    (`scored`: dataset, n_scored), and, with more than one member, each member's own scores. A test dataset or one
+    without a role fails the job: it must not have been read.
+    """
+    known = table.join(measured(roles.select("dataset", "role"), "roles"), "dataset", "left")
+    # The message names the score too: a filter on roles alone would be checked before the join.
+    said = F.concat_ws(" ", F.lit("not a validation or training dataset:"), "dataset", "metric")
+    known = known.filter(F.when(F.col("role").isin("val", "train"), F.lit(True)).otherwise(F.raise_error(said).cast("boolean")))
+    val, whole = F.col("role") == "val", F.col("grp") == "all"
+    members = known.filter(val & ~whole)
+    several = members.groupBy("model", "dataset").agg((F.count_distinct("grp") > 1).alias("several"))
+    stable = (
+        members.filter("metric = 'stable_steps'").join(scored.select("dataset", "n_scored"), "dataset")
+        .groupBy("model", "dataset")
+        .agg(F.avg((F.coalesce("value", F.lit(0.0)) >= F.col("n_scored")).cast("double")).alias("value"))
+    )
+    names = ["model", "dataset", "grp", "metric", "value"]
+    own = members.join(several.filter("several"), ["model", "dataset"], "left_semi")
+    return (
+        known.filter(val & whole).withColumn("grp", F.lit("val")).select(names)
+        .unionByName(known.filter(~val & whole).withColumn("grp", F.concat(F.lit("train."), "dataset")).select(names))
+        .unionByName(own.withColumn("grp", F.concat(F.lit("val."), "grp")).select(names))
+        .unionByName(stable.select("model", "dataset", F.lit("val").alias("grp"), F.lit("stable_fraction").alias("metric"), "value"))
+    )

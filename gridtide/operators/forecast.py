@@ -475,9 +475,12 @@ def forecast_var_latents(dynamics: DataFrame, start: DataFrame, n_steps: int, bl
 
 
 def predict(
-    model: Model, field: DataFrame, context_steps: int, n_steps: int, block_steps: int | None = None
+    model: Model, field: DataFrame, context_steps: int, n_steps: int | DataFrame, block_steps: int | None = None
 ) -> DataFrame:
-    """(dataset, block, lead, x, y, u_x, u_y) forecast from the first `context_steps` frames."""
+    """(dataset, block, lead, x, y, u_x, u_y) forecast from the first `context_steps` frames.
+
+    Baselines also take the steps per dataset, as a table (dataset, n_scored).
+    """
     block_steps = n_steps if block_steps is None else block_steps
     if model.kind in BASELINES:
         if model.kind == "persistence":

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridtide.operators import evaluate, forecast, moments, selection, windows
+from gridtide.operators import evaluate, forecast, moments, scans, selection, windows
 from gridtide.plans.common import R, add_view, r, rounded
 from gridtide.plans.modes import CONTEXT, FULL, RANK, dmd_model
 from gridtide.plans.registry import query
@@ -430,32 +430,92 @@ add_view(
 )
 
 
-@query(
-    "full_evaluation",
-    "I15",
-    f"""SELECT dataset, 'member_' || member AS grp, metric, {R('value')} AS value FROM member_long
+add_view(
+    "evaluation",
+    f"""SELECT dataset, 'member_' || member AS grp, metric, value FROM member_long
         UNION ALL
-        SELECT dataset, 'all', metric, {R('(list_sort(list(value))[2] + list_sort(list(value))[3]) / 2')} FROM member_long GROUP BY dataset, metric
+        SELECT dataset, 'all', metric, (list_sort(list(value))[2] + list_sort(list(value))[3]) / 2 FROM member_long GROUP BY dataset, metric
         UNION ALL
-        SELECT dataset, 'all', 'crps_mean', {R('avg(crps)')} FROM curves GROUP BY dataset
+        SELECT dataset, 'all', 'crps_mean', avg(crps) FROM curves GROUP BY dataset
         UNION ALL
         SELECT dataset, 'all', 'ensemble_size', CAST({MEMBERS} AS DOUBLE) FROM curves GROUP BY dataset
         UNION ALL
         SELECT dataset, 'all', 'crps_skill_horizon', CAST(coalesce(min(CASE WHEN NOT crps <= {THRESHOLD} THEN lead END) - 1, max(lead)) AS DOUBLE) FROM curves GROUP BY dataset
         UNION ALL
-        SELECT dataset, 'all', 'crps_lead_' || lead, {R('crps')} FROM curves WHERE lead IN {LEADS}
+        SELECT dataset, 'all', 'crps_lead_' || lead, crps FROM curves WHERE lead IN {LEADS}
         UNION ALL
-        SELECT dataset, 'all', 'spread_skill_lead_' || lead, {R('spread_skill')} FROM curves WHERE lead IN {LEADS}""",
+        SELECT dataset, 'all', 'spread_skill_lead_' || lead, spread_skill FROM curves WHERE lead IN {LEADS}""",
 )
-def _(spark, sf):
-    data = src.Tables(spark, sf, stored=True)
-    table = evaluate.evaluate(
-        materialize(ensemble(data), "forecast"), truth(data), data.grid, materialize(scales(data), "scales"),
+
+
+def evaluated(data, forecast_table, truth_table):
+    return evaluate.evaluate(
+        forecast_table, truth_table, data.grid, materialize(scales(data), "scales"),
         threshold=THRESHOLD, leads=LEADS, block_steps=BLOCK, max_ratio=MAX_RATIO, nperseg=NPERSEG,
     )
+
+
+@query("full_evaluation", "I15", f"SELECT dataset, grp, metric, {R('value')} AS value FROM evaluation")
+def _(spark, sf):
+    data = src.Tables(spark, sf, stored=True)
+    table = evaluated(data, materialize(ensemble(data), "forecast"), truth(data))
     return rounded(table.drop("model"), "value")
 
 
+@query(
+    "role_evaluation",
+    "I15 I19 A7",
+    f"""SELECT dataset, CASE WHEN role = 'train' THEN 'train.' || dataset WHEN grp = 'all' THEN 'val' ELSE 'val.' || grp END AS grp,
+               metric, {R('value')} AS value FROM evaluation JOIN roles USING (dataset)
+        WHERE role = 'val' OR role = 'train' AND grp = 'all'
+        UNION ALL
+        SELECT dataset, 'val', 'stable_fraction', {R('avg(CASE WHEN stable_steps >= forecast_steps THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')}
+        FROM member_stability JOIN roles USING (dataset) WHERE role = 'val' GROUP BY dataset""",
+)
+def _(spark, sf):
+    # The guard comes first: of test datasets no step is forecast or scored.
+    data = src.Tables(spark, sf, stored=True)
+    wanted = materialize(data.roles.filter("role <> 'test'").select("dataset"), "wanted")
+    scans.readable(data.catalog, wanted, data.roles)
+    own = materialize(ensemble(data).join(wanted, "dataset", "left_semi"), "forecast")
+    table = evaluated(data, own, truth(data).join(wanted, "dataset", "left_semi"))
+    return rounded(evaluate.by_role(table, data.roles, windows.context_counts(data.catalog, CONTEXT)).drop("model"), "value")
+
+
+add_view(
+    "baselines",
+    f"""SELECT 'persistence' AS model, dataset, x, y, u_x, u_y FROM field WHERE t = {CONTEXT - 1}
+        UNION ALL SELECT 'mean_field', d.dataset, x, y, u_x, u_y
+        FROM (SELECT x, y, avg(u_x) AS u_x, avg(u_y) AS u_y FROM field JOIN roles USING (dataset)
+              WHERE role = 'train' GROUP BY 1, 2), catalog d""",
+)
+
+
+@query(
+    "baseline_evaluation",
+    "I15 H10 H1 H2",
+    f"""SELECT model, dataset, 'val' AS grp, metric, {R('value')} AS value FROM (
+          SELECT model, dataset, avg(rmse) AS rmse_mean, avg(miss) AS crps_mean FROM (
+            SELECT model, b.dataset, lead, sqrt(avg(((b.u_x - q.u_x) * (b.u_x - q.u_x) / s_x / s_x + (b.u_y - q.u_y) * (b.u_y - q.u_y) / s_y / s_y) / 2)) AS rmse,
+                   avg((abs(b.u_x - q.u_x) / s_x + abs(b.u_y - q.u_y) / s_y) / 2) AS miss
+            FROM baselines b JOIN truth q USING (dataset, x, y) JOIN roles USING (dataset), scales WHERE role = 'val' GROUP BY 1, 2, 3)
+          GROUP BY 1, 2) UNPIVOT (value FOR metric IN (rmse_mean, crps_mean))""",
+)
+def _(spark, sf):
+    # Fitted models through the whole evaluation; of their scores two have a short form in SQL.
+    data = src.Tables(spark, sf, stored=True)
+    val = materialize(data.roles.filter("role = 'val'").select("dataset"), "val")
+    scans.readable(data.catalog, val, data.roles)
+    seen, steps = data.field.join(val, "dataset", "left_semi"), windows.context_counts(data.catalog.join(val, "dataset", "left_semi"), CONTEXT)
+    runs = [
+        forecast.predict(model, seen, CONTEXT, steps).drop("block").select(F.lit(model.kind).alias("model"), F.lit(0).alias("member"), "*")
+        for model in (forecast.persistence_model(data.field), forecast.fit_mean_field(data.train_field))
+    ]
+    table = evaluated(data, materialize(runs[0].unionByName(runs[1]), "forecast"), truth(data).join(val, "dataset", "left_semi"))
+    roles = evaluate.by_role(table, data.roles, steps).filter("metric IN ('rmse_mean', 'crps_mean')")
+    return rounded(roles, "value")
+
+
 # --- selection ------------------------------------------------------------------------------------
 
 N_STEPS = 10

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridtide.functions import fourier
-from gridtide.operators import autocorr, linalg, selection, spectra, windows
+from gridtide.operators import autocorr, evaluate, linalg, selection, spectra, windows
 from gridtide.sources import adapters
 
 
@@ -73,3 +73,18 @@ def test_rows_beyond_the_fixed_axes_fail(spark, tmp_path):
     late.write.parquet(f"{tmp_path}/events.parquet")
     with pytest.raises(Exception, match="outside"):
         adapters.series(spark, str(tmp_path)).collect()
+
+
+def test_scores_are_grouped_by_role_and_test_datasets_fail(spark):
+    roles = spark.createDataFrame([("a", "val"), ("b", "train"), ("c", "test")], "dataset string, role string")
+    scored = spark.createDataFrame([("a", 10), ("b", 10), ("c", 10)], "dataset string, n_scored int")
+    rows = [("m", d, g, k, v) for d in "ab" for g in ("all", "member_0", "member_1") for k, v in (("stable_steps", 10.0 if g != "member_1" else 4.0), ("rmse_mean", 0.5))]
+    schema = "model string, dataset string, grp string, metric string, value double"
+    got = {(r.dataset, r.grp, r.metric): r.value for r in evaluate.by_role(spark.createDataFrame(rows, schema), roles, scored).collect()}
+    assert {g for _, g, _ in got} == {"val", "val.member_0", "val.member_1", "train.b"}
+    assert got["a", "val", "stable_fraction"] == 0.5 and ("b", "train.b", "stable_fraction") not in got
+    one = spark.createDataFrame([r for r in rows if r[2] != "member_1"], schema)
+    assert {r.grp for r in evaluate.by_role(one, roles, scored).collect()} == {"val", "train.b"}
+    bad = spark.createDataFrame([*rows, ("m", "c", "all", "rmse_mean", 1.0)], schema)
+    with pytest.raises(Exception, match="not a validation or training dataset: c"):
+        evaluate.by_role(bad, roles, scored).collect()

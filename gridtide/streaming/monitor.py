@@ -193,7 +193,7 @@ def saturation_alert(requests: DataFrame, length: str = "15 minutes", limit: flo
 
 
 def failure_alert(requests: DataFrame, length: str = "15 minutes") -> DataFrame:
-    """Any forecast that failed after its response started (`failed`)."""
+    """Fires while a window holds a request whose row is marked `failed`."""
     sums = {"failures": _flag(F.col("failed"))}
     return sliding(no_probes(requests), ["route"], sums, length).withColumn("firing", F.col("failures") > 0)
 

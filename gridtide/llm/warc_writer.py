@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from gridtide.llm.common import stored
 
-SHARD_BYTES, FILE_BYTES, SAMPLE_KEYS, LEVEL = 32 << 20, 16 << 20, 10_000, 5
+SHARD_BYTES, FILE_BYTES, SAMPLE_KEYS, LEVEL = 16 << 20, 16 << 20, 10_000, 5
 MANIFEST = "shard int, file string, bytes bigint, records bigint, sha256 string"
 RECORDS = "key bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string"
 
@@ -115,7 +115,7 @@ def write(
     rows = rows.select("key", *same, F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("original"), "url", "body")
     notes = revisits.select("key", *same, F.lit(0).alias("kind"), "original", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("body"))
     dealt = _shards(rows.unionByName(notes), pages.select(F.col(key).cast("bigint").alias("key")), shards)
-    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "key", *same, "kind", "url")
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "key", *same, "kind", "url")
 
     def run(batches):
         system, root = fs.FileSystem.from_uri(folder)

@@ -183,7 +183,8 @@ def brute_components(texts, n, permille):
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            if a and b and 1000 * len(a & b) >= permille * len(a | b) and label[i] != label[j]:
+            near = a and b and 1000 * min(len(a), len(b)) >= permille * max(len(a), len(b)) and label[i] != label[j]
+            if near and 1000 * len(a & b) >= permille * len(a | b):
                 old, new = max(label[i], label[j]), min(label[i], label[j])
                 label = [new if x == old else x for x in label]
     return [len(s) for s in sets], label

@@ -71,13 +71,18 @@ def point_probe(field: DataFrame, spec: str) -> DataFrame:
 
 
 def select_datasets(field: DataFrame, catalog: DataFrame, only: DataFrame | None) -> DataFrame:
-    """Rows of the datasets named in `only` (column dataset); an unknown name is an error."""
+    """Rows of the datasets named in `only` (column dataset); an unknown name is an error.
+
+    A column `position` in `only` is kept: the order in which the datasets were asked for.
+    """
     if only is None:
         return field
     unknown = only.join(catalog, "dataset", "left_anti").select("dataset").take(5)
     if unknown:
         known = [row.dataset for row in catalog.select("dataset").orderBy("dataset").take(20)]
         raise DatasetError(f"unknown datasets {[row.dataset for row in unknown]}, known: {known}")
+    if "position" in only.columns:
+        return field.join(only.groupBy("dataset").agg(F.min("position").alias("position")), "dataset")
     return field.join(only, "dataset", "left_semi")
 
 

@@ -51,13 +51,16 @@ def _(spark, sf):
 @query(
     "dataset_selection",
     "A6",
-    """SELECT dataset, count(*) AS cells FROM field
-       WHERE dataset IN (SELECT dataset FROM roles WHERE role <> 'test') GROUP BY dataset""",
+    """SELECT dataset, position, count(*) AS cells FROM field JOIN (
+         SELECT dataset, CAST(-CAST(substr(dataset, 2) AS INTEGER) AS INTEGER) AS position FROM roles WHERE role <> 'test') USING (dataset)
+       GROUP BY dataset, position""",
 )
 def _(spark, sf):
-    only = src.roles(spark, sf).filter("role <> 'test'").select("dataset")
+    # Asked for in falling order of their numbers.
+    only = src.roles(spark, sf).filter("role <> 'test'")
+    only = only.select("dataset", (-F.substring("dataset", 2, 6).cast("int")).alias("position"))
     chosen = scans.select_datasets(src.field(spark, sf), src.catalog(spark, sf), only)
-    return chosen.groupBy("dataset").agg(F.count("*").alias("cells"))
+    return chosen.groupBy("dataset", "position").agg(F.count("*").alias("cells"))
 
 
 @query(

@@ -8,6 +8,7 @@ from gridtide.operators import evaluate
 from gridtide.plans.common import R, add_view, r, rounded
 from gridtide.plans.registry import query
 from gridtide.plans.scoring import BLOCK, pred_physics, true_physics
+from gridtide.session import materialize, work_path
 from gridtide.sources import adapters as src
 from gridtide.streaming import monitor, runs
 
@@ -298,24 +299,39 @@ def _(spark, sf):
     return table.join(F.broadcast(last)).filter(F.col("start") + 900 < F.col("cut")).drop("cut")  # one row
 
 
-@query(
-    "block_monitor",
-    "J11",
-    f"""SELECT dataset, member, CAST(max(block) + 1 AS INTEGER) AS blocks,
+BLOCKS_SQL = f"""SELECT dataset, member, CAST(max(block) + 1 AS INTEGER) AS blocks,
                CAST(min(CASE WHEN NOT (e / te <= 1.02 AND n / tn <= 1.02) THEN block END) * {BLOCK} AS DOUBLE) AS first_failing_step,
                {R('max(e / te)')} AS energy_peak_ratio, {R('max(n / tn)')} AS enstrophy_peak_ratio
         FROM (SELECT dataset, member, (lead - 1) // {BLOCK} AS block, avg(energy) AS e, avg(enstrophy) AS n FROM pred_phys GROUP BY 1, 2, 3)
         JOIN (SELECT dataset, max(e) AS te, max(n) AS tn FROM (
                 SELECT dataset, (lead - 1) // {BLOCK} AS block, avg(energy) AS e, avg(enstrophy) AS n FROM true_phys GROUP BY 1, 2) GROUP BY 1)
-        USING (dataset) GROUP BY 1, 2""",
-)
-def _(spark, sf):
-    data = src.Tables(spark, sf)
+        USING (dataset) GROUP BY 1, 2"""
+
+
+def block_tables(data):
+    """Block means of the forecast, and the largest of the truth."""
     blocks = evaluate.quantity_blocks(pred_physics(data), ["dataset", "member"], BLOCK)
     tops = evaluate.quantity_blocks(true_physics(data), ["dataset"], BLOCK).groupBy("dataset", "quantity").agg(
         F.max("value").alias("top")
     )
-    return rounded(monitor.block_monitor(blocks, tops, BLOCK, 1.02), "energy_peak_ratio", "enstrophy_peak_ratio")
+    return blocks, tops
+
+
+@query("block_monitor", "J11", BLOCKS_SQL)
+def _(spark, sf):
+    found = monitor.block_monitor(*block_tables(src.Tables(spark, sf)), BLOCK, 1.02)
+    return rounded(found, "energy_peak_ratio", "enstrophy_peak_ratio")
+
+
+@query("block_monitor_stream", "J11", BLOCKS_SQL)
+def _(spark, sf):
+    # Block means arrive as files; the newest row of every member is the batch result.
+    blocks, tops = block_tables(src.Tables(spark, sf, stored=True))
+    path = work_path(spark, "arriving")
+    blocks.write.parquet(path)
+    stream = spark.readStream.schema(blocks.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    found = runs.run_updates(monitor.block_monitor(stream, materialize(tops, "tops"), BLOCK, 1.02), ["dataset", "member"], "monitor")
+    return rounded(found, "energy_peak_ratio", "enstrophy_peak_ratio")
 
 
 @query(
@@ -345,6 +361,23 @@ def _(spark, sf):
     return marked.groupBy("reason").agg(F.count("*").alias("n"))
 
 
+@query(
+    "diverted_rows",
+    "J12",
+    """SELECT CASE WHEN x > 10 THEN 'cell outside the grid' ELSE 'ok' END AS reason, count(*) AS n,
+              CAST(sum(CAST(t AS BIGINT)) AS BIGINT) AS steps FROM cells WHERE t < 12 GROUP BY 1""",
+)
+def _(spark, sf):
+    # The sink that splits a stream in two, drained; both tables are read back whole.
+    path = work_path(spark, "diverted")
+    stream = as_contexts(runs.event_stream(spark, sf))
+    monitor.divert_invalid(stream, NX, NY, f"{path}/good", f"{path}/bad", f"{path}/checkpoint").awaitTermination()
+    good = spark.read.schema(stream.schema).parquet(f"{path}/good").withColumn("reason", F.lit("ok"))
+    bad = spark.read.schema(stream.schema.add("reason", "string")).parquet(f"{path}/bad")
+    both = good.select("reason", "t").unionByName(bad.select("reason", "t"))
+    return both.groupBy("reason").agg(F.count("*").alias("n"), F.sum(F.col("t").cast("bigint")).alias("steps"))
+
+
 @query(
     "rate_panel",
     "J13",

@@ -24,15 +24,14 @@ CACHED_WORDS = 400_000
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    signs = {b: chr(b) for b in plain}
-    rest = (b for b in range(256) if b not in signs)
-    return [signs[b] if b in signs else signs.setdefault(b, chr(256 + k)) for b, k in _numbered(range(256), rest)]
-
-
-def _numbered(all_bytes, rest):
-    position = {b: k for k, b in enumerate(rest)}
-    return [(b, position.get(b, 0)) for b in all_bytes]
+    signs, spare = [], 256
+    for byte in range(256):
+        if 33 <= byte <= 126 or 161 <= byte <= 172 or byte >= 174:
+            signs.append(chr(byte))
+        else:
+            signs.append(chr(spare))
+            spare += 1
+    return signs
 
 
 class MergeCounter:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from gridtide.llm.common import Remember, map_steps, texts_of
 
 #: White space as the rank files' libraries know it (Unicode White_Space), spelled out since regex engines differ.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CACHED_WORDS, CACHED_PIECES, SHORT = 300_000, 200_000, 24
 LEAF_IDS = 4096
 LONG_WINDOW, NO_RANK = 128, 1 << 60

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from gridtide.llm import bpe_tree, partenum_join, quality_gam, suffix_search, toxicity_kernel
 from gridtide.llm.common import split_of, stored, table
 
-NEAR = 850
+NEAR = 800
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 

@@ -61,6 +61,14 @@ def test_one_document_of_each_component_stays(stages):
     assert stages[3].where("doc_id is null").count() == stages[2].where("doc_id is null").count()
 
 
+def test_near_copies_link_from_four_fifths_on(spark, make_docs):
+    words = [f"w{i}" for i in range(52)]  # 48 shingles of five words
+    rows = [(1, " ".join(words)), (2, " ".join(words[:47] + list("abcde"))), (3, " ".join(words[:46] + list("fghijk")))]
+    # In common: 43 of 53 shingles (0.811), 42 of 54 (0.778).
+    assert brute_components([t for _, t in rows], 5, 800)[1] == [0, 0, 2]
+    assert sorted(ids(pipeline.near_copies(spark, make_docs(rows, clashing=False), SF))) == [1, 3]
+
+
 def test_documents_with_benchmark_passages_go(spark, stages):
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     rows = stages[3].select("doc_id", "text").collect()

@@ -12,7 +12,8 @@ they are; the last gives the tokens of what is left.
 * tokens: ids, counts and digests by the byte-level vocabulary.
 
 Documents without a key pass all stages on their texts alone; null and empty texts are scored like others, are no near
-copies and have no tokens. Rows that repeat a key and text are near copies of each other, and the first of them stays.
+copies and have no tokens. Rows that repeat a key and text are near copies of each other, and the first of them stays. Rows
+that share a key but not a text are dropped or kept each by its own text.
 """
 
 from __future__ import annotations
@@ -43,8 +44,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = partenum_join.join(docs, n=5, permille=NEAR).where("n_shingles > 0 and doc_id <> component_id")
-    kept = docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    # A row is known by key and text: of rows that share a key, one may be a copy and another not.
+    row = F.struct("doc_id", F.xxhash64("text").alias("same"))
+    keyed = docs.select(F.when(F.col("doc_id").isNotNull(), row).alias("row"), "text")
+    found = partenum_join.join(keyed, n=5, permille=NEAR, key="row").where("n_shingles > 0 and row <> component_id")
+    dropped = found.select("row.*").distinct()
+    kept = docs.withColumn("same", F.xxhash64("text")).join(dropped, ["doc_id", "same"], "left_anti")
     # Rows that repeat a key: those with the same text are one document. Rows without a key or text stay.
     whole = kept.where("doc_id is not null and text is not null")
     repeated = stored(whole.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")

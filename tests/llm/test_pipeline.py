@@ -1,5 +1,6 @@
 """Every stage of the pipeline against a plain version of what it has to do."""
 
+import numpy as np
 import public_tokenizers as tokenizers
 import pytest
 import tiktoken
@@ -69,6 +70,18 @@ def test_near_copies_link_from_four_fifths_on(spark, make_docs):
     assert sorted(ids(pipeline.near_copies(spark, make_docs(rows, clashing=False), SF))) == [1, 3]
 
 
+def test_rows_that_share_a_key_go_by_their_texts(spark, make_docs, text_of):
+    rng = np.random.default_rng(4)
+    one, two, three, four = (text_of(rng, 40) for _ in range(4))
+    # Of key 5 only the copy of `one` goes; of key 7 one of two near copies; key 8 copies a text of 5; rows without a key stay.
+    rows = [(1, one), (5, one), (5, two), (7, three), (7, three + " end"), (8, two), (9, four), (9, four), (None, one), (None, None), (9, None)]
+    got = [(r.doc_id, r.text) for r in pipeline.near_copies(spark, make_docs(rows, clashing=False), SF).collect()]
+    sevens = [t for i, t in got if i == 7]
+    assert len(sevens) == 1 and sevens[0] in (three, three + " end")
+    want = [(1, one), (5, two), (9, four), (None, one), (None, None), (9, None)]
+    assert sorted([r for r in got if r[0] != 7], key=str) == sorted(want, key=str)
+
+
 def test_documents_with_benchmark_passages_go(spark, stages):
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     rows = stages[3].select("doc_id", "text").collect()

@@ -2,7 +2,9 @@
 
 The network predicts a word from the two words on either side of it: a table per place gives each neighbour's part of a
 hidden layer, and a softmax over classes followed by one over the words of the class gives the word's probability. The
-vocabulary is the commonest words of the whole corpus, counted over all documents; rarer words share hashed entries. A
+network's entries are the commonest words of the whole corpus, counted over all documents; rarer words share hashed entries,
+and such a word's probability is its entry's times its share in the entry's count. The counts of all words are kept as a
+table and joined, so the vocabulary grows with the corpus. A word that was never counted is taken as counted once. A
 document's score is the sum of its words' conditional log-probabilities, each word being masked in turn.
 
 Training reads all documents. Every task starts from the same weights, takes gradient steps on each `MASK`-th word of each
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridtide.llm.common import Bytes, map_steps, steps, stored
@@ -45,9 +47,9 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("times").alias("times"))
 
 
-def vocabulary(docs: DataFrame, text: str = "text") -> np.ndarray:
+def vocabulary(counts: DataFrame) -> np.ndarray:
     """Hashes of the commonest words, at most `SIZE - OTHERS`, the commonest first."""
-    rows = count_words(docs, text).orderBy(F.desc("times"), "word").limit(SIZE - OTHERS).collect()
+    rows = counts.orderBy(F.desc("times"), "word").limit(SIZE - OTHERS).collect()
     return np.array([r["word"] for r in rows], np.int64).view(np.uint64)
 
 
@@ -168,9 +170,9 @@ def _residual(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return p
 
 
-def fit(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, Network]:
-    """(vocabulary, network) from all rows of `docs`."""
-    words = vocabulary(docs, text)
+def fit(docs: DataFrame, text: str = "text", counts: DataFrame | None = None) -> tuple[np.ndarray, Network]:
+    """(vocabulary, network) from all rows of `docs`; `counts` are their counted words, if at hand."""
+    words = vocabulary(count_words(docs, text) if counts is None else counts)
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
@@ -206,25 +208,53 @@ def fit(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, Network]:
     return words, Network.of(np.concatenate([np.frombuffer(r["weights"], np.float32) for r in rows])) if rows else Network.fresh()
 
 
-def score(docs: DataFrame, words: np.ndarray, network: Network, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_words, log_prob, mean_log_prob) per row of `docs`."""
+def shares(asked: DataFrame, counts: DataFrame, words: np.ndarray) -> DataFrame:
+    """(row, share): per row of `asked` (row, word), logs of its words' counts over those of their shared entries, added up."""
+    known = counts.sparkSession.createDataFrame([(w,) for w in words.view(np.int64).tolist()], "known bigint")
+    rare = counts.join(F.broadcast(known), F.col("word") == F.col("known"), "left_anti")
+    total = rare.groupBy(_entry().alias("entry")).agg(F.sum("times").alias("total"))
+    found = asked.join(rare, "word", "left").withColumn("entry", _entry()).join(F.broadcast(total), "entry", "left")
+    share = F.log(F.coalesce("times", F.lit(1))) - F.log(F.coalesce("total", F.lit(1)))
+    return found.groupBy("row").agg(F.sum(share).alias("share"))
+
+
+def _entry() -> Column:
+    """The shared entry of a word's hash; `OTHERS` divides 2^64, so the sign of a hash makes no difference."""
+    return F.pmod(F.col("word"), F.lit(OTHERS))
+
+
+def score(docs: DataFrame, words: np.ndarray, network: Network, key: str = "doc_id", text: str = "text", counts: DataFrame | None = None) -> DataFrame:
+    """(key, n_words, log_prob, mean_log_prob) per row of `docs`.
+
+    `counts` are the counted words that the network was fitted on; without them those of `docs` are taken.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((words, network))
     kind = docs.schema[key].dataType.simpleString()
 
     def work():
         words, network = shared.value
-        numbers, letters = Numbers(words), word_bytes()
+        numbers, letters, task, seen = Numbers(words), word_bytes(), TaskContext.get().partitionId() << 40, 0
 
         def do(rows):
+            nonlocal seen
             found = Bytes(rows.column(text), letters)
             word, near = windows(found, numbers)
             got = np.zeros(len(word), np.float64)
             for i in range(0, len(word), 1 << 16):
                 got[i : i + (1 << 16)] = network.log_probabilities(word[i : i + (1 << 16)], near[:, i : i + (1 << 16)])
-            n = np.diff(found.first)
             total = np.bincount(found.row, got, rows.num_rows)
-            return {key: rows.column(key), "n_words": n, "log_prob": total, "mean_log_prob": [t / k if k else None for t, k in zip(total, n.tolist(), strict=True)]}
+            rare = word >= SIZE - OTHERS
+            ends = np.searchsorted(found.row[rare], np.arange(rows.num_rows + 1)).astype(np.int32)
+            row = task + seen + np.arange(rows.num_rows)
+            seen += rows.num_rows
+            return {"row": row, key: rows.column(key), "n_words": np.diff(found.first), "log_prob": total, "rare": pa.ListArray.from_arrays(ends, found.hash[rare].view(np.int64))}
 
         return do
 
-    return map_steps(docs.select(key, text), text, f"{key} {kind}, n_words bigint, log_prob double, mean_log_prob double", work)
+    scored = map_steps(docs.select(key, text), text, f"row bigint, {key} {kind}, n_words bigint, log_prob double, rare array<bigint>", work)
+    scored = stored(scored, "scored")
+    counts = stored(count_words(docs, text), "counts") if counts is None else counts
+    added = shares(scored.select("row", F.explode("rare").alias("word")), counts, words)
+    log_prob = F.col("log_prob") + F.coalesce("share", F.lit(0.0))
+    whole = scored.select("row", key, "n_words", "log_prob").join(added, "row", "left").select(key, "n_words", log_prob.alias("log_prob"))
+    return whole.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))

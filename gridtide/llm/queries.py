@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridtide.llm import bpe_count, bpe_tree, language_crf, multi_index, partenum_join, pseudo_likelihood, quality_gam, suffix_search, toxicity_kernel, warc_writer
-from gridtide.llm.common import split_of, table
+from gridtide.llm.common import split_of, stored, table
 from gridtide.session import work_path
 
 
@@ -59,7 +59,8 @@ def op8_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return pseudo_likelihood.score(docs, *pseudo_likelihood.fit(docs))
+    counts = stored(pseudo_likelihood.count_words(docs, "text"), "counts")
+    return pseudo_likelihood.score(docs, *pseudo_likelihood.fit(docs, counts=counts), counts=counts)
 
 
 def op10_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:

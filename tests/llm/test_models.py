@@ -167,6 +167,27 @@ def test_probabilities_sum_to_one_and_scores_add_up():
     assert pseudo_likelihood.Network.of(net.flat()).flat().tolist() == net.flat().tolist()
 
 
+def test_rare_words_have_their_own_probability(spark, make_docs):
+    common = [" ".join(f"common{i}" for i in range(k, k + 400)) for k in range(0, 3600, 400)] * 9
+    times = {f"rare{i}": 1 + i % 4 for i in range(900)}
+    singles = [w for w, n in times.items() for _ in range(n)]
+    docs = make_docs(enumerate(common + singles)).repartition(3)
+    words, network = pseudo_likelihood.fit(docs)
+    got = pseudo_likelihood.score(docs, words, network).toPandas().set_index("doc_id").log_prob
+    own = {w: got[len(common) + i] for i, w in enumerate(singles)}
+    found = pseudo_likelihood.Bytes(pa.array(list(times)), pseudo_likelihood.word_bytes())
+    number, near = pseudo_likelihood.windows(found, pseudo_likelihood.Numbers(words))
+    entry = network.log_probabilities(number, near)
+    everything = {f"common{i}": 9 for i in range(3600)} | times
+    spelled = pseudo_likelihood.Bytes(pa.array(list(everything)), pseudo_likelihood.word_bytes()).hash
+    total = np.bincount(pseudo_likelihood.Numbers(words)(spelled), list(everything.values()), pseudo_likelihood.SIZE)
+    for w, e, n in zip(times, entry, number, strict=True):
+        assert n >= pseudo_likelihood.SIZE - pseudo_likelihood.OTHERS
+        assert own[w] == pytest.approx(e + np.log(times[w] / total[n]), abs=1e-4)
+    again = pseudo_likelihood.score(make_docs([(1, "rare7"), (2, "rare8"), (3, None)]), words, network, counts=pseudo_likelihood.count_words(docs, "text"))
+    assert {r.doc_id: r.log_prob for r in again.collect()} == pytest.approx({1: own["rare7"], 2: own["rare8"], 3: 0})
+
+
 def test_scores_cover_every_document(spark):
     rows = queries.op9_pseudo_likelihood(spark, "/root/testdata/sf0.001")
     assert rows.count() == 200 and rows.where("n_words > 0 and not log_prob < 0").count() == 0

@@ -7,7 +7,7 @@ and such a word's probability is its entry's times its share in the entry's coun
 table and joined, so the vocabulary grows with the corpus. A word that was never counted is taken as counted once. A
 document's score is the sum of its words' conditional log-probabilities, each word being masked in turn.
 
-Training reads all documents. Every task starts from the same weights, takes gradient steps on each `MASK`-th word of each
+Training reads all documents. Every task starts from the same weights, takes gradient steps on each word of each
 of its documents, and gives its weights in pieces; the pieces are averaged by numbers of words up a tree of groups of
 bounded size, so neither the driver nor a task ever holds more than `FAN` copies of a piece. The order of the steps
 follows the input's partitions.
@@ -31,7 +31,7 @@ from gridtide.llm.suffix_search import word_bytes
 
 CLASSES, OTHERS = 64, 512
 SIZE = CLASSES * CLASSES
-PLACES, HIDDEN, MASK, BATCH, RATE = (-2, -1, 1, 2), 32, 8, 2048, 0.08
+PLACES, HIDDEN, BATCH, RATE = (-2, -1, 1, 2), 32, 2048, 0.08
 PIECES, FAN = 32, 32
 SHAPES = {"near": (len(PLACES), SIZE + 1, HIDDEN), "shift": (HIDDEN,), "top": (HIDDEN + 1, CLASSES), "low": (CLASSES, HIDDEN + 1, CLASSES)}
 
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, text: str = "text", counts: DataFrame | None = None) ->
         for batch in batches:
             for rows in steps(batch, text):
                 word, near = windows(Bytes(rows.column(text), letters), numbers)
-                masked = np.random.default_rng(seen).permutation(np.arange(seen % MASK, len(word), MASK))
+                masked = np.random.default_rng(seen).permutation(len(word))
                 seen += len(word)
                 for i in range(0, len(masked), BATCH):
                     trainer.step(word[masked[i : i + BATCH]], near[:, masked[i : i + BATCH]])

@@ -188,6 +188,13 @@ def test_rare_words_have_their_own_probability(spark, make_docs):
     assert {r.doc_id: r.log_prob for r in again.collect()} == pytest.approx({1: own["rare7"], 2: own["rare8"], 3: 0})
 
 
+def test_every_word_is_a_target(spark, make_docs):
+    # Every eighth word is the same; the others must be learned as well.
+    docs = make_docs([(i, "first b c d e f g h") for i in range(3000)]).coalesce(1)
+    words, network = pseudo_likelihood.fit(docs)
+    assert pseudo_likelihood.score(docs.limit(1), words, network).first().mean_log_prob > -3
+
+
 def test_scores_cover_every_document(spark):
     rows = queries.op9_pseudo_likelihood(spark, "/root/testdata/sf0.001")
     assert rows.count() == 200 and rows.where("n_words > 0 and not log_prob < 0").count() == 0

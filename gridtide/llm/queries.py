@@ -6,7 +6,10 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtide.llm import bpe_count, bpe_tree, language_crf, multi_index, partenum_join, pseudo_likelihood, quality_gam, suffix_search, toxicity_kernel, warc_writer
+from gridtide.llm import (
+    bpe_count, bpe_tree, language_crf, multi_index, partenum_join, pseudo_likelihood, qchunk_variants, quality_gam, suffix_search,
+    toxicity_kernel, warc_writer,
+)
 from gridtide.llm.common import split_of, stored, table
 from gridtide.session import work_path
 
@@ -70,9 +73,17 @@ def op10_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_kernel.score(docs, model).select("doc_id", held, "score", "predicted")
 
 
+def op13_qchunk_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stored(qchunk_variants.words(table(spark, sf_dir, "documents", "doc_id", "text")), "words")
+    return qchunk_variants.group(found, ratio=10, min_length=7).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_crf, op2_warc_writer, op3_tree_bpe, op4_quality_gam, op5_token_counts, op6_suffix_search, op7_multi_index, op8_partenum_join, op9_pseudo_likelihood, op10_toxicity_kernel)
+    for f in (
+        op1_language_crf, op2_warc_writer, op3_tree_bpe, op4_quality_gam, op5_token_counts, op6_suffix_search, op7_multi_index,
+        op8_partenum_join, op9_pseudo_likelihood, op10_toxicity_kernel, op13_qchunk_variants,
+    )
 }
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -135,4 +146,47 @@ WITH RECURSIVE texts AS (
 )
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id
 FROM sets JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)""",
+    "op13_qchunk_variants": r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS n, row_number() OVER () AS id
+  FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY doc_id, run
+), bits AS (
+  SELECT b, 0 AS k, b AS c FROM range(256) AS r(b)
+  UNION ALL SELECT b, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8
+), remainders AS (
+  SELECT b, c AS r FROM bits WHERE k = 8
+), hexed AS (
+  SELECT id, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h FROM runs
+), sums AS (
+  SELECT id, h, 0 AS i, 4294967295::BIGINT AS c FROM hexed
+  UNION ALL
+  SELECT id, h, i + 1, xor(c >> 8, r) FROM sums JOIN remainders ON b = xor(c & 255, ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) WHERE 2 * i < length(h)
+), marks AS (
+  SELECT id, xor(c, 4294967295) AS mark FROM sums WHERE 2 * i = length(h)
+), made AS (
+  SELECT CASE WHEN mark % 31 = 0 THEN substr(run, 1, (mark % length(run))::BIGINT) || substr(run, (mark % length(run))::BIGINT + 2) ELSE run END AS word, n
+  FROM runs JOIN marks USING (id)
+), vocabulary AS (
+  SELECT word, sum(n)::BIGINT AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), holes AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocabulary)
+), shorter AS (
+  SELECT DISTINCT h.word AS a, h.n AS n_a, v.word AS b, v.n AS n_b FROM holes h JOIN vocabulary v ON h.rest = v.word
+), near AS (
+  SELECT x.word, x.n, y.word AS near, y.n AS near_n FROM holes x JOIN holes y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+  UNION ALL SELECT a, n_a, b, n_b FROM shorter UNION ALL SELECT b, n_b, a, n_a FROM shorter
+), counted AS (
+  SELECT word, count(*) AS n_near FROM near GROUP BY word
+), forms AS (
+  SELECT word, near AS form, near_n AS form_n
+  FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS k FROM near WHERE near_n >= 10 * n) WHERE k = 1
+), walk AS (
+  SELECT word, form AS root, 1 AS k FROM forms
+  UNION ALL SELECT w.word, f.form, k + 1 FROM walk w JOIN forms f ON w.root = f.word
+), roots AS (
+  SELECT word, arg_max(root, k) AS root FROM walk GROUP BY word
+)
+SELECT word, form, coalesce(root, word) AS root, n, coalesce(n_near, 0)::BIGINT AS n_near, form_n
+FROM vocabulary LEFT JOIN counted USING (word) LEFT JOIN forms USING (word) LEFT JOIN roots USING (word)""",
 }

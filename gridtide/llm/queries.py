@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridtide.llm import (
-    bpe_count, bpe_tree, language_crf, multi_index, partenum_join, pseudo_likelihood, qchunk_variants, quality_gam, suffix_search,
-    toxicity_kernel, warc_writer,
+    bag_search, bpe_count, bpe_tree, external_shuffle, language_crf, multi_index, partenum_join, pseudo_likelihood, qchunk_variants,
+    quality_gam, suffix_search, toxicity_kernel, warc_writer,
 )
 from gridtide.llm.common import split_of, stored, table
 from gridtide.session import work_path
@@ -73,6 +73,21 @@ def op10_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_kernel.score(docs, model).select("doc_id", held, "score", "predicted")
 
 
+def op11_bag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
+    return bag_search.search(docs, items)
+
+
+def op12_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, docs = work_path(spark, "shards"), table(spark, sf_dir, "documents")
+    external_shuffle.write(docs, folder)
+    text = F.coalesce("record.text", F.lit(""))
+    return external_shuffle.read(docs, folder).select(
+        "record.doc_id", (F.octet_length(text).cast("bigint") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit(external_shuffle.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op13_qchunk_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stored(qchunk_variants.words(table(spark, sf_dir, "documents", "doc_id", "text")), "words")
     return qchunk_variants.group(found, ratio=10, min_length=7).select("word", "form", "root", "n", "n_near", "form_n")
@@ -82,7 +97,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_crf, op2_warc_writer, op3_tree_bpe, op4_quality_gam, op5_token_counts, op6_suffix_search, op7_multi_index,
-        op8_partenum_join, op9_pseudo_likelihood, op10_toxicity_kernel, op13_qchunk_variants,
+        op8_partenum_join, op9_pseudo_likelihood, op10_toxicity_kernel, op11_bag_search, op12_external_shuffle,
+        op13_qchunk_variants,
     )
 }
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -146,6 +162,27 @@ WITH RECURSIVE texts AS (
 )
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id
 FROM sets JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)""",
+    "op11_bag_search": rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS t FROM documents
+), facts AS (
+  SELECT (count(*) FILTER (len(t) > 0))::BIGINT AS n_docs, sum(len(t))::BIGINT AS n_terms FROM docs
+), wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), counts AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM docs) GROUP BY r, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM counts WHERE term IN (SELECT term FROM wanted) GROUP BY term), facts
+), lengths AS (
+  SELECT r, doc_id, 50 + (50 * len(t) * n_docs) // n_terms AS m FROM docs, facts WHERE len(t) > 0
+), parts AS (
+  SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * m)) AS part FROM counts JOIN weights USING (term) JOIN lengths USING (r)
+), scores AS (
+  SELECT item_id, r, doc_id, sum(part)::BIGINT AS score FROM wanted JOIN parts USING (term) GROUP BY item_id, r, doc_id HAVING sum(part) > 0
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST))::INTEGER AS rank, doc_id, score
+FROM scores QUALIFY rank <= 50""",
     "op13_qchunk_variants": r"""
 WITH RECURSIVE runs AS (
   SELECT doc_id, run, count(*) AS n, row_number() OVER () AS id

@@ -45,60 +45,54 @@ def channels(field: DataFrame, *keep: str) -> DataFrame:
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], buckets: int = 1024
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], buckets: int = 1024, small: int = 1 << 16
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per key, rows (*keys, prob, quantile).
 
-    Equal values are counted first, so ties cost one row. Value-range buckets narrow every wanted
-    rank to one bucket, and only the rows of those buckets are ranked: nothing orders a whole group.
+    Equal values are counted first, so ties cost one row. A wanted rank lies in a range of values, at first all of them.
+    A range of more than `small` different values is cut in buckets, and the rank's range becomes what its bucket holds,
+    from its least to its largest value. A range over many magnitudes is cut by magnitude first, so outliers cost one
+    round. Only the values of small ranges are ranked; nothing orders a whole group.
     """
     keys = list(keys)
-    counts = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    span = measured(
-        counts.groupBy(*keys).agg(
-            F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total")
-        ),
-        "span",
-    )
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(buckets))
-    placed = counts.join(span, keys).withColumn(
-        "_b",
-        F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(buckets - 1)))
-        .otherwise(F.lit(0))
-        .cast("int"),
-    )
-    per_bucket = placed.groupBy(*keys, "_b").agg(
-        F.sum("_n").alias("_bn"), F.first("_total").alias("_total")
-    )
-    run = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    offsets = per_bucket.withColumn("_end", F.sum("_bn").over(run)).withColumn(
-        "_start", F.col("_end") - F.col("_bn")
-    )
-    want = F.array(
-        *[
-            F.struct(
-                F.lit(float(p)).alias("prob"),
-                (F.lit(float(p)) * (F.col("_total") - 1)).alias("pos"),
-            )
-            for p in probs
-        ]
-    )
-    targets = (
-        offsets.withColumn("_w", F.explode(want))
-        .withColumn("_rank", F.explode(F.array(F.floor("_w.pos"), F.ceil("_w.pos"))))
-        .filter("_rank >= _start AND _rank < _end")
-        .select(*keys, "_b", "_start", F.col("_w.prob").alias("prob"), F.col("_w.pos").alias("_pos"), "_rank")
-        .distinct()
-    )
-    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        placed.join(targets.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi")
-        .withColumn("_cum", F.sum("_n").over(inside))
-        .select(*keys, "_b", "_v", "_n", "_cum")
-    )
-    hits = targets.join(ranked, [*keys, "_b"]).filter(
-        "_rank < _start + _cum AND _rank >= _start + _cum - _n"
+    counts = measured(
+        df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")), "counts"
     )
+    facts = (F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_rows"), F.count("*").alias("_values"), F.min(F.when(F.col("_v") != 0, F.abs("_v"))).alias("_least"))
+    spans = counts.groupBy(*keys).agg(*facts)
+    want = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("prob"), (F.lit(float(p)) * (F.col("_rows") - 1)).alias("_pos")) for p in probs]))
+    placed = spans.withColumn("_w", want).select(*keys, "_lo", "_hi", "_values", "_least", "_w.prob", "_w._pos", F.lit(0).cast("bigint").alias("_start"))
+    ranks = F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos"))))
+    targets = measured(placed.withColumn("_rank", ranks), "ranks")
+    while True:
+        wide = (F.col("_values") > small) & (F.col("_hi") > F.col("_lo"))
+        if targets.where(wide).isEmpty():
+            break
+        ranges = measured(targets.where(wide).select(*keys, "_lo", "_hi", "_start", "_least").distinct(), "ranges")
+        inside = counts.join(ranges, keys).where("_v BETWEEN _lo AND _hi")
+        ends = F.abs("_lo"), F.abs("_hi")
+        far = (F.col("_lo") < 0) & (F.col("_hi") > 0) | (F.greatest(*ends) / buckets > F.least(*ends))
+        # Magnitudes over the least one with their sign, zero between them; or halves, as a difference of large numbers may be none.
+        size = lambda c: F.when(F.col(c) == 0, 0.0).otherwise(F.signum(c) * (F.ln(F.abs(c)) - F.ln("_least") + 1))
+        at = lambda c: F.when(far, size(c)).otherwise(F.col(c) / 2)
+        share = (at("_v") - at("_lo")) / (at("_hi") - at("_lo"))
+        bucket = F.least(F.floor(share * buckets), F.lit(buckets - 1)).alias("_b")
+        per = inside.groupBy(*keys, F.col("_lo").alias("_from"), "_start", bucket).agg(*facts)
+        run = Window.partitionBy(*keys, "_from").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+        per = per.withColumn("_end", F.col("_start") + F.sum("_rows").over(run)).select(
+            *keys, "_from", "_lo", "_hi", "_values", "_least", (F.col("_end") - F.col("_rows")).alias("_start"), "_end"
+        )
+        narrowed = (
+            targets.where(wide).select(*keys, F.col("_lo").alias("_from"), "prob", "_pos", "_rank")
+            .join(per, [*keys, "_from"]).where("_rank >= _start AND _rank < _end").select(targets.columns)
+        )
+        targets = measured(targets.where(~wide).unionByName(narrowed), "ranks")
+    ranges = targets.select(*keys, "_lo", "_hi", "_start").distinct()
+    within = Window.partitionBy(*keys, "_lo").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.join(ranges, keys).where("_v BETWEEN _lo AND _hi").withColumn("_cum", F.col("_start") + F.sum("_n").over(within))
+    hits = targets.select(*keys, "_lo", "prob", "_pos", "_rank").join(
+        ranked.select(*keys, "_lo", "_v", "_n", "_cum"), [*keys, "_lo"]
+    ).where("_rank < _cum AND _rank >= _cum - _n")
     frac = F.max("_pos") - F.floor(F.max("_pos"))
     low = F.min_by("_v", "_rank")
     high = F.max_by("_v", "_rank")

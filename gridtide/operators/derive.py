@@ -201,6 +201,56 @@ def to_cells(lines: DataFrame) -> DataFrame:
     ).select("dataset", "t", "x", "y", F.col("cell.u_x").alias("u_x"), F.col("cell.u_y").alias("u_y"))
 
 
+def line_gradients(lines: DataFrame, grid: Grid | DataFrame, *, extra_keys: tuple[str, ...] = ()) -> DataFrame:
+    """Lines with arrays dux_dx, duy_dx, dux_dy, duy_dy: slopes along y inside each line, along x from the lines beside it.
+
+    Lines move once, to their frame; no cell becomes a row.
+    """
+    across = Window.partitionBy(*extra_keys, "dataset", "t").orderBy("x")
+    near = with_grid(lines, grid, "dx", "dy").withColumns({
+        **{f"_ahead_{c}": F.coalesce(F.lead(c).over(across), c) for c in ("u_x", "u_y")},
+        **{f"_behind_{c}": F.coalesce(F.lag(c).over(across), c) for c in ("u_x", "u_y")},
+        "_across": F.when(F.lead("x").over(across).isNull() | F.lag("x").over(across).isNull(), F.col("dx")).otherwise(2 * F.col("dx")),
+    }).withColumn("_last", F.size("u_x") - 1)
+    along_x = lambda c: F.expr(f"zip_with(_ahead_{c}, _behind_{c}, (a, b) -> (a - b) / _across)")
+    along_y = lambda c: F.expr(
+        f"transform({c}, (v, i) -> ({c}[least(i + 1, _last)] - {c}[greatest(i - 1, 0)])"
+        " / ((least(i + 1, _last) - greatest(i - 1, 0)) * dy))"
+    )
+    return near.select(
+        *lines.columns, along_x("u_x").alias("dux_dx"), along_x("u_y").alias("duy_dx"),
+        along_y("u_x").alias("dux_dy"), along_y("u_y").alias("duy_dy"),
+    )
+
+
+def line_field(lines: DataFrame, grid: Grid | DataFrame, name: str) -> DataFrame:
+    """`select_field` on lines: (dataset, t, x, value), `value` an array along y."""
+    if name not in FIELDS:
+        raise ValueError(f"unknown field {name!r}, expected one of {FIELDS}")
+    if name == "vorticity":
+        value = F.expr("zip_with(duy_dx, dux_dy, (a, b) -> a - b)")
+        return line_gradients(lines, grid).select("dataset", "t", "x", value.alias("value"))
+    value = F.expr("zip_with(u_x, u_y, (a, b) -> sqrt(a * a + b * b))") if name == "speed" else F.col(name)
+    return lines.select("dataset", "t", "x", value.alias("value"))
+
+
+def line_physics(lines: DataFrame, grid: Grid | DataFrame, *extra_keys: str) -> DataFrame:
+    """`frame_physics` on lines, with mean vorticity and normalized divergence: each line is summed where it lies."""
+    total = lambda a, b, term: F.expr(f"aggregate(zip_with({a}, {b}, (a, b) -> {term}), 0D, (s, v) -> s + v)")
+    sums = line_gradients(lines, grid, extra_keys=extra_keys).select(
+        *extra_keys, "dataset", "t", F.size("u_x").alias("n"),
+        total("u_x", "u_y", "0.5D * (a * a + b * b)").alias("e"), total("duy_dx", "dux_dy", "a - b").alias("w"),
+        total("duy_dx", "dux_dy", "0.5D * (a - b) * (a - b)").alias("z"), total("dux_dx", "duy_dy", "(a + b) * (a + b)").alias("d"),
+        total("dux_dx", "duy_dy", "a * a + b * b").alias("g"), total("u_x", "u_x", "a").alias("x"), total("u_y", "u_y", "a").alias("y"),
+    )
+    mean = lambda c: F.sum(c) / F.sum("n")
+    frames = sums.groupBy(*extra_keys, "dataset", "t").agg(
+        mean("e").alias("energy"), mean("w").alias("mean_vorticity"), mean("z").alias("enstrophy"),
+        F.sqrt(mean("d")).alias("rms_divergence"), F.sqrt(mean("g")).alias("_scale"), mean("x").alias("mean_u_x"), mean("y").alias("mean_u_y"),
+    )
+    return frames.withColumn("normalized", F.col("rms_divergence") / (F.col("_scale") + TINY)).drop("_scale")
+
+
 def line_enstrophy(lines: DataFrame, grid: Grid | DataFrame) -> DataFrame:
     """Enstrophy per frame on packed lines: the window moves whole lines, never single cells."""
     across = Window.partitionBy("dataset", "t").orderBy("x")

@@ -14,6 +14,7 @@ from pyspark.sql.functions import pandas_udf
 from gridtide.functions.layout import channels
 from gridtide.operators.linalg import (
     MAX_WIDTH,
+    SLAB,
     eigenbasis,
     gram,
     gram_entries,
@@ -21,12 +22,14 @@ from gridtide.operators.linalg import (
     project,
     square,
     sum_arrays,
+    wide_eigenbasis,
 )
 from gridtide.operators.spectra import TWO_PI, check_segments, segments
 from gridtide.operators.stats import fluctuation
 from gridtide.schema import Grid, with_grid
+from gridtide.session import materialize
 
-CELLS_PER_SLAB = 256
+X_PER_TILE, Y_PER_TILE, FRAMES_PER_TILE = 16, 128, 1024
 BLOCK_CELLS = 4096
 # A Gram matrix resolves singular values down to about the root of the float epsilon.
 GRAM_TOLERANCE = 1e-7
@@ -68,8 +71,8 @@ def cell_rows(field: DataFrame) -> DataFrame:
     )
 
 
-def _slab() -> list[Column]:
-    return [F.col("x"), F.floor(F.col("y") / CELLS_PER_SLAB)]
+def _tile() -> list[Column]:
+    return [F.floor(F.col("x") / X_PER_TILE), F.floor(F.col("y") / Y_PER_TILE)]
 
 
 def frame_gram(field: DataFrame) -> DataFrame:
@@ -77,8 +80,18 @@ def frame_gram(field: DataFrame) -> DataFrame:
     return gram_entries(cell_rows(field), ["dataset"])
 
 
-def pod_factors(rows: DataFrame, rank: int | None = None, tolerance: float = GRAM_TOLERANCE) -> DataFrame:
-    """(dataset, mode, s, share, n_values, v) from cell rows; coefficients over time are s * v."""
+def pod_factors(
+    rows: DataFrame, rank: int | None = None, tolerance: float = GRAM_TOLERANCE, n_frames: int | None = None
+) -> DataFrame:
+    """(dataset, mode, s, share, n_values, v) from cell rows; coefficients over time are s * v.
+
+    `n_frames`, the longest dataset's length, says whether a task can square the frames. Beyond `MAX_WIDTH` of them a rank
+    is needed, and a subspace of that rank is iterated instead.
+    """
+    if n_frames is not None and n_frames > MAX_WIDTH:
+        if rank is None:
+            raise ValueError(f"{n_frames} frames exceed {MAX_WIDTH}: give a rank")
+        return wide_eigenbasis(rows, "dataset", rank, tolerance)
     return eigenbasis(gram(rows, ["dataset"]), ["dataset"], rank, tolerance)
 
 
@@ -87,7 +100,7 @@ def pod_modes(rows: DataFrame, factors: DataFrame) -> DataFrame:
     weights = factors.select(
         "dataset", "mode", F.expr("transform(v, a -> a / s)").alias("w")
     )
-    return project(rows, ["dataset"], _slab(), CELL, weights)
+    return project(rows, ["dataset"], _tile(), CELL, weights)
 
 
 def pod_coefficients(factors: DataFrame) -> DataFrame:
@@ -121,17 +134,27 @@ def pod_report(factors: DataFrame, level: float = 0.9) -> DataFrame:
 
 def reconstruct(modes: DataFrame, factors: DataFrame, chosen: list[int] | None = None) -> DataFrame:
     """(dataset, channel, x, y, t, value): summed contribution of the chosen modes (default all)."""
-    keep = F.lit(True) if chosen is None else F.col("mode").isin(chosen)
-    courses = factors.select(
-        "dataset", "mode", F.when(keep, F.col("s")).otherwise(0.0).alias("s"), F.posexplode("v").alias("t", "a")
-    )
+    if chosen is not None:
+        factors = factors.filter(F.col("mode").isin(chosen))
+        # The shapes of the chosen modes only, in ascending order like their courses; a dataset may have fewer modes.
+        some = F.array(*[F.lit(k) for k in sorted(set(chosen))])
+        modes = modes.withColumn("coef", F.transform(F.filter(some, lambda k: k < F.size("coef")), lambda k: F.col("coef")[k]))
+    courses = factors.select("dataset", "mode", F.col("s").alias("_s"), F.posexplode("v").alias("t", "a"))
     weights = (
         courses.groupBy("dataset", "t")
-        .agg(F.array_sort(F.collect_list(F.struct("mode", (F.col("s") * F.col("a")).alias("c")))).alias("w"))
-        .select("dataset", F.col("t").alias("mode"), F.col("w.c").alias("w"))
+        .agg(F.array_sort(F.collect_list(F.struct("mode", (F.col("_s") * F.col("a")).alias("c")))).alias("w"))
+        .select("dataset", _frames(F.col("t")), F.col("t").alias("mode"), F.col("w.c").alias("w"))
     )
-    done = project(modes, ["dataset"], _slab(), CELL, weights, vec="coef")
-    return done.select("dataset", *CELL, F.posexplode("coef").alias("t", "value"))
+    # The modes are the summed axis; frames come in tiles, so no group holds a whole dataset's.
+    spans = factors.select("dataset", F.explode(F.expr(f"sequence(0, cast((size(v) - 1) div {FRAMES_PER_TILE} as int))")).alias("frames")).distinct()
+    done = project(modes.join(spans, "dataset"), ["dataset", "frames"], _tile(), CELL, weights, vec="coef", whole=True)
+    return done.select("dataset", "frames", *CELL, F.posexplode("coef").alias("i", "value")).select(
+        "dataset", *CELL, (F.col("frames") * FRAMES_PER_TILE + F.col("i")).alias("t"), "value"
+    )
+
+
+def _frames(t: Column) -> Column:
+    return F.floor(t / FRAMES_PER_TILE).cast("int").alias("frames")
 
 
 # --- exact DMD --------------------------------------------------------------------------------
@@ -142,13 +165,20 @@ DMD_SCHEMA = (
 )
 
 
-def exact_dmd(rows: DataFrame, rank: int | None = None, tolerance: float = GRAM_TOLERANCE) -> DataFrame:
+def exact_dmd(
+    rows: DataFrame, rank: int | None = None, tolerance: float = GRAM_TOLERANCE, n_frames: int | None = None
+) -> DataFrame:
     """(dataset, mode, lam, energy_fraction, amplitude, norm, w): exact DMD from the frames' Gram.
 
     X and X' are the frames without the last and without the first, so all products of them are
     blocks of one Gram matrix G: A~ from X'X, mode norms and the least-squares amplitudes of the
     first frame from the blocks as well. `w` are each mode's weights over the frames of X'.
+    More than `MAX_WIDTH` frames (`n_frames` is the longest dataset's number) need a rank.
     """
+    if n_frames is not None and n_frames > MAX_WIDTH:
+        if rank is None:
+            raise ValueError(f"{n_frames} frames exceed {MAX_WIDTH}: give a rank")
+        return _wide_dmd(rows, rank, tolerance)
 
     def solve(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         g = square(part)
@@ -182,6 +212,59 @@ def exact_dmd(rows: DataFrame, rank: int | None = None, tolerance: float = GRAM_
     )
 
 
+def _wide_dmd(rows: DataFrame, rank: int, tolerance: float) -> DataFrame:
+    """`exact_dmd` without a Gram of frames: X = U S V^T by iteration, then products of X V, X' V and the first frame,
+    which are as wide as the rank. The modes' weights are V times a small matrix, made slab by slab."""
+    frames = materialize(rows.select("dataset", *CELL, "vec"), "frames")
+    early = frames.withColumn("vec", F.expr("slice(vec, 1, size(vec) - 1)"))
+    late = frames.withColumn("vec", F.expr("slice(vec, 2, size(vec) - 1)"))
+    factors = wide_eigenbasis(early, "dataset", rank, tolerance)
+    weights = factors.select("dataset", "mode", F.expr("transform(v, a -> a / s)").alias("w"))
+    first = frames.select("dataset", *CELL, F.expr("slice(vec, 1, 1)").alias("first"))
+    u = project(early, ["dataset"], _tile(), CELL, weights).withColumnRenamed("coef", "now")
+    y = project(late, ["dataset"], _tile(), CELL, weights).withColumnRenamed("coef", "next")
+    near = u.join(y, ["dataset", *CELL]).join(first, ["dataset", *CELL])
+    grams = gram(near.select("dataset", F.concat("now", "next", "first").alias("vec")), ["dataset"])
+    shares = factors.groupBy("dataset").agg(F.sum("share").alias("share"))
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        g, share = square(part), part["share"].iloc[0]
+        r = len(g) // 2
+        lam, w = np.linalg.eig(g[:r, r : 2 * r])  # U^T X' V / S
+        order = np.lexsort((-lam.imag, -np.abs(lam)))
+        lam, w = lam[order], w[:, order]
+        inner = w.conj().T @ g[r : 2 * r, r : 2 * r] @ w
+        amplitude = np.linalg.lstsq(inner, w.conj().T @ g[r : 2 * r, 2 * r], rcond=None)[0]
+        return pd.DataFrame({
+            "dataset": part["dataset"].iloc[0], "mode": np.arange(r), "lam_re": lam.real, "lam_im": lam.imag, "energy_fraction": share,
+            "amp_re": amplitude.real, "amp_im": amplitude.imag, "norm": np.sqrt(np.maximum(np.diag(inner).real, 0.0)),
+            "c_re": list(w.real.T), "c_im": list(w.imag.T),
+        })
+
+    small = materialize(
+        grams.join(shares, "dataset").groupBy("dataset").applyInPandas(
+            solve,
+            "dataset string, mode int, lam_re double, lam_im double, energy_fraction double, amp_re double, amp_im double,"
+            " norm double, c_re array<double>, c_im array<double>",
+        ),
+        "dmd",
+    )
+    # Weights over the frames: for each mode the sum over the factors of v / s times the mode's coefficient.
+    scaled = weights.withColumnRenamed("mode", "factor").select("dataset", "factor", F.posexplode(F.expr(
+        f"transform(sequence(0, (size(w) - 1) div {SLAB}), k -> slice(w, k * {SLAB} + 1, {SLAB}))")).alias("slab", "part"))
+    pieces = small.select("dataset", "mode", F.posexplode(F.arrays_zip("c_re", "c_im")).alias("factor", "c")).join(scaled, ["dataset", "factor"])
+    both = pieces.select("dataset", "mode", "slab", F.expr("concat(transform(part, p -> p * c.c_re), transform(part, p -> p * c.c_im))").alias("w"))
+    summed = sum_arrays(both, ["dataset", "mode", "slab"], "w").select(
+        "dataset", "mode", "slab", F.expr("slice(w, 1, size(w) div 2)").alias("re"), F.expr("slice(w, size(w) div 2 + 1, size(w) div 2)").alias("im")
+    )
+    whole = summed.groupBy("dataset", "mode").agg(F.array_sort(F.collect_list(F.struct("slab", "re", "im"))).alias("p")).select(
+        "dataset", "mode",
+        F.concat(F.array(F.lit(0.0)), F.flatten("p.re")).alias("w_re"),  # the first frame is not in X'
+        F.concat(F.array(F.lit(0.0)), F.flatten("p.im")).alias("w_im"),
+    )
+    return materialize(small.drop("c_re", "c_im").join(whole, ["dataset", "mode"]), "dmd")
+
+
 def dmd_modes(rows: DataFrame, dmd: DataFrame) -> DataFrame:
     """(dataset, channel, x, y, re, im): complex mode shapes, arrays over modes."""
     weights = dmd.select(
@@ -193,7 +276,7 @@ def dmd_modes(rows: DataFrame, dmd: DataFrame) -> DataFrame:
             )
         ).alias("p"),
     ).select("dataset", "p.mode", "p.w")
-    both = project(rows, ["dataset"], _slab(), CELL, weights)
+    both = project(rows, ["dataset"], _tile(), CELL, weights)
     return both.select(
         "dataset", *CELL,
         F.expr("filter(coef, (v, i) -> i % 2 = 0)").alias("re"),
@@ -229,18 +312,20 @@ def dominant_dmd_modes(dmd: DataFrame, lengths: DataFrame, n_modes: int, dt: flo
 
 
 def mode_evolution(
-    modes: DataFrame, dmd: DataFrame, mode: int, n_frames: int, normalize_growth: bool = True
+    modes: DataFrame, dmd: DataFrame, mode: int, n_frames: int | DataFrame, normalize_growth: bool = True
 ) -> DataFrame:
     """(dataset, channel, x, y, t, value): Re(a phi lambda^t), t < n_frames, in polar form.
 
-    With `normalize_growth` an oscillating mode keeps its amplitude; a real one keeps its growth.
+    `n_frames` is one number or (dataset, n_steps). `modes` holds the shapes of all modes, or of this one only. With
+    `normalize_growth` an oscillating mode keeps its amplitude; a real one keeps its growth.
     """
     radius, phase = F.hypot("lam_re", "lam_im"), F.atan2("lam_im", "lam_re")
     size = F.when((F.lit(normalize_growth)) & (F.col("lam_im") != 0), 1.0).otherwise(radius)
+    own = dmd.filter(F.col("mode") == mode)
+    own = own.withColumn("_n", F.lit(n_frames)) if isinstance(n_frames, int) else own.join(n_frames.select("dataset", F.col("n_steps").alias("_n")), "dataset")
     turns = (
-        dmd.filter(F.col("mode") == mode)
-        .select("dataset", size.alias("size"), phase.alias("phase"), "amp_re", "amp_im",
-                F.explode(F.sequence(F.lit(0), F.lit(n_frames - 1))).alias("t"))
+        own.select("dataset", size.alias("size"), phase.alias("phase"), "amp_re", "amp_im",
+                F.explode(F.expr("sequence(0, cast(_n - 1 as int))")).alias("t"))
         .withColumn("g", F.pow("size", F.col("t").cast("double")))
         .select(
             "dataset", "t",
@@ -248,7 +333,8 @@ def mode_evolution(
             (F.col("g") * (F.col("amp_re") * F.sin(F.col("phase") * F.col("t")) + F.col("amp_im") * F.cos(F.col("phase") * F.col("t")))).alias("c_im"),
         )
     )
-    shape = modes.select("dataset", *CELL, F.col("re")[mode].alias("re"), F.col("im")[mode].alias("im"))
+    place = F.when(F.size("re") == 1, 0).otherwise(mode)
+    shape = modes.select("dataset", *CELL, F.col("re")[place].alias("re"), F.col("im")[place].alias("im"))
     return shape.join(turns, "dataset").select(
         "dataset", *CELL, "t", (F.col("re") * F.col("c_re") - F.col("im") * F.col("c_im")).alias("value")
     )

@@ -18,11 +18,12 @@ from pyspark.sql.functions import pandas_udf
 from gridtide.functions.batches import map_stacks, stacks, sums_by_key
 from gridtide.functions.fourier import DIRECT_LIMIT, dft
 from gridtide.functions.layout import channels, core_rows, halo_blocks, halo_window
-from gridtide.operators.stats import fluctuation
 from gridtide.schema import Grid, with_grid
 from gridtide.session import measured
 
 TWO_PI = 2 * np.pi
+# Points of a packed line that one group takes of every line of a frame.
+Y_SPAN = 64
 # Fixed value: power below this share of the true peak counts as zero.
 SPECTRUM_FLOOR_RATIO = 1e-10
 
@@ -216,6 +217,37 @@ def line_spectrum(
         .agg(F.array_sort(F.collect_list(F.struct(axis, "u_x", "u_y"))).alias("line"))
         .select(*keys, F.col("line.u_x").alias("u_x"), F.col("line.u_y").alias("u_y"))
     )
+    return _packed_spectrum(lines, dict(field.dtypes), grid, axis, keys, mean)
+
+
+def spectrum_of_lines(
+    lines: DataFrame, grid: Grid | DataFrame, axis: str, keys: tuple[str, ...] = ("dataset",), mean: bool = True
+) -> DataFrame:
+    """`line_spectrum` of a field at rest as lines (keys, t, x, u_x, u_y), y packed.
+
+    Along y each line is transformed where it lies. Along x whole lines of a frame meet, a block of `Y_SPAN` points of each,
+    and are turned there.
+    """
+    if axis == "y":
+        return _packed_spectrum(lines.select(*keys, "u_x", "u_y"), dict(lines.dtypes), grid, axis, keys, mean)
+    if axis != "x":
+        raise ValueError(f"axis must be x or y, got {axis!r}")
+    spans = F.explode(F.expr(
+        f"transform(sequence(0, (size(u_x) - 1) div {Y_SPAN}), b -> struct(b, slice(u_x, b * {Y_SPAN} + 1, {Y_SPAN}) as u_x,"
+        f" slice(u_y, b * {Y_SPAN} + 1, {Y_SPAN}) as u_y))"
+    ))
+    met = lines.select(*keys, "t", "x", spans.alias("s")).groupBy(*keys, "t", "s.b").agg(
+        F.array_sort(F.collect_list(F.struct("x", "s.u_x", "s.u_y"))).alias("l")
+    )
+    turned = met.select(*keys, F.explode(F.expr(
+        "transform(sequence(0, size(l[0].u_x) - 1), j -> struct(transform(l, e -> e.u_x[j]) as u_x, transform(l, e -> e.u_y[j]) as u_y))"
+    )).alias("v")).select(*keys, "v.u_x", "v.u_y")
+    return _packed_spectrum(turned, dict(lines.dtypes), grid, axis, keys, mean)
+
+
+def _packed_spectrum(
+    lines: DataFrame, types: dict[str, str], grid: Grid | DataFrame, axis: str, keys: tuple[str, ...], mean: bool
+) -> DataFrame:
     names = list(keys)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,7 +257,6 @@ def line_spectrum(
                     found, counts, power = sums_by_key(batch[names].iloc[at], _half_power(rows, 1.0))
                     yield found.assign(channel=channel, s=list(power), lines=counts)
 
-    types = dict(field.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in names) + ", channel string, s array<double>, lines long"
     spacing = F.col("dx") if axis == "x" else F.col("dy")
     n_other = F.col("ny") if axis == "x" else F.col("nx")
@@ -301,27 +332,36 @@ def _frame_transforms(part: pd.DataFrame, channel: str, nx: int, ny: int) -> np.
 
 def wavenumber_spectrum(field: DataFrame, grid: Grid | DataFrame) -> DataFrame:
     """(dataset, channel, ikx, iky, kx, ky, power): time-mean 2-D spectrum of the fluctuation about
-    the time-mean field, ikx centred. Frames are transformed where they lie and summed per batch."""
+    the time-mean field, ikx centred. Frames are transformed where they lie and summed per batch.
+
+    The transform of the mean is the mean of the transforms, so the field is shuffled once: a batch gives each bin's mean and
+    squares about it, and the means' own squares are added when the batches meet.
+    """
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for (dataset, nx, ny), part in batch.groupby(["dataset", "nx", "ny"], sort=False):
                 for channel in ("u_x", "u_y"):
                     z = _frame_transforms(part, channel, nx, ny)
-                    power = (z.real**2 + z.imag**2).sum(axis=0)
-                    power[:, 1 : (ny + 1) // 2] *= 2
+                    mean = z.mean(axis=0)
+                    apart = z - mean
+                    power = (apart.real**2 + apart.imag**2).sum(axis=0)
                     i, j = np.indices(power.shape)
                     yield pd.DataFrame({
                         "dataset": dataset, "channel": channel, "frames": len(part),
-                        "i": i.ravel(), "iky": j.ravel(), "s": power.ravel(),
+                        "i": i.ravel(), "iky": j.ravel(), "s": power.ravel(), "re": mean.real.ravel(), "im": mean.imag.ravel(),
                     })
 
-    parts = _frames(fluctuation(field)).mapInPandas(
-        sums, "dataset string, channel string, frames long, i int, iky int, s double"
+    parts = _frames(field).mapInPandas(
+        sums, "dataset string, channel string, frames long, i int, iky int, s double, re double, im double"
     )
+    weighed = lambda c: F.sum(F.col("frames") * c)
     total = parts.groupBy("dataset", "channel", "i", "iky").agg(
-        F.sum("s").alias("s"), F.sum("frames").alias("frames")
+        F.sum("s").alias("s"), F.sum("frames").alias("frames"), weighed(F.col("re")).alias("re"), weighed(F.col("im")).alias("im"),
+        weighed(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("means"),
     )
+    # Squares of the batches' means about the mean of all; rounding may leave less than nothing.
+    between = F.greatest(F.col("means") - (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.col("frames"), F.lit(0.0))
     shift = F.expr("(i + nx div 2) % nx")
     norm = hann_power(F.col("nx")) * hann_power(F.col("ny"))
     return with_grid(total, grid, "nx", "ny", "dx", "dy").select(
@@ -331,7 +371,10 @@ def wavenumber_spectrum(field: DataFrame, grid: Grid | DataFrame) -> DataFrame:
         "iky",
         (TWO_PI * (shift - F.floor(F.col("nx") / 2)) / (F.col("nx") * F.col("dx"))).alias("kx"),
         (TWO_PI * F.col("iky") / (F.col("ny") * F.col("dy"))).alias("ky"),
-        (F.col("s") / F.col("frames") * F.col("dx") * F.col("dy") / norm / TWO_PI**2).alias("power"),
+        (
+            (F.col("s") + between) / F.col("frames") * one_sided(F.col("iky"), F.col("ny"))
+            * F.col("dx") * F.col("dy") / norm / TWO_PI**2
+        ).alias("power"),
     )
 
 
@@ -358,7 +401,8 @@ def spacetime_spectrum(
     """(dataset, channel, iw, ikx, iky, omega, kx, ky, power): joint spectrum, iw and ikx centred.
 
     Separable: a 2-D transform per frame, a shuffle by wavenumber, a transform in time. No task
-    holds more than one frame batch or one wavenumber's series.
+    holds more than one frame batch or one wavenumber's series. The time mean is taken from each wavenumber's series,
+    where its frames meet anyway, so the field itself is shuffled once.
     """
 
     def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -380,8 +424,10 @@ def spacetime_spectrum(
     if catalog is None:
         catalog = field.groupBy("dataset").agg((F.max("t") + 1).alias("n_steps"))
     lengths = measured(catalog.select("dataset", F.col("n_steps").cast("long").alias("n")), "lengths")
-    waves = _frames(fluctuation(field)).mapInPandas(
-        frames, "dataset string, channel string, t int, i int, iky int, re double, im double"
+    raw = _frames(field).mapInPandas(frames, "dataset string, channel string, t int, i int, iky int, re double, im double")
+    series = Window.partitionBy(*keys)
+    waves = raw.select(
+        *keys, "t", *[(F.col(c) - F.avg(c).over(series)).alias(c) for c in ("re", "im")]
     ).join(lengths, "dataset")
     w = hann(F.col("t"), F.col("n"))
     if longest is None:

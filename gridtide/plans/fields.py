@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridtide.operators import derive, moments, scans, stats
 from gridtide.plans.common import R, add_view, r, rounded
 from gridtide.plans.registry import query
+from gridtide.session import materialize
 from gridtide.sources import adapters as src
 
 # --- scans and checks -----------------------------------------------------------------------
@@ -207,6 +211,39 @@ def _(spark, sf):
     return rounded(derive.line_enstrophy(lines, src.grid(spark, sf)), "enstrophy")
 
 
+@query(
+    "physics_on_lines",
+    "B2 B3 B4 B7 B8 B9 B10 B11",
+    f"""SELECT dataset, t, {R('avg(0.5 * (u_x * u_x + u_y * u_y))')} AS energy, {R('avg(duy_dx - dux_dy)')} AS mean_vorticity,
+               {R('avg(0.5 * (duy_dx - dux_dy) * (duy_dx - dux_dy))')} AS enstrophy,
+               {R('sqrt(avg((dux_dx + duy_dy) * (dux_dx + duy_dy)))')} AS rms_divergence,
+               {R('sqrt(avg((dux_dx + duy_dy) * (dux_dx + duy_dy))) / (sqrt(avg(dux_dx * dux_dx + duy_dy * duy_dy)) + 1e-12)')} AS normalized,
+               {R('avg(u_x)')} AS mean_u_x, {R('avg(u_y)')} AS mean_u_y
+        FROM grads GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    # The field at rest as lines; every line is summed where it lies.
+    lines = materialize(derive.to_lines(src.field(spark, sf)), "lines")
+    found = derive.line_physics(lines, src.grid(spark, sf))
+    return rounded(found, *[c for c in found.columns if c not in ("dataset", "t")])
+
+
+@query(
+    "fields_on_lines",
+    "B5 B6 B3",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS name, dataset, t, x, {R(f'sum({sql})')} AS total, {R(f'max({sql})')} AS top FROM grads GROUP BY ALL"
+        for name, sql in (("vorticity", "duy_dx - dux_dy"), ("speed", "sqrt(u_x * u_x + u_y * u_y)"), ("u_x", "u_x"), ("u_y", "u_y"))
+    ),
+)
+def _(spark, sf):
+    lines = materialize(derive.to_lines(src.field(spark, sf)), "lines")
+    parts = [derive.line_field(lines, src.grid(spark, sf), name).withColumn("name", F.lit(name)) for name in derive.FIELDS]
+    return reduce(DataFrame.unionByName, parts).select(
+        "name", "dataset", "t", "x", r(F.expr("aggregate(value, 0D, (s, v) -> s + v)")).alias("total"), r(F.array_max("value")).alias("top")
+    )
+
+
 @query(
     "rms_divergence",
     "B9",

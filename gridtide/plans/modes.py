@@ -8,7 +8,7 @@ from gridtide.operators import forecast, modal, windows
 from gridtide.plans.common import R, add_view, r, rounded
 from gridtide.plans.registry import query
 from gridtide.plans.temporal import sql_welch
-from gridtide.session import work_path
+from gridtide.session import materialize, work_path
 from gridtide.sources import adapters as src
 
 CONTEXT = 24
@@ -228,9 +228,11 @@ def _(spark, sf):
 
 @query("dmd_mode_evolution", "G11")
 def _(spark, sf):
+    # Only the mode that is shown is projected.
     rows = modal.cell_rows(src.field(spark, sf))
-    dmd = modal.exact_dmd(rows, RANK)
-    return rounded(modal.mode_evolution(modal.dmd_modes(rows, dmd), dmd, 0, 12), "value")
+    dmd = materialize(modal.exact_dmd(rows, RANK), "dmd")
+    one = modal.dmd_modes(rows, dmd.filter("mode = 0"))
+    return rounded(modal.mode_evolution(one, dmd, 0, src.catalog(spark, sf)), "value")
 
 
 SPOD_SEGMENT, SPOD_OVERLAP = 24, 12
@@ -289,6 +291,11 @@ def _(spark, sf):
 # --- forecasters ------------------------------------------------------------------------------------
 
 
+def scored(data):
+    """Every step behind the context, per dataset."""
+    return windows.context_counts(data.catalog, CONTEXT)
+
+
 @query(
     "persistence",
     "H1",
@@ -320,7 +327,7 @@ def _(spark, sf):
           SELECT 'persistence' AS kind, dataset, x, y, u_x, u_y, CAST(0 AS BIGINT) AS parameters FROM field WHERE t = {CONTEXT - 1}
           UNION ALL SELECT 'mean_field', d.dataset, x, y, u_x, u_y, CAST(2 * 99 AS BIGINT)
           FROM (SELECT x, y, avg(u_x) AS u_x, avg(u_y) AS u_y FROM field JOIN roles USING (dataset)
-                WHERE role = 'train' GROUP BY 1, 2), catalog d) c, range(1, 21) AS l(i)""",
+                WHERE role = 'train' GROUP BY 1, 2), catalog d) c JOIN catalog n USING (dataset), unnest(range(1, n_steps - {CONTEXT} + 1)) AS l(i)""",
 )
 def _(spark, sf):
     # Saved, loaded and asked like any other model.
@@ -331,7 +338,7 @@ def _(spark, sf):
         forecast.save_model(model, path, model.kind)
         loaded = forecast.load_model(spark, path)
         size = forecast.parameter_count(loaded)  # exactly one row
-        run = forecast.predict(loaded, data.field, CONTEXT, 20).drop("block").crossJoin(F.broadcast(size))
+        run = forecast.predict(loaded, data.field, CONTEXT, scored(data)).drop("block").crossJoin(F.broadcast(size))
         runs.append(run.withColumn("kind", F.lit(loaded.kind)))
     return rounded(runs[0].unionByName(runs[1]), "u_x", "u_y")
 
@@ -367,14 +374,14 @@ def dmd_model(data, delays):
 @query("dmd_forecast", "H3 H4")
 def _(spark, sf):
     data = src.Tables(spark, sf, stored=True)
-    run = forecast.predict(dmd_model(data, 1), data.field, CONTEXT, 20)
+    run = forecast.predict(dmd_model(data, 1), data.field, CONTEXT, scored(data))
     return rounded(run, "u_x", "u_y")
 
 
 @query("delay_dmd_forecast", "H5")
 def _(spark, sf):
     data = src.Tables(spark, sf, stored=True)
-    run = forecast.predict(dmd_model(data, 3), data.field, CONTEXT, 20)
+    run = forecast.predict(dmd_model(data, 3), data.field, CONTEXT, scored(data))
     return rounded(run, "u_x", "u_y")
 
 
@@ -467,7 +474,7 @@ def _(spark, sf):
     data = src.Tables(spark, sf, stored=True)
     codec = forecast.fit_codec(data.train_field, data.train_catalog, src.NX, src.NY, RANK)
     model = forecast.fit_latent_var(codec, data.train_field, window=2, ridge=1e-3)
-    return rounded(forecast.predict(model, data.field, CONTEXT, 20), "u_x", "u_y")
+    return rounded(forecast.predict(model, data.field, CONTEXT, scored(data)), "u_x", "u_y")
 
 
 @query(
@@ -495,16 +502,16 @@ def _(spark, sf):
     "block_forecast",
     "H11",
     f"""SELECT dataset, CAST(l.i AS INTEGER) AS lead, CAST((l.i - 1) // 7 AS INTEGER) AS block, CAST(99 AS BIGINT) AS cells,
-               CAST(0.0 AS DOUBLE) AS difference FROM catalog, range(1, 21) AS l(i)""",
+               CAST(0.0 AS DOUBLE) AS difference FROM catalog, unnest(range(1, n_steps - {CONTEXT} + 1)) AS l(i)""",
 )
 def _(spark, sf):
     # Block by block against the single forecast: no difference.
     data = src.Tables(spark, sf, stored=True)
     model = dmd_model(data, 3)
-    whole = forecast.predict(model, data.field, CONTEXT, 20).select(
+    whole = forecast.predict(model, data.field, CONTEXT, scored(data)).select(
         "dataset", "lead", "x", "y", F.col("u_x").alias("w_x"), F.col("u_y").alias("w_y")
     )
-    cut = forecast.predict(model, data.field, CONTEXT, 20, 7)
+    cut = forecast.predict(model, data.field, CONTEXT, scored(data), 7)
     apart = F.greatest(F.abs(F.col("u_x") - F.col("w_x")), F.abs(F.col("u_y") - F.col("w_y")))
     return cut.join(whole, ["dataset", "lead", "x", "y"]).groupBy("dataset", "lead", "block").agg(
         F.count("*").alias("cells"), (r(F.max(apart)) + 0.0).alias("difference")

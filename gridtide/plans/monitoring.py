@@ -149,6 +149,17 @@ def _(spark, sf):
     return rounded(ratios(spark, sf).drop("ts"), "ratio")
 
 
+@query(
+    "block_energy_ratio_stream",
+    "J2",
+    f"SELECT start, request_id, CAST(block AS INTEGER) AS block, {R('ratio')} AS ratio FROM ratios",
+)
+def _(spark, sf):
+    # Contexts and blocks as two streams, joined in append mode; all windows of the events are closed.
+    ratio = monitor.energy_ratio(as_contexts(runs.closed_event_stream(spark, sf)), as_blocks(runs.closed_event_stream(spark, sf)))
+    return rounded(runs.run_to_table(ratio, "ratios").drop("ts"), "ratio")
+
+
 HISTOGRAMS = {
     "latency": monitor.LATENCY_BUCKETS, "duration": monitor.DURATION_BUCKETS, "energy": monitor.ENERGY_BUCKETS,
     "shift": monitor.SHIFT_BUCKETS, "scale": monitor.SCALE_BUCKETS,
@@ -264,6 +275,23 @@ def _(spark, sf):
     return rounded(monitor.absence_gaps(requests(spark, sf), "route"), "gap")
 
 
+@query(
+    "absence_stream",
+    "J9",
+    f"""SELECT source, last_us, coalesce(next_us, -1) AS next_us, coalesce({R('(next_us - last_us) / 1e6')}, -1) AS gap FROM (
+          SELECT route AS source, us AS last_us, lead(us) OVER (PARTITION BY route ORDER BY us) AS next_us FROM (SELECT DISTINCT route, us FROM reqs))
+        WHERE next_us IS NULL OR (next_us - last_us) / 1e6 > 300""",
+)
+def _(spark, sf):
+    # The alert on the stream of requests, replayed, until timers have found every source silent.
+    stream = as_requests(runs.event_stream(spark, sf))
+    sources = requests(spark, sf).select("route").distinct().count()
+    found = runs.run_until_silent(monitor.silences(stream, "route", clock_seconds=3), "absence", sources)
+    # A silence that lasts has no end: -1.
+    gaps = rounded(found.withColumn("gap", (F.col("next_us") - F.col("last_us")) / 1e6), "gap")
+    return gaps.withColumns({"next_us": F.coalesce("next_us", F.lit(-1).cast("bigint")), "gap": F.coalesce("gap", F.lit(-1.0))})
+
+
 MOMENTS_SQL = f"""SELECT event_type AS source, count(value) AS n, {R('avg(value)')} AS mean, {R('var_pop(value) * count(value)', 3)} AS m2
                   FROM events GROUP BY 1"""
 
@@ -282,21 +310,15 @@ def _(spark, sf):
     return rounded(rounded(table, "mean"), "m2", digits=3)
 
 
-CUTOFF = "(SELECT max(us) // 1000000 - 600 FROM reqs)"
-
-
 @query(
     "request_counts_stream",
     "J4",
-    f"""SELECT * FROM ({sql_sliding('(SELECT * FROM reqs WHERE NOT probe)', 'route, method, status, ', 'CAST(count(*) AS BIGINT) AS requests', 15)})
-        WHERE start + 900 < {CUTOFF} - 60""",
+    sql_sliding("(SELECT * FROM reqs WHERE NOT probe)", "route, method, status, ", "CAST(count(*) AS BIGINT) AS requests", 15),
 )
 def _(spark, sf):
-    # Append mode emits a window once the watermark has passed it: the last ones stay open.
-    stream = runs.event_stream(spark, sf)
-    table = runs.run_to_table(monitor.request_counts(as_requests(stream)), "requests")
-    last = src.events(spark, sf).agg((F.floor(F.unix_micros(F.max("ts")) / 1_000_000) - 600 - 60).alias("cut"))
-    return table.join(F.broadcast(last)).filter(F.col("start") + 900 < F.col("cut")).drop("cut")  # one row
+    # Append mode emits a window once the watermark has passed it; the closing events carry it past all of them.
+    stream = runs.closed_event_stream(spark, sf)
+    return runs.run_to_table(monitor.request_counts(as_requests(stream)), "requests")
 
 
 BLOCKS_SQL = f"""SELECT dataset, member, CAST(max(block) + 1 AS INTEGER) AS blocks,
@@ -337,27 +359,37 @@ def _(spark, sf):
 @query(
     "context_verdicts",
     "J12",
-    """SELECT start, request_id, CAST(max(t) - min(t) + 1 AS INTEGER) AS frames,
-              CASE WHEN count(*) FILTER (WHERE x > 10) > 0 THEN 'cells outside the grid'
-                   WHEN count(*) <> (max(t) - min(t) + 1) * 1 * 3 THEN 'incomplete frames'
+    f"""SELECT start, request_id, CAST(max(t) - min(t) + 1 AS INTEGER) AS frames,
+              CASE WHEN count(*) FILTER (WHERE x > {NX - 1}) > 0 THEN 'cells outside the grid'
+                   WHEN count(*) <> (max(t) - min(t) + 1) * {NX * NY} THEN 'incomplete frames'
                    WHEN max(t) - min(t) + 1 < 2 THEN 'too few frames' WHEN max(t) - min(t) + 1 > 8 THEN 'too many frames' END AS reason
-       FROM cells WHERE t < 12 GROUP BY 1, 2""",
+       FROM cells GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    return monitor.context_verdicts(_cells(src.events(spark, sf)), NX, NY, 2, 8)
+
+
+@query(
+    "dense_context_verdicts",
+    "J12",
+    f"""SELECT start, dataset AS request_id, CAST(max(t) - min(t) + 1 AS INTEGER) AS frames,
+              CASE WHEN max(t) - min(t) + 1 < 12 THEN 'too few frames' WHEN max(t) - min(t) + 1 > 23 THEN 'too many frames' END AS reason
+       FROM (SELECT dataset, t, CAST(epoch(TIMESTAMP '1995-01-01 00:00:00') AS BIGINT) + (t // 24) * 86400 AS start FROM field) GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    # Three cells stand for a full frame here; real grids pass their own size.
-    contexts = as_contexts(src.events(spark, sf)).withColumn("y", F.lit(0))
-    wide = contexts.withColumn("x", F.when(F.col("x") > 10, 99).otherwise(0))
-    return monitor.context_verdicts(wide, 1, 3, 2, 8)
+    # Whole frames of a dense field as contexts: a day holds 24 of them, the last day the rest.
+    start = F.unix_timestamp(F.to_timestamp(F.lit("1995-01-01 00:00:00")))
+    cells = src.field(spark, sf).withColumn("ts", (start + F.col("t") * 3600).cast("timestamp")).withColumnRenamed("dataset", "request_id")
+    return monitor.context_verdicts(cells, NX, NY, 12, 23)
 
 
 @query(
     "row_validity",
     "J12",
-    """SELECT CASE WHEN x > 10 THEN 'cell outside the grid' ELSE 'ok' END AS reason, count(*) AS n
-       FROM cells WHERE t < 12 GROUP BY 1""",
+    """SELECT CASE WHEN x > 10 THEN 'cell outside the grid' ELSE 'ok' END AS reason, count(*) AS n FROM cells GROUP BY 1""",
 )
 def _(spark, sf):
-    marked = as_contexts(src.events(spark, sf)).withColumn("reason", F.coalesce(monitor.row_reason(NX, NY), F.lit("ok")))
+    marked = _cells(src.events(spark, sf)).withColumn("reason", F.coalesce(monitor.row_reason(NX, NY), F.lit("ok")))
     return marked.groupBy("reason").agg(F.count("*").alias("n"))
 
 
@@ -365,12 +397,12 @@ def _(spark, sf):
     "diverted_rows",
     "J12",
     """SELECT CASE WHEN x > 10 THEN 'cell outside the grid' ELSE 'ok' END AS reason, count(*) AS n,
-              CAST(sum(CAST(t AS BIGINT)) AS BIGINT) AS steps FROM cells WHERE t < 12 GROUP BY 1""",
+              CAST(sum(CAST(t AS BIGINT)) AS BIGINT) AS steps FROM cells GROUP BY 1""",
 )
 def _(spark, sf):
     # The sink that splits a stream in two, drained; both tables are read back whole.
     path = work_path(spark, "diverted")
-    stream = as_contexts(runs.event_stream(spark, sf))
+    stream = _cells(runs.event_stream(spark, sf))
     monitor.divert_invalid(stream, NX, NY, f"{path}/good", f"{path}/bad", f"{path}/checkpoint").awaitTermination()
     good = spark.read.schema(stream.schema).parquet(f"{path}/good").withColumn("reason", F.lit("ok"))
     bad = spark.read.schema(stream.schema.add("reason", "string")).parquet(f"{path}/bad")

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
-from gridtide.operators import autocorr, derive, evaluate, stats
+from gridtide.operators import autocorr, derive, evaluate, modal, stats
 from gridtide.plans.common import R, r, rounded
+from gridtide.plans.modes import mean_pair_rows
 from gridtide.plans.registry import query
 from gridtide.plans.scoring import NPERSEG, pred_physics, true_physics
 from gridtide.session import materialize, work_path
 from gridtide.sources import adapters as src
-from gridtide.sources import store
+from gridtide.sources import arrays, store
 
 FIELD_SQL = f"SELECT dataset, t, x, y, {R('u_x')} AS u_x, {R('u_y')} AS u_y FROM field"
 
@@ -21,13 +20,38 @@ FIELD_SQL = f"SELECT dataset, t, x, y, {R('u_x')} AS u_x, {R('u_y')} AS u_y FROM
 def _(spark, sf):
     # The field as array files of at most 40 steps, read back in slices of 25.
     folder = work_path(spark, "arrays")
-    os.makedirs(folder)
-    paths = store.export_arrays(src.field(spark, sf), folder, 40)
-    paths.write.parquet(f"{folder}/paths")
+    store.export_arrays(src.field(spark, sf), folder, 40).write.parquet(f"{folder}/paths")
     lines = store.ingest_arrays(spark.read.schema("path string").parquet(f"{folder}/paths"), 25)
     return rounded(derive.to_cells(lines), "u_x", "u_y")
 
 
+@query("array_source", "A1", FIELD_SQL)
+def _(spark, sf):
+    # The same through the data source: written twice by URI, the second time over the first.
+    folder = work_path(spark, "arrays")
+    uri = folder if "://" in folder else f"file://{folder}"
+    field = src.field(spark, sf)
+    arrays.write_arrays(field, uri, 30)
+    arrays.write_arrays(field, uri, 40, overwrite=True)
+    return rounded(derive.to_cells(arrays.read_arrays(spark, uri, 25)), "u_x", "u_y")
+
+
+@query(
+    "converted_catalog",
+    "A3 A1 A2",
+    """SELECT dataset, n_steps, 11 AS nx, 9 AS ny, dataset || '@0.npy' || CASE WHEN n_steps > 50 THEN ',' || dataset || '@50.npy' ELSE '' END AS source_files, 'monthly cells' AS description,
+              'u_x,u_y' AS channel_names, 'd000001@0.npy,d000001@50.npy,notes.npy' AS excluded_files FROM catalog WHERE dataset <> 'd000001'""",
+)
+def _(spark, sf):
+    # Array files converted to a store; one dataset's files are excluded. The attributes are read back from it.
+    folder, path = work_path(spark, "arrays"), work_path(spark, "converted")
+    arrays.write_arrays(src.field(spark, sf), folder, 50)
+    store.convert(spark, folder, path, "monthly cells", ["d000001@0.npy", "d000001@50.npy", "notes.npy"])
+    return store.catalog(spark, path).select(
+        "dataset", "n_steps", "nx", "ny", "description", *[F.concat_ws(",", c).alias(c) for c in ("source_files", "channel_names", "excluded_files")]
+    )
+
+
 @query(
     "field_store",
     "A2 A4",
@@ -79,6 +103,26 @@ def _(spark, sf):
     return store.read_summaries(spark, path).select("dataset", "script", r(value, 4).alias("enstrophy_mean"))
 
 
+@query(
+    "complex_summaries",
+    "A11",
+    f"""SELECT dataset, {R('max(re)')} AS leading_real, {R('abs(max(im))')} AS leading_imag, CAST(count(*) AS BIGINT) AS modes,
+               {R('sum(re)')} AS total_real FROM mean_pair_eigen GROUP BY 1""",
+)
+def _(spark, sf):
+    # Eigenvalues as complex numbers, alone and in an array, through the JSON records.
+    path = work_path(spark, "summaries")
+    dmd = modal.exact_dmd(mean_pair_rows(spark, sf))
+    value = F.struct(F.col("lam_re").alias("re"), F.abs("lam_im").alias("im"))
+    store.write_summaries(dmd.groupBy("dataset").agg(F.max(value).alias("leading"), F.collect_list(value).alias("eigenvalues")), "dmd", path)
+    number = lambda p: F.get_json_object("value", p).cast("double")
+    reals = F.from_json(F.get_json_object("value", "$.eigenvalues"), "array<struct<real:double,imag:double>>")
+    return store.read_summaries(spark, path).select(
+        "dataset", r(number("$.leading.real")).alias("leading_real"), r(number("$.leading.imag")).alias("leading_imag"),
+        F.size(reals).cast("bigint").alias("modes"), r(F.aggregate(reals, F.lit(0.0), lambda s, v: s + v["real"])).alias("total_real"),
+    )
+
+
 @query(
     "comparison_table",
     "A12 A11",
@@ -144,13 +188,17 @@ LIMBS = ", ".join(
     f"CAST(sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8)
 )
 
+DIGEST_TEXT = " || ".join(
+    f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "CAST(l_quantity AS BIGINT)", "CAST(round(l_extendedprice * 100) AS BIGINT)", "l_returnflag")
+)
+
 
 @query(
     "table_digest",
     "A14",
     f"""SELECT count(*) AS n_rows, sha256(concat_ws(',', {LIMBS})) AS digest
-        FROM (SELECT sha256(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS BIGINT),
-                                      CAST(round(l_extendedprice * 100) AS BIGINT), l_returnflag)) AS h FROM lineitem)""",
+        FROM (SELECT sha256({DIGEST_TEXT}) AS h FROM lineitem)""",
 )
 def _(spark, sf):
     columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "qty", "cents", "l_returnflag"]

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridtide.operators import autocorr, scans, spectra, stats, windows
+from gridtide.operators.derive import to_lines
 from gridtide.plans.common import R, add_view, r, rounded
 from gridtide.plans.fields import PROBES, channel_mean_series
 from gridtide.plans.registry import query
+from gridtide.session import materialize
 from gridtide.sources import adapters as src
 
 KEYS = ["dataset", "name"]
@@ -247,6 +249,21 @@ def _(spark, sf):
     return rounded(both[0].unionByName(both[1]), "omega", "power")
 
 
+@query(
+    "spectrum_on_lines",
+    "F5",
+    " UNION ALL ".join(
+        f"SELECT '{a}' AS axis, dataset, channel, k, {R('omega')} AS omega, {R('total')} AS power FROM lines_{a}"
+        for a in ("x", "y")
+    ),
+)
+def _(spark, sf):
+    # The field at rest as lines: spectra along y need no exchange of it.
+    lines, grid = materialize(to_lines(src.field(spark, sf)), "lines"), src.grid(spark, sf)
+    both = [spectra.spectrum_of_lines(lines, grid, a, mean=False).withColumn("axis", F.lit(a)) for a in ("x", "y")]
+    return rounded(both[0].unionByName(both[1]), "omega", "power")
+
+
 @query(
     "spectrum_summary",
     "F6",

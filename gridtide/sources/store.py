@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyarrow.fs import FileSelector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridtide.operators.derive import to_lines
-from gridtide.schema import FIELD_LINE
+from gridtide.schema import CHANNELS, COMPLEX, FIELD_LINE
+from gridtide.sources import arrays
 
 CHUNK_STEPS = 100
 SIGNIFICANT_DIGITS = 6
@@ -21,52 +24,38 @@ LINE_SCHEMA = FIELD_LINE
 # --- array files ------------------------------------------------------------------------------
 
 
-def _header(path: str) -> tuple[tuple[int, ...], str]:
-    with open(path, "rb") as f:
-        version = np.lib.format.read_magic(f)
-        read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
-        shape, _, dtype = read(f)
-    return shape, str(dtype)
-
-
 def array_tasks(paths: DataFrame, chunk_t: int = CHUNK_STEPS) -> DataFrame:
     """(path, dataset, offset, t0, t1) slices of (T, 2, X, Y) files, from their headers only.
 
-    The dataset is the file's stem; `stem@offset` names a part that starts at a later step.
+    Paths are URIs that `pyarrow.fs` opens, or absolute local paths. The dataset is the file's stem; `stem@offset` names a
+    part that starts at a later step.
     """
 
     def tasks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path in batch["path"]:
-                shape, _ = _header(path)
-                if len(shape) != 4 or shape[1] != 2:
-                    raise ValueError(f"{path}: expected (T, 2, X, Y), got {shape}")
-                stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-                name, _, offset = stem.partition("@")
-                starts = np.arange(0, shape[0], chunk_t)
+                system, place = arrays.opened(path)
+                with system.open_input_file(place) as file:
+                    n = arrays.Header.of(file, path).shape[0]
+                name, offset = arrays.named(path)
+                starts = np.arange(0, n, chunk_t)
                 yield pd.DataFrame({
-                    "path": path, "dataset": name, "offset": int(offset or 0),
-                    "t0": starts, "t1": np.minimum(starts + chunk_t, shape[0]),
+                    "path": path, "dataset": name, "offset": offset,
+                    "t0": starts, "t1": np.minimum(starts + chunk_t, n),
                 })
 
     return paths.select("path").mapInPandas(tasks, "path string, dataset string, offset int, t0 int, t1 int")
 
 
 def ingest_arrays(paths: DataFrame, chunk_t: int = CHUNK_STEPS) -> DataFrame:
-    """field_line rows of array files. A task maps its slice of the file; no file is loaded whole.
-    The files must lie where every executor can read them."""
+    """field_line rows of the array files in a table of paths. A task reads the bytes of its slice, a frame at a time;
+    whole folders are read by `arrays.read_arrays`."""
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                block = np.load(row.path, mmap_mode="r")[row.t0 : row.t1]
-                for i, frame in enumerate(block):
-                    frame = np.asarray(frame, dtype=np.float64)
-                    nx = frame.shape[1]
-                    yield pd.DataFrame({
-                        "dataset": row.dataset, "t": row.offset + row.t0 + i, "x": np.arange(nx),
-                        "u_x": list(frame[0]), "u_y": list(frame[1]),
-                    })
+                for line in arrays.lines_of(row.path, row.dataset, row.offset, row.t0, row.t1):
+                    yield pd.DataFrame({**line, "u_x": list(line["u_x"]), "u_y": list(line["u_y"])})
 
     tasks = array_tasks(paths, chunk_t)
     return tasks.repartition("path", "t0").mapInPandas(lines, LINE_SCHEMA)
@@ -74,23 +63,11 @@ def ingest_arrays(paths: DataFrame, chunk_t: int = CHUNK_STEPS) -> DataFrame:
 
 def export_arrays(field: DataFrame, folder: str, chunk_t: int = CHUNK_STEPS) -> DataFrame:
     """Write dense (T, 2, X, Y) float64 parts of at most `chunk_t` steps, one task each; returns (path)."""
-    frames = field.groupBy("dataset", "t").agg(
-        F.array_sort(F.collect_list(F.struct("x", "y", "u_x", "u_y"))).alias("c"),
-        (F.max("x") + 1).alias("nx"), (F.max("y") + 1).alias("ny"),
-    ).select(
-        "dataset", "t", F.floor(F.col("t") / chunk_t).cast("int").alias("chunk"), "nx", "ny",
-        F.col("c.u_x").alias("u_x"), F.col("c.u_y").alias("u_y"),
-    )
-
-    def write(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("t")
-        shape = (len(part), int(part["nx"].iloc[0]), int(part["ny"].iloc[0]))
-        block = np.stack([np.stack(part[c].to_list()).reshape(shape) for c in ("u_x", "u_y")], axis=1)
-        path = f"{folder}/{key[0]}@{int(part['t'].iloc[0])}.npy"
-        np.save(path, block)
-        return pd.DataFrame({"path": [path]})
-
-    return frames.groupBy("dataset", "chunk").applyInPandas(write, "path string")
+    arrays.write_arrays(field, folder, chunk_t)
+    system, place = arrays.opened(folder)
+    prefix = folder.rstrip("/")
+    found = [f"{prefix}/{i.base_name}" for i in system.get_file_info(FileSelector(place)) if i.base_name.endswith(".npy")]
+    return field.sparkSession.createDataFrame([(p,) for p in sorted(found)], "path string")
 
 
 # --- field store ------------------------------------------------------------------------------
@@ -99,9 +76,13 @@ def export_arrays(field: DataFrame, folder: str, chunk_t: int = CHUNK_STEPS) ->
 def write_store(field: DataFrame, path: str, chunk_t: int = CHUNK_STEPS, overwrite: bool = False) -> None:
     """Lines partitioned by (dataset, t_chunk). Appending replaces only the partitions it brings, so a
     repeated write adds nothing twice; `overwrite` replaces the store."""
-    lines = to_lines(field).withColumn("t_chunk", F.floor(F.col("t") / chunk_t).cast("int"))
+    write_lines(to_lines(field), path, chunk_t, overwrite)
+
+
+def write_lines(lines: DataFrame, path: str, chunk_t: int = CHUNK_STEPS, overwrite: bool = False) -> None:
+    """`write_store` for a field that comes as lines."""
     (
-        lines.repartition("dataset", "t_chunk")
+        lines.withColumn("t_chunk", F.floor(F.col("t") / chunk_t).cast("int")).repartition("dataset", "t_chunk")
         .sortWithinPartitions("t", "x")
         .write.partitionBy("dataset", "t_chunk")
         .option("partitionOverwriteMode", "static" if overwrite else "dynamic")
@@ -125,15 +106,54 @@ def read_steps(spark: SparkSession, path: str, start: int, end: int, chunk_t: in
     )
 
 
+def convert(
+    spark: SparkSession, uri: str, path: str, description: str, excluded: Sequence[str] = (), chunk_t: int = CHUNK_STEPS, overwrite: bool = False
+) -> None:
+    """Array files below `uri` as a store at `path`, with their attributes beside it: those of the whole store (description,
+    channels, excluded files) and, per dataset, its source files."""
+    write_lines(arrays.read_arrays(spark, uri, chunk_t, excluded), f"{path}/lines", chunk_t, overwrite)
+    sources: dict[str, list[str]] = {}
+    for file in arrays.files(uri, excluded):
+        sources.setdefault(arrays.named(file)[0], []).append(file.rsplit("/", 1)[-1])
+    mode = "overwrite" if overwrite else "append"
+    rows = [(name, sorted(found)) for name, found in sources.items()]
+    spark.createDataFrame(rows, "dataset string, source_files array<string>").coalesce(1).write.mode(mode).json(f"{path}/sources")
+    group = spark.createDataFrame([(description, list(CHANNELS), list(excluded))], "description string, channel_names array<string>, excluded_files array<string>")
+    group.coalesce(1).write.mode("overwrite").json(f"{path}/group")
+
+
+def catalog(spark: SparkSession, path: str) -> DataFrame:
+    """(dataset, n_steps, nx, ny, source_files, description, channel_names, excluded_files) of a converted store."""
+    lines = read_store(spark, f"{path}/lines")
+    sizes = lines.groupBy("dataset").agg(
+        (F.max("t") + 1).cast("int").alias("n_steps"), (F.max("x") + 1).cast("int").alias("nx"), F.max(F.size("u_x")).alias("ny")
+    )
+    sources = spark.read.schema("dataset string, source_files array<string>").json(f"{path}/sources")
+    merged = sources.select("dataset", F.explode("source_files").alias("f")).groupBy("dataset").agg(F.array_sort(F.collect_set("f")).alias("source_files"))
+    group = spark.read.schema("description string, channel_names array<string>, excluded_files array<string>").json(f"{path}/group")
+    return sizes.join(merged, "dataset", "left").crossJoin(F.broadcast(group))  # one row
+
+
 # --- summaries and comparison -------------------------------------------------------------------
 
 
+def _readable(field: T.StructField) -> Column:
+    named = lambda c: F.struct(c["re"].alias("real"), c["im"].alias("imag"))
+    kind = field.dataType.simpleString()
+    if kind == COMPLEX:
+        return F.when(F.col(field.name).isNotNull(), named(F.col(field.name))).alias(field.name)
+    if kind == f"array<{COMPLEX}>":
+        return F.transform(field.name, named).alias(field.name)
+    return F.col(field.name)
+
+
 def write_summaries(report: DataFrame, script: str, path: str, run: int = 0) -> None:
     """One JSON record per dataset below (script, run): {"dataset", "script", ...columns}.
 
-    A later run of some datasets is added under its own number; repeating a run replaces it.
+    A later run of some datasets is added under its own number; repeating a run replaces it. Complex values, structs of
+    `re` and `im`, alone or in arrays, become {"real", "imag"}.
     """
-    body = [c for c in report.columns if c != "dataset"]
+    body = [_readable(f) for f in report.schema if f.name != "dataset"]
     rows = report.select(
         "dataset", F.to_json(F.struct("dataset", F.lit(script).alias("script"), *body)).alias("value")
     )
@@ -211,7 +231,10 @@ def table_digest(table: DataFrame, columns: list[str]) -> DataFrame:
     Every row's sha256 is cut in eight numbers, and each is summed over the table: the sums combine
     map-side, so copies of one row meet in no single place. The digest hashes the sums.
     """
-    row_hash = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]), 256)
+    # Every field comes with its length, so that no text can stand for a separator; a null has none.
+    text = lambda c: F.col(c).cast("string")
+    field = lambda c: F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.octet_length(text(c)), F.lit(":"), text(c)))
+    row_hash = F.sha2(F.concat(*[field(c) for c in columns]), 256)
     limb = lambda i: F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")
     sums = table.select(row_hash.alias("_h")).agg(
         F.count("*").alias("n_rows"), *[F.sum(limb(i)).cast("string").alias(f"_s{i}") for i in range(8)]

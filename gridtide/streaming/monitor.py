@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gridtide.operators.derive import energy_density
 from gridtide.operators.stats import prefix_sums
@@ -93,7 +95,8 @@ def energy_ratio(contexts: DataFrame, blocks: DataFrame, window: str = "1 day")
     """(start, request_id, block, ratio): a block's mean energy over its context's.
 
     Both sides are reduced per window and request, then meet in an equi-join; a context without
-    energy gives no ratio.
+    energy gives no ratio. On streams both reductions keep their watermarks and the join is one of two streams: a
+    window's ratios come out, in append mode, once both watermarks have passed it.
     """
     before = _timed(contexts).groupBy(F.window("ts", window), "request_id").agg(
         F.avg(energy_density()).alias("context_energy")
@@ -281,6 +284,92 @@ def absence_monitor(samples: DataFrame, source: str, limit_seconds: int = ABSENT
     )
 
 
+class _Silences(StatefulProcessor):
+    """Per source the spans in which it was heard, apart by more than the limit, and a timer for its next silence.
+
+    A silence is final, and given, once samples `lateness_seconds` later have come or the source has fallen silent itself;
+    what arrives for it later changes nothing. The state holds the spans that are not final and the last one.
+    """
+
+    def __init__(self, limit_seconds: int, lateness_seconds: int, clock_seconds: int) -> None:
+        self.limit, self.lateness, self.clock = limit_seconds * 1_000_000, lateness_seconds * 1_000_000, clock_seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.spans = handle.getValueState("spans", "firsts array<bigint>, lasts array<bigint>, final bigint, timer bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        firsts, lasts, final, timer = self._state() if self.spans.exists() else ([], [], -(2**63), None)
+        for batch in rows:
+            us = np.sort(batch["us"].to_numpy())
+            us = us[us >= final]
+            if len(us):
+                cut = np.flatnonzero(np.diff(us) > self.limit)
+                firsts += us[np.concatenate(([0], cut + 1))].tolist()
+                lasts += us[np.concatenate((cut, [len(us) - 1]))].tolist()
+                firsts, lasts = self._merged(firsts, lasts)
+        if not firsts:
+            return
+        done = [i for i in range(len(firsts) - 1) if firsts[i + 1] <= lasts[-1] - self.lateness]
+        out = self._rows(key, [(lasts[i], firsts[i + 1]) for i in done])
+        firsts, lasts = firsts[len(done):], lasts[len(done):]
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        timer = timerValues.getCurrentProcessingTimeInMs() + self.clock
+        self.handle.registerTimer(timer)
+        self.spans.update((firsts, lasts, firsts[0] if done else final, timer))
+        yield out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        firsts, lasts, final, _ = self._state()
+        self.spans.update((firsts[-1:], lasts[-1:], firsts[-1] if len(firsts) > 1 else final, None))
+        yield self._rows(key, [*zip(lasts[:-1], firsts[1:], strict=True), (lasts[-1], None)])
+
+    def _state(self) -> tuple[list[int], list[int], int, int | None]:
+        firsts, lasts, final, timer = self.spans.get()
+        return list(firsts), list(lasts), final, timer
+
+    def _merged(self, firsts: list[int], lasts: list[int]) -> tuple[list[int], list[int]]:
+        a, b = [], []
+        for first, last in sorted(zip(firsts, lasts, strict=True)):
+            if b and first - b[-1] <= self.limit:
+                b[-1] = max(b[-1], last)
+            else:
+                a.append(first)
+                b.append(last)
+        return a, b
+
+    def _rows(self, key, gaps: list[tuple]) -> pd.DataFrame:
+        # Plain objects: a column of pandas' own strings would reach Arrow in chunks.
+        return pd.DataFrame({
+            "source": pd.Series([key[0]] * len(gaps), dtype=object), "last_us": pd.Series([g[0] for g in gaps], dtype="int64"), "next_us": pd.Series([g[1] for g in gaps], dtype=object),
+        })
+
+    def close(self) -> None:
+        pass
+
+
+def silences(
+    samples: DataFrame, source: str, limit_seconds: int = ABSENT_SECONDS, lateness_seconds: int = 600, clock_seconds: int | None = None
+) -> DataFrame:
+    """Stream of (source, last_us, next_us): silences longer than the limit.
+
+    A silence that has ended has both its ends, in event time, whatever the order of arrival within `lateness_seconds`. One
+    that lasts has no `next_us`: it is given when nothing came for `clock_seconds` (the limit, unless samples are replayed
+    faster than they were taken), as no event moves event time on while every source is silent. It needs a state store
+    that keeps timers, see `runs.run_until_silent`.
+    """
+    if limit_seconds < 1:
+        raise ValueError(f"limit_seconds must be >= 1, got {limit_seconds}")
+    return (
+        samples.select(F.col(source).alias("source"), F.unix_micros("ts").alias("us"))
+        .groupBy("source")
+        .transformWithStateInPandas(
+            _Silences(limit_seconds, lateness_seconds, limit_seconds if clock_seconds is None else clock_seconds), "source string, last_us bigint, next_us bigint", "update", "processingTime",
+        )
+    )
+
+
 # --- running state --------------------------------------------------------------------------------
 
 

@@ -151,6 +151,32 @@ def test_absence_monitor_reports_silence_on_processing_time(spark, tmp_path):
     assert states[:2] == ["present", "absent"]
 
 
+def test_silences_in_any_order_of_arrival(spark, tmp_path, rng):
+    at = np.sort(rng.choice(4000, 60, replace=False)) / 10.0
+    at = at[(at < 100) | (at > 130)]
+    rows = [(START + timedelta(seconds=float(s)), name) for name in "ab" for s in (at if name == "a" else at[:5])]
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "ts timestamp, source string")
+    stream = stream_of(spark, df, tmp_path / "in", files=3)
+    found = runs.run_until_silent(monitor.silences(stream, "source", 8, 1000), "silences", 2, 120).collect()
+    base = int(START.timestamp() * 1e6)
+    for name, some in (("a", at), ("b", at[:5])):
+        want = [(x, y) for x, y in zip(some, some[1:]) if y - x > 8]
+        got = sorted(((r.last_us - base) / 1e6, (r.next_us - base) / 1e6) for r in found if r.source == name and r.next_us is not None)
+        np.testing.assert_allclose(got, want) if want else None
+        assert len(got) == len(want)
+        assert [(r.last_us - base) / 1e6 for r in found if r.source == name and r.next_us is None] == [pytest.approx(some[-1])]
+
+
+def test_a_closed_stream_emits_every_window(spark, tmp_path):
+    rows = [(i, START + timedelta(minutes=int(37 * i)), 10 * i % 70, "click", float(i % 7), None) for i in range(60)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(str(tmp_path / "sf/events.parquet"))
+    day = lambda s: s.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n")).select("window.start", "event_type", "n")
+    stream = runs.closed_event_stream(spark, str(tmp_path / "sf/events.parquet"), "*.parquet")
+    got = {tuple(r) for r in runs.run_to_table(day(monitor._timed(stream)), "closed").collect()}
+    assert got == {tuple(r) for r in day(df).collect()} and len(got) == 2
+
+
 def test_context_verdicts_and_diverted_rows(spark, tmp_path):
     def frame(name, t, bad=None, n=4):
         return [(START, name, t, i // 2, i % 2, bad if bad is not None and i == 0 else 1.0, 0.0) for i in range(n)]

@@ -115,7 +115,8 @@ def write(
     rows = rows.select("key", *same, F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("original"), "url", "body")
     notes = revisits.select("key", *same, F.lit(0).alias("kind"), "original", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("body"))
     dealt = _shards(rows.unionByName(notes), pages.select(F.col(key).cast("bigint").alias("key")), shards)
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "key", *same, "kind", "url")
+    # A partition per shard, by its number: hashed numbers would put several shards in one task and leave others without.
+    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key", *same, "kind", "url")
 
     def run(batches):
         system, root = fs.FileSystem.from_uri(folder)

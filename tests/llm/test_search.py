@@ -240,3 +240,10 @@ def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(200, 200), (301, 300), (300, 302), (303, 302)]
     got = {r.node: r.component for r in components.connected(spark.createDataFrame(links, "p bigint, q bigint")).collect()}
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in range(100, 130)} == {100} and {got[i] for i in range(300, 304)} == {300}
+
+
+def test_every_shard_is_a_partition_of_its_own(spark, tmp_path):
+    rows = [(i, "u", f"{i:05d}" * 200) for i in range(1200)]
+    manifest = warc_writer.write(pages(spark, rows), str(tmp_path / "w"), shard_bytes=60_000)
+    shards = sorted(r.shard for r in manifest.collect())
+    assert len(set(shards)) == 20 and len(list((tmp_path / "w/manifest").glob("part-*.parquet"))) == 20

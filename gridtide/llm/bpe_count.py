@@ -53,6 +53,7 @@ class MergeCounter:
             pair = number.setdefault(a, len(number)), number.setdefault(b, len(number))
             self.rules[pair] = rank, number.setdefault(a + b, len(number))
         self.special = [t["content"] for t in spec["added_tokens"]]
+        self.starts = {s[0] for s in self.special}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.split = regex.compile(spelled_out(pattern)).findall
@@ -98,7 +99,7 @@ class MergeCounter:
         return self.blank.sub(" ", text).lower()
 
     def text(self, text: str) -> int:
-        if "<" not in text or not self.special:
+        if not any(sign in text for sign in self.starts):
             return sum(map(self.words.__getitem__, self.split(self.normal(text))))
         parts = self.cut.split(text)
         return len(parts) - 1 + sum(map(self.words.__getitem__, (w for p in parts for w in self.split(self.normal(p)))))

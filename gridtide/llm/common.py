@@ -71,14 +71,20 @@ def map_steps(df: DataFrame, column: str, schema: str, work: Callable[[], Callab
     return df.mapInArrow(run, types)
 
 
+#: Longer words are not remembered: a cache of so many entries then has a bound in bytes too.
+REMEMBERED = 64
+
+
 class Remember(dict):
-    """A function of one argument with its results; two generations bound it to `limit` entries each."""
+    """A function of a word with its results; two generations bound it to `limit` entries each, of short words only."""
 
     def __init__(self, function: Callable, limit: int) -> None:
         super().__init__()
         self.function, self.limit, self.old = function, limit, {}
 
     def __missing__(self, key):
+        if len(key) > REMEMBERED:
+            return self.function(key)
         got = self.old.get(key)
         if got is None:
             got = self.function(key)

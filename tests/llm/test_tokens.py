@@ -65,3 +65,17 @@ def test_counts_are_the_librarys(spark, make_docs, odd_texts):
 def test_empty_tables(make_docs):
     assert bpe_tree.encode_texts(make_docs([]), tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN).count() == 0
     assert bpe_count.count_tokens(make_docs([]), tokenizers.path("word_bpe_49k.json")).count() == 0
+
+
+def test_only_short_words_are_remembered():
+    from gridtide.llm.common import REMEMBERED, Remember
+
+    asked = []
+    words = Remember(lambda w: asked.append(w) or len(w), 3)
+    for w in ("a", "a", "x" * REMEMBERED, "x" * (REMEMBERED + 1), "x" * (REMEMBERED + 1), "y" * 5_000_000):
+        assert words[w] == len(w)
+    assert asked.count("a") == 1 and asked.count("x" * (REMEMBERED + 1)) == 2
+    assert all(len(w) <= REMEMBERED for w in [*words, *words.old])
+    for i in range(20):
+        words[str(i)]
+    assert len(words) + len(words.old) <= 6

@@ -56,8 +56,7 @@ def test_equals_brute_force_with_copies_and_ties(spark, make_docs, text_of):
 def test_odd_texts_and_blocks(spark, make_docs, odd_texts, monkeypatch):
     docs = list(enumerate(odd_texts))
     items = [("a", "repeat alpha1 ß"), ("b", "漢字 X aaa"), ("c", "x" * 60_000), ("d", odd_texts[5][:3000])]
-    check(spark, make_docs, docs, items, 3)
-    monkeypatch.setattr(bag_search, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(bag_search, "BLOCK_BYTES", 20_000)
     monkeypatch.setattr(bag_search, "HELD", 2)
     monkeypatch.setattr(bag_search, "STEP", 5)
     check(spark, make_docs, docs, items, 3)

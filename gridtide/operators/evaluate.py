@@ -282,7 +282,8 @@ def stable_fraction(table: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def parity(a: DataFrame, b: DataFrame, truth: DataFrame, tolerance: float) -> DataFrame:
-    """(dataset, difference, within): how far two forecasts lie apart at most, counted in deviations of the truth."""
+    """(dataset, difference, within): the largest gap between two forecasts of a dataset, divided by the standard deviation
+    of its true values, and whether that stays within `tolerance`."""
     other = b.select(*CELL, F.col("u_x").alias("v_x"), F.col("u_y").alias("v_y"))
     apart = a.join(other, CELL).groupBy("dataset").agg(
         F.max(F.greatest(F.abs(F.col("u_x") - F.col("v_x")), F.abs(F.col("u_y") - F.col("v_y")))).alias("apart")

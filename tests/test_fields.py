@@ -187,3 +187,37 @@ def test_latent_scales_refuse_constant_modes(spark):
     latents = spark.createDataFrame(rows, "dataset string, t int, mode string, value double")
     with pytest.raises(ValueError, match="m1"):
         moments.checked_latent_scales(latents)
+
+
+def test_lines_give_what_cells_give_without_moving_cells(spark, make_field, rng):
+    from gridtide.operators import derive, spectra
+    from gridtide.schema import Grid
+
+    field, grid = make_field({"a": rng.normal(size=(3, 2, 5, 4)), "b": rng.normal(size=(2, 2, 5, 4))}), Grid(5, 4, 0.5, 0.25)
+    path_free = spark.createDataFrame(derive.to_lines(field).collect(), "dataset string, t int, x int, u_x array<double>, u_y array<double>")
+    near = lambda a, b, keys: [pytest.approx([r[c] for c in sorted(r.asDict())], nan_ok=True) == [q[c] for c in sorted(q.asDict())] for r, q in zip(a.orderBy(*keys).drop(*keys).collect(), b.orderBy(*keys).drop(*keys).collect(), strict=True)]
+    lines = derive.line_physics(path_free, grid)
+    cells = derive.frame_physics(field, grid)
+    assert all(near(lines.select(*cells.columns), cells, ["dataset", "t"]))
+    for axis in "xy":
+        keys = ["dataset", "channel", "k"]
+        assert all(near(spectra.spectrum_of_lines(path_free, grid, axis), spectra.line_spectrum(field, grid, axis), keys))
+    for name in derive.FIELDS:
+        got = derive.line_field(path_free, grid, name).selectExpr("dataset", "t", "x", "posexplode(value) as (y, value)")
+        assert all(near(got, derive.select_field(field, grid, name), ["dataset", "t", "x", "y"]))
+    # Spectra along y exchange only sums; physics moves lines once, never single cells.
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    along_y = plan(spectra.spectrum_of_lines(path_free, grid, "y"))
+    assert along_y.index("MapInPandas") > along_y.rindex("Exchange")
+    whole = plan(lines)
+    assert whole.count("Exchange") == 1 and "Generate" not in whole
+
+
+def test_spectra_exchange_the_field_once(make_field, rng):
+    from gridtide.operators import spectra
+    from gridtide.schema import Grid
+
+    field, grid = make_field({"a": 5 + rng.normal(size=(12, 2, 4, 3))}), Grid(4, 3, 1.0, 1.0)
+    for frame in (spectra.wavenumber_spectrum(field, grid), spectra.spacetime_spectrum(field, grid, longest=12)):
+        logical = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert logical.count("MapInPandas") == 1 and "avg(u_x" not in logical

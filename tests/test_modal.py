@@ -178,3 +178,35 @@ def test_a_wide_gram_is_refused_with_advice(spark, monkeypatch):
     df = spark.createDataFrame([("k", [1.0, 2.0, 3.0])], "k string, vec array<double>")
     with pytest.raises(Exception, match="longer axis in the rows"):
         linalg.gram(df, ["k"]).collect()
+
+
+def test_autoregression_of_nearly_equal_latents(spark, rng):
+    # The second latent is nearly the first: the lags' condition is about 1e7, their normal equations' 1e14.
+    a, b = rng.normal(size=60), rng.normal(size=60)
+    z = np.stack([a, a + 1e-7 * b], 1)
+    x = z - z.mean(axis=0)
+    lags, target = x[:-1], x[1:]
+    assert np.linalg.cond(lags) > 5e6
+    rows = spark.createDataFrame([("f", "d", i, v.tolist()) for i, v in enumerate(z)], "fit string, dataset string, t int, z array<double>")
+    got = forecast.var_operator(rows.repartition(5), 1).first()
+    want = np.linalg.lstsq(lags, target, rcond=None)[0]
+    np.testing.assert_allclose(np.array(got.operator), want, rtol=1e-6, atol=1e-3)
+    assert got.n_pairs == 59 and np.abs(want).max() > 1e4
+
+
+def test_least_squares_by_a_tree_at_condition_1e10(spark, rng):
+    from gridtide.operators import linalg
+
+    u, _ = np.linalg.qr(rng.normal(size=(200, 4)))
+    v, _ = np.linalg.qr(rng.normal(size=(4, 4)))
+    a = (u * [1, 1e-3, 1e-7, 1e-10]) @ v.T
+    b = a @ [1.0, -2.0, 0.5, 3.0] + 1e-13 * rng.normal(size=200)
+    rows = spark.createDataFrame([("f", [*map(float, r), float(y)]) for r, y in zip(a, b)], "fit string, row array<double>").repartition(9)
+    found = linalg.triangles(rows, "fit", "row").first()
+    r = linalg.triangle_of(found.r, found.width)
+    np.testing.assert_allclose(r.T @ r, np.column_stack((a, b)).T @ np.column_stack((a, b)), atol=1e-13)
+    got, want = (np.linalg.lstsq(m, y, rcond=1e-14)[0] for m, y in ((r[:, :4], r[:, 4]), (a, b)))
+    # What is determined by the data agrees: the residual, and the solution within its own sensitivity.
+    np.testing.assert_allclose(a @ got, a @ want, atol=1e-14)
+    np.testing.assert_allclose(got, want, atol=1e-16 * 1e10 * 50)
+    assert found.n == 200

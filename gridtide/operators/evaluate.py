@@ -23,11 +23,17 @@ MAX_RATIO = 2.0
 NPERSEG = 200
 
 
+def _met(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+    """Two tables of cells side by side. Both sides are dealt: a forecast repeats few frames, so its files are small and the
+    size of its rows is guessed far too low; sent whole, it fills the driver."""
+    return a.hint("merge").join(b.hint("merge"), CELL, how)
+
+
 def shape_violations(forecast: DataFrame, truth: DataFrame) -> DataFrame:
     """(model, dataset, member, missing, extra): runs whose cells are not exactly the truth's."""
     wanted = truth.groupBy("dataset").agg(F.count("*").alias("wanted"))
     known = truth.select(*CELL, F.lit(1).alias("hit"))
-    found = forecast.join(known, CELL, "left").groupBy(*RUN).agg(
+    found = _met(forecast, known, "left").groupBy(*RUN).agg(
         F.count("*").alias("cells"), F.count("hit").alias("hits")
     )
     return (
@@ -45,7 +51,7 @@ def align(forecast: DataFrame, truth: DataFrame, scales: DataFrame) -> DataFrame
     """Forecast and truth side by side, both in units of `scales` (one row: s_u_x, s_u_y)."""
     t = truth.select(*CELL, F.col("u_x").alias("q_x"), F.col("u_y").alias("q_y"))
     return (
-        forecast.join(t, CELL)
+        _met(forecast, t)
         .join(F.broadcast(scales))  # one row
         .select(
             *RUN, "lead", "x", "y",
@@ -285,7 +291,7 @@ def parity(a: DataFrame, b: DataFrame, truth: DataFrame, tolerance: float) -> Da
     """(dataset, difference, within): the largest gap between two forecasts of a dataset, divided by the standard deviation
     of its true values, and whether that stays within `tolerance`."""
     other = b.select(*CELL, F.col("u_x").alias("v_x"), F.col("u_y").alias("v_y"))
-    apart = a.join(other, CELL).groupBy("dataset").agg(
+    apart = _met(a, other).groupBy("dataset").agg(
         F.max(F.greatest(F.abs(F.col("u_x") - F.col("v_x")), F.abs(F.col("u_y") - F.col("v_y")))).alias("apart")
     )
     spread = truth.select("dataset", F.explode(F.array("u_x", "u_y")).alias("u")).groupBy("dataset").agg(

@@ -28,15 +28,15 @@ def truth(data):
 def ensemble(data, n_steps: int | None = None):
     """The seasonal ensemble over the scored steps, or over `n_steps` (a rollout)."""
     last = F.col("n_steps") - CONTEXT if n_steps is None else F.lit(n_steps)
-    plan = (
-        data.catalog
-        .select("dataset", F.explode(F.sequence(F.lit(1), last)).alias("lead"))
-        .withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(MEMBERS - 1))))
-        .withColumn("t", F.lit(CONTEXT - YEAR) - F.col("member") + F.pmod(F.col("lead") - 1, F.lit(YEAR)))
-    )
-    frames = data.field.filter(F.col("t") < CONTEXT)
-    return plan.join(frames, ["dataset", "t"]).select(
-        F.lit(MODEL).alias("model"), "dataset", "member", "lead", "x", "y", "u_x", "u_y"
+    # Each frame of the year goes to its leads, one a year. A table of all leads would be joined by a guess of its size.
+    first = F.col("t") - (CONTEXT - YEAR) + F.col("member") + 1
+    leads = F.filter(F.sequence(F.lit(1), last), lambda lead: F.pmod(lead - first, F.lit(YEAR)) == 0)
+    frames = data.field.filter(F.col("t").between(CONTEXT - YEAR - MEMBERS + 1, CONTEXT - 1)).join(data.catalog, "dataset")
+    return (
+        frames.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(MEMBERS - 1))))
+        .filter(F.col("t").between(CONTEXT - YEAR - F.col("member"), CONTEXT - 1 - F.col("member")))
+        .withColumn("lead", F.explode(leads))
+        .select(F.lit(MODEL).alias("model"), "dataset", "member", "lead", "x", "y", "u_x", "u_y")
     )
 
 

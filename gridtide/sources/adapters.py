@@ -34,10 +34,14 @@ def _inside(column: Column, low: int, high: int, what: str) -> Column:
     return F.when(value.between(low, high) | value.isNull(), value).otherwise(F.raise_error(said).cast("int"))
 
 
-def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _cells(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """One row per item; with `whole` without those that lack an axis."""
     month = (F.year("l_shipdate") - FIRST_YEAR) * 12 + F.month("l_shipdate") - 1
     group = F.floor(F.col("l_suppkey") / SUPPLIERS_PER_DATASET).cast("long").cast("string")
-    return table(spark, sf_dir, "lineitem").select(
+    items = table(spark, sf_dir, "lineitem")
+    if whole:
+        items = items.filter("l_suppkey IS NOT NULL AND l_shipdate IS NOT NULL AND l_discount IS NOT NULL AND l_tax IS NOT NULL")
+    return items.select(
         F.concat(F.lit("d"), F.lpad(group, 6, "0")).alias("dataset"),
         _inside(month, 0, 2**31 - 1, f"months since {FIRST_YEAR}").alias("t"),
         _inside(F.round(F.col("l_discount") * 100), 0, NX - 1, "discount").alias("x"),
@@ -50,27 +54,24 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as a dense field: month x discount x tax cells per supplier group, holes 0."""
     cells = _cells(spark, sf_dir)
-    filled = cells.groupBy("dataset", "t", "x", "y").agg(
-        (F.sum("qty") / F.count("*")).alias("u_x"),
-        (F.sum("cents") / F.count("*") / CENTS_PER_UNIT).alias("u_y"),
-    )
     axes = (
         cells.groupBy("dataset")
         .agg(F.max("t").alias("last"))
-        .select("dataset", F.explode(F.expr("sequence(0, last)")).alias("t"))
         # A few rows per dataset become whole frames: spread them before they grow.
+        .select("dataset", F.explode(F.expr("sequence(0, last)")).alias("t"))
         .repartition("dataset", "t")
         .withColumn("x", F.explode(F.expr(f"sequence(0, {NX - 1})")))
         .withColumn("y", F.explode(F.expr(f"sequence(0, {NY - 1})")))
     )
-    return axes.join(filled, ["dataset", "t", "x", "y"], "left").select(
-        "dataset",
-        "t",
-        "x",
-        "y",
-        F.coalesce("u_x", F.lit(0.0)).alias("u_x"),
-        F.coalesce("u_y", F.lit(0.0)).alias("u_y"),
+    # The axes come as rows of no item, so every cell has one and nothing is joined: the size of rows that were made from a
+    # few is guessed from those few, and a guess of some MB would send a whole field to the driver. The one exchange by
+    # frame also serves what is done per frame afterwards.
+    both = _cells(spark, sf_dir, whole=True).withColumn("item", F.lit(1)).unionByName(
+        axes.withColumns({"qty": F.lit(None).cast("long"), "cents": F.lit(None).cast("long"), "item": F.lit(0)})
     )
+    mean = lambda c: F.try_divide(F.sum(c), F.sum("item"))
+    means = both.repartition("dataset", "t").groupBy("dataset", "t", "x", "y").agg(mean("qty").alias("u_x"), (mean("cents") / CENTS_PER_UNIT).alias("u_y"))
+    return means.fillna(0.0, ["u_x", "u_y"])
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:

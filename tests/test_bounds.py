@@ -1,11 +1,14 @@
 """Bounds and missing sides fail or count; they never drop rows."""
 
+import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridtide.functions import fourier
 from gridtide.operators import autocorr, evaluate, linalg, selection, spectra, windows
+from gridtide.plans import scoring
 from gridtide.sources import adapters
 
 
@@ -88,3 +91,43 @@ def test_scores_are_grouped_by_role_and_test_datasets_fail(spark):
     bad = spark.createDataFrame([*rows, ("m", "c", "all", "rmse_mean", 1.0)], schema)
     with pytest.raises(Exception, match="not a validation or training dataset: c"):
         evaluate.by_role(bad, roles, scored).collect()
+
+
+def items(spark, path, rows):
+    columns = "l_suppkey bigint, l_shipdate date, l_discount double, l_tax double, l_quantity double, l_extendedprice double"
+    spark.createDataFrame(rows, columns).write.parquet(f"{path}/lineitem.parquet")
+    return str(path)
+
+
+def test_a_field_is_made_without_a_join(spark, tmp_path):
+    day = datetime.date(1995, 2, 3)
+    sf = items(spark, tmp_path, [(1, day, 0.1, 0.0, 4.0, 1.0), (1, day, 0.1, 0.0, None, 3.0), (1, day, None, 0.0, 9.0, 9.0), (None, day, 0.1, 0.0, 5.0, 5.0)])
+    field = adapters.field(spark, sf)
+    assert "Join" not in field._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.dataset, r.t, r.x, r.y): (r.u_x, r.u_y) for r in field.collect()}
+    assert len(got) == 2 * 2 * 99 and got["d000000", 1, 10, 0] == (2.0, 400 / 2 / adapters.CENTS_PER_UNIT)
+    # Items without a dataset have frames of their own, all zero, as their keys meet nothing.
+    assert {v for k, v in got.items() if k != ("d000000", 1, 10, 0)} == {(0.0, 0.0)}
+
+
+def test_cells_meet_without_a_broadcast(spark, tmp_path, make_field):
+    # Repeated frames are small as files, whatever the number of their rows.
+    cells = make_field({"a": np.ones((3, 2, 2, 2))}).withColumnRenamed("t", "lead").withColumns({"model": F.lit("m"), "member": F.lit(0)})
+    cells.write.parquet(f"{tmp_path}/cells")
+    stored = spark.read.schema(cells.schema).parquet(f"{tmp_path}/cells")
+    scales = spark.createDataFrame([(1.0, 1.0)], "s_u_x double, s_u_y double")
+    for table in (evaluate.shape_violations(stored, stored), evaluate.parity(stored, stored, stored, 0.1), evaluate.rmse_per_lead(evaluate.align(stored, stored, scales))):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        cell = [line for line in plan.splitlines() if "Join [dataset" in line and "lead" in line]
+        assert cell and all("SortMergeJoin" in line for line in cell)
+
+
+def test_ensembles_repeat_the_year(spark, tmp_path):
+    days = [(datetime.date(1995 + t // 12, t % 12 + 1, 1), t) for t in (*range(24), 39)]
+    data = adapters.Tables(spark, items(spark, tmp_path, [(1, d, 0.0, 0.0, 1.0 + t, 1.0) for d, t in days]))
+    for n_steps, last in ((None, 16), (30, 30)):
+        run = scoring.ensemble(data, n_steps)
+        got = {(r.member, r.lead): r.u_x for r in run.filter("x = 0 AND y = 0").collect()}
+        assert got == {(m, k): 1.0 + 12 - m + (k - 1) % 12 for m in range(4) for k in range(1, last + 1)}
+        joined = [line for line in run._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+        assert joined and not any(" t#" in line or "(t#" in line for line in joined)  # by dataset only, never a table of all leads

@@ -4,8 +4,8 @@
     lines = spark.read.format("grid_arrays").option("chunk_steps", 100).load("s3://bucket/arrays")
     frames.write.format("grid_arrays").mode("append").save("file:///shared/arrays")
 
-A file is read in slices of `chunk_steps` steps: only headers are read while planning, and a task reads its slice's bytes, a
-frame at a time. A file's stem names the dataset; `stem@offset` is a part that starts at a later step. A task writes below
+A file is read in slices of `chunk_steps` steps: only headers are read while planning, and a task reads its slices' bytes, a
+few MB of frames at a time. A file's stem names the dataset; `stem@offset` is a part that starts at a later step. A task writes below
 temporary names of its own attempt, and the commit moves whole files to their places: a repeated or lost task leaves none
 behind, an aborted job none at all.
 """
@@ -18,6 +18,7 @@ import posixpath
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,10 @@ from gridtide.schema import FIELD_LINE
 FORMAT = "grid_arrays"
 CHUNK_STEPS = 100
 TEMPORARY = "_temporary"
+#: Cells that one batch of lines holds.
+BATCH_BYTES = 4 << 20
+#: Bytes that one task reads, and the number of tasks that are wanted first.
+TASK_BYTES, TASKS = 32 << 20, 256
 #: One frame of a part per row: its place in the file, the file's number of frames, and the cells by channel, x and y.
 FRAME = "dataset string, part int, t int, frames int, nx int, ny int, u_x array<double>, u_y array<double>"
 
@@ -80,14 +85,23 @@ def named(path: str) -> tuple[str, int]:
     return name, int(offset or 0)
 
 
-def lines_of(path: str, dataset: str, offset: int, t0: int, t1: int) -> Iterator[dict]:
-    """Columns of field lines, one dict per frame."""
+def batches_of(path: str, dataset: str, offset: int, t0: int, t1: int) -> Iterator[pa.RecordBatch]:
+    """Field lines of steps t0 to t1, as many whole frames in a batch as `BATCH_BYTES` hold, one at least."""
     system, place = opened(path)
     with system.open_input_file(place) as file:
         header = Header.of(file, path)
-        for i, frame in enumerate(header.frames(file, t0, t1)):
-            nx = frame.shape[1]
-            yield {"dataset": [dataset] * nx, "t": np.full(nx, offset + t0 + i, np.int32), "x": np.arange(nx, dtype=np.int32), "u_x": frame[0], "u_y": frame[1]}
+        _, channels, nx, ny = header.shape
+        many = max(1, BATCH_BYTES // max(1, 8 * channels * nx * ny))
+        frames = header.frames(file, t0, t1)
+        for start in range(t0, t1, many):
+            block = np.stack(list(islice(frames, many)))
+            t = np.repeat(np.arange(offset + start, offset + start + len(block), dtype=np.int32), nx)
+            x = np.tile(np.arange(nx, dtype=np.int32), len(block))
+            names = pa.array([dataset] * len(t))
+            yield pa.RecordBatch.from_arrays(
+                [names, pa.array(t), pa.array(x), _rows(block[:, 0].reshape(-1, ny)), _rows(block[:, 1].reshape(-1, ny))],
+                names=["dataset", "t", "x", "u_x", "u_y"],
+            )
 
 
 def _rows(values: np.ndarray) -> pa.Array:
@@ -96,7 +110,7 @@ def _rows(values: np.ndarray) -> pa.Array:
 
 
 @dataclass
-class Slice(InputPartition):
+class Slice:
     path: str
     dataset: str
     offset: int
@@ -104,6 +118,27 @@ class Slice(InputPartition):
     t1: int
 
 
+@dataclass
+class Slices(InputPartition):
+    """What one task reads."""
+
+    slices: list[Slice]
+
+
+def packed(sized: list[tuple[Slice, int]]) -> list[Slices]:
+    """Slices and their bytes as partitions of up to `TASK_BYTES`, or of less, to have `TASKS` of them: a task costs more
+    than a small slice. A slice is never cut."""
+    most = min(TASK_BYTES, sum(size for _, size in sized) / TASKS)
+    out, held = [], 0
+    for piece, size in sized:
+        if not out or held + size > most:
+            out.append(Slices([]))
+            held = 0
+        out[-1].slices.append(piece)
+        held += size
+    return out
+
+
 def files(uri: str, excluded: Sequence[str] = ()) -> list[str]:
     """URIs of the array files below a folder, or of one file, without those whose name is excluded."""
     system, place = opened(uri)
@@ -118,21 +153,20 @@ class _Reader(DataSourceReader):
     def __init__(self, folder: str, steps: int, excluded: Sequence[str]) -> None:
         self.folder, self.steps, self.excluded = folder, steps, excluded
 
-    def partitions(self) -> list[Slice]:
-        out = []
+    def partitions(self) -> list[Slices]:
+        found = []
         for path in files(self.folder, self.excluded):
             system, place = opened(path)
             with system.open_input_file(place) as file:
-                n = Header.of(file, path).shape[0]
-            out += [Slice(path, *named(path), t, min(t + self.steps, n)) for t in range(0, n, self.steps)]
-        return out or [Slice("", "", 0, 0, 0)]
+                header = Header.of(file, path)
+            n, frame = header.shape[0], int(np.prod(header.shape[1:])) * header.dtype.itemsize
+            ends = [(t, min(t + self.steps, n)) for t in range(0, n, self.steps)]
+            found += [(Slice(path, *named(path), *span), (span[1] - span[0]) * frame) for span in ends]
+        return packed(found) or [Slices([])]
 
-    def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
-        for line in lines_of(partition.path, partition.dataset, partition.offset, partition.t0, partition.t1):
-            columns = [pa.array(line["dataset"]), pa.array(line["t"]), pa.array(line["x"]), _rows(line["u_x"]), _rows(line["u_y"])]
-            yield pa.RecordBatch.from_arrays(columns, names=["dataset", "t", "x", "u_x", "u_y"])
+    def read(self, partition: Slices) -> Iterator[pa.RecordBatch]:
+        for s in partition.slices:
+            yield from batches_of(s.path, s.dataset, s.offset, s.t0, s.t1)
 
 
 @dataclass
@@ -153,7 +187,10 @@ class _Writer(DataSourceArrowWriter):
         system.create_dir(own, recursive=True)
         files, file, left, now = [], None, 0, None
         for batch in iterator:
-            for row in batch.to_pylist():
+            # Cells stay in Arrow: a list of them would hold a Python number for each.
+            rows = batch.select(["dataset", "part", "t", "frames", "nx", "ny"]).to_pylist()
+            cells = {c: (batch.column(c).flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(batch.column(c).value_lengths().to_numpy())))) for c in ("u_x", "u_y")}
+            for i, row in enumerate(rows):
                 if file is None:
                     now, left = (row["dataset"], row["part"]), row["frames"]
                     name = f"{row['dataset']}@{row['t']}.npy"
@@ -164,10 +201,10 @@ class _Writer(DataSourceArrowWriter):
                     file.write(head.getvalue())
                 if (row["dataset"], row["part"]) != now:
                     raise ValueError(f"part {now} lacks {left} frames")
-                for channel in ("u_x", "u_y"):
-                    if len(row[channel]) != row["nx"] * row["ny"]:
-                        raise ValueError(f"{row['dataset']}: frame {row['t']} has {len(row[channel])} of {row['nx'] * row['ny']} cells")
-                    file.write(np.asarray(row[channel], "<f8").tobytes())
+                for values, ends in cells.values():
+                    if ends[i + 1] - ends[i] != row["nx"] * row["ny"]:
+                        raise ValueError(f"{row['dataset']}: frame {row['t']} has {ends[i + 1] - ends[i]} of {row['nx'] * row['ny']} cells")
+                    file.write(np.ascontiguousarray(values[ends[i] : ends[i + 1]], "<f8").tobytes())
                 left -= 1
                 if not left:
                     file.close()

@@ -7,10 +7,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow.fs import FileSelector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from gridtide.operators.derive import to_lines
 from gridtide.schema import CHANNELS, COMPLEX, FIELD_LINE
@@ -44,21 +46,30 @@ def array_tasks(paths: DataFrame, chunk_t: int = CHUNK_STEPS) -> DataFrame:
                     "t0": starts, "t1": np.minimum(starts + chunk_t, n),
                 })
 
-    return paths.select("path").mapInPandas(tasks, "path string, dataset string, offset int, t0 int, t1 int")
+    dealt = paths.select("path").repartition(_tasks(paths.sparkSession), "path")
+    return dealt.mapInPandas(tasks, "path string, dataset string, offset int, t0 int, t1 int")
 
 
 def ingest_arrays(paths: DataFrame, chunk_t: int = CHUNK_STEPS) -> DataFrame:
-    """field_line rows of the array files in a table of paths. A task reads the bytes of its slice, a frame at a time;
+    """field_line rows of the array files in a table of paths. A task reads the bytes of its slice, a few MB of frames at a time;
     whole folders are read by `arrays.read_arrays`."""
 
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = to_arrow_schema(T.StructType.fromDDL(LINE_SCHEMA))
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples():
-                for line in arrays.lines_of(row.path, row.dataset, row.offset, row.t0, row.t1):
-                    yield pd.DataFrame({**line, "u_x": list(line["u_x"]), "u_y": list(line["u_y"])})
+            for row in batch.to_pylist():
+                for block in arrays.batches_of(row["path"], row["dataset"], row["offset"], row["t0"], row["t1"]):
+                    yield block.cast(schema)
+
+    # A slice is a few bytes here and many rows behind: dealt by number, as partitions of so few bytes would be merged.
+    tasks = array_tasks(paths, chunk_t).repartition(_tasks(paths.sparkSession), "path", "t0")
+    return tasks.mapInArrow(lines, LINE_SCHEMA)
+
 
-    tasks = array_tasks(paths, chunk_t)
-    return tasks.repartition("path", "t0").mapInPandas(lines, LINE_SCHEMA)
+def _tasks(spark: SparkSession) -> int:
+    """Partitions for rows that stand for files or slices."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def export_arrays(field: DataFrame, folder: str, chunk_t: int = CHUNK_STEPS) -> DataFrame:

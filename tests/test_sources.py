@@ -117,3 +117,22 @@ def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([("a", None)], "k string, v double")
     assert layout.exact_quantiles(df, ["k"], "v", [0.5]).count() == 0
     assert layout.exact_quantiles(df.filter(F.lit(False)), ["k"], "v", [0.5]).count() == 0
+
+
+def test_slices_are_dealt_over_tasks(spark, tmp_path, rng):
+    for k in range(9):
+        np.save(tmp_path / f"d{k}.npy", rng.normal(size=(4, 2, 3, 2)))
+    paths = spark.createDataFrame([(f"{tmp_path}/d{k}.npy",) for k in range(9)], "path string").coalesce(1)
+    lines = store.ingest_arrays(paths, 2)
+    # 18 slices, a few bytes each, were merged into one task.
+    assert lines.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert lines.count() == 9 * 4 * 3
+
+
+def test_small_slices_share_a_task():
+    slices = [(arrays.Slice(f"f{k}", "d", 0, 0, 2), 64) for k in range(4000)]
+    parts = arrays.packed(slices)
+    assert arrays.TASKS <= len(parts) <= 2 * arrays.TASKS and [s for p in parts for s in p.slices] == [s for s, _ in slices]
+    large = arrays.packed([(s, arrays.TASK_BYTES + 1) for s, _ in slices[:5]])
+    assert [len(p.slices) for p in large] == [1] * 5
+    assert arrays.packed([]) == []

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from gridtide.functions.batches import stacks, sums_by_key
 from gridtide.functions.layout import channels
 from gridtide.operators.linalg import (
+    FLUSH_BYTES,
     MAX_WIDTH,
     SLAB,
     eigenbasis,
@@ -31,6 +33,8 @@ from gridtide.session import materialize
 
 X_PER_TILE, Y_PER_TILE, FRAMES_PER_TILE = 16, 128, 1024
 BLOCK_CELLS = 4096
+#: Rows of up to so many segments are multiplied together, so many rows at once.
+NARROW, NARROW_ROWS = 16, 4096
 # A Gram matrix resolves singular values down to about the root of the float epsilon.
 GRAM_TOLERANCE = 1e-7
 CELL = ["channel", "x", "y"]
@@ -369,18 +373,55 @@ def segment_waves(field: DataFrame, nperseg: int, noverlap: int) -> DataFrame:
     )
 
 
+def _products(keys: pd.DataFrame, z: np.ndarray) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """(keys, sums) of the rows' outer products, real parts before imaginary ones. Narrow rows are multiplied all at once,
+    wide ones key by key."""
+    n = z.shape[1]
+    if n <= NARROW:
+        for start in range(0, len(z), NARROW_ROWS):
+            some = z[start : start + NARROW_ROWS]
+            g = (some.conj()[:, :, None] * some[:, None, :]).reshape(len(some), -1)
+            own, _, sums = sums_by_key(keys.iloc[start : start + NARROW_ROWS], np.concatenate((g.real, g.imag), axis=1))
+            yield own, sums
+        return
+    for (dataset, k), at in keys.groupby(["dataset", "k"], sort=False, dropna=False).indices.items():
+        g = z[at].conj().T @ z[at]
+        yield pd.DataFrame({"dataset": [dataset], "k": [k]}), np.concatenate([g.real.ravel(), g.imag.ravel()])[None, :]
+
+
 def spod(waves: DataFrame, nperseg: int) -> DataFrame:
     """(dataset, k, omega, mode, eigenvalue, w_re, w_im): modes per frequency, from the
     segments x segments Gram of that frequency; `w` are a mode's weights over the segments."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Sums of a task by number of segments: (keys, sums) pairs, folded when they have grown.
+        held: dict[int, list[tuple[pd.DataFrame, np.ndarray]]] = {}
+        size = 0
+
+        def folded() -> Iterator[tuple[int, pd.DataFrame, np.ndarray]]:
+            for n, parts in held.items():
+                found, _, sums = sums_by_key(pd.concat([p for p, _ in parts], ignore_index=True), np.concatenate([g for _, g in parts]))
+                yield n, found, sums
+
         for batch in batches:
-            for (dataset, k), part in batch.groupby(["dataset", "k"], sort=False):
-                if len(part["re"].iloc[0]) > MAX_WIDTH:
+            for at, re in stacks(batch["re"]):
+                n = re.shape[1]
+                if n > MAX_WIDTH:
                     raise ValueError(f"more than {MAX_WIDTH} segments: use longer ones")
-                z = np.stack(part["re"].to_list()) + 1j * np.stack(part["im"].to_list())
-                g = z.conj().T @ z
-                yield pd.DataFrame({"dataset": dataset, "k": k, "g": [np.concatenate([g.real.ravel(), g.imag.ravel()])]})
+                z = re + 1j * np.stack(batch["im"].iloc[at].to_list())
+                keys = batch[["dataset", "k"]].iloc[at].reset_index(drop=True)
+                for own, g in _products(keys, z):
+                    held.setdefault(n, []).append((own, g))
+                    size += g.nbytes
+            if size > FLUSH_BYTES:
+                held = {n: [(found, sums)] for n, found, sums in folded()}
+                size = sum(g.nbytes for parts in held.values() for _, g in parts)
+                if size > FLUSH_BYTES // 2:
+                    for parts in held.values():
+                        yield parts[0][0].assign(g=list(parts[0][1]))
+                    held, size = {}, 0
+        for _, found, sums in folded():
+            yield found.assign(g=list(sums))
 
     sums = sum_arrays(
         waves.mapInPandas(partial, "dataset string, k int, g array<double>"), ["dataset", "k"], "g"
@@ -388,18 +429,22 @@ def spod(waves: DataFrame, nperseg: int) -> DataFrame:
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for dataset, k, g in zip(batch["dataset"], batch["k"], batch["g"]):
-                n = int(round(np.sqrt(len(g) / 2)))
-                re, im = np.asarray(g[: n * n]).reshape(n, n), np.asarray(g[n * n :]).reshape(n, n)
-                values, vectors = np.linalg.eigh(re + 1j * im)
-                values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1]
-                top = np.argmax(np.abs(vectors), axis=0)
-                vectors = vectors * np.exp(-1j * np.angle(vectors[top, np.arange(n)]))
-                scaled = vectors / np.sqrt(np.where(values > 0, values, np.inf))
-                yield pd.DataFrame({
-                    "dataset": dataset, "k": k, "mode": np.arange(n), "eigenvalue": values / n,
-                    "w_re": list(scaled.real.T), "w_im": list(scaled.imag.T),
-                })
+            for at, g in stacks(batch["g"]):
+                n = int(round(np.sqrt(g.shape[1] / 2)))
+                square = g[:, : n * n].reshape(-1, n, n) + 1j * g[:, n * n :].reshape(-1, n, n)
+                for some in np.array_split(np.arange(len(at)), max(1, square.nbytes // FLUSH_BYTES)):
+                    if not len(some):
+                        continue
+                    values, vectors = np.linalg.eigh(square[some])
+                    values, vectors = np.maximum(values[:, ::-1], 0.0), vectors[:, :, ::-1]
+                    top = np.argmax(np.abs(vectors), axis=1)[:, None, :]
+                    vectors = vectors * np.exp(-1j * np.angle(np.take_along_axis(vectors, top, axis=1)))
+                    scaled = vectors / np.sqrt(np.where(values > 0, values, np.inf))[:, None, :]
+                    weights = scaled.transpose(0, 2, 1).reshape(-1, n)
+                    own = batch[["dataset", "k"]].iloc[np.repeat(at[some], n)].reset_index(drop=True)
+                    yield own.assign(
+                        mode=np.tile(np.arange(n), len(some)), eigenvalue=(values / n).ravel(), w_re=list(weights.real), w_im=list(weights.imag)
+                    )
 
     modes = sums.mapInPandas(
         solve,

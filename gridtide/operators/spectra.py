@@ -24,6 +24,8 @@ from gridtide.session import measured
 TWO_PI = 2 * np.pi
 # Points of a packed line that one group takes of every line of a frame.
 Y_SPAN = 64
+# From so many series on, their lengths are dealt with the series instead of sent to every task.
+MANY_SERIES = 100_000
 # Fixed value: power below this share of the true peak counts as zero.
 SPECTRUM_FLOOR_RATIO = 1e-10
 
@@ -111,6 +113,8 @@ def segments(series: DataFrame, keys: list[str], nperseg: int, noverlap: int) ->
         F.col("n_steps") >= nperseg, F.floor((F.col("n_steps") - nperseg) / step).cast("long")
     ).otherwise(F.raise_error(message).cast("long"))
     ends = measured(lengths.select(*keys, last.alias("_last")), "series")
+    if ends.count() > MANY_SERIES:  # alike in all but their keys, they are small as files only
+        ends = ends.hint("merge")
     placed = series.join(ends, keys).withColumn(
         "seg",
         F.explode(

@@ -131,3 +131,12 @@ def test_ensembles_repeat_the_year(spark, tmp_path):
         assert got == {(m, k): 1.0 + 12 - m + (k - 1) % 12 for m in range(4) for k in range(1, last + 1)}
         joined = [line for line in run._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
         assert joined and not any(" t#" in line or "(t#" in line for line in joined)  # by dataset only, never a table of all leads
+
+
+def test_lengths_of_many_series_are_not_broadcast(spark, make_series, monkeypatch):
+    series = make_series({"a": np.arange(10.0), "b": np.arange(16.0) ** 2})
+    few = spectra.segments(series, ["name"], 4, 2)
+    monkeypatch.setattr(spectra, "MANY_SERIES", 1)
+    many = spectra.segments(series, ["name"], 4, 2)
+    assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and many.count() == 4 + 7

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,3 +211,28 @@ def test_least_squares_by_a_tree_at_condition_1e10(spark, rng):
     np.testing.assert_allclose(a @ got, a @ want, atol=1e-14)
     np.testing.assert_allclose(got, want, atol=1e-16 * 1e10 * 50)
     assert found.n == 200
+
+
+@pytest.mark.parametrize("n", [3, modal.NARROW + 1])
+def test_spod_sums_equal_the_segments_gram(spark, rng, n):
+    """Narrow rows are multiplied all at once, wide ones key by key; few sums leave a task."""
+    z = rng.normal(size=(3, 2, 20, n, 2))
+    rows = [(f"d{d}", k, "u_x", x, 0, z[d, k, x, :, 0].tolist(), z[d, k, x, :, 1].tolist()) for d in range(3) for k in range(2) for x in range(20)]
+    waves = spark.createDataFrame(rows, "dataset string, k int, channel string, x int, y int, re array<double>, im array<double>")
+    got = modal.spod(waves.repartition(2), 4).collect()
+    assert len(got) == 3 * 2 * n
+    for d in range(3):
+        for k in range(2):
+            c = z[d, k, :, :, 0] + 1j * z[d, k, :, :, 1]
+            g = c.conj().T @ c
+            own = sorted((r for r in got if (r.dataset, r.k) == (f"d{d}", k)), key=lambda r: r.mode)
+            np.testing.assert_allclose([r.eigenvalue for r in own], np.linalg.eigvalsh(g)[::-1] / n, rtol=1e-9)
+            w = np.array(own[0].w_re) + 1j * np.array(own[0].w_im)
+            np.testing.assert_allclose(g @ w, own[0].eigenvalue * n * w, atol=1e-8)
+
+
+def test_spod_products_of_a_batch_are_few_frames(rng):
+    keys = pd.DataFrame({"dataset": ["a", "b"] * 50, "k": [0, 0, 1, 1] * 25})
+    z = rng.normal(size=(100, 3)) + 1j * rng.normal(size=(100, 3))
+    [(found, sums)] = list(modal._products(keys, z))
+    assert len(found) == 4 and sums.shape == (4, 18)

@@ -23,7 +23,8 @@ from gridtide.session import materialize
 
 MAX_WIDTH = 8192
 FLUSH_BYTES = 64 << 20
-TILE_ENTRIES = 1 << 15
+# A batch of 10,000 tiles comes to a task at once: 80 MB of them, or one row of a wide matrix each.
+TILE_ENTRIES = 1 << 10
 #: Entries of the summed axis in one block, rows in one tile of a wide matrix, partial sums that one group adds up.
 SLAB, TILE_ROWS, FAN = 1024, 2048, 64
 # Fixed value: singular values below this share of the largest count as zero.

@@ -131,3 +131,13 @@ def test_a_subset_of_modes_is_rebuilt_from_these_alone(spark, make_field, rng, m
         got = modal.reconstruct(modes, factors, chosen).orderBy("t", "channel", "x", "y").collect()
         pick = [k for k in (range(len(s)) if chosen is None else chosen) if k < len(s) and s[k] > 1e-6]
         np.testing.assert_allclose(np.array([r.value for r in got]).reshape(30, -1), (u[:, pick] * s[pick]) @ vt[pick], atol=1e-8)
+
+
+def test_a_batch_of_tiles_is_bounded(spark, rng):
+    """Ten thousand rows come to a task at once, so a tile is a few kB, and the matrix is still whole."""
+    for width in (2, 84, 600):
+        assert linalg._tile_rows(width) * width * 8 * 10_000 <= 100 << 20
+    a = rng.normal(size=(30, 84))
+    rows = spark.createDataFrame([("d", r.tolist()) for r in a], "dataset string, vec array<double>")
+    got = {r.i: r.row for r in linalg.gram(rows, ["dataset"]).collect()}
+    np.testing.assert_allclose([got[i] for i in range(84)], a.T @ a, rtol=1e-9, atol=1e-9)

@@ -33,13 +33,15 @@ def _slope(value: str, window, spacing: str) -> Column:
     return (F.coalesce(ahead, value) - F.coalesce(behind, value)) / (steps * F.col(spacing))
 
 
-def gradients(field: DataFrame, grid: Grid | DataFrame, *, extra_keys: tuple[str, ...] = ()) -> DataFrame:
+def gradients(field: DataFrame, grid: Grid | DataFrame, *, extra_keys: tuple[str, ...] = (), dealt: bool = False) -> DataFrame:
     """Adds dux_dx, duy_dx, dux_dy, duy_dy.
 
-    One exchange by frame serves both stencil directions and a following per-frame aggregation.
+    One exchange by frame serves both stencil directions and a following per-frame aggregation. A field that is `dealt` by
+    some of its frames' keys already needs none.
     """
     keys = [*extra_keys, "dataset", "t"]
-    frames = with_grid(field, grid, "dx", "dy").repartition(*keys)
+    frames = with_grid(field, grid, "dx", "dy")
+    frames = frames if dealt else frames.repartition(*keys)
     along_x = Window.partitionBy(*keys, "y").orderBy("x")
     along_y = Window.partitionBy(*keys, "x").orderBy("y")
     return frames.select(
@@ -95,11 +97,11 @@ def rms_divergence(field: DataFrame, grid: Grid | DataFrame) -> DataFrame:
     )
 
 
-def frame_physics(field: DataFrame, grid: Grid | DataFrame, *extra_keys: str) -> DataFrame:
+def frame_physics(field: DataFrame, grid: Grid | DataFrame, *extra_keys: str, dealt: bool = False) -> DataFrame:
     """Energy, enstrophy, RMS divergence and channel means per frame, from one exchange."""
     w, d = vorticity(), divergence()
     return (
-        gradients(field, grid, extra_keys=extra_keys)
+        gradients(field, grid, extra_keys=extra_keys, dealt=dealt)
         .groupBy(*extra_keys, "dataset", "t")
         .agg(
             F.avg(energy_density()).alias("energy"),

@@ -147,9 +147,9 @@ def report_leads(curve: DataFrame, keys: list[str], column: str, prefix: str, le
 # --- physics --------------------------------------------------------------------------------------
 
 
-def physics(frames: DataFrame, grid: Grid | DataFrame, *extra: str) -> DataFrame:
+def physics(frames: DataFrame, grid: Grid | DataFrame, *extra: str, dealt: bool = False) -> DataFrame:
     """Per-step energy, enstrophy, RMS divergence, mean velocity of frames keyed by lead."""
-    return derive.frame_physics(frames.withColumnRenamed("lead", "t"), grid, *extra).withColumnRenamed(
+    return derive.frame_physics(frames.withColumnRenamed("lead", "t"), grid, *extra, dealt=dealt).withColumnRenamed(
         "t", "lead"
     )
 

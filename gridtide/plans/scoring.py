@@ -25,18 +25,23 @@ def truth(data):
     return windows.split_context(data.field, CONTEXT)[1]
 
 
-def ensemble(data, n_steps: int | None = None):
-    """The seasonal ensemble over the scored steps, or over `n_steps` (a rollout)."""
+def ensemble(data, n_steps: int | None = None, parts: int | None = None):
+    """The seasonal ensemble over the scored steps, or over `n_steps` (a rollout). With `parts` the frames are dealt over so
+    many partitions before they are repeated, and `origin` names the step a frame repeats."""
     last = F.col("n_steps") - CONTEXT if n_steps is None else F.lit(n_steps)
     # Each frame of the year goes to its leads, one a year. A table of all leads would be joined by a guess of its size.
     first = F.col("t") - (CONTEXT - YEAR) + F.col("member") + 1
     leads = F.filter(F.sequence(F.lit(1), last), lambda lead: F.pmod(lead - first, F.lit(YEAR)) == 0)
     frames = data.field.filter(F.col("t").between(CONTEXT - YEAR - MEMBERS + 1, CONTEXT - 1)).join(data.catalog, "dataset")
+    frames = frames.repartition(parts, "dataset", "t") if parts else frames
     return (
         frames.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(MEMBERS - 1))))
         .filter(F.col("t").between(CONTEXT - YEAR - F.col("member"), CONTEXT - 1 - F.col("member")))
         .withColumn("lead", F.explode(leads))
-        .select(F.lit(MODEL).alias("model"), "dataset", "member", "lead", "x", "y", "u_x", "u_y")
+        .select(
+            F.lit(MODEL).alias("model"), "dataset", "member", "lead", "x", "y", "u_x", "u_y",
+            *([F.col("t").alias("origin")] if parts else []),
+        )
     )
 
 
@@ -358,7 +363,11 @@ add_view("roll_stability", sql_stability("roll_phys", 0.98))
 
 
 def rollout_stability(data):
-    pred = evaluate.physics(ensemble(data, ROLLOUT), data.grid, "model", "member")
+    # A frame moves before it is repeated, and its copies stay in its partition. The number, not the one that the field was dealt
+    # by, keeps partitions from being merged by the size of frames that aren't repeated yet.
+    parts = 2 * int(data.spark.conf.get("spark.sql.shuffle.partitions"))
+    runs = ensemble(data, ROLLOUT, parts)
+    pred = evaluate.physics(runs, data.grid, "model", "member", "origin", dealt=True).drop("origin")
     return evaluate.stability(pred, true_physics(data), BLOCK, 0.98)
 
 

@@ -140,3 +140,19 @@ def test_lengths_of_many_series_are_not_broadcast(spark, make_series, monkeypatc
     many = spectra.segments(series, ["name"], 4, 2)
     assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and many.count() == 4 + 7
+
+
+def test_rollouts_move_frames_before_they_are_repeated(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    days = [(datetime.date(1995 + t // 12, t % 12 + 1, 1), t) for t in range(30)]
+    rows = [(1, d, x / 100, y / 100, float(rng.integers(1, 50)), 100.0 + t) for d, t in days for x in range(3) for y in range(3)]
+    data = adapters.Tables(spark, items(spark, tmp_path, rows))
+    dealt = evaluate.physics(scoring.ensemble(data, 30, 8), data.grid, "model", "member", "origin", dealt=True)
+    exchanges = [line for line in dealt._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and not any("lead" in line or "member" in line for line in exchanges)
+    plain = evaluate.physics(scoring.ensemble(data, 30), data.grid, "model", "member")
+    key = lambda r: (r.member, r.lead)
+    a, b = sorted(dealt.drop("origin").collect(), key=key), sorted(plain.collect(), key=key)
+    assert len(a) == 4 * 30 and list(map(key, a)) == list(map(key, b))
+    for p, q in zip(a, b):
+        assert (p.energy, p.enstrophy, p.mean_u_x) == pytest.approx((q.energy, q.enstrophy, q.mean_u_x), rel=1e-12)

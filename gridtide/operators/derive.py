@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from gridtide.functions.batches import group_stacks
 from gridtide.functions.layout import exact_quantiles
 from gridtide.schema import Grid, with_grid
 
@@ -98,7 +105,9 @@ def rms_divergence(field: DataFrame, grid: Grid | DataFrame) -> DataFrame:
 
 
 def frame_physics(field: DataFrame, grid: Grid | DataFrame, *extra_keys: str, dealt: bool = False) -> DataFrame:
-    """Energy, enstrophy, RMS divergence and channel means per frame, from one exchange."""
+    """Energy, enstrophy, RMS divergence and channel means per frame, from one exchange. The field may be held as lines."""
+    if is_lines(field):
+        return packed_physics(field, grid, *extra_keys, dealt=dealt)
     w, d = vorticity(), divergence()
     return (
         gradients(field, grid, extra_keys=extra_keys, dealt=dealt)
@@ -168,9 +177,14 @@ def vorticity_report(field: DataFrame, grid: Grid | DataFrame) -> DataFrame:
 def value_range(field: DataFrame, grid: Grid | DataFrame, name: str, stride: int = 1) -> DataFrame:
     """1st/99th percentile of a field over every `stride`-th frame, and half the span.
 
-    Signed fields get a range symmetric about zero.
+    Signed fields get a range symmetric about zero. The field may be held as lines.
     """
-    sampled = select_field(field.filter(F.col("t") % stride == 0), grid, name)
+    sampled = field.filter(F.col("t") % stride == 0)
+    if is_lines(field):
+        held = packed_vorticity(sampled, grid) if name == "vorticity" else line_field(sampled, grid, name)
+        sampled = held.select("dataset", F.explode("value").alias("value"))
+    else:
+        sampled = select_field(sampled, grid, name)
     bounds = (
         exact_quantiles(sampled, ["dataset"], "value", [0.01, 0.99])
         .groupBy("dataset")
@@ -253,6 +267,61 @@ def line_physics(lines: DataFrame, grid: Grid | DataFrame, *extra_keys: str) ->
     return frames.withColumn("normalized", F.col("rms_divergence") / (F.col("_scale") + TINY)).drop("_scale")
 
 
+def is_lines(frames: DataFrame) -> bool:
+    """Whether frames are held as lines, y packed, and not as cells."""
+    return isinstance(frames.schema["u_x"].dataType, T.ArrayType)
+
+
+def whole_frames(lines: DataFrame, keys: list[str], *columns: str, dealt: bool = False) -> DataFrame:
+    """Lines dealt by frame, those of a frame side by side and ascending by x. Lines that are `dealt` by some of the keys stay."""
+    kept = lines.select(*keys, "x", "u_x", "u_y", *columns)
+    return (kept if dealt else kept.repartition(*keys)).sortWithinPartitions(*keys, "x")
+
+
+def _stack_slope(stack: np.ndarray, axis: int, spacing: np.ndarray) -> np.ndarray:
+    """`_slope` of (frames, x, y) along an axis, one spacing per frame."""
+    n = stack.shape[axis]
+    ahead, behind = np.minimum(np.arange(n) + 1, n - 1), np.maximum(np.arange(n) - 1, 0)
+    steps = np.maximum(ahead - behind, 1).reshape([-1 if a == axis else 1 for a in range(3)])
+    return (stack.take(ahead, axis) - stack.take(behind, axis)) / (steps * spacing[:, None, None])
+
+
+def packed_physics(lines: DataFrame, grid: Grid | DataFrame, *extra_keys: str, dealt: bool = False) -> DataFrame:
+    """`frame_physics` on lines: a batch of whole frames is differentiated at once, and no cell becomes a row."""
+    keys = [*extra_keys, "dataset", "t"]
+    found = ["energy", "enstrophy", "rms_divergence", "mean_u_x", "mean_u_y"]
+    types = T.StructType([lines.schema[k] for k in keys] + [T.StructField(c, T.DoubleType()) for c in found])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(types)
+        for first, (u, v) in group_stacks(batches, [*keys, "dx", "dy"], ["u_x", "u_y"]):
+            dx, dy = first["dx"].to_numpy(), first["dy"].to_numpy()
+            w = _stack_slope(v, 1, dx) - _stack_slope(u, 2, dy)
+            d = _stack_slope(u, 1, dx) + _stack_slope(v, 2, dy)
+            mean = lambda a: a.mean(axis=(1, 2))
+            values = [mean(0.5 * (u * u + v * v)), mean(0.5 * w * w), np.sqrt(mean(d * d)), mean(u), mean(v)]
+            yield from pa.table([*[first[k] for k in keys], *values], names=schema.names).cast(schema).to_batches()
+
+    frames = whole_frames(with_grid(lines, grid, "dx", "dy"), keys, "dx", "dy", dealt=dealt)
+    return frames.mapInArrow(measure, types)
+
+
+def packed_vorticity(lines: DataFrame, grid: Grid | DataFrame) -> DataFrame:
+    """(dataset, t, value): vorticity along y of each line, a batch of whole frames differentiated at once."""
+    types = T.StructType([lines.schema["dataset"], lines.schema["t"], T.StructField("value", T.ArrayType(T.DoubleType()))])
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(types)
+        for first, (u, v) in group_stacks(batches, ["dataset", "t", "dx", "dy"], ["u_x", "u_y"]):
+            w = _stack_slope(v, 1, first["dx"].to_numpy()) - _stack_slope(u, 2, first["dy"].to_numpy())
+            each = first.take(pa.array(np.repeat(np.arange(len(w)), w.shape[1])))
+            ends = pa.array(np.arange(w.shape[0] * w.shape[1] + 1, dtype=np.int32) * w.shape[2], pa.int32())
+            values = pa.ListArray.from_arrays(ends, pa.array(w.ravel()))
+            yield from pa.table([each["dataset"], each["t"], values], names=schema.names).cast(schema).to_batches()
+
+    return whole_frames(with_grid(lines, grid, "dx", "dy"), ["dataset", "t"], "dx", "dy").mapInArrow(turn, types)
+
+
 def line_enstrophy(lines: DataFrame, grid: Grid | DataFrame) -> DataFrame:
     """Enstrophy per frame on packed lines: the window moves whole lines, never single cells."""
     across = Window.partitionBy("dataset", "t").orderBy("x")

@@ -1,14 +1,21 @@
 """Forecast evaluation: pointwise and ensemble scores, physics comparison, stability.
 
 Forecast rows are (model, dataset, member, lead, x, y, u_x, u_y), truth rows (dataset, lead, x, y,
-u_x, u_y), lead 1 the first step after the context. NaN means blown up and fails every comparison.
+u_x, u_y), lead 1 the first step after the context. Both may be held as lines, without y and with arrays u_x, u_y along it. NaN means blown up and fails every comparison.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from gridtide.functions.batches import group_stacks
 from gridtide.operators import derive, spectra
 from gridtide.schema import Grid
 from gridtide.session import materialize, measured
@@ -25,8 +32,8 @@ NPERSEG = 200
 
 def _met(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
     """Two tables of cells side by side. Both sides are dealt: a forecast repeats few frames, so its files are small and the
-    size of its rows is guessed far too low; sent whole, it fills the driver."""
-    return a.hint("merge").join(b.hint("merge"), CELL, how)
+    size of its rows is guessed far too low; sent whole, it fills the driver. Tables of lines meet line by line."""
+    return a.hint("merge").join(b.hint("merge"), [c for c in CELL if c in b.columns], how)
 
 
 def shape_violations(forecast: DataFrame, truth: DataFrame) -> DataFrame:
@@ -48,7 +55,14 @@ def shape_violations(forecast: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def align(forecast: DataFrame, truth: DataFrame, scales: DataFrame) -> DataFrame:
-    """Forecast and truth side by side, both in units of `scales` (one row: s_u_x, s_u_y)."""
+    """Forecast and truth side by side, both in units of `scales` (one row: s_u_x, s_u_y); both are cells or both lines."""
+    if derive.is_lines(forecast):
+        unit = lambda c, s: F.transform(F.col(c), lambda v: v / F.col(s))
+        lines = truth.select("dataset", "lead", "x", F.col("u_x").alias("q_x"), F.col("u_y").alias("q_y"))
+        return _met(forecast, lines).join(F.broadcast(scales)).select(  # scales: one row
+            *RUN, "lead", "x", unit("u_x", "s_u_x").alias("p_x"), unit("u_y", "s_u_y").alias("p_y"),
+            unit("q_x", "s_u_x").alias("q_x"), unit("q_y", "s_u_y").alias("q_y"),
+        )
     t = truth.select(*CELL, F.col("u_x").alias("q_x"), F.col("u_y").alias("q_y"))
     return (
         _met(forecast, t)
@@ -71,6 +85,12 @@ def _square(c: Column) -> Column:
 
 
 def rmse_per_lead(aligned: DataFrame) -> DataFrame:
+    if "y" not in aligned.columns:
+        total = lambda c: F.aggregate(
+            F.zip_with(f"p_{c}", f"q_{c}", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v
+        )
+        mean = F.sum(_both(total)) / F.sum(F.size("p_x"))
+        return aligned.groupBy(*RUN, "lead").agg(F.sqrt(mean).alias("rmse"))
     error = _both(lambda c: _square(F.col(f"p_{c}") - F.col(f"q_{c}")))
     return aligned.groupBy(*RUN, "lead").agg(F.sqrt(F.avg(error)).alias("rmse"))
 
@@ -79,8 +99,17 @@ def ensemble_scores(aligned: DataFrame) -> DataFrame:
     """(model, dataset, lead, size, crps, spread, mean_rmse, spread_skill).
 
     Members meet in one window per cell, already partitioned by the alignment join. Pairs follow
-    the cycle of members: consecutive ones, and the closing pair from three members on.
+    the cycle of members: consecutive ones, and the closing pair from three members on. Lines are
+    summed where their members meet.
     """
+    if "y" not in aligned.columns:
+        return _scores(_line_sums(aligned).groupBy("model", "dataset", "lead").agg(
+            F.max("m").alias("size"),
+            (F.sum("miss") / F.sum("n")).alias("miss"),
+            F.coalesce(F.try_divide(F.sum("apart"), F.sum("pairs")), F.lit(0.0)).alias("apart"),
+            F.coalesce(F.try_divide(F.sum("apart_sq"), F.sum("pairs")), F.lit(0.0)).alias("apart_sq"),
+            F.sqrt(F.sum("mean_sq") / F.sum("n")).alias("mean_rmse"),
+        ))
     cell = Window.partitionBy("model", *CELL)
     ring = cell.orderBy("member")
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -102,6 +131,39 @@ def ensemble_scores(aligned: DataFrame) -> DataFrame:
         F.coalesce(F.avg(apart_sq), F.lit(0.0)).alias("apart_sq"),
         F.sqrt(F.avg(mean_sq)).alias("mean_rmse"),
     )
+    return _scores(sums)
+
+
+def _line_sums(aligned: DataFrame) -> DataFrame:
+    """(model, dataset, lead, m, n, pairs, miss, apart, apart_sq, mean_sq): sums over the members' cells of one line.
+
+    The window orders the members where the alignment has dealt them, and keeps the runtime from splitting that partition."""
+    keys = ["model", "dataset", "lead", "x"]
+    sums = ("miss", "apart", "apart_sq", "mean_sq")
+    types = T.StructType(
+        [aligned.schema[k] for k in keys[:3]] + [T.StructField("m", T.IntegerType())]
+        + [T.StructField(n, T.LongType()) for n in ("n", "pairs")] + [T.StructField(n, T.DoubleType()) for n in sums]
+    )
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(types)
+        for first, (px, py, qx, qy) in group_stacks(batches, keys, ["p_x", "p_y", "q_x", "q_y"]):
+            m, length = px.shape[1:]
+            total = lambda f: sum(f(p, q).sum(axis=(1, 2)) for p, q in ((px, qx), (py, qy))) / 2
+            near = lambda p: (np.roll(p, -1, axis=1) - p)[:, : m if m >= 3 else m - 1]
+            values = [
+                total(lambda p, q: np.abs(p - q)), total(lambda p, _: np.abs(near(p))), total(lambda p, _: near(p) ** 2),
+                m * total(lambda p, q: (p.mean(axis=1, keepdims=True) - q[:, :1]) ** 2),
+            ]
+            whole = lambda n: np.full(len(px), n)
+            columns = [*[first[k] for k in keys[:3]], whole(m), whole(m * length), whole((m if m >= 3 else m - 1) * length), *values]
+            yield from pa.table(columns, names=schema.names).cast(schema).to_batches()
+
+    ring = aligned.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("member")))
+    return ring.sortWithinPartitions(*keys, "member").mapInArrow(add, types)
+
+
+def _scores(sums: DataFrame) -> DataFrame:
     spread = F.sqrt(0.5 * F.col("apart_sq"))
     return sums.select(
         "model", "dataset", "lead", "size",
@@ -155,8 +217,10 @@ def physics(frames: DataFrame, grid: Grid | DataFrame, *extra: str, dealt: bool
 
 
 def line_spectra(frames: DataFrame, grid: Grid | DataFrame, *extra: str) -> DataFrame:
-    """(extra, dataset, axis, channel, k, power): time-mean spectra along x and y."""
+    """(extra, dataset, axis, channel, k, power): time-mean spectra along x and y. The frames may be held as lines."""
     field = frames.withColumnRenamed("lead", "t")
+    if derive.is_lines(field):
+        return spectra.frame_spectra(field, grid, (*extra, "dataset"))
     both = [
         spectra.line_spectrum(field, grid, axis, (*extra, "dataset")).withColumn("axis", F.lit(axis))
         for axis in ("x", "y")

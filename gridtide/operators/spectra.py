@@ -10,14 +10,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from gridtide.functions.batches import map_stacks, stacks, sums_by_key
+from gridtide.functions.batches import group_stacks, map_stacks, stacks, starts_of, sums_by_key
 from gridtide.functions.fourier import DIRECT_LIMIT, dft
 from gridtide.functions.layout import channels, core_rows, halo_blocks, halo_window
+from gridtide.operators.derive import whole_frames
 from gridtide.schema import Grid, with_grid
 from gridtide.session import measured
 
@@ -281,6 +284,44 @@ def _packed_spectrum(
     )
 
 
+def frame_spectra(lines: DataFrame, grid: Grid | DataFrame, keys: tuple[str, ...] = ("dataset",)) -> DataFrame:
+    """(keys, channel, k, omega, power, axis): the time-mean `line_spectrum` along both axes of frames held as lines
+    (keys, t, x, u_x, u_y). Whole frames meet once; each batch of them is summed before anything is shuffled again."""
+    names = list(keys)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(types)
+        for first, stacked in group_stacks(batches, [*names, "t"], ["u_x", "u_y"]):
+            starts = starts_of(first, names)
+            own, frames = first.select(names).take(pa.array(starts)), np.diff(np.r_[starts, len(first)])
+            for channel, stack in zip(("u_x", "u_y"), stacked):
+                for axis, turned in (("x", stack.transpose(0, 2, 1)), ("y", stack)):
+                    power = _half_power(turned.reshape(-1, turned.shape[2]), 1.0)
+                    power = np.add.reduceat(power.reshape(*turned.shape[:2], -1).sum(axis=1), starts, axis=0)
+                    # A NaN stays one: as a NULL the sums would pass over it.
+                    ends = pa.array(np.arange(len(power) + 1, dtype=np.int32) * power.shape[1], pa.int32())
+                    facts = [pa.array([axis] * len(power)), pa.array([channel] * len(power)), pa.ListArray.from_arrays(ends, pa.array(power.ravel()))]
+                    columns = [*[own[n] for n in names], *facts, pa.array(frames * turned.shape[1])]
+                    yield from pa.table(columns, names=schema.names).cast(schema).to_batches()
+
+    extra = (("axis", T.StringType()), ("channel", T.StringType()), ("s", T.ArrayType(T.DoubleType())), ("lines", T.LongType()))
+    types = T.StructType([lines.schema[n] for n in names] + [T.StructField(n, t) for n, t in extra])
+    total = (
+        whole_frames(lines, [*names, "t"]).mapInArrow(sums, types)
+        .select(*names, "axis", "channel", "lines", F.posexplode("s").alias("k", "s"))
+        .groupBy(*names, "axis", "channel", "k")
+        .agg(F.sum("s").alias("s"), F.sum("lines").alias("lines"))
+    )
+    along_x = F.col("axis") == "x"
+    spacing, n_axis = F.when(along_x, F.col("dx")).otherwise(F.col("dy")), F.when(along_x, F.col("nx")).otherwise(F.col("ny"))
+    return with_grid(total, grid, "nx", "ny", "dx", "dy").select(
+        *names, "channel", "k",
+        (TWO_PI * F.col("k") / (n_axis * spacing)).alias("omega"),
+        (F.col("s") / F.col("lines") * spacing).alias("power"),
+        "axis",
+    )
+
+
 def spectrum_summary(spectrum: DataFrame, keys: list[str]) -> DataFrame:
     """Variance, and the interior peak's wavenumber and wavelength (NULL at the lowest bin)."""
     s = spectrum.filter("k >= 1").groupBy(*keys).agg(

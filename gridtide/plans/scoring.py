@@ -21,25 +21,27 @@ LEADS = (1, 10, 40, 100)
 MODEL = "seasonal"
 
 
-def truth(data):
-    return windows.split_context(data.field, CONTEXT)[1]
+def truth(data, lines: bool = False):
+    return windows.split_context(data.lines if lines else data.field, CONTEXT)[1]
 
 
-def ensemble(data, n_steps: int | None = None, parts: int | None = None):
+def ensemble(data, n_steps: int | None = None, parts: int | None = None, lines: bool = False):
     """The seasonal ensemble over the scored steps, or over `n_steps` (a rollout). With `parts` the frames are dealt over so
-    many partitions before they are repeated, and `origin` names the step a frame repeats."""
+    many partitions before they are repeated, and `origin` names the step a frame repeats. With `lines` frames are packed
+    before they are repeated: a line is a row."""
+    source = data.lines if lines else data.field
     last = F.col("n_steps") - CONTEXT if n_steps is None else F.lit(n_steps)
     # Each frame of the year goes to its leads, one a year. A table of all leads would be joined by a guess of its size.
     first = F.col("t") - (CONTEXT - YEAR) + F.col("member") + 1
     leads = F.filter(F.sequence(F.lit(1), last), lambda lead: F.pmod(lead - first, F.lit(YEAR)) == 0)
-    frames = data.field.filter(F.col("t").between(CONTEXT - YEAR - MEMBERS + 1, CONTEXT - 1)).join(data.catalog, "dataset")
+    frames = source.filter(F.col("t").between(CONTEXT - YEAR - MEMBERS + 1, CONTEXT - 1)).join(data.catalog, "dataset")
     frames = frames.repartition(parts, "dataset", "t") if parts else frames
     return (
         frames.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(MEMBERS - 1))))
         .filter(F.col("t").between(CONTEXT - YEAR - F.col("member"), CONTEXT - 1 - F.col("member")))
         .withColumn("lead", F.explode(leads))
         .select(
-            F.lit(MODEL).alias("model"), "dataset", "member", "lead", "x", "y", "u_x", "u_y",
+            F.lit(MODEL).alias("model"), "dataset", "member", "lead", *([c for c in ("x", "y", "u_x", "u_y") if c in source.columns]),
             *([F.col("t").alias("origin")] if parts else []),
         )
     )
@@ -59,11 +61,19 @@ def aligned(data):
 
 # Physics of both sides once per query: the frames' tables are small, the frames are not.
 def pred_physics(data):
-    return evaluate.physics(ensemble(data), data.grid, "model", "member")
+    return evaluate.physics(ensemble(data, lines=True), data.grid, "model", "member")
 
 
 def true_physics(data):
-    return evaluate.physics(truth(data), data.grid)
+    return evaluate.physics(truth(data, lines=True), data.grid)
+
+
+def pred_spectra(data):
+    return evaluate.line_spectra(ensemble(data, lines=True), data.grid, "model", "member")
+
+
+def true_spectra(data):
+    return evaluate.line_spectra(truth(data, lines=True), data.grid)
 
 
 def member_stability(data, max_ratio=MAX_RATIO):
@@ -239,7 +249,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     data = src.Tables(spark, sf)
-    s = evaluate.line_spectra(ensemble(data), data.grid, "model", "member")
+    s = pred_spectra(data)
     return rounded(s.drop("model", "omega"), "power")
 
 
@@ -303,11 +313,7 @@ LONG = "SELECT dataset, member, metric, {v} AS value FROM {t}"
 def _(spark, sf):
     data = src.Tables(spark, sf, stored=True)
     scores = evaluate.physics_scores(pred_physics(data), true_physics(data))
-    grid = data.grid
-    spectra = evaluate.spectrum_scores(
-        evaluate.line_spectra(ensemble(data), grid, "model", "member"),
-        evaluate.line_spectra(truth(data), grid),
-    )
+    spectra = evaluate.spectrum_scores(pred_spectra(data), true_spectra(data))
     return rounded(scores.unionByName(spectra).drop("model"), "value")
 
 
@@ -366,7 +372,7 @@ def rollout_stability(data):
     # A frame moves before it is repeated, and its copies stay in its partition. The number, not the one that the field was dealt
     # by, keeps partitions from being merged by the size of frames that aren't repeated yet.
     parts = 2 * int(data.spark.conf.get("spark.sql.shuffle.partitions"))
-    runs = ensemble(data, ROLLOUT, parts)
+    runs = ensemble(data, ROLLOUT, parts, lines=True)
     pred = evaluate.physics(runs, data.grid, "model", "member", "origin", dealt=True).drop("origin")
     return evaluate.stability(pred, true_physics(data), BLOCK, 0.98)
 
@@ -466,8 +472,8 @@ def evaluated(data, forecast_table, truth_table):
 
 @query("full_evaluation", "I15", f"SELECT dataset, grp, metric, {R('value')} AS value FROM evaluation")
 def _(spark, sf):
-    data = src.Tables(spark, sf, stored=True)
-    table = evaluated(data, materialize(ensemble(data), "forecast"), truth(data))
+    data = src.Tables(spark, sf, stored=True, packed=True)
+    table = evaluated(data, materialize(ensemble(data, lines=True), "forecast"), truth(data, lines=True))
     return rounded(table.drop("model"), "value")
 
 
@@ -483,11 +489,11 @@ def _(spark, sf):
 )
 def _(spark, sf):
     # The guard comes first: of test datasets no step is forecast or scored.
-    data = src.Tables(spark, sf, stored=True)
+    data = src.Tables(spark, sf, stored=True, packed=True)
     wanted = materialize(data.roles.filter("role <> 'test'").select("dataset"), "wanted")
     scans.readable(data.catalog, wanted, data.roles)
-    own = materialize(ensemble(data).join(wanted, "dataset", "left_semi"), "forecast")
-    table = evaluated(data, own, truth(data).join(wanted, "dataset", "left_semi"))
+    own = materialize(ensemble(data, lines=True).join(wanted, "dataset", "left_semi"), "forecast")
+    table = evaluated(data, own, truth(data, lines=True).join(wanted, "dataset", "left_semi"))
     return rounded(evaluate.by_role(table, data.roles, windows.context_counts(data.catalog, CONTEXT)).drop("model"), "value")
 
 
@@ -682,16 +688,13 @@ add_view(
 def _(spark, sf):
     data = src.Tables(spark, sf, stored=True)
     # One gate per dataset's ensemble. A gate reads stored scores, so they are stored first.
-    grid = data.grid
     pred = materialize(pred_physics(data), "physics")
     true = materialize(true_physics(data), "physics")
     stable = evaluate.stability(pred, true, BLOCK, MAX_RATIO)
     keep = ["dataset", "member", "metric", "value"]
     members = (
         evaluate.physics_scores(pred, true).select(keep)
-        .unionByName(evaluate.spectrum_scores(
-            evaluate.line_spectra(ensemble(data), grid, "model", "member"), evaluate.line_spectra(truth(data), grid)
-        ).select(keep))
+        .unionByName(evaluate.spectrum_scores(pred_spectra(data), true_spectra(data)).select(keep))
         .unionByName(evaluate.drift_scores(
             evaluate.mean_velocity(pred, "model", "member"), evaluate.mean_velocity(true)
         ).select(keep))

@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridtide.operators.derive import to_cells, to_lines
 from gridtide.schema import Grid, with_grid
 from gridtide.session import materialize
 
@@ -145,16 +146,23 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 class Tables:
     """The views of one folder. A job that reads the field many times sets `stored`: the field is
-    then written once to the shared folder, as a field table at rest would be, and read from there."""
+    then written once to the shared folder, as a field table at rest would be, and read from there. With
+    `packed` it is written as lines, and its cells are read from those."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, stored: bool = False) -> None:
-        self.spark, self.sf_dir, self.stored = spark, sf_dir, stored
+    def __init__(self, spark: SparkSession, sf_dir: str, stored: bool = False, packed: bool = False) -> None:
+        self.spark, self.sf_dir, self.stored, self.packed = spark, sf_dir, stored, packed
 
     def _kept(self, view: DataFrame, label: str) -> DataFrame:
         return materialize(view, label) if self.stored else view
 
+    @cached_property
+    def lines(self) -> DataFrame:
+        return self._kept(to_lines(field(self.spark, self.sf_dir)), "lines")
+
     @cached_property
     def field(self) -> DataFrame:
+        if self.packed:
+            return to_cells(self.lines)
         return self._kept(field(self.spark, self.sf_dir), "field")
 
     @cached_property

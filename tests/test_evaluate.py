@@ -1,10 +1,13 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gridtide.operators import evaluate, selection
+from gridtide.functions.batches import group_stacks
+from gridtide.operators import derive, evaluate, selection
+from gridtide.plans import scoring
 
 RUN = "model string, dataset string, member int"
 NAN = float("nan")
@@ -212,3 +215,86 @@ def test_leaderboard_puts_unscored_trials_last(spark):
     assert [r.trial for r in rows] == ["c", "a", "b"]
     assert (rows[1].best_score, rows[1].stable_fraction, rows[1].last_score, rows[1].validations) == (3.0, 1.0, 2.0, 3)
     assert rows[2].best_score is None and rows[2].error
+
+
+def as_lines(cells):
+    keys = [c for c in cells.columns if c not in ("y", "u_x", "u_y")]
+    packed = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("y", "u_x", "u_y"))).alias("line"))
+    return packed.select(*keys, F.col("line.u_x").alias("u_x"), F.col("line.u_y").alias("u_y"))
+
+
+@pytest.mark.parametrize("m", [1, 2, 3, 5])
+def test_lines_score_like_cells(case, make_grid, m):
+    runs, truth, scales, _, _ = case(m)
+    # Along y, two points have no window, and a cell's NaN becomes a NULL on its way: those are left out.
+    whole = [evaluate.line_spectra(df, make_grid(["d"], 3, 2, 0.5, 0.25), "model", "member").filter("axis = 'x'") for df in (as_lines(runs), runs)]
+    runs = runs.withColumn("u_x", F.when(F.expr("member = 0 AND lead = 2 AND x = 1 AND y = 1"), NAN).otherwise(F.col("u_x")))
+    # Two datasets, one of them without a name.
+    other = lambda df: df.unionByName(df.withColumns({"dataset": F.lit(None).cast("string"), "u_y": F.col("u_y") * 2}))
+    runs, truth, grid = other(runs), other(truth), make_grid(["d"], 3, 2, 0.5, 0.25)
+    packed = as_lines(runs), as_lines(truth)
+
+    def same(a, b, keys):
+        order = lambda df: sorted((tuple(str(r[k]) for k in keys), r.asDict()) for r in df.collect())
+        a, b = order(a), order(b)
+        assert a and [k for k, _ in a] == [k for k, _ in b]
+        for (_, p), (_, q) in zip(a, b):
+            assert p.keys() == q.keys()
+            for c in p.keys() - set(keys):
+                assert p[c] is None if q[c] is None else p[c] == pytest.approx(q[c], rel=1e-9, abs=1e-12, nan_ok=True), c
+
+    aligned, lines = evaluate.align(runs, truth, scales), evaluate.align(*packed, scales)
+    same(evaluate.rmse_per_lead(lines), evaluate.rmse_per_lead(aligned), ["model", "dataset", "member", "lead"])
+    same(evaluate.ensemble_scores(lines), evaluate.ensemble_scores(aligned), ["model", "dataset", "lead"])
+    physics = [evaluate.physics(df, grid, "model", "member") for df in (packed[0], runs)]
+    same(*physics, ["model", "dataset", "member", "lead"])
+    same(*whole, ["model", "dataset", "member", "axis", "channel", "k"])
+    blown = evaluate.line_spectra(packed[0], grid, "model", "member").filter("axis = 'x' AND channel = 'u_x' AND member = 0").collect()
+    assert len(blown) == 4 and all(math.isnan(r.power) for r in blown)  # two datasets, k of 0 and 1
+
+
+def test_frames_that_span_batches_stay_whole():
+    rng = np.random.default_rng(5)
+    sizes, widths = [1, 3, 2, 3, 4], [2, 2, 5, 2, 2]
+    rows = [(None if g == 0 else f"k{g}", rng.normal(size=w).tolist()) for g, (n, w) in enumerate(zip(sizes, widths)) for _ in range(n)]
+    table = pa.table({"k": pa.array([r[0] for r in rows]), "v": pa.array([r[1] for r in rows], pa.list_(pa.float64()))})
+    for size in (1, 2, 5, 100):
+        found = {}
+        for first, (stack,) in group_stacks(iter(table.to_batches(max_chunksize=size)), ["k"], ["v"]):
+            assert len(first) == len(stack)
+            found |= {name: part.tolist() for name, part in zip(first["k"].to_pylist(), stack)}
+        assert list(found) and found == {k: [v for name, v in rows if name == k] for k, _ in rows}
+    uneven = pa.table({"k": ["a", "a"], "v": pa.array([[1.0], [1.0, 2.0]])})
+    with pytest.raises(ValueError, match="length"):
+        list(group_stacks(iter(uneven.to_batches()), ["k"], ["v"]))
+
+
+def test_members_of_a_line_are_not_split(case):
+    runs, truth, scales, _, _ = case()
+    lines = evaluate.ensemble_scores(evaluate.align(as_lines(runs), as_lines(truth), scales))
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    # The window asks for whole lines in one partition, so that the runtime cannot split a skewed one under the Arrow sums.
+    assert "MapInArrow" in plan and plan.index("MapInArrow") < plan.index("Window")
+
+
+def test_forecasts_under_test_move_as_lines(spark, make_field):
+    field = make_field({"d00": np.random.default_rng(2).normal(size=(30, 2, 3, 2))})
+
+    class Data:
+        lines, catalog, grid = derive.to_lines(field), spark.createDataFrame([("d00", 30)], "dataset string, n_steps int"), None
+
+    run = scoring.ensemble(Data, lines=True)
+    assert "y" not in run.columns and run.count() == 4 * 6 * 3  # members, leads, lines of each frame
+    cells = type("Cells", (), {"field": field, "catalog": Data.catalog})
+    assert run.select(F.sum(F.size("u_x"))).first()[0] == scoring.ensemble(cells).count() == 4 * 6 * 6
+
+
+def test_run_selection_makes_no_row_per_vote(spark):
+    rows = [("a", t, float(t % 3), 10.0, float(t), 4.0, float(t % 5)) for t in range(9)] * 2 + [(None, 0, 1.0, 10.0, 1.0, 4.0, 1.0)]
+    df = spark.createDataFrame(rows, "run string, idx int, selection_score double, forecast_steps double, stable_steps double, members double, stable_members double")
+    found = selection.run_selection(df, 2)
+    got = found.collect()
+    assert len(got) == 18 and {r.run for r in got} == {"a"}  # rows that repeat a key stay, one without a run has no window
+    for r in got:
+        near = range(r.start, r.start + r.m)
+        assert r.stable_fraction == pytest.approx(sum(t % 5 for t in near) / (4 * len(near)))

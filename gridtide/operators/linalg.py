@@ -41,6 +41,12 @@ def _fields(df: DataFrame, names: list[str], *more: tuple[str, T.DataType]) -> T
     return T.StructType([df.schema[n] for n in names] + [T.StructField(n, t) for n, t in more])
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by key over as many tasks as a shuffle has, before a function takes them group by group. What groups cost
+    shows in their number; the runtime would merge tasks by their bytes until thousands of small groups share one."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 # --- arrays in Arrow ------------------------------------------------------------------------------
 
 
@@ -193,7 +199,7 @@ def eigenbasis(
         return out
 
     schema = f"{key_schema(grams, names)}, mode int, s double, share double, n_values int, v array<double>"
-    return grams.groupBy(*names).applyInPandas(solve, schema)
+    return dealt(grams, *names).groupBy(*names).applyInPandas(solve, schema)
 
 
 # --- block products -------------------------------------------------------------------------------
@@ -229,7 +235,7 @@ def block_product(
         product = _matrix(a["part"]) @ weights.T
         return pa.table([*[a[n] for n in (*on, *ids)], _lists(list(product))], names=schema.names).cast(schema)
 
-    parts = left.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(multiply, types)
+    parts = dealt(left, *keys).groupBy(*keys).cogroup(dealt(spread, *keys).groupBy(*keys)).applyInArrow(multiply, types)
     return parts if whole else sum_arrays(parts, [*on, *ids], "coef")
 
 
@@ -293,7 +299,8 @@ def triangles(rows: DataFrame, key: str, column: str) -> DataFrame:
         return pa.Table.from_batches([packed({name: found}, {name: sum(table["n"].to_pylist())}, 0)])
 
     near = rows.select(key, column).mapInArrow(leaves, types).withColumn("_group", F.floor(F.col("source") / FAN))
-    joined = near.groupBy(key, "_group").applyInArrow(join, types).groupBy(key).applyInArrow(join, types)
+    joined = dealt(near, key, "_group").groupBy(key, "_group").applyInArrow(join, types)
+    joined = dealt(joined, key).groupBy(key).applyInArrow(join, types)
     return joined.select(key, "r", "width", "n")
 
 
@@ -356,7 +363,7 @@ class _Wide:
             return pa.table([*[a[n] for n in names], _lists(list(y))], names=schema.names).cast(schema)
 
         spread = basis.join(self.tiles, self.key)
-        parts = self.a.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(multiply, types)
+        parts = dealt(self.a, *keys).groupBy(*keys).cogroup(dealt(spread, *keys).groupBy(*keys)).applyInArrow(multiply, types)
         return sum_arrays(parts, names, "y")
 
     def backward(self, product: DataFrame) -> DataFrame:
@@ -375,7 +382,7 @@ class _Wide:
             return pa.table(one, names=schema.names).cast(schema)
 
         spread = product.join(self.slabs.select(self.key, "slab"), self.key)
-        parts = self.a.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(multiply, types)
+        parts = dealt(self.a, *keys).groupBy(*keys).cogroup(dealt(spread, *keys).groupBy(*keys)).applyInArrow(multiply, types)
         return tree_sum(parts, [self.key, "slab"], "v", "source")
 
     def turned(self, basis: DataFrame, turns: dict) -> DataFrame:

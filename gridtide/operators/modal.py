@@ -17,6 +17,7 @@ from gridtide.operators.linalg import (
     FLUSH_BYTES,
     MAX_WIDTH,
     SLAB,
+    dealt,
     eigenbasis,
     gram,
     gram_entries,
@@ -211,7 +212,7 @@ def exact_dmd(
         out["w_re"], out["w_im"] = list(frames.real.T), list(frames.imag.T)
         return out
 
-    return gram(rows, ["dataset"]).groupBy("dataset").applyInPandas(
+    return dealt(gram(rows, ["dataset"]), "dataset").groupBy("dataset").applyInPandas(
         solve, "dataset string, " + DMD_SCHEMA
     )
 
@@ -246,7 +247,7 @@ def _wide_dmd(rows: DataFrame, rank: int, tolerance: float) -> DataFrame:
         })
 
     small = materialize(
-        grams.join(shares, "dataset").groupBy("dataset").applyInPandas(
+        dealt(grams.join(shares, "dataset"), "dataset").groupBy("dataset").applyInPandas(
             solve,
             "dataset string, mode int, lam_re double, lam_im double, energy_fraction double, amp_re double, amp_im double,"
             " norm double, c_re array<double>, c_im array<double>",

@@ -221,7 +221,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     # The leading mode over the whole dataset; an oscillating one keeps its amplitude.
-    rows = mean_pair_rows(spark, sf)
+    rows = materialize(mean_pair_rows(spark, sf), "rows")
     dmd = materialize(modal.exact_dmd(rows), "dmd")
     one = modal.dmd_modes(rows, dmd.filter("mode = 0"))
     return rounded(modal.mode_evolution(one, dmd, 0, src.catalog(spark, sf)), "value")

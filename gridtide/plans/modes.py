@@ -228,8 +228,8 @@ def _(spark, sf):
 
 @query("dmd_mode_evolution", "G11")
 def _(spark, sf):
-    # Only the mode that is shown is projected.
-    rows = modal.cell_rows(src.field(spark, sf))
+    # Only the mode that is shown is projected; the rows are read for the fit and for its shapes, so they are made once.
+    rows = materialize(modal.cell_rows(src.field(spark, sf)), "rows")
     dmd = materialize(modal.exact_dmd(rows, RANK), "dmd")
     one = modal.dmd_modes(rows, dmd.filter("mode = 0"))
     return rounded(modal.mode_evolution(one, dmd, 0, src.catalog(spark, sf)), "value")

@@ -141,3 +141,13 @@ def test_a_batch_of_tiles_is_bounded(spark, rng):
     rows = spark.createDataFrame([("d", r.tolist()) for r in a], "dataset string, vec array<double>")
     got = {r.i: r.row for r in linalg.gram(rows, ["dataset"]).collect()}
     np.testing.assert_allclose([got[i] for i in range(84)], a.T @ a, rtol=1e-9, atol=1e-9)
+
+
+def test_many_small_groups_are_spread(spark, rng):
+    # By their bytes all groups would share one task.
+    df = table(spark, {f"k{i:02d}": rng.normal(size=(4, 3)) for i in range(40)})
+    factors = linalg.eigenbasis(linalg.gram(df, ["fit"]), ["fit"])
+    assert factors.select("fit", F.spark_partition_id().alias("p")).distinct().groupBy("p").count().count() > 1
+    weights = factors.select("fit", "mode", F.col("v").alias("w"))
+    product = linalg.project(df, ["fit"], [F.floor(F.col("i") / 2)], ["i"], weights, whole=True)
+    assert product.select(F.spark_partition_id().alias("p")).distinct().count() > 1 and product.count() == 160

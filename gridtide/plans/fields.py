@@ -294,8 +294,9 @@ def _(spark, sf):
             FROM (SELECT dataset, duy_dx - dux_dy AS v FROM grads) GROUP BY 1, 2))""",
 )
 def _(spark, sf):
+    lines = materialize(derive.to_lines(src.field(spark, sf)), "lines")
     parts = [
-        derive.value_range(src.field(spark, sf), src.grid(spark, sf), name).withColumn("name", F.lit(name))
+        derive.value_range(lines, src.grid(spark, sf), name).withColumn("name", F.lit(name))
         for name in ("speed", "vorticity")
     ]
     return rounded(parts[0].unionByName(parts[1]), "lo", "hi", "diff_limit")

@@ -221,3 +221,12 @@ def test_spectra_exchange_the_field_once(make_field, rng):
     for frame in (spectra.wavenumber_spectrum(field, grid), spectra.spacetime_spectrum(field, grid, longest=12)):
         logical = frame._jdf.queryExecution().optimizedPlan().toString()
         assert logical.count("MapInPandas") == 1 and "avg(u_x" not in logical
+
+
+def test_value_range_of_lines(make_field, make_grid, rng):
+    field, grid = make_field({"a": rng.normal(size=(5, 2, 4, 3)), "b": rng.normal(size=(3, 2, 4, 3))}), make_grid(["a", "b"], 4, 3, 0.5, 0.25)
+    lines = derive.to_lines(field)
+    for name in derive.FIELDS:
+        got, want = ({r.dataset: (r.lo, r.hi, r.diff_limit) for r in derive.value_range(f, grid, name, 2).collect()} for f in (lines, field))
+        assert got.keys() == want.keys() == {"a", "b"}
+        assert all(got[d] == pytest.approx(want[d], rel=1e-12) for d in got)

@@ -33,6 +33,9 @@ CLASSES, OTHERS = 64, 512
 SIZE = CLASSES * CLASSES
 PLACES, HIDDEN, BATCH, RATE = (-2, -1, 1, 2), 32, 2048, 0.08
 PIECES, FAN = 32, 32
+# Words that are scored at once; rows to which small classes are filled up.
+BLOCK, FEW = 4096, 32
+_EACH, FAR = np.ones(CLASSES, np.float32), 60
 SHAPES = {"near": (len(PLACES), SIZE + 1, HIDDEN), "shift": (HIDDEN,), "top": (HIDDEN + 1, CLASSES), "low": (CLASSES, HIDDEN + 1, CLASSES)}
 
 
@@ -80,6 +83,45 @@ def windows(words: Bytes, numbers: Numbers) -> tuple[np.ndarray, np.ndarray]:
     return word, near
 
 
+class ByClass:
+    """Products of rows, which are in order of their classes, class by class.
+
+    Classes of at most `FEW` rows are filled up with zeros and multiplied as one stack of matrices, the others one by one.
+    """
+
+    def __init__(self, group: np.ndarray) -> None:
+        edge = np.searchsorted(group, np.arange(CLASSES + 1))
+        size = np.diff(edge)
+        self.many = [(c, int(edge[c]), int(edge[c + 1])) for c in np.flatnonzero(size > FEW)]
+        self.few = np.flatnonzero((size > 0) & (size <= FEW))
+        self.rows = np.flatnonzero(size[group] <= FEW)
+        classes = group[self.rows]
+        self.at = np.searchsorted(self.few, classes) * FEW + self.rows - edge[classes]
+
+    def _stack(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self.few) * FEW, x.shape[1]), np.float32)
+        out[self.at] = x[self.rows]
+        return out.reshape(len(self.few), FEW, x.shape[1])
+
+    def times(self, x: np.ndarray, matrices: np.ndarray) -> np.ndarray:
+        """Each row times the matrix of its class."""
+        out = np.empty((len(x), matrices.shape[2]), np.float32)
+        for c, a, b in self.many:
+            np.matmul(x[a:b], matrices[c], out=out[a:b])
+        if len(self.few):
+            out[self.rows] = np.matmul(self._stack(x), matrices[self.few]).reshape(-1, out.shape[1])[self.at]
+        return out
+
+    def crossed(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Sums over a class of the products of its rows of `x` and `y`, 0 for a class without rows."""
+        out = np.zeros((CLASSES, x.shape[1], y.shape[1]), np.float32)
+        for c, a, b in self.many:
+            np.matmul(x[a:b].T, y[a:b], out=out[c])
+        if len(self.few):
+            out[self.few] = np.matmul(self._stack(x).transpose(0, 2, 1), self._stack(y))
+        return out
+
+
 @dataclass
 class Network:
     near: np.ndarray
@@ -103,28 +145,44 @@ class Network:
         return cls(*(p.reshape(s).copy() for p, s in zip(np.split(flat.astype(np.float32), ends), SHAPES.values(), strict=True)))
 
     def hidden(self, near: np.ndarray) -> np.ndarray:
-        total = self.shift + sum(self.near[k][near[k]] for k in range(len(PLACES)))
-        return np.column_stack((np.tanh(total), np.ones(near.shape[1], np.float32)))
+        out = np.ones((near.shape[1], HIDDEN + 1), np.float32)
+        total = self.near[0].take(near[0], axis=0)
+        for k in range(1, len(PLACES)):
+            total += self.near[k].take(near[k], axis=0)
+        total += self.shift
+        np.tanh(total, out=out[:, :-1])
+        return out
 
     def log_probabilities(self, word: np.ndarray, near: np.ndarray) -> np.ndarray:
+        out = np.empty(len(word), np.float32)
+        # Blocks whose arrays stay in a core's cache.
+        for i in range(0, len(word), BLOCK):
+            out[i : i + BLOCK] = self._log_probabilities(word[i : i + BLOCK], near[:, i : i + BLOCK])
+        return out
+
+    def _log_probabilities(self, word: np.ndarray, near: np.ndarray) -> np.ndarray:
         out = np.empty(len(word), np.float32)
         # Words in order of their classes: one product per class.
         order = np.argsort((word // CLASSES).astype(np.uint8), kind="stable")
         word, near = word[order], near[:, order]
-        h = self.hidden(near)
-        edge = np.searchsorted(word // CLASSES, np.arange(CLASSES + 1))
-        got = _log_softmax(h @ self.top, word // CLASSES)
-        for c in range(CLASSES):
-            a, b = edge[c], edge[c + 1]
-            if b > a:
-                got[a:b] += _log_softmax(h[a:b] @ self.low[c], word[a:b] % CLASSES)
+        h, group = self.hidden(near), word // CLASSES
+        got = _log_softmax(h @ self.top, group)
+        got += _log_softmax(ByClass(group).times(h, self.low), word % CLASSES)
         out[order] = got
         return out
 
 
 def _log_softmax(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    most = logits.max(axis=1)
-    return logits[np.arange(len(at)), at] - most - np.log(np.exp(logits - most[:, None]).sum(axis=1))
+    """Of the columns `at`; `logits` are used up."""
+    _lowered(logits)
+    found = logits[np.arange(len(at)), at]
+    return found - np.log(np.exp(logits, out=logits) @ _EACH)
+
+
+def _lowered(logits: np.ndarray) -> None:
+    """Takes each row's largest off, unless the exponentials of all and their sums are well within range anyway."""
+    if not -FAR < logits.min() <= logits.max() < FAR:
+        logits -= logits.max(axis=1, keepdims=True)
 
 
 class Trainer:
@@ -134,39 +192,50 @@ class Trainer:
         self.net = network
         self.square = {name: np.full(shape, 1e-3, np.float32) for name, shape in SHAPES.items()}
 
-    def _climb(self, name: str, gradient: np.ndarray, at=slice(None)) -> None:
+    def _climb(self, name: str, gradient: np.ndarray) -> None:
         square = self.square[name]
-        square[at] += gradient * gradient
-        getattr(self.net, name)[at] += RATE * gradient / np.sqrt(square[at])
+        square += gradient * gradient
+        weight = getattr(self.net, name)
+        weight += RATE * gradient / np.sqrt(square)
+
+    def _climb_rows(self, k: int, rows: np.ndarray, gradient: np.ndarray) -> None:
+        """Of some rows of a place's table."""
+        square, weight = self.square["near"][k].take(rows, axis=0), self.net.near[k].take(rows, axis=0)
+        square += gradient * gradient
+        weight += RATE * gradient / np.sqrt(square)
+        self.square["near"][k][rows], self.net.near[k][rows] = square, weight
 
     def step(self, word: np.ndarray, near: np.ndarray) -> None:
         net, n = self.net, len(word)
-        order = np.argsort(word // CLASSES, kind="stable")
+        order = np.argsort((word // CLASSES).astype(np.uint8), kind="stable")
         word, near = word[order], near[:, order]
         h = net.hidden(near)
         group, inner = word // CLASSES, word % CLASSES
-        g = _residual(h @ net.top, group) / n
+        by_class = ByClass(group)
+        g = _residual(h @ net.top, group, n)
         back = g @ net.top.T
         self._climb("top", h.T @ g)
-        edge = np.searchsorted(group, np.arange(CLASSES + 1))
-        for c in np.flatnonzero(np.diff(edge)):
-            a, b = edge[c], edge[c + 1]
-            g = _residual(h[a:b] @ net.low[c], inner[a:b]) / n
-            back[a:b] += g @ net.low[c].T
-            self._climb("low", h[a:b].T @ g, c)
+        g = _residual(by_class.times(h, net.low), inner, n)
+        back += by_class.times(g, net.low.transpose(0, 2, 1))
+        self._climb("low", by_class.crossed(h, g))
         down = back[:, :-1] * (1 - h[:, :-1] ** 2)
         self._climb("shift", down.sum(0))
+        # Two numbers of a row are added as the parts of one complex number.
+        place, flat, wide = np.empty(SIZE + 1, np.int64), down.ravel().view(np.complex64), HIDDEN // 2
         for k in range(len(PLACES)):
-            order = np.argsort(near[k], kind="stable")
-            who = near[k][order]
-            first = np.flatnonzero(np.diff(who, prepend=-1))
-            self._climb("near", np.add.reduceat(down[order], first, axis=0), (k, who[first]))
-
-
-def _residual(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    p = np.exp(logits - logits.max(axis=1, keepdims=True))
-    p /= -p.sum(axis=1, keepdims=True)
-    p[np.arange(len(at)), at] += 1
+            who = np.flatnonzero(np.bincount(near[k], minlength=SIZE + 1))
+            place[who] = np.arange(0, len(who) * wide, wide)
+            gradient = np.zeros(len(who) * wide, np.complex64)
+            np.add.at(gradient, (place[near[k]][:, None] + np.arange(wide)).ravel(), flat)
+            self._climb_rows(k, who, gradient.view(np.float32).reshape(-1, HIDDEN))
+
+
+def _residual(logits: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """What the columns `at` lack of a probability of 1 and the others have above 0, over `n`; `logits` are used up."""
+    _lowered(logits)
+    p = np.exp(logits, out=logits)
+    p *= (-1 / (n * (p @ _EACH)))[:, None]
+    p[np.arange(len(at)), at] += np.float32(1 / n)
     return p
 
 

@@ -5,8 +5,10 @@ rotation that fits them best. Vectors get a last component that makes their norm
 inner products. Every row is indexed: rows are dealt to shards of bounded size; a shard splits its codes into substrings of
 16 bits and indexes each substring's values. If a code lies within radius m * (a + 1) - 1 of a query's, one of its m
 substrings lies within a: probing all values that near in every substring retrieves every code in the radius. The radius
-grows until at least `SHARE` of the shard's different codes (`LEAST` at least) are within it; all vectors with those codes
-are compared in double precision, and the best of all shards are merged. Equal codes are one entry of the index.
+is the smallest that holds at least `SHARE` of the shard's different codes (`LEAST` at least); probing begins where it
+ended for the query before, whose radius is seldom another. All vectors with those codes are compared in single precision,
+those that its error leaves in question in double precision, and the best of all shards are merged. Equal codes are one
+entry of the index.
 
 `recall` compares with brute force. Vectors that are null or empty, zero, or hold null or non-finite components take no
 part, nor do those with a null id or of another length than most (of equals, the longer). Rows that share an id count as
@@ -26,6 +28,8 @@ SAMPLE, ROTATIONS, TURNS = 5_000, 4, 12
 SHARD_ROWS, QUERY_ROWS = 16_384, 8_192
 SHARE, LEAST = 0.04, 400
 PROBE = 16
+# More than single precision can change of a product of two vectors of length 1, by component.
+ERROR = 2.4e-7
 _ONES = np.array([bin(i).count("1") for i in range(1 << PROBE)], np.uint8)
 
 
@@ -71,29 +75,30 @@ class Shard:
             listed = np.argsort(self.codes[:, j], kind="stable")
             values, first, size = np.unique(self.codes[listed, j], return_index=True, return_counts=True)
             parts.append((values, np.full(len(values), j), first + j * len(listed), size, listed))
-        # The buckets of all substrings in one array each: value, substring, first entry in `listed`, entries.
-        self.value, self.substring, self.first, self.size, self.listed = map(np.concatenate, zip(*parts, strict=True))
+        # The buckets of all substrings in one array each: value, first entry in `listed`, entries.
+        self.buckets = np.array([len(p[0]) for p in parts])
+        self.value, self.first, self.size, self.listed = (np.concatenate([p[i] for p in parts]) for i in (0, 2, 3, 4))
+        # Codes as 64-bit words, for counting the bits in which they differ.
+        self.words = _words(self.codes)
+        self.largest, self.unit, self.start = largest, (self.x / largest).astype(np.float32), 0
 
     def within(self, code: np.ndarray) -> np.ndarray:
         """Numbers of all codes within the smallest radius m * (a + 1) - 1 that holds enough of them."""
         m, enough = self.codes.shape[1], min(len(self.codes), max(LEAST, int(SHARE * len(self.codes))))
-        near = _ONES[self.value ^ code[self.substring]]
-        seen = np.zeros(len(self.codes), bool)
-        numbers, far = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for a in range(PROBE + 1):
-            hit = np.flatnonzero(near == a)
+        near = np.bitwise_count(self.value ^ np.repeat(code, self.buckets))
+        whole, seen = _words(code[None])[0], np.zeros(len(self.codes), bool)
+        for a in range(self.start, PROBE + 1):
+            # The first round probes all values up to a, each further one those that are a away.
+            hit = np.flatnonzero(near <= a) if a == self.start else np.flatnonzero(near == a)
             size = self.size[hit]
-            found = self.listed[np.repeat(self.first[hit] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
-            fresh = np.zeros(len(seen), bool)
-            fresh[found] = True
-            new = np.flatnonzero(fresh & ~seen)
-            seen |= fresh
-            numbers = np.concatenate((numbers, new))
-            far = np.concatenate((far, _ONES[self.codes[new] ^ code].sum(1, dtype=np.int64)))
-            inside = far <= m * (a + 1) - 1
-            if np.count_nonzero(inside) >= enough:
+            seen[self.listed[np.repeat(self.first[hit] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]] = True
+            numbers = np.flatnonzero(seen)
+            far = np.bitwise_count(self.words[numbers] ^ whole).sum(1, dtype=np.int64)
+            if np.count_nonzero(far < m * (a + 1)) >= enough:
                 break
-        return numbers[inside]
+        # All codes of smaller radii were retrieved, too; one of those may hold enough.
+        self.start = int(np.partition(far, enough - 1)[enough - 1]) // m
+        return numbers[far < m * (self.start + 1)]
 
     def search(self, query_id: int, query: np.ndarray, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the best `k` of the retrieved vectors but the query's own."""
@@ -101,14 +106,20 @@ class Shard:
         size = self.edge[found + 1] - self.edge[found]
         rows = self.members[np.repeat(self.edge[found] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
         rows = rows[self.ids[rows] != query_id]
-        score = np.einsum("ij,j->i", self.x[rows], query)
         if len(rows) > k:
-            floor = np.partition(score, len(rows) - k)[len(rows) - k]
-            rows, score = rows[score >= floor], score[score >= floor]
+            # What is below the k-th by more than the error of both can't be among the best.
+            about = self.unit.take(rows, axis=0) @ (query / np.sqrt(query @ query)).astype(np.float32)
+            floor = np.partition(about, len(rows) - k)[len(rows) - k] - 2 * ERROR * (len(query) + 4)
+            rows = rows[about >= floor]
+        score = np.einsum("ij,j->i", self.x[rows], query)
         best = np.lexsort((self.ids[rows], -score))[:k]
         return self.ids[rows[best]], score[best]
 
 
+def _words(codes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(np.pad(codes, ((0, 0), (0, -codes.shape[1] % 4)))).view(np.uint64)
+
+
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)

@@ -48,7 +48,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = F.struct("doc_id", F.xxhash64("text").alias("same"))
     keyed = docs.select(F.when(F.col("doc_id").isNotNull(), row).alias("row"), "text")
     found = partenum_join.join(keyed, n=5, permille=NEAR, key="row").where("n_shingles > 0 and row <> component_id")
-    dropped = found.select("row.*").distinct()
+    dropped = stored(found.select("row.*").distinct(), "dropped")
     kept = docs.withColumn("same", F.xxhash64("text")).join(dropped, ["doc_id", "same"], "left_anti")
     # Rows that repeat a key: those with the same text are one document. Rows without a key or text stay.
     whole = kept.where("doc_id is not null and text is not null")

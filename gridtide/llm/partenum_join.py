@@ -10,11 +10,15 @@ Cells may be nearly empty, and their signatures common to many texts. Each level
 distance needs, so at least E + 1 parts qualify, and each set leaves out the E / 2 parts that say least about it: a pair can lose
 at most E of its qualifying parts, and still shares a signature. No signature is left out for being common.
 
-Equal sets are one class from the start. Classes that share signatures, directly or by way of others, form a cluster, found
-by star steps over (class, least class of the signature). A cluster of at most `BLOCK` classes is compared in one task, which
-counts the exact similarity of a class with all those that aren't yet in its component, so copies of one text cost one
-comparison each. A larger cluster is first compared with its class of most shared signatures; what isn't linked to that one
-meets all of the cluster in blocks of bounded size. Tasks give links that join components, never all pairs of a group.
+Equal sets are one class from the start. Signatures are dealt to buckets by their hash and move as packed arrays: 32 bits of
+each and 32 bits of its class; what either has in common by chance is sorted out by the next step. Classes that share a
+signature form a group, and groups of the same members are one. A group's classes are compared by sketches, the parities of
+the numbers of shingles in a power of two of cells: two sets differ in at least as many shingles as their sketches in bits,
+so no link is lost. Classes whose sketches are near enough, directly or by way of others, form a cluster, found by star
+steps. A cluster of at most `BLOCK` classes is compared in one task, which counts the exact similarity of a class with all
+those that aren't yet in its component, so copies of one text cost one comparison each. A larger cluster is first compared
+with its class in most groups; what isn't linked to that one meets all of the cluster in blocks of bounded size. Tasks give
+links that join components, never all pairs of a group.
 
 Shingles are compared by 64-bit hashes of the hashes of their words. Null texts and texts without words have an empty set,
 size 0, and are linked with nothing. Rows with a null key have a null component and link nothing. Rows with the same key
@@ -35,6 +39,8 @@ from gridtide.llm.components import connected
 
 BLOCK, ASKING = 1024, 512
 SIZE_STEP = 1.4
+# Shingles whose signatures make a bucket; most cells of a sketch; rows and words of sketches that are compared at once.
+DEALT, CELLS, HELD, WORDS = 1 << 20, 1 << 15, 1 << 16, 1 << 20
 
 
 def word_bytes() -> np.ndarray:
@@ -140,27 +146,176 @@ def _class() -> Column:
     return F.xxhash64(*SAME).alias("class")
 
 
-def _hashed(docs: DataFrame, key: str, text: str, n: int, permille: int) -> DataFrame:
-    """(key, n_shingles, low, high, signs) per row: the set's size, 128 bits of it, its signatures."""
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of shingles in the cells, as 64-bit words; there are at least as many cells as shingles, up to `CELLS`."""
+    cells = min(CELLS, max(64, 1 << (len(hashes) - 1).bit_length()))
+    at = (mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(cells - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=cells) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _hashed(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """(key, n_shingles, low, high, sketch) per row: the set's size, 128 bits of it, its sketch."""
     kind = docs.schema[key].dataType.simpleString()
 
     def do(rows):
         sets = shingle_sets(rows.column(text), n)
         low, high = _sums(sets)
-        signs = [signatures(s, permille).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
-        return {key: rows.column(key), "n_shingles": [len(s) for s in sets], "low": low, "high": high, "signs": signs}
+        sketches = [sketch(s).tobytes() if len(s) else None for s in sets]
+        return {key: rows.column(key), "n_shingles": [len(s) for s in sets], "low": low, "high": high, "sketch": sketches}
 
-    schema = f"{key} {kind}, n_shingles bigint, low bigint, high bigint, signs array<bigint>"
+    schema = f"{key} {kind}, n_shingles bigint, low bigint, high bigint, sketch binary"
     return map_steps(docs.select(key, text), text, schema, lambda: do)
 
 
-def _sets(docs: DataFrame, text: str, n: int) -> DataFrame:
+def _texts(docs: DataFrame, text: str, n: int) -> DataFrame:
+    """(class, body) per row."""
+
     def do(rows):
         sets = shingle_sets(rows.column(text), n)
         low, high = _sums(sets)
-        return {"low": low, "high": high, "n_shingles": [len(s) for s in sets], "hashes": [s.tobytes() for s in sets]}
+        return {"low": low, "high": high, "n_shingles": [len(s) for s in sets], "body": rows.column(text)}
 
-    return map_steps(docs.select(text), text, "low bigint, high bigint, n_shingles bigint, hashes binary", lambda: do)
+    named = map_steps(docs.select(text), text, "low bigint, high bigint, n_shingles bigint, body string", lambda: do)
+    return named.select(_class(), "body")
+
+
+def _groups(docs: DataFrame, text: str, n: int, permille: int, buckets: int) -> DataFrame:
+    """(grp, owner): 32 bits of the classes that share a signature; of groups with the same members there is one."""
+    small = np.uint64(0xFFFFFFFF)
+
+    def deal(rows):
+        sets = shingle_sets(rows.column(text), n)
+        low, high = _sums(sets)
+        # One text of each class of the slice.
+        _, first = np.unique(np.column_stack((low, high)), axis=0, return_index=True)
+        first = [i for i in first if len(sets[i])]
+        found = [signatures(sets[i], permille) for i in first]
+        sign = np.concatenate([np.zeros(0, np.uint64), *found])
+        owner = np.repeat((low.view(np.uint64)[first] & small).astype(np.uint32), [len(x) for x in found])
+        bucket = ((sign >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+        order = np.argsort(bucket, kind="stable")
+        bucket, sign, owner = bucket[order], sign[order].astype(np.uint32), owner[order]
+        edge = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1, append=-1)) if len(bucket) else np.zeros(1, np.int64)
+        cut = list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
+        return {"bucket": bucket[edge[:-1]], "signs": [sign[a:b].tobytes() for a, b in cut], "owners": [owner[a:b].tobytes() for a, b in cut]}
+
+    def group(batches):
+        import pyarrow as pa
+
+        def flush(signs, owners):
+            sign, owner = (np.frombuffer(b"".join(x), np.uint32).astype(np.uint64) for x in (signs, owners))
+            both = np.unique(sign << np.uint64(32) | owner)
+            edge = np.flatnonzero(np.diff(both >> np.uint64(32), prepend=~both[:1], append=~both[-1:]))
+            size = np.diff(edge)
+            owner, size = (both & small)[np.repeat(size > 1, size)], size[size > 1]
+            if len(size):
+                name = mix(np.add.reduceat(mix(owner), np.cumsum(size) - size) ^ size.astype(np.uint64))
+                _, one = np.unique(name, return_index=True)
+                chosen = np.repeat(np.isin(np.arange(len(size)), one), size)
+                columns = [np.repeat(name, size)[chosen].view(np.int64), owner[chosen].astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["grp", "owner"])
+
+        held, signs, owners = None, [], []
+        for batch in batches:
+            for bucket, sign, owner in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != held and signs:
+                    yield from flush(signs, owners)
+                    signs, owners = [], []
+                held = bucket
+                signs.append(sign)
+                owners.append(owner)
+        if signs:
+            yield from flush(signs, owners)
+
+    packed = map_steps(docs.select(text), text, "bucket bigint, signs binary, owners binary", lambda: deal)
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(group, "grp bigint, owner bigint").distinct()
+
+
+class _Sketches:
+    """Sketches of different lengths, and the numbers of bits in which they differ."""
+
+    def __init__(self, raw: list[bytes]) -> None:
+        self.words = np.array([len(x) // 8 for x in raw])
+        self.begin = np.cumsum(self.words) - self.words
+        self.flat = np.frombuffer(b"".join(raw), np.uint64)
+
+    def _folded(self, rows: np.ndarray, words: int, to: int) -> np.ndarray:
+        # A cell of a shorter sketch is the sum of those with the same lowest bits.
+        found = self.flat[self.begin[rows][:, None] + np.arange(words)]
+        return found if words == to else np.bitwise_xor.reduce(found.reshape(len(rows), -1, to), axis=1)
+
+    def far(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), np.int64)
+        kinds, kind = np.unique(np.column_stack((self.words[i], self.words[j])), axis=0, return_inverse=True)
+        for k, (u, v) in enumerate(kinds.tolist()):
+            at, step = np.flatnonzero(kind == k), max(1, WORDS // max(u, v))
+            for a in range(0, len(at), step):
+                some = at[a : a + step]
+                apart = self._folded(i[some], u, min(u, v)) ^ self._folded(j[some], v, min(u, v))
+                out[some] = np.bitwise_count(apart).sum(1, dtype=np.int64)
+        return out
+
+
+def near_rows(group: np.ndarray, size: np.ndarray, raw: list[bytes], permille: int) -> list[tuple[int, int]]:
+    """Pairs of rows that join all rows of a group that may be linked, by their sketches; a group's rows are in a row."""
+    sketches, n = _Sketches(raw), len(group)
+    first, last = np.searchsorted(group, group), np.searchsorted(group, group, side="right")
+    label, joins = np.arange(n), []
+
+    def may(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        a, b = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+        ok = 1000 * a >= permille * b
+        ok[ok] = (1000 + permille) * sketches.far(i[ok], j[ok]) <= (1000 - permille) * (a + b)[ok]
+        return ok
+
+    i, d = np.flatnonzero(np.arange(n) + 1 < last), 1
+    while len(i):
+        open_ = i[label[i] != label[i + d]]
+        near = open_[may(open_, open_ + d)]
+        if d == 1:  # neighbours join in runs
+            joined = np.zeros(n, bool)
+            joined[near + 1] = True
+            label = np.maximum.accumulate(np.where(joined, 0, np.arange(n)))
+            joins += [(x, x + 1) for x in near.tolist()]
+        else:
+            for x in near.tolist():
+                if label[x] != label[x + d]:
+                    own = label[first[x] : last[x]]
+                    own[own == label[x + d]] = label[x]
+                    joins.append((x, x + d))
+        d += 1
+        i = i[i + d < last[i]]
+    return joins
+
+
+def _sieved(groups: DataFrame, classes: DataFrame, permille: int) -> DataFrame:
+    """(a, b): pairs of classes that join those of a group that may be linked."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def flush(table):
+            group, name, size = (table.column(c).to_numpy() for c in ("grp", "class", "n_shingles"))
+            joins = near_rows(group, size, table.column("sketch").to_pylist(), permille)
+            a, b = np.array(joins, np.int64).reshape(-1, 2).T
+            return pa.RecordBatch.from_arrays([pa.array(name[a]), pa.array(name[b])], names=["a", "b"])
+
+        held = None
+        for batch in batches:
+            held = pa.concat_tables([held, pa.Table.from_batches([batch])]) if held else pa.Table.from_batches([batch])
+            if held.num_rows >= HELD:
+                # Whole groups only: the last one may go on.
+                group = held.column("grp").to_numpy()
+                whole = int(np.searchsorted(group, group[-1]))
+                if whole:
+                    yield flush(held[:whole])
+                    held = held[whole:]
+        if held:
+            yield flush(held)
+
+    known = classes.select("owner", "class", "n_shingles", "sketch")
+    dealt = groups.join(known, "owner").select("grp", "class", "n_shingles", "sketch").repartition("grp").sortWithinPartitions("grp", "class")
+    return dealt.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
 
 
 class _Sets:
@@ -199,40 +354,45 @@ def _components(sets: list[np.ndarray], permille: int, asking: np.ndarray, label
     return label, joins
 
 
-def _small_clusters(members: DataFrame, permille: int) -> DataFrame:
+def _small_clusters(members: DataFrame, n: int, permille: int) -> DataFrame:
     """(class, component) for clusters of at most `BLOCK` classes; each is whole in one task, its rows in a row."""
 
     def run(batches):
         import pyarrow as pa
 
-        def flush(classes, sets):
+        def flush(classes, texts):
+            sets = shingle_sets(pa.array(texts, pa.large_string()), n)
             label, _ = _components(sets, permille, np.arange(len(sets)), np.arange(len(sets)))
             names = np.array(classes, np.int64)
             least = np.full(len(sets), np.iinfo(np.int64).max)
             np.minimum.at(least, label, names)
             return pa.RecordBatch.from_arrays([pa.array(names), pa.array(least[label])], names=["class", "component"])
 
-        held, classes, sets = None, [], []
+        held, classes, texts = None, [], []
         for batch in batches:
-            for cluster, name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for cluster, name, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if cluster != held and classes:
-                    yield flush(classes, sets)
-                    classes, sets = [], []
+                    yield flush(classes, texts)
+                    classes, texts = [], []
                 held = cluster
                 classes.append(name)
-                sets.append(np.frombuffer(raw.as_py(), np.uint64))
+                texts.append(body)
         if classes:
-            yield flush(classes, sets)
+            yield flush(classes, texts)
 
-    dealt = members.select("cluster", "class", "hashes").repartition("cluster").sortWithinPartitions("cluster", "class")
+    dealt = members.select("cluster", "class", "body").repartition("cluster").sortWithinPartitions("cluster", "class")
     return dealt.mapInArrow(run, "class bigint, component bigint")
 
 
-def _large_links(members: DataFrame, degree: DataFrame, permille: int) -> DataFrame:
+def _large_links(members: DataFrame, degree: DataFrame, n: int, permille: int) -> DataFrame:
     """Links (a, b) that join all components of clusters of more than `BLOCK` classes."""
     import pyarrow as pa
 
-    # The class that shares most signatures stands in the middle of its cluster, and most others are linked to it.
+    def hashed(rows):
+        return {"cluster": rows.column("cluster"), "class": rows.column("class"), "hashes": [s.tobytes() for s in shingle_sets(rows.column("body"), n)]}
+
+    members = stored(map_steps(members, "body", "cluster bigint, class bigint, hashes binary", lambda: hashed), "members")
+    # The class that is in most groups stands in the middle of its cluster, and most others are linked to it.
     weighed = members.join(degree, "class")
     middle = weighed.groupBy("cluster").agg(F.max_by(F.struct("class", "hashes"), F.struct("degree", "class")).alias("middle"))
     beside = members.join(middle.select("cluster", F.col("middle.class").alias("pivot"), F.col("middle.hashes").alias("pivot_set")), "cluster")
@@ -278,26 +438,28 @@ def join(docs: DataFrame, n: int = 3, permille: int = 900, key: str = "doc_id",
 
     Two texts are linked when their sets' Jaccard similarity is at least `permille` thousandths.
     """
-    rows = stored(_hashed(docs, key, text, n, permille), "sets").withColumnRenamed(key, "id").withColumn("class", _class())
+    rows = stored(_hashed(docs, key, text, n), "sets").withColumnRenamed(key, "id").withColumn("class", _class())
     filled = rows.where("n_shingles > 0 and id is not null")
-    owners = filled.select("class", F.explode("signs").alias("sign"))
-    shared = stored(owners.groupBy("sign").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most"), "signs")
-    groups = stored(owners.join(shared.select("sign", "least"), "sign").groupBy("class", "least").agg(F.count("*").alias("degree")), "groups")
-    clusters = connected(groups.where("class <> least").select("class", "least")).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
-    clusters = stored(clusters, "clusters")
-    # The sets of the classes in clusters, from one text of each: that of its smallest key, read again.
-    wanted = filled.join(clusters.select("class"), "class", "left_semi").groupBy("class").agg(F.min("id").alias(key)).select(key).distinct()
-    sets = _sets(docs.select(key, text).join(wanted, key, "left_semi"), text, n).select(_class(), "hashes")
-    sets = sets.groupBy("class").agg(F.first("hashes").alias("hashes"))
+    owner = F.col("low").bitwiseAND(F.lit(0xFFFFFFFF)).alias("owner")
+    classes = filled.select("class", "id", owner, "n_shingles", "sketch").groupBy("class").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("owner", "n_shingles", "sketch")))
+    classes = stored(classes, "classes")
+    shingles = filled.agg(F.sum("n_shingles")).first()[0] or 0
+    groups = stored(_groups(docs.where(F.col(key).isNotNull()), text, n, permille, shingles // DEALT + 1), "groups")
+    near = stored(_sieved(groups, classes, permille), "near")
+    clusters = stored(connected(near).select(F.col("node").alias("class"), F.col("component").alias("cluster")), "clusters")
     size = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    members = stored(sets.join(clusters.join(size, "cluster"), "class"), "members")
-    component = _small_clusters(members.where(f"size <= {BLOCK}"), permille)
+    # The texts of the classes in clusters, one of each: that of its smallest key, read again.
+    wanted = classes.join(clusters.select("class"), "class", "left_semi").select(F.col("least").alias(key)).distinct()
+    texts = _texts(docs.select(key, text).join(wanted, key, "left_semi"), text, n).groupBy("class").agg(F.first("body").alias("body"))
+    members = stored(texts.join(clusters.join(size, "cluster"), "class"), "members")
+    component = _small_clusters(members.where(f"size <= {BLOCK}"), n, permille)
     if not size.where(f"size > {BLOCK}").isEmpty():
-        degree = groups.groupBy("class").agg(F.sum("degree").alias("degree"))
-        links = stored(_large_links(members.where(f"size > {BLOCK}").drop("size"), degree, permille), "links")
+        degree = groups.join(classes.select("owner", "class"), "owner").groupBy("class").agg(F.count("*").alias("degree"))
+        links = stored(_large_links(members.where(f"size > {BLOCK}").drop("size"), degree, n, permille), "links")
         component = component.unionByName(connected(links).select(F.col("node").alias("class"), "component"))
+    component = stored(component, "component")
     # A component's name is the smallest key of all its rows.
-    named = filled.groupBy("class").agg(F.min("id").alias("least")).join(component, "class", "left")
+    named = classes.select("class", "least").join(component, "class", "left")
     named = named.withColumn("component", F.coalesce("component", "class"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
     member = stored(named.join(names, "component").select("class", "component_id"), "components")

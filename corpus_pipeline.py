@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridtide.llm import bpe_tree, partenum_join, quality_gam, suffix_search, toxicity_kernel
-from gridtide.llm.common import split_of, stored, table
+from gridtide.llm.common import maybe_in, split_of, stored, table
 
 NEAR = 800
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -47,16 +47,19 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # A row is known by key and text: of rows that share a key, one may be a copy and another not.
     row = F.struct("doc_id", F.xxhash64("text").alias("same"))
     keyed = docs.select(F.when(F.col("doc_id").isNotNull(), row).alias("row"), "text")
-    found = partenum_join.join(keyed, n=5, permille=NEAR, key="row").where("n_shingles > 0 and row <> component_id")
-    dropped = stored(found.select("row.*").distinct(), "dropped")
-    kept = docs.withColumn("same", F.xxhash64("text")).join(dropped, ["doc_id", "same"], "left_anti")
-    # Rows that repeat a key: those with the same text are one document. Rows without a key or text stay.
-    whole = kept.where("doc_id is not null and text is not null")
-    repeated = stored(whole.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    single = kept.join(repeated, "doc_id", "left_anti")
-    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang", "n_chars")
-    several = kept.join(repeated, "doc_id", "left_semi").withColumn("row", F.row_number().over(order)).where("row = 1 or text is null")
-    return single.select(*COLUMNS).unionByName(several.select(*COLUMNS))
+    found = partenum_join.join(keyed, n=5, permille=NEAR, key="row").where("row is not null")
+    copy = F.expr("bool_or(n_shingles > 0 and row <> component_id)").alias("copy")
+    # The few rows that aren't simply kept: copies, and those that repeat a key and text. Only their texts are moved.
+    marks = found.groupBy("row").agg(copy, F.count("*").alias("times")).where("copy or times > 1")
+    marks = stored(marks.select("row.*", "copy"), "marks")
+    sieved = maybe_in(docs.select(*COLUMNS, F.xxhash64("text").alias("same")), marks, "doc_id", "same")
+    met = sieved.where("maybe").join(marks, ["doc_id", "same"], "left")
+    # Rows that repeat a key and text are one document. Rows without a key or text stay.
+    order = Window.partitionBy("doc_id", "same").orderBy("source", "lang", "n_chars")
+    several = met.where("not copy").withColumn("row", F.row_number().over(order)).where("row = 1 or text is null")
+    parts = (sieved.where("not maybe"), met.where("copy is null"), several)
+    plain, chance, first = (x.select(*COLUMNS) for x in parts)
+    return plain.unionByName(chance).unionByName(first)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

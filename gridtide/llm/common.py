@@ -71,6 +71,23 @@ def map_steps(df: DataFrame, column: str, schema: str, work: Callable[[], Callab
     return df.mapInArrow(run, types)
 
 
+#: 64-bit words of a sieve; with them its broadcast is bounded, whatever the number of keys.
+SIEVE = 1 << 18
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
+    """`rows` with a column `maybe`: true for all whose columns `on` are a row of `keys`, and for some others by chance.
+
+    A join of few keys with many texts needs to move only the rows that are true, and compares those exactly. The keys set
+    bits of a broadcast table of at most `SIEVE` words; at a sixteenth of a key a bit one row in sixteen is true by chance.
+    """
+    hashed = F.xxhash64(*on)
+    word, bit = F.pmod(F.shiftrightunsigned(hashed, 6), F.lit(SIEVE)), F.call_function("shiftleft", F.lit(1).cast("bigint"), hashed.bitwiseAND(F.lit(63)).cast("int"))
+    bits = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    met = rows.withColumn("_at", word).join(F.broadcast(bits), F.col("_at") == F.col("_word"), "left")
+    return met.withColumn("maybe", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_at", "_word", "_bits")
+
+
 #: Longer words are not remembered: a cache of so many entries then has a bound in bytes too.
 REMEMBERED = 64
 

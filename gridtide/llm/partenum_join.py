@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridtide.llm.common import Bytes, map_steps, mix, stored
+from gridtide.llm.common import Bytes, map_steps, maybe_in, mix, stored
 from gridtide.llm.components import connected
 
 BLOCK, ASKING = 1024, 512
@@ -449,8 +449,9 @@ def join(docs: DataFrame, n: int = 3, permille: int = 900, key: str = "doc_id",
     clusters = stored(connected(near).select(F.col("node").alias("class"), F.col("component").alias("cluster")), "clusters")
     size = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
     # The texts of the classes in clusters, one of each: that of its smallest key, read again.
-    wanted = classes.join(clusters.select("class"), "class", "left_semi").select(F.col("least").alias(key)).distinct()
-    texts = _texts(docs.select(key, text).join(wanted, key, "left_semi"), text, n).groupBy("class").agg(F.first("body").alias("body"))
+    wanted = stored(classes.join(clusters.select("class"), "class", "left_semi").select(F.col("least").alias(key)).distinct(), "wanted")
+    likely = maybe_in(docs.select(key, text), wanted, key).where("maybe").drop("maybe")
+    texts = _texts(likely.join(wanted, key, "left_semi"), text, n).groupBy("class").agg(F.first("body").alias("body"))
     members = stored(texts.join(clusters.join(size, "cluster"), "class"), "members")
     component = _small_clusters(members.where(f"size <= {BLOCK}"), n, permille)
     if not size.where(f"size > {BLOCK}").isEmpty():
